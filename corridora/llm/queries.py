@@ -3,13 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate, langid, mixing, sharding
 from .jaccard_join import jaccard_join
+from .shared import fold
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 5) == 0
+    filters = langid.learn(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.predictor(spark, filters, "text").alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=5, per_cent=75)
+    return jaccard_join(_table(spark, sf_dir, "documents"), words=5, per_cent=75)
+
+
+def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), 16)
+
+
+QUERIES = {f.__name__: f for f in (op4_language_id, op6_mix_sources, op7_decontaminate, op9_ngram_jaccard_join, op10_feistel_shards)}
 
+#: Every occurrence of a 10-word window (or of a whole shorter item), found by joins of word lists.
+_OP7 = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT item_id, least(10, len(w)) AS n, unnest([array_to_string(w[i:i + least(10, len(w)) - 1], ' ') for i in range(1, len(w) - least(10, len(w)) + 2)]) AS g
+  FROM bw WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+doc_win AS (
+  SELECT doc_id, s.n, unnest(range(1, len(w) - s.n + 2)) AS i, unnest([array_to_string(w[i:i + s.n - 1], ' ') for i in range(1, len(w) - s.n + 2)]) AS g
+  FROM dw, sizes s WHERE len(w) >= s.n),
+hits AS (SELECT d.doc_id, d.i, d.n, b.item_id FROM doc_win d JOIN win b ON d.n = b.n AND d.g = b.g),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
 
-QUERIES = {"op9_ngram_jaccard_join": op9_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_decontaminate": _OP7}
