@@ -8,7 +8,8 @@ similarity reaches the threshold. The join is exact and never emits all pairs of
    A set of n shingles with fewer than threshold * n shared ones has no partner and drops out.
    Documents with equal sets form a class and are handled once.
 2. *Prefixes.* In the global order (rarest first) linked sets share one of the first
-   ``shared - ceil(threshold * n) + 1`` shared shingles.
+   ``shared - ceil(threshold * n) + 1`` shared shingles; the smaller of two needs fewer, as its
+   overlap must reach ``2 * threshold / (1 + threshold)`` of its size.
 3. *Leaders.* Every set is compared with the most central set of each prefix shingle; these true
    links already tie almost every family of near copies together, with rows linear in the input.
 4. *Token-group matrix.* Linked sets are dealt into groups of bounded size; each group stores the
@@ -41,9 +42,9 @@ from .shared import materialize, partitions
 
 TOKEN_BITS = 48
 #: A block of documents that is packed together: at most so many shingles and distinct sets.
-FLUSH_TOKENS, FLUSH_SETS = 4_000_000, 60_000
-#: Sets in a group of the token-group matrix, on average.
-GROUP_SETS = 32
+FLUSH_TOKENS, FLUSH_SETS = 2_000_000, 60_000
+#: Shared shingles in a group of the token-group matrix, on average at most (or one set).
+GROUP_TOKENS = 50_000
 
 _PACKED = "part int, flush long, n int, ids binary, tokens binary, owners binary, weights binary"
 _SETS = "doc_id long, n_shingles int, set_id long, central double, prefix int, tokens array<long>"
@@ -240,26 +241,34 @@ def shingle_links(sets: DataFrame, per_cent: int = 75) -> tuple[DataFrame, DataF
         return pairs.join(left, "a").join(right, "b").where(100 * both >= per_cent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
     near = f"100 * least(n_shingles, other_n) >= {per_cent} * greatest(n_shingles, other_n)"
-    postings = materialize(sets.select("set_id", "n_shingles", "central", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")), "postings")
+    short = F.size("tokens") - F.ceil(2 * per_cent * F.col("n_shingles") / (100 + per_cent)) + 1
+    postings = materialize(sets.select("set_id", "n_shingles", "central", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("at", "token")), "postings")
     lead = postings.groupBy("token").agg(F.max(F.struct("central", "set_id", "n_shingles")).alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
     lead = lead.select("token", F.col("lead.set_id").alias("leader"), F.col("lead.n_shingles").alias("other_n"))
     pairs = postings.join(lead, "token").where(f"set_id != leader and {near}").select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct()
     links = materialize(verify(pairs), "links")
     labels = components(sets.select(F.col("set_id").alias("id")), links)
 
-    # The token-group matrix over what the leaders left apart.
-    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    placed = sets.join(labels.withColumnRenamed("id", "set_id"), "set_id").join(size, "label")
-    placed = placed.withColumn("grp", F.xxhash64("label", F.floor(F.log(F.col("n_shingles")) * 4), F.pmod(F.xxhash64("set_id"), F.ceil(F.col("members") / GROUP_SETS))))
-    placed = materialize(placed.select("set_id", "n_shingles", "label", "members", "grp", "prefix", "tokens"), "placed")
-    slots = placed.select("set_id", "n_shingles", "label", "members", "grp", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
+    # The token-group matrix over what the leaders left apart. Of two linked sets the smaller one
+    # shares a token of its short prefix with the prefix of the larger one.
+    sizes = sets.select("set_id", "n_shingles", F.size("tokens").alias("kept"), short.alias("short"))
+    placed = sizes.join(labels.withColumnRenamed("id", "set_id"), "set_id")
+    cluster = placed.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("kept").alias("mass"))
+    salt = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("mass") / GROUP_TOKENS))
+    placed = placed.join(cluster, "label").withColumn("grp", F.xxhash64("label", F.floor(F.log("n_shingles") * 4), salt))
+    placed = materialize(placed.select("set_id", "n_shingles", "label", "members", "grp", "short"), "placed")
+    slots = postings.select("set_id", "token", "at").join(placed, "set_id")
     open_tokens = slots.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    slots = materialize(slots.join(open_tokens, "token", "left_semi"), "slots")
-    matrix = slots.groupBy("token", F.col("grp").alias("g")).agg(F.first("label").alias("g_label"), F.first("members").alias("g_members"), F.min("n_shingles").alias("g_least"), F.max("n_shingles").alias("g_most"))
+    slots = materialize(slots.join(open_tokens, "token", "left_semi").withColumn("early", F.col("at") < F.col("short")), "slots")
+    early = F.col("early")
+    matrix = slots.groupBy("token", F.col("grp").alias("g")).agg(
+        F.first("label").alias("g_label"), F.first("members").alias("g_members"), F.min("n_shingles").alias("g_least"), F.max("n_shingles").alias("g_most"), F.min(F.when(early, F.col("n_shingles"))).alias("g_early")
+    )
     meet = slots.join(matrix, "token").where("label != g_label and (members < g_members or members = g_members and label < g_label)")
-    meet = meet.where(f"100 * g_most >= {per_cent} * n_shingles and {per_cent} * g_least <= 100 * n_shingles").select("set_id", F.col("g").alias("grp")).distinct()
-    meet = materialize(meet, "meet")
-    unions = placed.join(meet.select("grp").distinct(), "grp", "left_semi").groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("all_tokens"))
+    meet = meet.where(f"100 * g_most >= {per_cent} * n_shingles and {per_cent} * g_least <= 100 * n_shingles and (early and g_most >= n_shingles or g_early <= n_shingles)")
+    meet = materialize(meet.select("set_id", F.col("g").alias("grp")).distinct(), "meet")
+    tokens = sets.select("set_id", "tokens")
+    unions = placed.select("set_id", "grp").join(meet.select("grp").distinct(), "grp", "left_semi").join(tokens, "set_id").groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("all_tokens"))
     bound = meet.join(sets.select("set_id", "n_shingles", "tokens"), "set_id").join(unions, "grp")
     opened = bound.where(100 * F.size(F.array_intersect("tokens", "all_tokens")) >= per_cent * F.col("n_shingles")).select("set_id", "grp", F.col("n_shingles").alias("other_n"))
     more = opened.join(placed.select(F.col("set_id").alias("b"), "n_shingles", "grp"), "grp").where(near).select(F.col("set_id").alias("a"), "b")
