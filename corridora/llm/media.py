@@ -1,7 +1,7 @@
 """Media columns: archives of media members behind a custom Spark data source.
 
 A payload is stored losslessly as an 8-bit greyscale PNG, 64 samples wide. Members are appended to
-archive files, one per task, each after a header: sync marker, id, length, checksum, and a checksum
+archive files, one per task, each after a header: sync marker, id, length of the unpadded text, length, checksum, and a checksum
 of the header itself. A manifest, written when all tasks have committed, names the files that count,
 so a task that is retried or run twice leaves nothing behind.
 
@@ -35,9 +35,9 @@ from .shared import shared_folder
 WIDTH = 64
 RANGE_BYTES, BATCH_BYTES, RETRIES = 16 << 20, 8 << 20, 3
 _MARK = b"\x00\xffMEMBER\xff\x00\x9d\x1b\xe7\x42\xa6\x58"
-_HEAD = struct.Struct("<16sqBQII")
-SCHEMA = "doc_id long, file string, offset long, media binary, error string"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("error", pa.string())])
+_HEAD = struct.Struct("<16sqBQQII")
+SCHEMA = "doc_id long, file string, offset long, n_bytes long, media binary, error string"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("error", pa.string())])
 
 
 def encode_png(payload: bytes, level: int = 1) -> bytes:
@@ -100,15 +100,15 @@ class ArchiveWriter(DataSourceArrowWriter):
         self.path = path
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        """(doc_id, media) to one archive file of this task attempt."""
+        """(doc_id, n_bytes, media) to one archive file of this task attempt."""
         store, folder = _store(self.path)
         store.create_dir(folder, recursive=True)
         name, members = f"members-{uuid.uuid4().hex}.archive", 0
         with store.open_output_stream(f"{folder}/{name}") as out:
             for batch in iterator:
-                for doc_id, media in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
+                for doc_id, n_bytes, media in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
                     data = media.as_py()
-                    head = _HEAD.pack(_MARK, doc_id or 0, doc_id is None, len(data), zlib.crc32(data), 0)
+                    head = _HEAD.pack(_MARK, doc_id or 0, doc_id is None, n_bytes, len(data), zlib.crc32(data), 0)
                     out.write(head[:-4] + struct.pack("<I", zlib.crc32(head[:-4])) + data)
                     members += 1
         return Written(name, members)
@@ -156,11 +156,11 @@ class ArchiveReader(DataSourceReader):
                     source.close()
                     source = store.open_input_file(where)
             if member is None:
-                rows.append((None, partition.file, at, None, problem))
+                rows.append((None, partition.file, at, None, None, problem))
                 at = _next_head(source, at + 1, partition.size)
             else:
-                doc_id, media, following = member
-                rows.append((doc_id, partition.file, at, media, None))
+                doc_id, n_bytes, media, following = member
+                rows.append((doc_id, partition.file, at, n_bytes, media, None))
                 held += len(media)
                 at = following if following < partition.size else None
             if held > BATCH_BYTES:
@@ -175,20 +175,20 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def _head(data: bytes) -> tuple[int | None, int, int]:
-    mark, doc_id, gone, size, check, own = _HEAD.unpack(data)
+def _head(data: bytes) -> tuple[int | None, int, int, int]:
+    mark, doc_id, gone, n_bytes, size, check, own = _HEAD.unpack(data)
     if mark != _MARK or own != zlib.crc32(data[:-4]):
         raise ValueError("no member starts here")
-    return None if gone else doc_id, size, check
+    return None if gone else doc_id, n_bytes, size, check
 
 
-def _read_member(source: pa.NativeFile, at: int) -> tuple[int | None, bytes, int]:
+def _read_member(source: pa.NativeFile, at: int) -> tuple[int | None, int, bytes, int]:
     source.seek(at)
-    doc_id, size, check = _head(source.read(_HEAD.size))
+    doc_id, n_bytes, size, check = _head(source.read(_HEAD.size))
     data = source.read(size)
     if len(data) != size or zlib.crc32(data) != check:
         raise ValueError(f"the member at byte {at} is damaged")
-    return doc_id, data, at + _HEAD.size + size
+    return doc_id, n_bytes, data, at + _HEAD.size + size
 
 
 def _next_head(source: pa.NativeFile, start: int, size: int, step: int = 1 << 20) -> int | None:
@@ -231,14 +231,18 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # small pieces, so that very long texts do not meet in memory
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            media = [encode_png(payload(t.as_py())[0]) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
+            media, sizes = [], []
+            for text in part.column(1):
+                data, size = payload(text.as_py())
+                media.append(encode_png(data))
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def write_archive(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Stores every text of ``docs`` as a media member under ``path``."""
     docs.sparkSession.dataSource.register(ArchiveSource)
-    media = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encode, "doc_id long, media binary")
+    media = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
     media.write.format("media_archive").option("path", path).mode("append").save()
 
 
@@ -258,19 +262,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
         rows = []
-        for doc_id, media, error in zip(batch.column("doc_id").to_pylist(), batch.column("media"), batch.column("error").to_pylist(), strict=True):
+        for doc_id, n_bytes, media, error in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media"), batch.column("error").to_pylist(), strict=True):
             if error is not None:
                 raise OSError(f"unreadable member: {error}")
             stored = media.as_py()
             samples = decode_png(stored)
             data = samples.tobytes()
-            # zeros that pad the last row are not text; a text's own last bytes may be zeros only if it ends in U+0000
             light = np.bincount(samples.reshape(-1) >> 5, minlength=8)
             feature = f"{samples.shape[1]}x{samples.shape[0]} mean={samples.mean():.3f} std={samples.std():.3f} light=" + ",".join(map(str, light.tolist()))
-            rows.append((doc_id, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
+            rows.append((doc_id, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
         if rows:
-            doc, size, sha, tail, stored_size, stored_sha, feature = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((doc, size, size, sha, tail, stored_size, stored_sha, feature), types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def media_features(docs: DataFrame, path: str | None = None) -> DataFrame:
