@@ -10,8 +10,8 @@ similarity reaches the threshold. The join is exact and never emits all pairs of
 2. *Prefixes.* In the global order (rarest first) linked sets share one of the first
    ``shared - ceil(threshold * n) + 1`` shared shingles; the smaller of two needs fewer, as its
    overlap must reach ``2 * threshold / (1 + threshold)`` of its size.
-3. *Leaders.* Every set is compared with the most central set of each prefix shingle; these true
-   links already tie almost every family of near copies together, with rows linear in the input.
+3. *Leaders.* Every set is compared with the most central set that it meets at a prefix shingle;
+   these true links already tie most families of near copies together, one comparison a set.
 4. *Token-group matrix.* Linked sets are dealt into groups of bounded size; each group stores the
    union of its shingles. Sets of other clusters that meet a group at a prefix shingle are
    bounded by their overlap with that union, and only qualifying groups are opened and compared.
@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as kernels
-from .shared import materialize, partitions
+from .shared import materialize, partitions, release, small
 
 TOKEN_BITS = 48
 #: A block of documents that is packed together: at most so many shingles and distinct sets.
 FLUSH_TOKENS, FLUSH_SETS = 2_000_000, 60_000
 #: Shared shingles in a group of the token-group matrix, on average at most (or one set).
-GROUP_TOKENS = 50_000
+GROUP_TOKENS = 25_000
 
 _PACKED = "part int, flush long, n int, ids binary, tokens binary, owners binary, weights binary"
 _SETS = "doc_id long, n_shingles int, set_id long, central double, prefix int, tokens array<long>"
@@ -224,9 +224,11 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        step = materialize(step.join(jump, "label", "left").select("id", "old", F.least("label", "further").alias("label")), "labels")
-        labels = step.select("id", "label")
-        if step.where("label < old").isEmpty():
+        before = labels
+        labels = materialize(step.join(jump, "label", "left").select("id", "old", F.least("label", "further").alias("label")), "labels")
+        release(before)
+        if labels.where("label < old").isEmpty():
+            release(both)
             return labels
 
 
@@ -235,18 +237,25 @@ def shingle_links(sets: DataFrame, per_cent: int = 75) -> tuple[DataFrame, DataF
     connected family; labels name each set's component by its smallest set_id."""
 
     def verify(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link. Sets move once, to their ``b``; the few columns of pairs go to them."""
+        pairs = materialize(pairs, "pairs")
         left = sets.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), F.col("tokens").alias("ta"))
         right = sets.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("tokens").alias("tb"))
+        right = right.join(small(materialize(pairs.select("b").distinct(), "seconds")), "b", "left_semi")
         both = F.size(F.array_intersect("ta", "tb"))
-        return pairs.join(left, "a").join(right, "b").where(100 * both >= per_cent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+        linked = left.join(small(pairs), "a").join(right, "b").where(100 * both >= per_cent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+        linked = materialize(linked, "links")
+        release(pairs)
+        return linked
 
     near = f"100 * least(n_shingles, other_n) >= {per_cent} * greatest(n_shingles, other_n)"
     short = F.size("tokens") - F.ceil(2 * per_cent * F.col("n_shingles") / (100 + per_cent)) + 1
     postings = materialize(sets.select("set_id", "n_shingles", "central", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("at", "token")), "postings")
     lead = postings.groupBy("token").agg(F.max(F.struct("central", "set_id", "n_shingles")).alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    lead = lead.select("token", F.col("lead.set_id").alias("leader"), F.col("lead.n_shingles").alias("other_n"))
-    pairs = postings.join(lead, "token").where(f"set_id != leader and {near}").select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct()
-    links = materialize(verify(pairs), "links")
+    lead = lead.select("token", F.col("lead.set_id").alias("leader"), F.col("lead.central").alias("leader_central"), F.col("lead.n_shingles").alias("other_n"))
+    # each set meets its most central leader; what that leaves apart is the matrix's
+    pairs = postings.join(lead, "token").where(f"set_id != leader and {near}").groupBy(F.col("set_id").alias("a")).agg(F.max_by("leader", F.struct("leader_central", "leader")).alias("b"))
+    links = verify(pairs)
     labels = components(sets.select(F.col("set_id").alias("id")), links)
 
     # The token-group matrix over what the leaders left apart. Of two linked sets the smaller one
@@ -268,15 +277,20 @@ def shingle_links(sets: DataFrame, per_cent: int = 75) -> tuple[DataFrame, DataF
     meet = meet.where(f"100 * g_most >= {per_cent} * n_shingles and {per_cent} * g_least <= 100 * n_shingles and (early and g_most >= n_shingles or g_early <= n_shingles)")
     meet = materialize(meet.select("set_id", F.col("g").alias("grp")).distinct(), "meet")
     tokens = sets.select("set_id", "tokens")
-    unions = placed.select("set_id", "grp").join(meet.select("grp").distinct(), "grp", "left_semi").join(tokens, "set_id").groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("all_tokens"))
-    bound = meet.join(sets.select("set_id", "n_shingles", "tokens"), "set_id").join(unions, "grp")
-    opened = bound.where(100 * F.size(F.array_intersect("tokens", "all_tokens")) >= per_cent * F.col("n_shingles")).select("set_id", "grp", F.col("n_shingles").alias("other_n"))
+    asked = materialize(placed.select("set_id", "grp", "n_shingles").join(meet.select("grp").distinct(), "grp", "left_semi"), "asked")
+    members = tokens.join(small(asked), "set_id")
+    unions = members.groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("all_tokens"), F.min("n_shingles").alias("g_least"))
+    bound = sets.select("set_id", "n_shingles", "tokens").join(small(meet), "set_id").join(unions, "grp")
+    least = F.greatest(per_cent * (100 + per_cent) * F.col("n_shingles"), 100 * per_cent * (F.col("n_shingles") + F.col("g_least")))
+    opened = bound.where(100 * (100 + per_cent) * F.size(F.array_intersect("tokens", "all_tokens")) >= least).select("set_id", "grp", F.col("n_shingles").alias("other_n"))
     more = opened.join(placed.select(F.col("set_id").alias("b"), "n_shingles", "grp"), "grp").where(near).select(F.col("set_id").alias("a"), "b")
-    more = materialize(verify(more), "links")
-    if more.isEmpty():
-        return links, labels
-    links = links.union(more)
-    return links, components(sets.select(F.col("set_id").alias("id")), links)
+    more = verify(more)
+    release(postings, placed, slots, meet, asked)
+    if not more.isEmpty():
+        release(labels)
+        links = links.union(more)
+        labels = components(sets.select(F.col("set_id").alias("id")), links)
+    return links, labels
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per_cent: int = 75) -> DataFrame:
@@ -292,6 +306,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     classes = some.groupBy("set_id").agg(F.min("doc_id").alias("least_id"))
     classes = classes.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "least_id", F.coalesce("label", "set_id").alias("label"))
     classes = materialize(classes, "classes")
+    release(sets, labels)
     named = classes.groupBy("label").agg(F.min("least_id").alias("component_id"))
     member = classes.join(named, "label").select("set_id", "component_id")
     out = some.select("doc_id", "n_shingles", "set_id").join(member, "set_id").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")

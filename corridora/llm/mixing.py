@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize
+from .shared import materialize, release
 
 WEIGHTS = (3, 1, 2)
 CELL_ROWS = 64
@@ -79,7 +79,9 @@ def solve_rates(strata: DataFrame, wanted: DataFrame, *, cap: float = 2.0, lengt
         newton = F.when(F.col("slope") > 0, F.col("lam") - gap / F.col("slope"))
         sums = sums.withColumn("off", F.abs(gap) / F.col("target")).withColumns({"lo": lo, "hi": hi, "next": newton})
         inside = F.when(F.col("next").between(F.col("lo"), F.col("hi")), F.col("next")).otherwise((F.col("lo") + F.col("hi")) / 2)
+        before = state
         state = materialize(sums.select("key", "target", F.when(F.col("off") <= TOLERANCE, F.col("lam")).otherwise(inside).alias("lam"), "lo", "hi", "off"), "newton")
+        release(before)
         if state.where(F.col("off") > TOLERANCE).isEmpty():
             break
     return cells.join(state.select("key", "lam"), "key").select("key", "class", "n", "words", F.least(F.lit(cap), F.exp(F.col("lam") * F.col("z"))).alias("rate"))

@@ -30,7 +30,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corridora-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the files of materialized DataFrames that nothing reads any more."""
+    for df in frames:
+        if path := df.__dict__.pop("_scratch", None):
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A materialized DataFrame of a few numbers a row, to be broadcast while it has at most ``rows``
+    rows (about 50 MB); a larger one is joined by shuffling."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def partitions(spark: SparkSession) -> int:
