@@ -22,7 +22,7 @@ def build_index(points: DataFrame) -> DataFrame:
     restroom = (F.col("kind") == "poi") & (F.col("poi_type") == "restroom")
     kind = F.when(restroom, "restroom").when(F.col("kind").isin("room", "landmark", "entrance"), F.col("kind"))
     label = F.coalesce("label", F.when(restroom, "Restroom"), "id")
-    named = points.withColumn("kind", kind).where(F.col("kind").isNotNull()).withColumn("label", label)
+    named = points.withColumns({"kind": kind, "label": label}).where(F.col("kind").isNotNull())
     first = Window.partitionBy("label").orderBy("floor_idx", "ord")
     doors = named.where("kind = 'entrance'").withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn").withColumn("key", F.concat(F.lit("entrance:"), "label"))
     rest = named.where("kind != 'entrance'").withColumn("key", F.concat_ws(":", "floor", "id"))
