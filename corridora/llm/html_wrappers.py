@@ -74,11 +74,13 @@ def _key(name: str, attrs: str) -> str:
     return name + "".join("." + w for w in sorted(said))
 
 
-def runs(page: str) -> list[tuple[str, str, int]]:
-    """(path, text, linked characters) of every block of text, in page order."""
-    out: list[tuple[str, str, int]] = []
+def runs(page: str) -> list[tuple[str, str, int, tuple[int, ...]]]:
+    """(path, text, linked characters, its elements' numbers) of every block of text, in page order."""
+    out: list[tuple[str, str, int, tuple[int, ...]]] = []
     stack: list[str] = []
     keys: list[str] = []
+    numbers: list[int] = []
+    opened = 0
     text: list[str] = []
     linked, in_link = 0, 0
 
@@ -88,7 +90,7 @@ def runs(page: str) -> list[tuple[str, str, int]]:
             said = "".join(text)
             said = " ".join((entities.unescape(said) if "&" in said else said).split())
             if said:
-                out.append(("/".join(keys), said, min(linked, len(said))))
+                out.append(("/".join(keys), said, min(linked, len(said)), tuple(numbers)))
             text.clear()
         linked = 0
 
@@ -117,21 +119,25 @@ def runs(page: str) -> list[tuple[str, str, int]]:
             if name in stack:
                 while stack:
                     keys.pop()
+                    numbers.pop()
                     if stack.pop() == name:
                         break
             continue
         if stack and stack[-1] in CLOSED_BY_BLOCK:
             stack.pop()
             keys.pop()
+            numbers.pop()
         if name in SIBLINGS:
             scope, at = SCOPE[name], len(stack) - 1
             while at >= 0 and stack[at] not in scope:
                 if stack[at] in SIBLINGS[name]:
-                    del stack[at:], keys[at:]
+                    del stack[at:], keys[at:], numbers[at:]
                 at -= 1
         if not m["attrs"].rstrip().endswith("/") or name in ("p", "div"):
             stack.append(name)
             keys.append(_key(name, m["attrs"]))
+            opened += 1
+            numbers.append(opened)
     flush()
     return out
 
@@ -146,29 +152,30 @@ def _node() -> list:
     return [1, 0, False, False, None, 0, 0, {}]
 
 
-def page_wrapper(found: list[tuple[str, str, int]]) -> list:
+def page_wrapper(found: list[tuple[str, str, int, tuple[int, ...]]]) -> list:
     """The wrapper of one page's runs."""
     root = _node()
-    before: list[str] = []
-    for path, text, linked in found:
+    before: tuple[int, ...] = ()
+    for path, text, linked, numbers in found:
         keys = [*path.split("/"), TEXT] if path else [TEXT]
-        node, same = root, True
+        node, same, node_same = root, True, True
         for depth, key in enumerate(keys):
-            same = same and depth < len(before) and before[depth] == key
+            same = same and depth < min(len(before), len(numbers)) and before[depth] == numbers[depth]
             child = node[PARTS].get(key)
             if child is None:
                 child = node[PARTS][key] = _node()
-            elif not same or depth == len(keys) - 1:
-                child[REPEATED] = True
-                if next(reversed(node[PARTS])) != key:
+            elif not same:
+                # again under the same parent, or in another parent of that name
+                child[REPEATED] |= depth == 0 or node_same
+                if node_same and next(reversed(node[PARTS])) != key:
                     node[GROUP] = True
-            if not same or depth == len(keys) - 1:
+            if not same:
                 child[SEEN] += 1
-            node = child
+            node, node_same = child, same
         node[LITERAL] = text if node[SEEN] == 1 and len(text) <= 200 else None
         node[CHARS] += len(text)
         node[LINKED] += linked
-        before = keys[:-1]
+        before = numbers
     return root
 
 
@@ -242,7 +249,7 @@ def judge(root: list) -> list[str]:
     while True:  # go down while one child holds most of the text
         inner: dict[tuple[str, ...], int] = {}
         for p, n in plain:
-            if len(p) > len(best) and p[: len(best)] == best:
+            if len(p) > len(best) + 1 and p[: len(best)] == best:  # the text's own element is no container
                 inner[p[: len(best) + 1]] = inner.get(p[: len(best) + 1], 0) + n[CHARS]
         most = max(inner, key=lambda k: inner[k], default=None)
         if most is None or inner[most] < 0.7 * total:
@@ -311,7 +318,7 @@ def _main_text(pages: pa.Array, slots: pa.Array) -> pa.Array:
     for page, keep in zip(pages, slots.to_pylist(), strict=True):
         keep = tuple(keep or ())
         chosen = known.setdefault(keep, frozenset(keep))
-        out.append(" ".join(text for path, text, _ in runs(page.as_py() or "") if path in chosen))
+        out.append(" ".join(text for path, text, *_ in runs(page.as_py() or "") if path in chosen))
     return pa.array(out, pa.string())
 
 

@@ -125,6 +125,9 @@ class Filters:
         return np.maximum(0.0, (out - total[:, None] * rate) / (1 - rate))
 
     def predict(self, column: pa.Array) -> pa.StructArray:
+        if not self.languages:
+            n = len(column)
+            return pa.StructArray.from_arrays([pa.array([UNDETERMINED] * n, pa.string()), pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int64))], names=["lang", "score", "n_ngrams"])
         languages, scores, sizes = [], [], []
         for a, z, hashes, owners, has in ngrams(column):
             counts = self.counts(hashes, owners, z - a)
