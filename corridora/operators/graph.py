@@ -96,7 +96,8 @@ def distance_fields(cells: DataFrame, sources: DataFrame) -> DataFrame:
     """
     walkable = sources.join(cells.where("walk").select("floor", "r", "c"), ["floor", "r", "c"], "left_semi")
     schema = "floor string, src string, r int, c int, dist double, prev_r long, prev_c long"
-    return grid_edges(cells).groupBy("floor").cogroup(walkable.select("floor", "src", "r", "c").groupBy("floor")).applyInPandas(_field, schema)
+    seeds = walkable.select(F.col("floor").alias("on_floor"), "src", F.col("r").alias("r"), F.col("c").alias("c"))
+    return grid_edges(cells).groupBy("floor").cogroup(seeds.groupBy("on_floor")).applyInPandas(_field, schema)
 
 
 def trace(fields: DataFrame, targets: DataFrame, max_steps: int = 100_000) -> DataFrame:
@@ -117,7 +118,8 @@ def trace(fields: DataFrame, targets: DataFrame, max_steps: int = 100_000) -> Da
         return pd.DataFrame(out, columns=["floor", "src", "r", "c", "path"])
 
     schema = "floor string, src string, r int, c int, path array<struct<r:int,c:int>>"
-    return fields.groupBy("floor", "src").cogroup(targets.groupBy("floor", "src")).applyInPandas(follow, schema)
+    ends = targets.select(F.col("floor").alias("on_floor"), F.col("src").alias("of"), F.col("r").alias("r"), F.col("c").alias("c"))
+    return fields.groupBy("floor", "src").cogroup(ends.groupBy("on_floor", "of")).applyInPandas(follow, schema)
 
 
 def portal_edges(ends: DataFrame, fields: DataFrame) -> DataFrame:
