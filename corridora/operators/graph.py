@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 ROOM_COST, WALL_COST, STAIR_FEET = 3.2, 1.5, 220.0
 
 
@@ -46,12 +48,9 @@ def grid_edges(cells: DataFrame) -> DataFrame:
 def shortest(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(a, b, w) and (src, node) to (src, node, dist, prev): frontier relaxation as joins.
 
-    Each round relaxes only nodes that became nearer. For large sparse graphs; lineage is cut by
-    checkpoint() where the session has a checkpoint directory.
+    Each round relaxes only nodes that became nearer. For large sparse graphs; each round's lineage is cut.
     """
-    spark = edges.sparkSession
-    cut = lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
-    edges = edges.persist()
+    edges = cut(edges)
     dist = cut(sources.select("src", "node", F.lit(0.0).alias("dist"), F.lit(None).cast(dict(edges.dtypes)["a"]).alias("prev")))
     frontier = dist
     for _ in range(max_rounds):
@@ -145,7 +144,7 @@ def route(cells: DataFrame, portals: DataFrame, ends: DataFrame, feet_per_cell:
     asked = ends.select(F.concat_ws("|", "route_id", "role", "floor", "r", "c").alias("end_id"), "route_id", "role", "floor", "r", "c")
     every = landing.select("end_id", "link_id", "floor", "r", "c").unionByName(asked.select("end_id", F.lit(None).cast("string").alias("link_id"), "floor", "r", "c").distinct())
     starts = every.join(asked.where("role = 'start'").select("end_id").distinct(), "end_id", "left_semi").select(F.col("end_id").alias("src"), "floor", "r", "c")
-    fields = distance_fields(cells, landing.select(F.col("end_id").alias("src"), "floor", "r", "c").unionByName(starts)).persist()
+    fields = cut(distance_fields(cells, landing.select(F.col("end_id").alias("src"), "floor", "r", "c").unionByName(starts)))
     edges = portal_edges(every, fields).withColumn("w", F.when(F.col("kind") == "walk", F.col("w") * feet_per_cell).otherwise(F.col("w")))
     dist = shortest(edges.select("a", "b", "w"), asked.where("role = 'start'").select(F.col("route_id").alias("src"), F.col("end_id").alias("node")))
     goals = asked.where("role = 'end'").select(F.col("route_id").alias("src"), F.col("end_id").alias("node"))
@@ -154,7 +153,7 @@ def route(cells: DataFrame, portals: DataFrame, ends: DataFrame, feet_per_cell:
     out = chain
     while True:
         seq += 1
-        chain = chain.select("src", "node", "cost").join(dist.where("prev is not null").select("src", "node", "prev"), ["src", "node"]).select("src", F.col("prev").alias("node"), "cost").withColumn("seq", F.lit(-seq))
+        chain = cut(chain.select("src", "node", "cost").join(dist.where("prev is not null").select("src", "node", "prev"), ["src", "node"]).select("src", F.col("prev").alias("node"), "cost").withColumn("seq", F.lit(-seq)))
         if chain.isEmpty():
             break
         out = out.unionByName(chain)
@@ -163,8 +162,6 @@ def route(cells: DataFrame, portals: DataFrame, ends: DataFrame, feet_per_cell:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id) and (a, b) to (id, component): the smallest id reachable. Minimum labels with pointer jumping."""
-    spark = nodes.sparkSession
-    cut = lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     labels = cut(nodes.select("id", F.col("id").alias("label")))
     while True:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..operators import graph, raster, sequence, spatial
+from ..operators import alignment, graph, raster, sequence, shapes, spatial
 from ..sources import floors
 from .places import points
 from .registry import query, table
@@ -327,3 +327,71 @@ def snapped_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 def separator_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _mask(spark, sf_dir)
     return raster.separators(m.where("c % 2 = 0"), raster.label(m), reach=3, least=4)
+
+
+_PLACED = """p AS (SELECT n_name AS floor, 1.0 + n_regionkey * 0.01 AS scale, n_nationkey * 1.5 AS rotation_deg, n_nationkey * 10.0 AS tx, n_nationkey * -4.0 AS ty, n_nationkey % 2 = 0 AS verified FROM nation),
+d AS (SELECT n_name AS floor, -0.5 * n_regionkey AS scale, 1.0 AS rotation_deg, 0.25 AS tx, 0.0 AS ty FROM nation WHERE n_nationkey % 3 = 0)"""
+
+
+def _placements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n, k, r = table(spark, sf_dir, "nation"), F.col("n_nationkey"), F.col("n_regionkey")
+    placed = n.select(F.col("n_name").alias("floor"), (1.0 + r * 0.01).alias("scale"), (k * 1.5).alias("rotation_deg"), (k * 10.0).alias("tx"), (k * -4.0).alias("ty"), (k % 2 == 0).alias("verified"))
+    moved = n.where(k % 3 == 0).select(F.col("n_name").alias("floor"), (r * -0.5).alias("scale"), F.lit(1.0).alias("rotation_deg"), F.lit(0.25).alias("tx"), F.lit(0.0).alias("ty"))
+    return placed, moved
+
+
+@query(f"""WITH {_PLACED} SELECT p.floor, CAST(greatest(p.scale + coalesce(d.scale, 0), 0.2) AS DOUBLE) AS scale, CAST(p.rotation_deg + coalesce(d.rotation_deg, 0) AS DOUBLE) AS rotation_deg,
+  CAST(p.tx + coalesce(d.tx, 0) AS DOUBLE) AS tx, CAST(p.ty AS DOUBLE) AS ty, p.verified AND d.floor IS NULL AS verified FROM p LEFT JOIN d ON p.floor = d.floor""")
+def nudged_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.nudge(*_placements(spark, sf_dir))
+
+
+@query(f"WITH {_PLACED} SELECT p.floor FROM p JOIN d ON p.floor = d.floor")
+def changed_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, moved = _placements(spark, sf_dir)
+    return alignment.changed(placed, alignment.nudge(placed, moved))
+
+
+@query("SELECT i, j, round((i + 0.5) / 16.0 * 2 - 1, 6) AS u, round((j + 0.5) / 12.0 * 2 - 1, 6) AS v, round(exp(-(((i + 0.5) / 16.0 * 2 - 1) ** 2 + ((j + 0.5) / 12.0 * 2 - 1) ** 2) / 0.18), 6) AS weight FROM range(16) a(i), range(12) b(j)")
+def view_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.view_samples(spark).select("i", "j", *[F.round(c, 6).alias(c) for c in ("u", "v", "weight")])
+
+
+@query("""WITH o AS (SELECT c_custkey AS p_id, c_custkey % 900 AS label FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT label, count(*) AS n, min(p_id) AS p_id FROM o GROUP BY 1)
+SELECT k.label, k.area, CASE WHEN n IS NULL THEN 'unclaimed' WHEN n > 1 OR area > 120000 THEN 'merged' ELSE 'room' END AS kind, CASE WHEN n = 1 AND area <= 120000 THEN p_id END AS p_id
+FROM (SELECT i AS label, i * 211 % 150000 AS area FROM range(1000) t(i)) k LEFT JOIN n ON n.label = k.label""")
+def assembled_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    owners = table(spark, sf_dir, "customer").where(k % 3 != 0).select(k.alias("p_id"), (k % 900).alias("label"))
+    return shapes.assemble_rooms(owners, spark.range(1000).select(F.col("id").alias("label"), (F.col("id") * 211 % 150_000).alias("area")))
+
+
+@query("""WITH o AS (SELECT c_custkey % 900 AS label, count(*) AS n FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1), r AS (SELECT k.label, k.area, n FROM (SELECT i AS label, i * 211 % 150000 AS area FROM range(1000) t(i)) k LEFT JOIN o ON o.label = k.label)
+SELECT label, area FROM (SELECT * FROM r WHERE NOT coalesce(n = 1 AND area <= 120000, false) AND area >= 1200 ORDER BY area DESC, label LIMIT 60) WHERE n IS NULL""")
+def largest_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.corridors(assembled_rooms(spark, sf_dir)).select("label", "area")
+
+
+_STEPS = f"""{_PATHS}, st AS (SELECT route_id, seq AS step, CAST(seq // 4000000 AS INTEGER) AS leg, x + 3 AS x, y + 1 AS y FROM pts WHERE seq % 3 = 0), sp AS (SELECT route_id, CAST(seq // 4000000 AS INTEGER) AS leg, seq, x, y, cum FROM spine),
+j AS (SELECT st.route_id, st.step, sp.seq, sp.cum, sp.leg = st.leg AS own, sqrt((sp.x - st.x) ** 2 + (sp.y - st.y) ** 2) AS d FROM st JOIN sp ON st.route_id = sp.route_id),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route_id, step ORDER BY d, seq) AS rn FROM j WHERE own) WHERE rn = 1), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route_id, step ORDER BY d, seq) AS rn FROM j) WHERE rn = 1)"""
+
+
+@query(f"WITH {_STEPS} SELECT a.route_id, a.step, CASE WHEN o.d <= 50 THEN o.seq ELSE a.seq END AS seq, round(CASE WHEN o.d <= 50 THEN o.cum ELSE a.cum END, 5) AS cum FROM a LEFT JOIN o ON o.route_id = a.route_id AND o.step = a.step")
+def anchored_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spine = _spine(spark, sf_dir).withColumn("leg", F.floor(F.col("seq") / 4_000_000).cast("int"))
+    steps = spine.where("seq % 3 = 0").select("route_id", F.col("seq").alias("step"), "leg", (F.col("x") + 3).alias("x"), (F.col("y") + 1).alias("y"))
+    return shapes.anchor_steps(steps, spine).select("route_id", "step", "seq", F.round("cum", 5).alias("cum"))
+
+
+@query()
+def lifted_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points_ = _spine(spark, sf_dir).withColumn("leg", F.floor(F.col("seq") / 4_000_000).cast("int")).withColumn("floor", F.when(F.col("leg") == 0, "main").otherwise("upper"))
+    heights = spark.createDataFrame([("main", 0.0), ("upper", 14.0)], "floor string, z double")
+    return shapes.lift(points_.drop("cum"), heights)
+
+
+@query()
+def mask_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shapes.rings(raster.boundary_edges(_mask(spark, sf_dir).where("r < 6")))
+    return found.select("layer", "ring_id.x1", "ring_id.y1", F.size("ring").alias("corners"), geometry.signed_area("ring").alias("area"), F.size(shapes.simplify("ring")).alias("simplified"))
