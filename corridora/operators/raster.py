@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import graph
+from .lineage import cut
 
 CELL = ["layer", "r", "c"]
 
@@ -206,3 +207,46 @@ def sweep(fixed: DataFrame, moving: DataFrame, parameters: DataFrame, reach: int
     shifts = best_shift(target, keyed, reach)
     best = shifts.groupBy(F.col("layer.layer").alias("l")).agg(F.min_by(F.struct(F.col("layer.p_id").alias("p_id"), "dr", "dc", "both"), F.struct((-F.col("both")).alias("m"), F.col("layer.p_id").alias("p"))).alias("s"))
     return best.select(F.col("l").alias("layer"), "s.*").join(F.broadcast(parameters), "p_id")
+
+
+def depths(mask: DataFrame) -> DataFrame:
+    """(layer, r, c, depth): how many erosions by the eight neighbours a cell survives, plus one.
+
+    One round a cell of the widest part's half width; each round only keeps what is left.
+    """
+    ring = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    left, out, depth = cut(mask.select(*CELL).distinct()), None, 0
+    while not left.isEmpty():
+        depth += 1
+        here = left.withColumn("depth", F.lit(depth))
+        out = here if out is None else out.unionByName(here)
+        left = cut(erode(left, ring))
+    if out is None:
+        return mask.select(*CELL).withColumn("depth", F.lit(0))
+    return out.groupBy(*CELL).agg(F.max("depth").alias("depth"))
+
+
+def poles(labelled: DataFrame) -> DataFrame:
+    """(layer, component, r, c, depth): each component's deepest cell, the first by row and column on ties."""
+    deep = depths(labelled).join(labelled.select(*CELL, "component"), CELL)
+    return deep.groupBy("layer", "component").agg(F.min_by(F.struct("r", "c", "depth"), F.struct((-F.col("depth")).alias("d"), "r", "c")).alias("p")).select("layer", "component", "p.*")
+
+
+def bridges(labelled: DataFrame, wanted: DataFrame, main: DataFrame, reach: int = 5) -> DataFrame:
+    """(component, r, c, to_r, to_c): the shortest straight gap of up to ``reach`` cells along a row or
+    column from each wanted component (layer, component) to a cell of its layer's main one."""
+    here = labelled.join(wanted, ["layer", "component"], "left_semi")
+    goal = labelled.join(main, ["layer", "component"], "left_semi").select("layer", F.col("r").alias("to_r"), F.col("c").alias("to_c"))
+    step = F.explode(F.sequence(F.lit(-reach - 1), F.lit(reach + 1)))
+    along = here.withColumn("d", step).where("d != 0")
+    tries = along.select("layer", "component", "r", "c", "d", F.col("r").alias("to_r"), (F.col("c") + F.col("d")).alias("to_c")).unionByName(along.select("layer", "component", "r", "c", "d", (F.col("r") + F.col("d")).alias("to_r"), F.col("c").alias("to_c")))
+    hit = tries.join(goal, ["layer", "to_r", "to_c"])
+    best = hit.groupBy("layer", "component").agg(F.min_by(F.struct("r", "c", "to_r", "to_c"), F.struct(F.abs("d").alias("a"), "r", "c", "to_r", "to_c")).alias("b"))
+    return best.select("layer", "component", "b.*")
+
+
+def reachable_share(owners: DataFrame, main: DataFrame) -> DataFrame:
+    """(layer, rooms, reached, share) of rooms (layer, room, component) that touch the main component."""
+    j = owners.join(main.withColumn("is_main", F.lit(True)), ["layer", "component"], "left")
+    rooms = j.groupBy("layer", "room").agg(F.bool_or(F.coalesce("is_main", F.lit(False))).alias("ok"))
+    return rooms.groupBy("layer").agg(F.count(F.lit(1)).alias("rooms"), F.count_if("ok").alias("reached"), F.avg(F.col("ok").cast("double")).alias("share"))

@@ -147,3 +147,15 @@ def summarize(legs: DataFrame, routes: DataFrame, tight_minutes: int = 7) -> Dat
     unknown = F.col("from_key").isNull() | F.col("to_key").isNull()
     status = F.when(unknown, "unknown-room").when(F.col("from_key") == F.col("to_key"), "same-room").when(F.col("minutes").isNull(), "no-route").otherwise("ok")
     return joined.withColumn("status", status).withColumn("tight", (F.col("status") == "ok") & (F.col("minutes") > tight_minutes))
+
+
+def unsettled(words: DataFrame, reads: DataFrame, settled: float = MIN_CONFIDENCE) -> DataFrame:
+    """Words (pocket, ...) of pockets that no valid read of the first pass (pocket, valid, conf) settled."""
+    return words.join(reads.where(F.col("valid") & (F.col("conf") >= settled)).select("pocket"), "pocket", "left_anti")
+
+
+def first_match(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(wanted_id, key, label) to the item with that key, else the first by ``ord`` with that label."""
+    by_key = wanted.join(items.select("key", F.lit(True).alias("known")), "key", "left")
+    labels = items.groupBy("label").agg(F.min_by("key", "ord").alias("by_label"))
+    return by_key.join(labels, "label", "left").select("wanted_id", F.when(F.col("known"), F.col("key")).otherwise(F.col("by_label")).alias("found"))

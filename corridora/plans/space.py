@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..operators import alignment, graph, raster, sequence, shapes, spatial
+from ..operators import alignment, graph, raster, review, sequence, shapes, spatial
 from ..sources import floors
 from .places import points
 from .registry import query, table
@@ -395,3 +395,35 @@ def lifted_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mask_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shapes.rings(raster.boundary_edges(_mask(spark, sf_dir).where("r < 6")))
     return found.select("layer", "ring_id.x1", "ring_id.y1", F.size("ring").alias("corners"), geometry.signed_area("ring").alias("area"), F.size(shapes.simplify("ring")).alias("simplified"))
+
+
+@query(f"""WITH {_MASK}, g AS (SELECT layer, r, c, r // 7 * 10 + c // 9 AS component FROM m), t AS (SELECT a.layer, a.component, a.r, a.c, b.r AS to_r, b.c AS to_c, abs(a.r - b.r) + abs(a.c - b.c) AS d FROM g a JOIN g b ON a.layer = b.layer AND b.component = 11 AND a.component <> 11 AND (a.r = b.r OR a.c = b.c) AND abs(a.r - b.r) + abs(a.c - b.c) <= 6)
+SELECT layer, component, r, c, to_r, to_c FROM (SELECT *, row_number() OVER (PARTITION BY layer, component ORDER BY d, r, c, to_r, to_c) AS rn FROM t) WHERE rn = 1""")
+def gap_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _mask(spark, sf_dir).withColumn("component", F.floor(F.col("r") / 7) * 10 + F.floor(F.col("c") / 9))
+    kinds = g.select("layer", "component").distinct()
+    return raster.bridges(g, kinds.where("component != 11"), kinds.where("component = 11"), 5)
+
+
+@query("""WITH o AS (SELECT c_nationkey % 3 AS layer, c_custkey % 50 AS room, c_custkey % 9 AS component FROM customer), r AS (SELECT layer, room, bool_or(component = layer) AS ok FROM o GROUP BY 1, 2)
+SELECT layer, count(*) AS rooms, count(*) FILTER (ok) AS reached, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS share FROM r GROUP BY 1""")
+def reachable_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    owners = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 3).alias("layer"), (k % 50).alias("room"), (k % 9).cast("int").alias("component"))
+    main = spark.range(3).select(F.col("id").cast("int").alias("layer"), F.col("id").cast("int").alias("component"))
+    return raster.reachable_share(owners, main).withColumn("share", F.round("share", 6))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 6 <> 0 AND c_acctbal >= 0)")
+def unsettled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("pocket"))
+    first = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pocket"), (F.col("c_custkey") % 6 != 0).alias("valid"), F.when(F.col("c_acctbal") >= 0, 0.9).otherwise(0.1).alias("conf"))
+    return review.unsettled(words, first).select("o_orderkey")
+
+
+@query("SELECT s_suppkey AS wanted_id, CASE WHEN s_suppkey % 2 = 0 AND p.p_partkey IS NOT NULL THEN 'k' || CAST(s_suppkey AS VARCHAR) ELSE f.k END AS found FROM supplier LEFT JOIN part p ON p.p_partkey = s_suppkey LEFT JOIN (SELECT p_type, 'k' || CAST(min(p_partkey) AS VARCHAR) AS k FROM part GROUP BY 1) f ON f.p_type = CASE WHEN s_suppkey % 3 = 0 THEN 'SMALL' ELSE 'none' END")
+def picked_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = lambda c: F.concat(F.lit("k"), F.col(c).cast("string"))
+    items = table(spark, sf_dir, "part").select(key("p_partkey").alias("key"), F.col("p_type").alias("label"), F.col("p_partkey").alias("ord"))
+    wanted = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("wanted_id"), F.when(F.col("s_suppkey") % 2 == 0, key("s_suppkey")).alias("key"), F.when(F.col("s_suppkey") % 3 == 0, "SMALL").otherwise("none").alias("label"))
+    return review.first_match(items, wanted)
