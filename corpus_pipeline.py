@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corridora.llm import decontaminate, langid, mixing, sharding
 from corridora.llm.jaccard_join import jaccard_join
-from corridora.llm.shared import fold, materialize
+from corridora.llm.shared import fold, materialize, small
 
 #: SQL cannot express the Bloom filters, the Newton steps or the permutation; tests compare by brute force.
 ORACLE_SQL = None
@@ -27,11 +27,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near copies the document with the smallest id."""
+    """Keeps of each component of near copies the document with the smallest id; of rows that repeat it, one each text."""
     found = jaccard_join(docs, words=5, per_cent=75)
     kept = materialize(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows")), "kept")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return out if kept.where("__rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    out = docs.join(small(kept), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return out if kept.where("__rows > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
