@@ -30,9 +30,11 @@ def dot(a: Column, b: Column) -> Column:
 def class_scores(queries: DataFrame, templates: DataFrame) -> DataFrame:
     """(q_id, q) against (t_id, t, label) to (q_id, label, score): each class's best dot product.
 
-    A template never meets the query that has its id. Templates are a learned, bounded set.
+    A template never meets the query that has its id. The queries are a stated, bounded set and are
+    broadcast; the templates are only scanned, and their scores shrink to one a query and class in
+    each task before the shuffle.
     """
-    pairs = queries.join(F.broadcast(templates), F.col("q_id") != F.col("t_id"))
+    pairs = templates.join(F.broadcast(queries), F.col("q_id") != F.col("t_id"))
     return pairs.groupBy("q_id", "label").agg(F.max(dot(F.col("q"), F.col("t"))).alias("score"))
 
 

@@ -119,14 +119,14 @@ def transform_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("p_id", F.round("tx", 5).alias("tx"), F.round("ty", 5).alias("ty"), F.round(x, 5).alias("x"), F.round(y, 5).alias("y"))
 
 
-_PATHS = """pts AS (SELECT DISTINCT ON (l_orderkey, l_linenumber * 1000000 + l_partkey) l_orderkey AS route_id, l_linenumber * 1000000 + l_partkey AS seq, CAST(l_partkey % 700 AS DOUBLE) AS x, l_linenumber * 10.0 AS y FROM lineitem WHERE l_orderkey % 20 = 0),
+_PATHS = """pts AS (SELECT DISTINCT ON (l_orderkey, l_linenumber * 1000000 + l_partkey) l_orderkey AS route_id, l_linenumber * 1000000 + l_partkey AS seq, CAST(l_partkey % 700 AS DOUBLE) AS x, l_linenumber * 10.0 AS y FROM lineitem),
 steps AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS step FROM pts WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
 spine AS (SELECT *, sum(step) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cum FROM steps),
 segs AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(cum) OVER w AS nc FROM spine WINDOW w AS (PARTITION BY route_id ORDER BY seq))"""
 
 
 def _spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    l = table(spark, sf_dir, "lineitem")
     p = l.select(F.col("l_orderkey").alias("route_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("seq"), (F.col("l_partkey") % 700).cast("double").alias("x"), (F.col("l_linenumber") * 10.0).alias("y"))
     return sequence.along(p.distinct())
 
@@ -185,11 +185,11 @@ def stair_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.stair_links(marks)
 
 
-_NATIONS = """e AS (SELECT c_nationkey AS a, s_nationkey AS b, min(1 + l_quantity) AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE (l_partkey % 16) = 0 GROUP BY 1, 2)"""
+_NATIONS = """e AS (SELECT c_nationkey AS a, s_nationkey AS b, min(1 + l_quantity) AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)"""
 
 
 def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_partkey % 16 = 0").select("l_orderkey", "l_suppkey", "l_quantity")
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     o, c, s = (table(spark, sf_dir, t) for t in ("orders", "customer", "supplier"))
     j = l.join(o.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey")).join(s.select("s_suppkey", "s_nationkey"), F.col("s_suppkey") == F.col("l_suppkey"))
     return j.groupBy(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).agg(F.min(1 + F.col("l_quantity")).alias("w"))
@@ -202,10 +202,10 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest(_nation_edges(spark, sf_dir), sources).select("node", "dist")
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, o_custkey + 7 AS b FROM orders WHERE o_orderkey % 97 = 0), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS id FROM both_),
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, o_custkey + 7 AS b FROM orders), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS id FROM both_),
 r AS (SELECT id, id AS o FROM n UNION SELECT r.id, b FROM r JOIN both_ ON a = r.o) SELECT id, min(o) AS component FROM r GROUP BY 1""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 7).alias("b"))
+    e = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 7).alias("b"))
     nodes = e.select(F.col("a").alias("id")).union(e.select("b")).distinct()
     return graph.components(nodes, e)
 
@@ -240,11 +240,11 @@ def mask_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.closing(_mask(spark, sf_dir), raster.disc(2))
 
 
-@query(f"""WITH RECURSIVE {_MASK}, k AS (SELECT layer, r, c, layer * 1000000 + r * 1000 + c AS id FROM m WHERE r < 15), e AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.layer = y.layer AND abs(x.r - y.r) + abs(x.c - y.c) = 1),
+@query(f"""WITH RECURSIVE {_MASK}, k AS (SELECT layer, r, c, layer * 1000000 + r * 1000 + c AS id FROM m), e AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.layer = y.layer AND abs(x.r - y.r) + abs(x.c - y.c) = 1),
 t AS (SELECT id, id AS o FROM k UNION SELECT t.id, b FROM t JOIN e ON a = t.o), n AS (SELECT id, min(o) AS comp FROM t GROUP BY 1)
 SELECT layer, n, count(*) AS components FROM (SELECT layer, comp, count(*) AS n FROM n JOIN k USING (id) GROUP BY 1, 2) GROUP BY 1, 2""")
 def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = raster.label(_mask(spark, sf_dir).where("r < 15")).groupBy("layer", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = raster.label(_mask(spark, sf_dir)).groupBy("layer", "component").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy("layer", "n").agg(F.count(F.lit(1)).alias("components"))
 
 
@@ -289,7 +289,8 @@ def packed_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two floors of 24 x 24 cells with walls where a part's size says so."""
     k = F.col("p_partkey")
-    cells = table(spark, sf_dir, "part").where("p_partkey < 1152").select(F.when(k < 576, "main").otherwise("upper").alias("floor"), F.floor(k % 576 / 24).cast("int").alias("r"), (k % 24).cast("int").alias("c"), (F.col("p_size") > 8).alias("walk"), (F.col("p_size") > 20).alias("pub"))
+    cell = [F.when(F.floor(k / 576) % 2 == 0, "main").otherwise("upper").alias("floor"), F.floor(k % 576 / 24).cast("int").alias("r"), (k % 24).cast("int").alias("c")]
+    cells = table(spark, sf_dir, "part").groupBy(*cell).agg((F.max("p_size") > 8).alias("walk"), (F.max("p_size") > 20).alias("pub"))
     walls = raster.near_wall(cells.withColumnRenamed("floor", "layer")).withColumnRenamed("layer", "floor")
     here = walls.alias("a")
     right = walls.where("walk").select("floor", "r", (F.col("c") - 1).alias("c"), F.lit(True).alias("e"))
@@ -393,7 +394,7 @@ def lifted_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mask_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = shapes.rings(raster.boundary_edges(_mask(spark, sf_dir).where("r < 6")))
+    found = shapes.rings(raster.boundary_edges(_mask(spark, sf_dir)))
     return found.select("layer", "ring_id.x1", "ring_id.y1", F.size("ring").alias("corners"), geometry.signed_area("ring").alias("area"), F.size(shapes.simplify("ring")).alias("simplified"))
 
 
