@@ -9,9 +9,9 @@ Texts of a block run side by side in lanes. Truncated backpropagation covers a w
 the state is carried from window to window and is reset only where a text begins, so a score is that
 of the whole text. Lanes refill as texts end.
 
-Counting is a Spark aggregation over all training texts. Training is data-parallel: in each round every
-task runs over the texts of its partition from the same weights, and the weights are averaged,
-weighted by tokens, in rounds of a tree. Texts of training that no round draws are still counted.
+Counting is a Spark aggregation over all training texts. Training is data-parallel: every task runs
+once over all training texts of its partition from the same weights, and the weights are averaged,
+weighted by tokens, in rounds of a tree.
 Word counts are looked up in a table of at most ``KNOWN_WORDS`` frequent words; rarer ones, whose
 texts are few, are joined.
 
@@ -39,9 +39,10 @@ SMOOTH = 0.1
 #: Frequent words whose counts every task holds (16 bytes each).
 KNOWN_WORDS = 200_000
 SYMBOLS, CLASSES, HIDDEN, WINDOW, LANES = 2048, 40, 24, 16, 512
-BLOCK_TOKENS = 1_000_000
-#: Rounds of training; each draws other training texts: 1 in DRAW of them a round. AdaGrad's rate and first sum of squares.
-ROUNDS, DRAW, RATE, START = 1, 4, 0.06, 1e-2
+#: Tokens of a block of texts. A long text bounds the number of lanes, and wide windows cost less a token.
+BLOCK_TOKENS, LOOK_UP_TOKENS = 4_000_000, 500_000
+#: AdaGrad's rate and first sum of squares.
+RATE, START = 0.06, 1e-2
 #: Weights averaged in one task of the tree.
 FAN_IN = 8
 
@@ -69,10 +70,16 @@ class Vocabulary:
 
     def look_up(self, words: np.ndarray) -> np.ndarray:
         """The place of each word in the table, or -1."""
-        if not len(self.hashes):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at, -1)
+        out = np.full(len(words), -1, dtype=np.int32)
+        for a in range(0, len(words) if len(self.hashes) else 0, LOOK_UP_TOKENS):
+            part = words[a : a + LOOK_UP_TOKENS]
+            at = np.minimum(np.searchsorted(self.hashes, part), len(self.hashes) - 1)
+            out[a : a + LOOK_UP_TOKENS] = np.where(self.hashes[at] == part, at, -1)
+        return out
+
+    def symbols(self, at: np.ndarray) -> np.ndarray:
+        """The symbol at each place; that of all others for -1."""
+        return np.r_[self.symbol, self.others].astype(np.int16)[at]
 
 
 def vocabulary(hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> Vocabulary:
@@ -148,7 +155,7 @@ class Model:
         used = np.flatnonzero(targets.reshape(-1) >= 0)
         place = self.place[targets.reshape(-1)[used]]
         cls = self.of_class[place]
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # short integers are sorted by radix
         used, place, cls = used[order], place[order], cls[order]
         out = states[1:].reshape(-1, h)[used]
         scores = out @ w["to_class"] + w["class"]
@@ -165,22 +172,24 @@ class Model:
             d_out = p @ w["to_class"].T
             grads["to_symbol"], grads["symbol"] = np.zeros_like(w["to_symbol"]), np.zeros_like(w["symbol"])
         edges = np.searchsorted(cls, np.arange(len(self.bounds)))
+        picked, mass = np.zeros(len(cls), np.float32), np.ones(len(cls), np.float32)
         for k in np.flatnonzero(np.diff(edges)):
             a, z, lo, hi = edges[k], edges[k + 1], self.bounds[k], self.bounds[k + 1]
             if hi - lo == 1:
                 continue
             s = out[a:z] @ w["to_symbol"][lo:hi].T + w["symbol"][lo:hi]
             s -= s.max(axis=1, keepdims=True)
-            e = np.exp(s)
-            sum_e = e.sum(axis=1)
-            inner = np.arange(z - a)
-            log_p[a:z] += s[inner, place[a:z] - lo] - np.log(sum_e)
+            inner, at = rows[: z - a], place[a:z] - lo
+            picked[a:z] = s[inner, at]
+            e = np.exp(s, out=s)
+            sum_e = mass[a:z] = e.sum(axis=1)
             if learn:
                 e /= sum_e[:, None]
-                e[inner, place[a:z] - lo] -= 1
+                e[inner, at] -= 1
                 grads["to_symbol"][lo:hi] = e.T @ out[a:z]
                 grads["symbol"][lo:hi] = e.sum(axis=0)
                 d_out[a:z] += e @ w["to_symbol"][lo:hi]
+        log_p += picked - np.log(mass)
         every = np.zeros(steps * lanes, np.float32)
         every[used] = log_p
         if learn:
@@ -204,7 +213,7 @@ class Model:
                 d[:, 2 * h :] = d_new
             grads["recur"], grads["gate"] = d_recur, d_input.sum(axis=(0, 1))
             ids, flat = inputs.reshape(-1), d_input.reshape(-1, 3 * h)
-            by = np.argsort(ids, kind="stable")
+            by = np.argsort(ids.astype(np.int16), kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(ids[by]) > 0])
             table = np.zeros_like(w["input"])
             table[ids[by][first]] = np.add.reduceat(flat[by], first, axis=0)
@@ -219,7 +228,11 @@ class Model:
         for k, g in grads.items():
             g = g * np.float32(scale)
             self.squares[k] += g * g
-            self.w[k] -= np.float32(rate) * g / (np.sqrt(self.squares[k]) + np.float32(1e-6))
+            root = np.sqrt(self.squares[k])
+            root += np.float32(1e-6)
+            g *= np.float32(rate)
+            g /= root
+            self.w[k] -= g
 
 
 def lanes(symbols: np.ndarray, first: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -239,7 +252,7 @@ def lanes(symbols: np.ndarray, first: np.ndarray, end: int) -> Iterator[tuple[np
     by = np.argsort(-length, kind="stable")
     length, depth = length[by], int(length.max())
     depth += -depth % WINDOW
-    places = np.full((width, depth), -1, dtype=np.int64)
+    places = np.full((width, depth), -1, dtype=np.int32)
     begins = np.zeros((width, depth), dtype=bool)
     for row, lane in enumerate(by):
         at = 0
@@ -247,7 +260,7 @@ def lanes(symbols: np.ndarray, first: np.ndarray, end: int) -> Iterator[tuple[np
             places[row, at : at + sizes[d]] = np.arange(first[d], first[d + 1])
             begins[row, at] = True
             at += sizes[d]
-    targets = np.where(places >= 0, symbols[places], -1)
+    targets = np.where(places >= 0, symbols[places], -1).astype(np.int16)
     inputs = np.full_like(targets, end)
     inputs[:, 1:] = targets[:, :-1]
     inputs[begins] = end
@@ -260,7 +273,7 @@ def lanes(symbols: np.ndarray, first: np.ndarray, end: int) -> Iterator[tuple[np
 
 def run(model: Model, symbols: np.ndarray, first: np.ndarray, end: int, rate: float = 0.0) -> np.ndarray:
     """Log probabilities (natural) of all positions; with a ``rate``, learning on the way."""
-    out = np.zeros(len(symbols))
+    out = np.zeros(len(symbols), np.float32)
     state = None
     for inputs, targets, begins, places in lanes(symbols, first, end):
         n = inputs.shape[1]
@@ -331,44 +344,39 @@ def _pair(weight: float, flat: np.ndarray) -> pa.RecordBatch:
 
 
 def train(texts: DataFrame, words: Vocabulary) -> np.ndarray:
-    """The flat weights after ROUNDS rounds over texts (id, text)."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(words)
+    """The flat weights after one pass over every row of texts, a DataFrame with one text column."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
     flat = Model(words).flat()
-    for turn in range(ROUNDS):
-        start = spark.sparkContext.broadcast(flat)
-
-        def fit(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            v = shared.value
-            model, seen = Model(v).load(start.value), 0
-            end = int(v.symbol[v.look_up(np.array([END]))[0]])
-            for _, hashes, first in _tokens(batches, 0):
-                at = v.look_up(hashes)
-                run(model, np.where(at >= 0, v.symbol[at], v.others), first, end, RATE)
-                seen += len(hashes)
-            if seen:
-                yield _pair(seen, model.flat())
-
-        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, mean = 0.0, None
-            for batch in batches:
-                for weight, said in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    part = np.frombuffer(said.as_py(), np.float32).astype(np.float64)
-                    total += weight
-                    mean = part if mean is None else mean + (part - mean) * (weight / total)
-            if mean is not None:
-                yield _pair(total, mean)
-
-        drawn = texts.where(F.pmod(F.xxhash64(texts.columns[0], F.lit("training round")), F.lit(DRAW)) == turn).select(texts.columns[1])
-        level = materialize(drawn.mapInArrow(fit, _WEIGHTS), "weights")
-        many = level.count()
-        while many > FAN_IN:
-            many = -(-many // FAN_IN)
-            level = materialize(level.repartition(many).mapInArrow(average, _WEIGHTS), "weights")
-        parts = level.toArrow()  # FAN_IN rows at most
-        if parts.num_rows:
-            weight = parts["weight"].to_numpy()
-            flat = sum(np.frombuffer(x.as_py(), np.float32) * (w / weight.sum()) for x, w in zip(parts["flat"], weight, strict=True)).astype(np.float32)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        model, seen = Model(v), 0
+        end = int(v.symbol[v.look_up(np.array([END]))[0]])
+        for _, hashes, first in _tokens(batches, 0):
+            run(model, v.symbols(v.look_up(hashes)), first, end, RATE)
+            seen += len(hashes)
+        if seen:
+            yield _pair(seen, model.flat())
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, mean = 0.0, None
+        for batch in batches:
+            for weight, said in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(said.as_py(), np.float32).astype(np.float64)
+                total += weight
+                mean = part if mean is None else mean + (part - mean) * (weight / total)
+        if mean is not None:
+            yield _pair(total, mean)
+
+    level = materialize(texts.mapInArrow(fit, _WEIGHTS), "weights")
+    many = level.count()
+    while many > FAN_IN:
+        many = -(-many // FAN_IN)
+        level = materialize(level.repartition(many).mapInArrow(average, _WEIGHTS), "weights")
+    parts = level.toArrow()  # FAN_IN rows at most
+    if parts.num_rows:
+        weight = parts["weight"].to_numpy()
+        flat = sum(np.frombuffer(x.as_py(), np.float32) * (w / weight.sum()) for x, w in zip(parts["flat"], weight, strict=True)).astype(np.float32)
     return flat
 
 
@@ -380,8 +388,9 @@ def score(docs: DataFrame, *, held_out) -> DataFrame:
     (doc_id, text); rows for which the condition ``held_out`` holds are not learned from."""
     spark = docs.sparkSession
     training = docs.where(~held_out)
-    words, counts = learn_vocabulary(training.select(F.col("text").cast("string")))
-    flat = train(training.select("doc_id", F.col("text").cast("string").alias("text")), words)
+    texts = training.select(F.col("text").cast("string").alias("text"))
+    words, counts = learn_vocabulary(texts)
+    flat = train(texts, words)
     shared = spark.sparkContext.broadcast((words, flat))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,19 +399,20 @@ def score(docs: DataFrame, *, held_out) -> DataFrame:
         v, weights = shared.value
         model = Model(v).load(weights)
         end = int(v.symbol[v.look_up(np.array([END]))[0]])
+        seen = np.r_[v.counts > 0, False].astype(np.float64)
+        log_counts = np.r_[np.log10(v.counts + SMOOTH), 0.0]  # the last one for words that are joined
         row = TaskContext.get().partitionId() << 33
         for rows, hashes, first in _tokens(batches, 2):
             at = v.look_up(hashes)
-            symbols = np.where(at >= 0, v.symbol[at], v.others)
+            symbols = v.symbols(at)
             n = len(first) - 1
-            owner = np.repeat(np.arange(n), np.diff(first))
-            c = np.where(at >= 0, v.counts[at], 0)
-            there = at >= 0
-            log_c = np.where(there, np.log10(c + SMOOTH), 0.0)
-            log_model = run(model, symbols, first, end) / np.log(10)
-            other = symbols == v.others
-            log_model += np.where(other, log_c - np.log10(v.other_mass()), 0.0)
-            rare = np.flatnonzero(~there)
+            log_model = run(model, symbols, first, end).astype(np.float64)
+            log_model /= np.log(10)
+            log_c = log_counts[at]
+            other = np.flatnonzero(symbols == v.others)
+            log_model[other] += log_c[other] - np.log10(v.other_mass())
+            owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
+            rare = np.flatnonzero(at < 0)
             by = rare[np.lexsort((hashes[rare], owner[rare]))]
             new = np.ones(len(by), dtype=bool)
             new[1:] = (hashes[by][1:] != hashes[by][:-1]) | (owner[by][1:] != owner[by][:-1])
@@ -410,10 +420,10 @@ def score(docs: DataFrame, *, held_out) -> DataFrame:
             lists = np.searchsorted(owner[by][heads], np.arange(n + 1)).astype(np.int32)
             ids = pa.concat_arrays([b.column(0).slice(a, z - a) for b, a, z in rows])
             held = pa.concat_arrays([b.column(1).slice(a, z - a) for b, a, z in rows])
-            sums = lambda x: np.bincount(owner, weights=x, minlength=n)
+            sums = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has its end
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(row, row + n)), ids, held, pa.array(np.diff(first)), pa.array(sums(c > 0).astype(np.int64)), pa.array(sums(log_c)), pa.array(sums(log_model)),
+                    pa.array(np.arange(row, row + n)), ids, held, pa.array(np.diff(first)), pa.array(sums(seen[at]).astype(np.int64)), pa.array(sums(log_c)), pa.array(sums(log_model)),
                     pa.ListArray.from_arrays(pa.array(lists), pa.array(hashes[by][heads].view(np.int64))), pa.ListArray.from_arrays(pa.array(lists), pa.array(np.diff(np.r_[heads, len(by)]).astype(np.int32))),
                 ],
                 names=[x.split()[0] for x in _SCORED.split(", ")],

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corridora.llm import gru_lm, langid, quality, queries
 from corridora.llm.shared import fold
@@ -85,6 +86,19 @@ def test_scores_against_brute_force(spark, monkeypatch):
     assert gru_lm.score(nothing(spark), held_out=fold("doc_id", 10) == 0).count() == 0
 
 
+def test_every_training_text_reaches_the_network(spark):
+    """Counts do not tell the order of a text's words; the network's scores of another text do."""
+    texts = {i: " ".join(f"w{(i * 7 + j * j) % 11}" for j in range(40)) for i in (1, 2, 3, 4)}
+
+    def judged(rows):
+        docs = spark.createDataFrame([*rows.items(), (9, "w1 w4 w9 w5 w3 w2")], "doc_id long, text string").coalesce(1)
+        return next(r.score for r in gru_lm.score(docs, held_out=F.col("doc_id") == 9).collect() if r.doc_id == 9)
+
+    before = judged(texts)
+    for i, text in texts.items():
+        assert judged(texts | {i: " ".join(sorted(text.split()))}) != before, i
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     rows = [r for r in queries.op2_gru_lm(spark, SF).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
