@@ -235,6 +235,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def shingle_links(sets: DataFrame, per_cent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(links, labels) between sets (set_id, n_shingles, central, prefix, tokens): links join every
     connected family; labels name each set's component by its smallest set_id."""
+    sets = sets.withColumn("n_shingles", F.col("n_shingles").cast("long"))  # the bounds below multiply it
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link. Sets move once, to their ``b``; the few columns of pairs go to them."""
@@ -242,7 +243,7 @@ def shingle_links(sets: DataFrame, per_cent: int = 75) -> tuple[DataFrame, DataF
         left = sets.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), F.col("tokens").alias("ta"))
         right = sets.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("tokens").alias("tb"))
         right = right.join(small(materialize(pairs.select("b").distinct(), "seconds")), "b", "left_semi")
-        both = F.size(F.array_intersect("ta", "tb"))
+        both = F.size(F.array_intersect("ta", "tb")).cast("long")
         linked = left.join(small(pairs), "a").join(right, "b").where(100 * both >= per_cent * (F.col("na") + F.col("nb") - both)).select("a", "b")
         linked = materialize(linked, "links")
         release(pairs)
@@ -282,7 +283,7 @@ def shingle_links(sets: DataFrame, per_cent: int = 75) -> tuple[DataFrame, DataF
     unions = members.groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("all_tokens"), F.min("n_shingles").alias("g_least"))
     bound = sets.select("set_id", "n_shingles", "tokens").join(small(meet), "set_id").join(unions, "grp")
     least = F.greatest(per_cent * (100 + per_cent) * F.col("n_shingles"), 100 * per_cent * (F.col("n_shingles") + F.col("g_least")))
-    opened = bound.where(100 * (100 + per_cent) * F.size(F.array_intersect("tokens", "all_tokens")) >= least).select("set_id", "grp", F.col("n_shingles").alias("other_n"))
+    opened = bound.where(100 * (100 + per_cent) * F.size(F.array_intersect("tokens", "all_tokens")).cast("long") >= least).select("set_id", "grp", F.col("n_shingles").alias("other_n"))
     more = opened.join(placed.select(F.col("set_id").alias("b"), "n_shingles", "grp"), "grp").where(near).select(F.col("set_id").alias("a"), "b")
     more = verify(more)
     release(postings, placed, slots, meet, asked)

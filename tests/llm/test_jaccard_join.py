@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from corridora.llm.jaccard_join import jaccard_join
+from corridora.llm.jaccard_join import jaccard_join, shingle_links
 
 from .fixtures import DOCS, documents, nothing, spaced
 
@@ -61,3 +61,11 @@ def test_families_against_brute_force(spark):
     rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
     got = result(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert got == brute(rows)
+
+
+def test_bound_of_long_sets(spark):
+    """Two sets of 300,000 shingles that share 200,000 and do not link pass the matrix bound in 64 bits."""
+    rows = [(i, 300_000, float(i), 120_000, low) for i, low in ((1, 0), (2, 100_000))]
+    sets = spark.createDataFrame(rows, "set_id long, n_shingles int, central double, prefix int, low long").selectExpr("set_id", "n_shingles", "central", "prefix", "sequence(low, low + 299999) as tokens")
+    links, labels = shingle_links(sets)
+    assert links.count() == 0 and {tuple(r) for r in labels.select("id", "label").collect()} == {(1, 1), (2, 2)}
