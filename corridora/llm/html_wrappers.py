@@ -13,12 +13,13 @@ and again, until one is left:
 Every page is aligned, inside tasks first, so a host's wrapper grows with its markup and not with
 its pages; partial wrappers of a host meet in two salted steps, none of which is one task's alone.
 
-The wrapper's slots are then judged once for the host: main text lies under its article or main
-element (or, without one, under the element that holds most unlinked text), outside of navigation,
+The wrapper's slots are then ranked once for the host, and each page takes the best rank that it
+fills itself: main text lies under its article or main element (or, without one, under the element
+that holds most of the page's unlinked text), outside of navigation,
 forms, adverts and the like, which tags and class names tell, and is neither mostly links nor, where
 no article element vouches for it, a literal of the template.
 
-Defined results: null and empty html give an empty text; a null or odd url is a host of its own;
+Defined results: null and empty html give an empty text; a page with a null or odd url is judged alone;
 cut-off pages are closed at their end; a page without any text gives an empty text; repeated rows
 are extracted each; very long pages are read whole; an empty table gives an empty result.
 """
@@ -219,11 +220,17 @@ def expression(node: list, pages: int | None = None) -> str:
 
 def _boilerplate(key: str) -> bool:
     name, *words = key.split(".")
+    if name in ("html", "body", "main", "article"):
+        return False
     return name in BOILERPLATE_TAGS or any(w in BOILERPLATE_WORDS for word in words for w in word.split("-"))
 
 
-def judge(root: list) -> list[str]:
-    """The paths of the slots that hold main text."""
+#: Ranks of slots: under an article, marked as main text, varied text, literals of the template.
+ARTICLE, MARKED, VARIED, FIXED = "0123"
+
+
+def rank(root: list) -> list[str]:
+    """The slots that may hold main text: the rank and the path of each."""
     slots: list[tuple[tuple[str, ...], list]] = []
 
     def walk(node: list, path: tuple[str, ...]) -> None:
@@ -238,24 +245,54 @@ def judge(root: list) -> list[str]:
     def marked(path: tuple[str, ...]) -> bool:
         return any((parts := k.split("."))[0] in ("article", "main") or "main" in parts[1:] or "article" in parts[1:] for k in path)
 
-    inside = [s for s in slots if any(k.split(".")[0] == "article" for k in s[0])] or [s for s in slots if marked(s[0])]
-    if inside:
-        return ["/".join(p) for p, _ in inside]
-    plain = [(p, n) for p, n in slots if n[LINKED] <= LINK_SHARE * n[CHARS]]
-    varied = [(p, n) for p, n in plain if not (n[LITERAL] is not None and n[PAGES] >= LITERAL_PAGES)]
-    plain = varied or plain
-    total = sum(n[CHARS] for _, n in plain)
+    out = []
+    for path, n in slots:
+        if any(k.split(".")[0] == "article" for k in path):
+            level = ARTICLE
+        elif marked(path):
+            level = MARKED
+        elif n[LINKED] > LINK_SHARE * n[CHARS]:
+            continue
+        else:
+            level = FIXED if n[LITERAL] is not None and n[PAGES] >= LITERAL_PAGES else VARIED
+        out.append(level + "/".join(path))
+    return out
+
+
+def choose(levels: dict[str, str], chars: dict[str, int]) -> set[str]:
+    """The paths of main text among those with ``chars``, by the ranks of paths."""
+    best_level = min((levels[p] for p in chars if p in levels), default=None)
+    found = {p: n for p, n in chars.items() if levels.get(p) == best_level}
+    if best_level is None or best_level in (ARTICLE, MARKED):
+        return set(found) if best_level is not None else set()
+    plain = {p: tuple(p.split("/")) if p else () for p in found}
+    total = sum(found.values())
     best: tuple[str, ...] = ()
     while True:  # go down while one child holds most of the text
         inner: dict[tuple[str, ...], int] = {}
-        for p, n in plain:
-            if len(p) > len(best) + 1 and p[: len(best)] == best:  # the text's own element is no container
-                inner[p[: len(best) + 1]] = inner.get(p[: len(best) + 1], 0) + n[CHARS]
+        for p, keys in plain.items():
+            if len(keys) > len(best) + 1 and keys[: len(best)] == best:  # the text's own element is no container
+                inner[keys[: len(best) + 1]] = inner.get(keys[: len(best) + 1], 0) + found[p]
         most = max(inner, key=lambda k: inner[k], default=None)
         if most is None or inner[most] < 0.7 * total:
             break
         best = most
-    return ["/".join(p) for p, _ in plain if p[: len(best)] == best]
+    return {p for p, keys in plain.items() if keys[: len(best)] == best}
+
+
+def judge(root: list) -> list[str]:
+    """The paths of the slots that hold main text, for all of the wrapper's pages together."""
+    chars: dict[str, int] = {}
+
+    def walk(node: list, path: tuple[str, ...]) -> None:
+        for key, part in node[PARTS].items():
+            if key == TEXT:
+                chars["/".join(path)] = part[CHARS]
+            else:
+                walk(part, (*path, key))
+
+    walk(root, ())
+    return sorted(choose({s[1:]: s[0] for s in rank(root)}, chars))
 
 
 def host_of(url: Column) -> Column:
@@ -298,9 +335,9 @@ _PARTIAL = "host string, salt int, wrapper string"
 
 
 def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper): one wrapper of all pages of each host, as JSON."""
+    """(host, wrapper): one wrapper of all pages of each host, as JSON; none for pages without a host."""
     spread = partitions(pages.sparkSession)
-    partial = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string")).mapInArrow(_learn, _PARTIAL)
+    partial = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string")).where("host != ''").mapInArrow(_learn, _PARTIAL)
     salted = partial.repartition(spread, "host", "salt").sortWithinPartitions("host", "salt", "wrapper").mapInArrow(_merge, _PARTIAL)
     whole = salted.withColumn("salt", F.lit(0)).repartition(spread, "host").sortWithinPartitions("host", "wrapper").mapInArrow(_merge, _PARTIAL)
     return whole.select("host", "wrapper")
@@ -308,17 +345,24 @@ def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _judge(wrappers: pa.Array) -> pa.Array:
-    return pa.array([judge(json.loads(w)) for w in wrappers.to_pylist()], pa.list_(pa.string()))
+    return pa.array([rank(json.loads(w)) for w in wrappers.to_pylist()], pa.list_(pa.string()))
 
 
 @F.arrow_udf(T.StringType())
 def _main_text(pages: pa.Array, slots: pa.Array) -> pa.Array:
     out = []
-    known: dict[tuple, frozenset] = {}
-    for page, keep in zip(pages, slots.to_pylist(), strict=True):
-        keep = tuple(keep or ())
-        chosen = known.setdefault(keep, frozenset(keep))
-        out.append(" ".join(text for path, text, *_ in runs(page.as_py() or "") if path in chosen))
+    known: dict[tuple, dict[str, str]] = {}
+    for page, said in zip(pages, slots.to_pylist(), strict=True):
+        found = runs(page.as_py() or "")
+        said = tuple(rank(page_wrapper(found)) if said is None else said)
+        if said not in known:
+            known = {} if len(known) > 10_000 else known
+            known[said] = {s[1:]: s[0] for s in said}
+        chars: dict[str, int] = {}
+        for path, text, *_ in found:
+            chars[path] = chars.get(path, 0) + len(text)
+        chosen = choose(known[said], chars)
+        out.append(" ".join(text for path, text, *_ in found if path in chosen))
     return pa.array(out, pa.string())
 
 

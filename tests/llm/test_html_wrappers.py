@@ -46,6 +46,15 @@ def test_joined_by_host_when_wrappers_are_many(spark, monkeypatch):
     assert {r.page_id: r.text for r in hw.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {i: want(i) for i in range(4)}
 
 
+def test_mixed_templates_and_pages_without_a_host(spark):
+    old = lambda i: page(f"<div id=content><div class=text><h1>Old {i}</h1><p>{'older ' * 30}{i}</p></div></div>")
+    rows = [(i, f"http://a.example/{i}", site(i), None) for i in range(6)] + [(10 + i, f"http://a.example/old{i}", old(i), None) for i in range(2)]
+    rows += [(20, "http://d.example/0", site(0).replace("<body>", "<body class='has-sidebar'>"), None), (30, None, site(0), None), (31, "odd", old(5), None)]
+    got = {r.page_id: r.text for r in hw.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    said = lambda i: f"Old {i} " + "older " * 30 + str(i)
+    assert got == {i: want(i) for i in range(6)} | {10: said(0), 11: said(1), 20: want(0), 30: want(0), 31: said(5)}
+
+
 def test_empty(spark):
     assert hw.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
