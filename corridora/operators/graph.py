@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, release
 
 ROOM_COST, WALL_COST, STAIR_FEET = 3.2, 1.5, 220.0
 
@@ -52,17 +52,17 @@ def shortest(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) ->
     """
     edges = cut(edges)
     dist = cut(sources.select("src", "node", F.lit(0.0).alias("dist"), F.lit(None).cast(dict(edges.dtypes)["a"]).alias("prev")))
-    frontier = dist
+    frontier, both = dist, None
     for _ in range(max_rounds):
         reached = frontier.join(edges, F.col("node") == F.col("a")).select("src", F.col("b").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("a").alias("prev"))
         best = reached.groupBy("src", "node").agg(F.min(F.struct("dist", "prev")).alias("m")).select("src", "node", F.col("m.dist").alias("nd"), F.col("m.prev").alias("np"))
-        both = cut(dist.join(best, ["src", "node"], "full_outer"))
+        both = cut(dist.join(best, ["src", "node"], "full_outer"), *([both] if both is not None else []))
         nearer = F.col("nd").isNotNull() & (F.col("dist").isNull() | (F.col("nd") < F.col("dist")))
         frontier = both.where(nearer).select("src", "node", F.col("nd").alias("dist"), F.col("np").alias("prev"))
-        if frontier.isEmpty():
-            break
         dist = both.select("src", "node", F.when(nearer, F.col("nd")).otherwise(F.col("dist")).alias("dist"), F.when(nearer, F.col("np")).otherwise(F.col("prev")).alias("prev"))
-    return dist
+        if frontier.isEmpty():
+            return dist
+    raise RuntimeError(f"distances still shrink after {max_rounds} rounds")
 
 
 def _field(key: tuple, steps: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
@@ -99,7 +99,7 @@ def distance_fields(cells: DataFrame, sources: DataFrame) -> DataFrame:
     return grid_edges(cells).groupBy("floor").cogroup(seeds.groupBy("on_floor")).applyInPandas(_field, schema)
 
 
-def trace(fields: DataFrame, targets: DataFrame, max_steps: int = 100_000) -> DataFrame:
+def trace(fields: DataFrame, targets: DataFrame) -> DataFrame:
     """targets (floor, src, r, c) to their paths (floor, src, r, c, path): previous cells back to the source.
 
     One field is one task, as it was built.
@@ -111,7 +111,9 @@ def trace(fields: DataFrame, targets: DataFrame, max_steps: int = 100_000) -> Da
         out = []
         for r, c in ends[["r", "c"]].itertuples(index=False, name=None):
             path = [(r, c)] if (r, c) in known else []
-            while path and path[-1] in prev and len(path) < max_steps:
+            while path and path[-1] in prev:
+                if len(path) > len(known):
+                    raise ValueError(f"the previous cells of {path[0]} run in a circle")
                 path.append(tuple(map(int, prev[path[-1]])))
             out.append((key[0], key[1], r, c, [{"r": int(a), "c": int(b)} for a, b in reversed(path)]))
         return pd.DataFrame(out, columns=["floor", "src", "r", "c", "path"])
@@ -160,18 +162,27 @@ def route(cells: DataFrame, portals: DataFrame, ends: DataFrame, feet_per_cell:
     return out.select(F.col("src").alias("route_id"), "seq", F.col("node").alias("end_id"), "cost")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id) and (a, b) to (id, component): the smallest id reachable. Minimum labels with pointer jumping."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(nodes.select("id", F.col("id").alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        step = cut(step.join(jump, "label", "left").select("id", "old", F.least("label", "further").alias("label")))
-        labels = step.select("id", "label")
-        if step.where("label < old").isEmpty():
-            return labels.select("id", F.col("label").alias("component"))
+def components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
+    """(id) and (a, b) to (id, component): the smallest id reachable.
+
+    Every node has a parent, itself at first. In a round each edge brings its end's grandparent to the
+    other end and to that one's parent (so whole trees hook onto smaller ones), and every node takes its
+    grandparent; parents only get smaller, so the rounds grow with the logarithm of the longest path.
+    A round is joins and minima by id with partial aggregation, so a node with many edges is nobody's
+    task alone. Raises an error beyond ``max_rounds``.
+    """
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct())
+    labels = cut(nodes.select("id", F.col("id").alias("f"), F.col("id").alias("gf")).distinct())
+    for _ in range(max_rounds):
+        near = both.join(labels.select(F.col("id").alias("b"), "gf"), "b").groupBy(F.col("a").alias("id")).agg(F.min("gf").alias("m"))
+        told = near.join(labels, "id").select(F.explode(F.array("id", "f")).alias("id"), "m").groupBy("id").agg(F.min("m").alias("m"))
+        new = cut(labels.join(told, "id", "left").select("id", F.col("gf").alias("old"), F.least("f", "gf", "m").alias("f")), labels)
+        up = new.select(F.col("id").alias("f"), F.col("f").alias("gf"))
+        labels = cut(new.join(up, "f", "left").select("id", "f", F.coalesce("gf", "f").alias("gf"), "old"), new)
+        if labels.where("gf < old or f != gf").isEmpty():
+            release(both)
+            return labels.select("id", F.col("gf").alias("component"))
+    raise RuntimeError(f"components did not end within {max_rounds} rounds")
 
 
 def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:

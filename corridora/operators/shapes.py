@@ -21,23 +21,25 @@ def rings(edges: DataFrame) -> DataFrame:
     At a corner with two ways on, the sharper right turn is taken, so touching rings stay apart.
     Positions along a ring come from pointer doubling: the rounds are the logarithm of its length.
     """
-    e = edges.withColumn("id", F.struct("layer", "x1", "y1", "x2", "y2"))
-    following = edges.select("layer", F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("x3"), F.col("y2").alias("y3"))
+    e = cut(edges.select("layer", "x1", "y1", "x2", "y2", F.monotonically_increasing_id().alias("id")))  # written: the numbers stay
+    following = e.select("layer", F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("x3"), F.col("y2").alias("y3"), F.col("id").alias("next"))
     turn = (F.col("x2") - F.col("x1")) * (F.col("y3") - F.col("y2")) - (F.col("y2") - F.col("y1")) * (F.col("x3") - F.col("x2"))
-    way = F.struct(F.col("layer").alias("layer"), F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x3").alias("x2"), F.col("y3").alias("y2"))
-    nxt = cut(e.join(following, ["layer", "x2", "y2"]).groupBy("id").agg(F.min_by(way, F.struct((-turn).alias("t"), "x3", "y3")).alias("next")))
+    nxt = cut(e.join(following, ["layer", "x2", "y2"]).groupBy("id").agg(F.min_by("next", F.struct((-turn).alias("t"), "x3", "y3")).alias("next")))
     named = graph.components(nxt.select("id"), nxt.select(F.col("id").alias("a"), F.col("next").alias("b")))
+    place = F.struct("layer", "x1", "y1", "x2", "y2")
+    placed = cut(e.join(named, "id").select("id", "component", place.alias("e")))
+    first = placed.groupBy("component").agg(F.min("e").alias("ring_id"), F.min_by("id", "e").alias("first"))
     # steps from each edge to its ring's first edge; that edge itself ends the walk
-    hop = nxt.join(named, "id").select("id", "component", F.when(F.col("id") == F.col("component"), F.col("id")).otherwise(F.col("next")).alias("to"), F.when(F.col("id") == F.col("component"), 0).otherwise(1).alias("d"))
-    while True:
-        hop = cut(hop)
-        if hop.where(F.col("to") != F.col("component")).isEmpty():
-            break
+    at_end = F.col("id") == F.col("first")
+    hop = nxt.join(placed, "id").join(first, "component").select("id", "first", F.when(at_end, F.col("id")).otherwise(F.col("next")).alias("to"), F.when(at_end, 0).otherwise(1).alias("d"))
+    hop = cut(hop)
+    while not hop.where(F.col("to") != F.col("first")).isEmpty():
         far = hop.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"))
-        hop = hop.join(far, "to").select("id", "component", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d"))
-    listed = hop.groupBy("component").agg(F.sort_array(F.collect_list(F.struct((-F.col("d")).alias("k"), F.col("id.x1").cast("double").alias("x"), F.col("id.y1").cast("double").alias("y")))).alias("p"))
+        hop = cut(hop.join(far, "to").select("id", "first", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d")), hop)
+    point = F.struct((-F.col("d")).alias("k"), F.col("e.x1").cast("double").alias("x"), F.col("e.y1").cast("double").alias("y"))
+    listed = hop.join(placed, "id").groupBy("first").agg(F.sort_array(F.collect_list(point)).alias("p"), F.min("e").alias("ring_id"))
     plain = F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
-    return listed.select(F.col("component.layer").alias("layer"), F.col("component").alias("ring_id"), corners(plain).alias("ring"))
+    return listed.select(F.col("ring_id.layer").alias("layer"), "ring_id", corners(plain).alias("ring"))
 
 
 def corners(ring: Column) -> Column:
