@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+
+Defined results: documents without a letter go in the first stage, null and empty texts among them; rows
+with null ids take part like others; of rows that repeat id and text one stays; ties between near copies
+go to the smallest id, null last; an empty table gives an empty result; very long texts are read whole;
+other columns pass through to the mixture.
 """
 
 from __future__ import annotations
@@ -11,27 +16,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corridora.llm import decontaminate, langid, mixing, sharding
-from corridora.llm.jaccard_join import jaccard_join
-from corridora.llm.shared import fold, materialize, small
+from corridora.llm import decontaminate, jaccard_join, langid, mixing, sharding
+from corridora.llm.shared import fold, materialize, release
 
 #: SQL cannot express the Bloom filters, the Newton steps or the permutation; tests compare by brute force.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter: those whose language is undetermined."""
+    """Drops documents that identification rejects: those without a letter, and those of whose n-grams no
+    language's filter stands out. Without labelled rows only the former go."""
     filters = langid.learn(docs.where(fold("doc_id", 5) != 0))
+    if not filters.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = docs.withColumn("__lang", langid.predictor(spark, filters, "text"))
-    return found.where(F.col("__lang.lang") != langid.UNDETERMINED).select(*docs.columns)
+    return found.where((F.col("__lang.lang") != langid.UNDETERMINED) & (F.col("__lang.score") > 0)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near copies the document with the smallest id; of rows that repeat it, one each text."""
-    found = jaccard_join(docs, words=5, per_cent=75)
-    kept = materialize(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows")), "kept")
-    out = docs.join(small(kept), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return out if kept.where("__rows > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    """Keeps one row of each component of near copies: that of the smallest id."""
+    return jaccard_join.one_of_each(docs, words=5, per_cent=75)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +65,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before)
     return docs

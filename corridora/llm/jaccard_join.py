@@ -1,7 +1,7 @@
-"""N-gram Jaccard join by a token-group matrix: exact links, connected components.
+"""N-gram Jaccard join by a token-group matrix: all links, connected components.
 
 A document's set is its distinct word shingles. Two documents link when their sets' Jaccard
-similarity reaches the threshold. The join is exact and never emits all pairs of a group:
+similarity reaches the threshold. The join loses no link and never emits all pairs of a group:
 
 1. *Survivors.* Shingles are dealt out by hash as packed numpy blobs; one that lies in a single
    document cannot be in any intersection, so only shared shingles come back to their documents.
@@ -12,10 +12,13 @@ similarity reaches the threshold. The join is exact and never emits all pairs of
    overlap must reach ``2 * threshold / (1 + threshold)`` of its size.
 3. *Leaders.* Every set is compared with the most central set that it meets at a prefix shingle;
    these true links already tie most families of near copies together, one comparison a set.
-4. *Token-group matrix.* Linked sets are dealt into groups of bounded size; each group stores the
-   union of its shingles. Sets of other clusters that meet a group at a prefix shingle are
+4. *Token-group matrix.* Linked sets are dealt into groups of bounded size (shingles and members);
+   each group stores the union of its shingles. Sets of other clusters that meet a group at a prefix shingle are
    bounded by their overlap with that union, and only qualifying groups are opened and compared.
-5. Components are found by minimum labels with pointer jumping over the links.
+5. Components are found over the links in rounds that grow with the logarithm of the longest path.
+
+The plan is the same at every size: joins by key without hints, so Spark broadcasts a side only below
+its own threshold, and splits a hot key of a join by AQE.
 
 Defined results: null and empty texts and texts without words have no shingles and link with
 nothing; equal texts always share a component; rows that repeat are kept, each with its own
@@ -23,8 +26,9 @@ result; an empty table gives an empty result; other columns are ignored. A null
 links but never names a component. The input should be a table or a materialized DataFrame, as
 documents are referred to by their place in a task's rows.
 
-Shingles are 48-bit values: within a compared pair of sets of a thousand shingles the odds that
-two different ones coincide are about 1 in 10**8.
+Words and shingles are told apart by hashes: sets have 128-bit names; within a compared pair of sets
+of a thousand shingles, which are 48-bit values then, the odds that two different ones coincide are
+about 1 in 10**8. A set's size is counted on 64-bit shingles.
 """
 
 from __future__ import annotations
@@ -38,16 +42,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as kernels
-from .shared import materialize, partitions, release, small
+from ..operators.graph import components
+from .shared import input_bytes, materialize, partitions, release
 
 TOKEN_BITS = 48
-#: A block of documents that is packed together: at most so many shingles and distinct sets.
-FLUSH_TOKENS, FLUSH_SETS = 2_000_000, 60_000
-#: Shared shingles in a group of the token-group matrix, on average at most (or one set).
-GROUP_TOKENS = 25_000
+#: A block of documents that is packed together: at most so many shingles and rows.
+FLUSH_TOKENS, FLUSH_ROWS = 500_000, 60_000
+#: Shared shingles and members of a group of the token-group matrix, on average at most (or one set).
+GROUP_TOKENS, GROUP_MEMBERS = 25_000, 64
+#: Bytes of text whose shingles one task compares.
+PART_BYTES = 64 << 20
 
 _PACKED = "part int, flush long, n int, ids binary, tokens binary, owners binary, weights binary"
-_SETS = "doc_id long, n_shingles int, set_id long, central double, prefix int, tokens array<long>"
+_SETS = "doc_id long, text_hash long, row long, n_shingles long, name long, other_name long, central double, prefix int, tokens array<long>"
 _CODEC = "zstd"
 
 
@@ -72,6 +79,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 _PACKED_ARROW = pa.schema([("part", pa.int32()), ("flush", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("tokens", pa.binary()), ("owners", pa.binary()), ("weights", pa.binary())])
 
 
+_NULL_ID = np.int64(-(2**63))
+
+
 def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids as longs, and which of them are null."""
     gone = np.asarray(column.is_null().to_numpy(zero_copy_only=False), dtype=bool)
@@ -89,11 +99,13 @@ def _packer(words: int, parts: int):
         tokens = sets = 0
 
         def out() -> pa.RecordBatch:
-            ids, gone, counts, names, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+            ids, gone, said, counts, names, others, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
             owners = np.repeat(np.arange(len(counts)), counts)
             some = np.flatnonzero(counts)
-            _, first = np.unique(names[some], return_index=True)
-            first = some[first]
+            order = some[np.lexsort((some, others[some], names[some]))]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (names[order][1:] != names[order][:-1]) | (others[order][1:] != others[order][:-1])
+            first = order[new]
             number = np.full(len(counts), -1)
             number[first] = np.arange(len(first))
             own = number[owners]
@@ -103,7 +115,7 @@ def _packer(words: int, parts: int):
             value, own = value[order], own[order]
             sets_at = np.full(len(counts), 65535, dtype=np.uint16)
             sets_at[first] = number[first]
-            rows = [(flush % parts, flush, len(counts), _squeeze(np.where(gone, np.int64(-(2**63)), ids)), _squeeze(names), _squeeze(counts.astype(np.int32)), _squeeze(sets_at))]
+            rows = [(flush % parts, flush, len(counts), _squeeze(np.concatenate([np.where(gone, _NULL_ID, ids), said])), _squeeze(np.concatenate([names, others])), _squeeze(counts.astype(np.int32)), _squeeze(sets_at))]
             edges = np.searchsorted(value, (np.arange(parts + 1, dtype=object) * 2**TOKEN_BITS // parts).astype(np.uint64))
             for r in np.flatnonzero(np.diff(edges)):
                 x = value[edges[r] : edges[r + 1]]
@@ -114,20 +126,22 @@ def _packer(words: int, parts: int):
 
         for batch in batches:
             ids, gone = _ids(batch.column(0))
+            said = batch.column(2).to_numpy()
             data, offsets = kernels.string_bytes(batch.column(1))
             data = kernels.LOWER[data]
             for a, z in kernels.blocks(offsets):
                 word, first = kernels.word_hashes(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], kernels.SPACED)
                 hashes, at = kernels.shingle_sets(word, first, words)
                 counts = np.diff(at)
-                names = np.zeros(z - a, dtype=np.uint64)
+                names, others = np.zeros(z - a, dtype=np.uint64), np.zeros(z - a, dtype=np.uint64)
                 if some := np.flatnonzero(counts).tolist():
-                    names[some] = kernels.mix(np.add.reduceat(kernels.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), at[:-1][some]) + counts[some].astype(np.uint64))
-                if held and (tokens + len(hashes) > FLUSH_TOKENS or sets + z - a > FLUSH_SETS):
+                    for name, salt in ((names, 0x5851F42D4C957F2D), (others, 0x14057B7EF767814F)):
+                        name[some] = kernels.mix(np.add.reduceat(kernels.mix(hashes ^ np.uint64(salt)), at[:-1][some]) + counts[some].astype(np.uint64))
+                if held and (tokens + len(hashes) > FLUSH_TOKENS or sets + z - a > FLUSH_ROWS):
                     yield out()
                     held.clear()
                     flush, tokens, sets = flush + 1, 0, 0
-                held.append((ids[a:z], gone[a:z], counts, names, hashes))
+                held.append((ids[a:z], gone[a:z], said[a:z], counts, names, others, hashes))
                 tokens, sets = tokens + len(hashes), sets + z - a
         if held:
             yield out()
@@ -169,7 +183,7 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _gatherer(per_cent: int):
     """Shared shingles back to their documents' sets, rarest first."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int32()), ("set_id", pa.int64()), ("central", pa.float64()), ("prefix", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "text_hash", "row", "n_shingles", "name", "other_name")] + [("central", pa.float64()), ("prefix", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, tuple] = {}
@@ -181,6 +195,7 @@ def _gatherer(per_cent: int):
                 else:
                     found[flush].append((tokens, owners, weights))
         for flush, (ids, names, counts, sets_at) in tables.items():
+            (ids, said), (names, others) = np.split(ids, 2), np.split(names, 2)
             n_sets = int((sets_at != 65535).sum())
             row = np.zeros(n_sets, dtype=np.int64)
             row[sets_at[sets_at != 65535]] = np.flatnonzero(sets_at != 65535)
@@ -204,111 +219,113 @@ def _gatherer(per_cent: int):
             values = np.concatenate([tokens[starts[s] : starts[s + 1]] for s in by_row if many[s]]) if many.any() else tokens[:0]
             prefix, middle = np.zeros(len(ids), dtype=np.int32), np.zeros(len(ids))
             prefix[row], middle[row] = np.where(alive, shared - least + 1, 0), np.where(alive, central, 0)
-            gone = ids == np.int64(-(2**63))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=gone), pa.array(counts), pa.array(names.view(np.int64)), pa.array(middle), pa.array(prefix), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values.astype(np.int64)))],
-                schema=schema,
-            )
+            longs = [pa.array(ids, mask=ids == _NULL_ID), pa.array(said), pa.array((flush << 16) + np.arange(len(ids))), pa.array(counts.astype(np.int64)), pa.array(names.view(np.int64)), pa.array(others.view(np.int64))]
+            runs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*longs, pa.array(middle), pa.array(prefix), runs], schema=schema)
 
     return gather
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id reachable over ``links`` (a, b), for every id of ``nodes``.
-
-    Minimum labels with pointer jumping: the rounds grow with the logarithm of the longest path.
-    """
-    both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(nodes.select("id", F.col("id").alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        before = labels
-        labels = materialize(step.join(jump, "label", "left").select("id", "old", F.least("label", "further").alias("label")), "labels")
-        release(before)
-        if labels.where("label < old").isEmpty():
-            release(both)
-            return labels
-
-
 def shingle_links(sets: DataFrame, per_cent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(links, labels) between sets (set_id, n_shingles, central, prefix, tokens): links join every
-    connected family; labels name each set's component by its smallest set_id."""
+    connected family; labels (id, component) name each set's component by its smallest set_id."""
     sets = sets.withColumn("n_shingles", F.col("n_shingles").cast("long"))  # the bounds below multiply it
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link. Sets move once, to their ``b``; the few columns of pairs go to them."""
-        pairs = materialize(pairs, "pairs")
+        """The pairs (a, b) that link."""
         left = sets.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), F.col("tokens").alias("ta"))
         right = sets.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("tokens").alias("tb"))
-        right = right.join(small(materialize(pairs.select("b").distinct(), "seconds")), "b", "left_semi")
         both = F.size(F.array_intersect("ta", "tb")).cast("long")
-        linked = left.join(small(pairs), "a").join(right, "b").where(100 * both >= per_cent * (F.col("na") + F.col("nb") - both)).select("a", "b")
-        linked = materialize(linked, "links")
-        release(pairs)
-        return linked
+        return materialize(pairs.join(left, "a").join(right, "b").where(100 * both >= per_cent * (F.col("na") + F.col("nb") - both)).select("a", "b"), "links")
 
     near = f"100 * least(n_shingles, other_n) >= {per_cent} * greatest(n_shingles, other_n)"
     short = F.size("tokens") - F.ceil(2 * per_cent * F.col("n_shingles") / (100 + per_cent)) + 1
     postings = materialize(sets.select("set_id", "n_shingles", "central", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("at", "token")), "postings")
     lead = postings.groupBy("token").agg(F.max(F.struct("central", "set_id", "n_shingles")).alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    lead = lead.select("token", F.col("lead.set_id").alias("leader"), F.col("lead.central").alias("leader_central"), F.col("lead.n_shingles").alias("other_n"))
+    lead = materialize(lead.select("token", F.col("lead.set_id").alias("leader"), F.col("lead.central").alias("leader_central"), F.col("lead.n_shingles").alias("other_n")), "leaders")
     # each set meets its most central leader; what that leaves apart is the matrix's
     pairs = postings.join(lead, "token").where(f"set_id != leader and {near}").groupBy(F.col("set_id").alias("a")).agg(F.max_by("leader", F.struct("leader_central", "leader")).alias("b"))
     links = verify(pairs)
-    labels = components(sets.select(F.col("set_id").alias("id")), links)
+    nodes = sets.select(F.col("set_id").alias("id"))
+    labels = components(nodes, links)
 
     # The token-group matrix over what the leaders left apart. Of two linked sets the smaller one
     # shares a token of its short prefix with the prefix of the larger one.
     sizes = sets.select("set_id", "n_shingles", F.size("tokens").alias("kept"), short.alias("short"))
-    placed = sizes.join(labels.withColumnRenamed("id", "set_id"), "set_id")
-    cluster = placed.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("kept").alias("mass"))
-    salt = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("mass") / GROUP_TOKENS))
-    placed = placed.join(cluster, "label").withColumn("grp", F.xxhash64("label", F.floor(F.log("n_shingles") * 4), salt))
-    placed = materialize(placed.select("set_id", "n_shingles", "label", "members", "grp", "short"), "placed")
-    slots = postings.select("set_id", "token", "at").join(placed, "set_id")
-    open_tokens = slots.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    placed = materialize(sizes.join(labels.select(F.col("id").alias("set_id"), F.col("component").alias("label")), "set_id"), "sizes")
+    cluster = materialize(placed.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("kept").alias("mass")), "clusters")
+    salt = F.pmod(F.xxhash64("set_id"), F.greatest(F.ceil(F.col("mass") / GROUP_TOKENS), F.ceil(F.col("members") / GROUP_MEMBERS)))
+    grouped = placed.join(cluster, "label").withColumn("grp", F.xxhash64("label", F.floor(F.log("n_shingles") * 4), salt))
+    grouped = materialize(grouped.select("set_id", "n_shingles", "label", "members", "grp", "short"), "placed")
+    release(lead, placed, cluster)
+    slots = postings.select("set_id", "token", "at").join(grouped, "set_id")
+    open_tokens = postings.select("set_id", "token").join(grouped.select("set_id", "label"), "set_id").groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    open_tokens = materialize(open_tokens, "open")
     slots = materialize(slots.join(open_tokens, "token", "left_semi").withColumn("early", F.col("at") < F.col("short")), "slots")
     early = F.col("early")
     matrix = slots.groupBy("token", F.col("grp").alias("g")).agg(
         F.first("label").alias("g_label"), F.first("members").alias("g_members"), F.min("n_shingles").alias("g_least"), F.max("n_shingles").alias("g_most"), F.min(F.when(early, F.col("n_shingles"))).alias("g_early")
     )
+    matrix = materialize(matrix, "matrix")
     meet = slots.join(matrix, "token").where("label != g_label and (members < g_members or members = g_members and label < g_label)")
     meet = meet.where(f"100 * g_most >= {per_cent} * n_shingles and {per_cent} * g_least <= 100 * n_shingles and (early and g_most >= n_shingles or g_early <= n_shingles)")
     meet = materialize(meet.select("set_id", F.col("g").alias("grp")).distinct(), "meet")
-    tokens = sets.select("set_id", "tokens")
-    asked = materialize(placed.select("set_id", "grp", "n_shingles").join(meet.select("grp").distinct(), "grp", "left_semi"), "asked")
-    members = tokens.join(small(asked), "set_id")
-    unions = members.groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("all_tokens"), F.min("n_shingles").alias("g_least"))
-    bound = sets.select("set_id", "n_shingles", "tokens").join(small(meet), "set_id").join(unions, "grp")
+    asked = materialize(grouped.select("set_id", "grp", "n_shingles").join(meet.select("grp").distinct(), "grp", "left_semi"), "asked")
+    unions = sets.select("set_id", "tokens").join(asked, "set_id").groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("all_tokens"), F.min("n_shingles").alias("g_least"))
+    unions = materialize(unions, "unions")
     least = F.greatest(per_cent * (100 + per_cent) * F.col("n_shingles"), 100 * per_cent * (F.col("n_shingles") + F.col("g_least")))
+    bound = sets.select("set_id", "n_shingles", "tokens").join(meet, "set_id").join(unions, "grp")
     opened = bound.where(100 * (100 + per_cent) * F.size(F.array_intersect("tokens", "all_tokens")).cast("long") >= least).select("set_id", "grp", F.col("n_shingles").alias("other_n"))
-    more = opened.join(placed.select(F.col("set_id").alias("b"), "n_shingles", "grp"), "grp").where(near).select(F.col("set_id").alias("a"), "b")
+    opened = materialize(opened, "opened")
+    more = opened.join(grouped.select(F.col("set_id").alias("b"), "n_shingles", "grp"), "grp").where(near).select(F.col("set_id").alias("a"), "b")
     more = verify(more)
-    release(postings, placed, slots, meet, asked)
+    release(postings, grouped, open_tokens, slots, matrix, meet, asked, unions, opened)
     if not more.isEmpty():
         release(labels)
         links = links.union(more)
-        labels = components(sets.select(F.col("set_id").alias("id")), links)
+        labels = components(nodes, links)
     return links, labels
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per_cent: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles long, component_id (smallest id of its component)."""
-    parts = 2 * partitions(docs.sparkSession)
-    packed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_packer(words, parts), _PACKED)
+def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per_cent: int = 75) -> DataFrame:
+    """One row per document: doc_id, text_hash, n_shingles, component_id (smallest id of its component),
+    component (a number that its component alone has), keeper (text_hash and doc_id of one of its rows)."""
+    parts = max(2 * partitions(docs.sparkSession), -(-input_bytes(docs, text_col) // PART_BYTES))
+    text = F.col(text_col).cast("string")
+    packed = docs.select(F.col(id_col).cast("long"), text, F.xxhash64(text)).mapInArrow(_packer(words, parts), _PACKED)
     shared = packed.repartition(parts, "part").mapInArrow(_share, _PACKED)
     rows = materialize(shared.repartition(parts, "flush").mapInArrow(_gatherer(per_cent), _SETS), "sets")
 
-    some = rows.where("n_shingles > 0")
-    sets = materialize(some.where("prefix > 0").dropDuplicates(["set_id"]).drop("doc_id"), "distinct")
+    some, name = rows.where("n_shingles > 0"), ["name", "other_name"]
+    sets = materialize(some.where("prefix > 0").dropDuplicates(name).select(*name, F.col("row").alias("set_id"), "n_shingles", "central", "prefix", "tokens"), "distinct")
     _, labels = shingle_links(sets, per_cent)
-    classes = some.groupBy("set_id").agg(F.min("doc_id").alias("least_id"))
-    classes = classes.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "least_id", F.coalesce("label", "set_id").alias("label"))
-    classes = materialize(classes, "classes")
-    release(sets, labels)
-    named = classes.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    member = classes.join(named, "label").select("set_id", "component_id")
-    out = some.select("doc_id", "n_shingles", "set_id").join(member, "set_id").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
-    return out.union(rows.where("n_shingles = 0").select("doc_id", F.col("n_shingles").cast("long"), F.col("doc_id").alias("component_id")))
+    numbered = sets.select(*name, "set_id").join(labels.select(F.col("id").alias("set_id"), "component"), "set_id").select(*name, "component")
+    keeper = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    classes = some.groupBy(*name).agg(F.min("row").alias("row"), keeper.alias("keeper"))
+    classes = materialize(classes.join(numbered, name, "left").select(*name, "keeper", F.coalesce("component", "row").alias("component")), "classes")
+    named = materialize(classes.groupBy("component").agg(F.min("keeper").alias("keeper")), "named")
+    member = materialize(classes.join(named.withColumnRenamed("keeper", "one"), "component").select(*name, "component", "one"), "members")
+    release(sets, labels, classes, named)
+    out = some.select("doc_id", "text_hash", "n_shingles", *name).join(member, name)
+    out = out.select("doc_id", "text_hash", "n_shingles", F.col("one.doc_id").alias("component_id"), "component", F.struct("one.doc_id", "one.text_hash").alias("keeper"))
+    alone = rows.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("component"), F.struct("doc_id", "text_hash").alias("keeper"))
+    return out.union(alone)
+
+
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, n_shingles long, component_id (smallest id of its component)."""
+    return classify(docs, **options).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest id (null last), then text hash.
+
+    Rows are selected, not ids: of rows that share an id, or have none, only the chosen text stays, and
+    of rows that repeat both id and text one. Texts without words link with nothing, so all stay.
+    """
+    found = classify(docs, id_col=id_col, text_col=text_col, **options).where("n_shingles > 0")
+    kept = materialize(found.select(F.coalesce("keeper.doc_id", F.lit(0)).alias("__id"), F.col("keeper.doc_id").isNull().alias("__none"), F.col("keeper.text_hash").alias("__hash")).distinct(), "kept")
+    key, text = ["__id", "__none", "__hash"], F.col(text_col).cast("string")
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(worded).withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__none": F.col(id_col).isNull(), "__hash": F.xxhash64(text)})
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns).union(docs.where(~worded))

@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import text as kernels
+from .shared import materialize, release
 
 #: Labelled texts learned from, for each language, at most about so many.
 SAMPLE_PER_LANGUAGE = 2_000
@@ -37,20 +39,37 @@ HASHES, SLOT_BITS = 3, 21
 #: Occurrences in a language's sample; and an n-gram may be so many times rarer than in another.
 LEAST, RATIO = 3, 8.0
 UNDETERMINED = "und"
+#: Characters whose n-grams are hashed at once; a long text takes several stretches.
+STRETCH = 256 << 10
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_ngrams", T.LongType())])
 
 
 @functools.cache
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: whether it is a letter, and its lower-case code point."""
-    every = [chr(i) for i in range(0x110000)]
-    letter = np.fromiter((c.isalpha() for c in every), dtype=bool, count=0x110000)
-    lower = np.fromiter((ord(x) if len(x := c.lower()) == 1 else i for i, c in enumerate(every)), dtype=np.uint32, count=0x110000)
+    points = range(0x110000)
+    letter = np.fromiter((chr(i).isalpha() for i in points), dtype=bool, count=0x110000)
+    lower = np.fromiter((ord(x) if len(x := chr(i).lower()) == 1 else i for i in points), dtype=np.uint32, count=0x110000)
     return letter, lower
 
 
-def ngrams(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of whole texts: (from, to, n-gram hashes, their text's number in the block, has a letter).
+def _hashed(points: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(n-gram hashes, owners) of normalised code points, a size and a stretch of them at a time."""
+    for n in SIZES:
+        for at in range(0, max(0, len(points) - n + 1), STRETCH):
+            run, own = points[at : at + STRETCH + n - 1].astype(np.uint64), owner[at : at + STRETCH + n - 1]
+            m = len(run) - n + 1
+            value = np.zeros(m, dtype=np.uint64)
+            for j in range(n):
+                value = (value << np.uint64(16)) ^ (run[j : j + m] * np.uint64(0x9E3779B1))
+            # the last character may be the space that opens the next text: it closes this one
+            inside = own[:m] == own[n - 2 : n - 2 + m]
+            inside &= (own[:m] == own[n - 1 : n - 1 + m]) | (run[n - 1 : n - 1 + m] == 32)
+            yield kernels.mix(value[inside] + np.uint64(n)), own[:m][inside]
+
+
+def ngrams(column: pa.Array, limit: int = 256 << 10) -> Iterator[tuple[int, int, Iterator[tuple[np.ndarray, np.ndarray]], np.ndarray]]:
+    """Blocks of whole texts: (from, to, stretches of n-gram hashes with their text's number in the block, has a letter).
 
     Texts are lower-cased, each run of other characters than letters becomes one space, and a space
     is put before and after.
@@ -60,35 +79,20 @@ def ngrams(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
     for a, z in kernels.blocks(offsets, limit):
         part = data[offsets[a] : offsets[z]]
         points = np.frombuffer(part.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
-        heads = np.r_[0, np.cumsum((part & 0xC0) != 0x80)]
+        heads = np.zeros(len(part) + 1, dtype=np.int32 if len(part) < 2**31 else np.int64)
+        np.cumsum((part & 0xC0) != 0x80, out=heads[1:])
         at = heads[offsets[a : z + 1] - offsets[a]]
-        owner = np.repeat(np.arange(z - a), np.diff(at))
+        owner = np.repeat(np.arange(z - a, dtype=np.int32), np.diff(at))
         is_letter = letter[points]
         has = np.bincount(owner[is_letter], minlength=z - a) > 0
         # one space before each text, then letters, with single spaces where others were
-        points = np.insert(np.where(is_letter, lower[points], 32), at[:-1], 32)
-        owner = np.insert(owner, at[:-1], np.arange(z - a))
-        points, owner = np.r_[points, 32], np.r_[owner, z - a]
+        points = np.insert(np.where(is_letter, lower[points], np.uint32(32)), at[:-1], 32)
+        owner = np.insert(owner, at[:-1], np.arange(z - a, dtype=np.int32))
+        points, owner = np.append(points, np.uint32(32)), np.append(owner, np.int32(z - a))
         space = points == 32
-        keep = ~(space & np.r_[False, space[:-1]] & (owner == np.r_[-1, owner[:-1]]))
-        points, owner = points[keep].astype(np.uint64), owner[keep]
-        hashes, owners = [], []
-        for n in SIZES:
-            m = len(points) - n + 1
-            if m <= 0:
-                continue
-            value = np.zeros(m, dtype=np.uint64)
-            for j in range(n):
-                value = (value << np.uint64(16)) ^ (points[j : j + m] * np.uint64(0x9E3779B1))
-            # the last character may be the space that opens the next text: it closes this one
-            inside = owner[:m] == owner[max(n - 2, 0) : max(n - 2, 0) + m]
-            inside &= (owner[:m] == owner[n - 1 : n - 1 + m]) | (points[n - 1 : n - 1 + m] == 32)
-            hashes.append(kernels.mix(value[inside] + np.uint64(n)))
-            owners.append(owner[:m][inside])
-        if hashes:
-            yield a, z, np.concatenate(hashes), np.concatenate(owners), has
-        else:
-            yield a, z, np.zeros(0, np.uint64), np.zeros(0, np.int64), has
+        keep = np.ones(len(points), dtype=bool)
+        keep[1:] = ~(space[1:] & space[:-1] & (owner[1:] == owner[:-1]))
+        yield a, z, _hashed(points[keep], owner[keep]), has
 
 
 class Filters:
@@ -109,9 +113,8 @@ class Filters:
         for k in range(HASHES):
             yield ((hashes >> np.uint64(k * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
-    def counts(self, hashes: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-        """Corrected popcounts: for each of n texts and each language, n-grams that it contains."""
-        total = np.bincount(owners, minlength=n).astype(float)
+    def hits(self, hashes: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+        """Popcounts: for each of n texts and each language, n-grams that its filter contains."""
         out = np.zeros((n, len(self.languages)))
         for word in range(self.bits.shape[0]):
             mask = None
@@ -121,17 +124,23 @@ class Filters:
             for i in range(word * 64, min(len(self.languages), word * 64 + 64)):
                 hit = (mask >> mask.dtype.type(i % 64)) & mask.dtype.type(1)
                 out[:, i] = np.bincount(owners, weights=hit, minlength=n)
-        rate = self.false_rate
-        return np.maximum(0.0, (out - total[:, None] * rate) / (1 - rate))
+        return out
+
+    def corrected(self, hits: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Popcounts without the false positives to be expected of ``total`` n-grams a text."""
+        return np.maximum(0.0, (hits - total[:, None] * self.false_rate) / (1 - self.false_rate))
 
     def predict(self, column: pa.Array) -> pa.StructArray:
         if not self.languages:
             n = len(column)
             return pa.StructArray.from_arrays([pa.array([UNDETERMINED] * n, pa.string()), pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int64))], names=["lang", "score", "n_ngrams"])
         languages, scores, sizes = [], [], []
-        for a, z, hashes, owners, has in ngrams(column):
-            counts = self.counts(hashes, owners, z - a)
-            total = np.bincount(owners, minlength=z - a)
+        for a, z, stretches, has in ngrams(column):
+            hits, total = np.zeros((z - a, len(self.languages))), np.zeros(z - a, dtype=np.int64)
+            for hashes, owners in stretches:
+                hits += self.hits(hashes, owners, z - a)
+                total += np.bincount(owners, minlength=z - a)
+            counts = self.corrected(hits, total.astype(float))
             best, most = counts.argmax(axis=1), counts.max(axis=1)
             # how far the winner's share of the text's n-grams stands above the others' mean
             others = (counts.sum(axis=1) - most) / max(1, len(self.languages) - 1)
@@ -156,25 +165,28 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            for a, z, hashes, owners, _ in ngrams(batch.column(1)):
+            for a, z, stretches, _ in ngrams(batch.column(1)):
                 said = langs[a:z]
-                for lang in sorted(set(said)):
+                for lang, (hashes, owners) in ((lang, x) for x in stretches for lang in sorted(set(said))):
                     value, n = np.unique(hashes[(said == lang)[owners]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "ngram", "n"])
 
     counts = sample.mapInArrow(count, "lang string, ngram long, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    table = counts.toArrow().sort_by([("lang", "ascending"), ("n", "descending"), ("ngram", "ascending")])
-    langs, grams, n = np.array(table["lang"].to_pylist(), dtype=object), table["ngram"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(float)
+    counts = materialize(counts, "ngrams")
+    totals = {r[0]: float(r[1]) for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     names = sorted(sizes)
-    share = np.zeros(len(n))
-    for lang in names:
-        at = langs == lang
-        share[at] = n[at] / max(1.0, n[at].sum())
-    unique, inverse = np.unique(grams, return_inverse=True)
-    top = np.zeros(len(unique))
-    np.maximum.at(top, inverse, share)
-    good = share * RATIO >= top[inverse]
-    return Filters(names, [grams[(langs == lang) & good][:FILTER_NGRAMS] for lang in names], max(names, key=lambda k: (sizes[k], k)))
+    prior = max(names, key=lambda k: (sizes[k], k))
+    if not totals:
+        release(counts)
+        return Filters(names, [np.zeros(0, np.uint64) for _ in names], prior)
+    share = F.col("n") / F.create_map(*[F.lit(x) for pair in sorted(totals.items()) for x in pair])[F.col("lang")]
+    shared = counts.withColumn("share", share).withColumn("top", F.max("share").over(Window.partitionBy("ngram")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "ngram"))
+    # the driver gets FILTER_NGRAMS rows a language at most
+    table = shared.where(F.col("share") * RATIO >= F.col("top")).withColumn("place", place).where(F.col("place") <= FILTER_NGRAMS).select("lang", "ngram").toArrow()
+    release(counts)
+    langs, grams = np.array(table["lang"].to_pylist(), dtype=object), table["ngram"].to_numpy().view(np.uint64)
+    return Filters(names, [grams[langs == lang] for lang in names], prior)
 
 
 def predictor(spark, filters: Filters, text: Column | str) -> Column:

@@ -1,59 +1,24 @@
-"""Shared storage and small column helpers of the corpus operators."""
+"""Small column helpers of the corpus operators; intermediate tables are written to the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import materialize, release, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` where set.
-
-    Only where it is unset (a local session in tests) a temporary folder is made and remembered
-    in the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("corridora.shared.dir", None)
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-corridora-")
-        spark.conf.set("corridora.shared.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back: the lineage ends here.
-
-    A lost executor later costs a re-read of files, never a recomputation with another outcome.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corridora-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes the files of materialized DataFrames that nothing reads any more."""
-    for df in frames:
-        if path := df.__dict__.pop("_scratch", None):
-            context = df.sparkSession.sparkContext
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """A materialized DataFrame of a few numbers a row, to be broadcast while it has at most ``rows``
-    rows (about 50 MB); a larger one is joined by shuffling."""
-    return F.broadcast(df) if df.count() <= rows else df
+__all__ = ["ascii_lower", "fold", "input_bytes", "materialize", "partitions", "release", "shared_folder"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame, text_col: str) -> int:
+    """The bytes of all texts: one pass over that column, by which tasks are sized."""
+    return df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+
+
 def fold(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (a null id counts as the empty text)."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(int(_BASE), -1, 2**64))
-#: Bytes handled at once; a document is never split, so one longer than this is a block alone.
-BLOCK_BYTES = 2 << 20
+#: Bytes handled at once. A longer document is a block alone, whose words are still hashed in pieces of
+#: so many bytes: it takes about 20 bytes of memory a byte, not the 80 of a piece.
+BLOCK_BYTES = 512 << 10
 
 
 def _lower_table() -> np.ndarray:
@@ -57,13 +58,14 @@ def string_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data, offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of whole documents of about ``limit`` bytes each."""
+def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES, rows: int = 1 << 15) -> Iterator[tuple[int, int]]:
+    """Ranges of whole documents of about ``limit`` bytes each, and of ``rows`` at most."""
     n, at = len(offsets) - 1, 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-        yield at, min(to, n)
-        at = min(to, n)
+        to = min(to, n, at + rows)
+        yield at, to
+        at = to
 
 
 _powers: dict[str, np.ndarray] = {}
@@ -75,7 +77,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         known = np.full(max(n, BLOCK_BYTES + 1), base, dtype=U64)
         known[0] = 1
         np.multiply.accumulate(known, out=known)
-        if len(known) <= 4 * BLOCK_BYTES:
+        if len(known) <= 2 * BLOCK_BYTES:
             _powers[str(base)] = known
     return known[:n]
 
@@ -101,10 +103,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple
 def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): a hash for each word of lower-cased ``data``; first as in word_spans."""
     starts, ends, first = word_spans(data, offsets, kind)
-    total = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum((data.astype(U64) + U64(1)) * _power(_BASE, len(data)), out=total[1:])
-    raw = (total[ends] - total[starts]) * _power(_INVERSE, len(data) + 1)[starts]
-    return mix(raw + (ends - starts).astype(U64)), first
+    out = np.empty(len(starts), dtype=U64)
+    at = 0
+    while at < len(starts):  # whole words of about BLOCK_BYTES at a time
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, side="right")))
+        piece = data[starts[at] : ends[to - 1]]
+        a, z = starts[at:to] - starts[at], ends[at:to] - starts[at]
+        total = np.zeros(len(piece) + 1, dtype=U64)
+        np.cumsum((piece.astype(U64) + U64(1)) * _power(_BASE, len(piece)), out=total[1:])
+        out[at:to] = mix((total[z] - total[a]) * _power(_INVERSE, len(piece) + 1)[a] + (z - a).astype(U64))
+        at = to
+    return out, first
 
 
 def windows(words: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

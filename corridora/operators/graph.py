@@ -181,7 +181,9 @@ def components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 200) ->
         labels = cut(new.join(up, "f", "left").select("id", "f", F.coalesce("gf", "f").alias("gf"), "old"), new)
         if labels.where("gf < old or f != gf").isEmpty():
             release(both)
-            return labels.select("id", F.col("gf").alias("component"))
+            out = labels.select("id", F.col("gf").alias("component"))
+            out._scratch = labels._scratch
+            return out
     raise RuntimeError(f"components did not end within {max_rounds} rounds")
 
 

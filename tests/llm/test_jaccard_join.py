@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from corridora.llm.jaccard_join import jaccard_join, shingle_links
+from corridora.llm.jaccard_join import jaccard_join, one_of_each, shingle_links
 
 from .fixtures import DOCS, documents, nothing, spaced
 
@@ -68,4 +68,25 @@ def test_bound_of_long_sets(spark):
     rows = [(i, 300_000, float(i), 120_000, low) for i, low in ((1, 0), (2, 100_000))]
     sets = spark.createDataFrame(rows, "set_id long, n_shingles int, central double, prefix int, low long").selectExpr("set_id", "n_shingles", "central", "prefix", "sequence(low, low + 299999) as tokens")
     links, labels = shingle_links(sets)
-    assert links.count() == 0 and {tuple(r) for r in labels.select("id", "label").collect()} == {(1, 1), (2, 2)}
+    assert links.count() == 0 and {tuple(r) for r in labels.select("id", "component").collect()} == {(1, 1), (2, 2)}
+
+
+def test_one_row_of_each(spark):
+    """Rows, not ids, are selected: repeated and null ids, near copies across them, repeated rows."""
+    base = [f"b{i}" for i in range(80)]
+    near = lambda k: " ".join([*base[:-1], f"z{k}"])
+    other = " ".join(f"o{i}" for i in range(50))
+    rows = [(5, near(1)), (5, other), (3, near(2)), (None, near(3)), (None, near(4)), (None, "a text of its own without an id"), (9, other), (9, other), (4, ""), (4, ""), (None, None)]
+    got = sorted(map(tuple, one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == sorted([(3, near(2)), (5, other), (None, "a text of its own without an id"), (4, ""), (4, ""), (None, None)], key=str)
+
+
+def test_many_short_texts_in_one_block(spark):
+    """More distinct sets in one batch than 16-bit numbers hold."""
+    docs = spark.range(70_000).selectExpr("id as doc_id", "concat('x', id % 69000) as text").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "0")
+    try:
+        got = jaccard_join(docs)
+        assert got.select("component_id").distinct().count() == 69_000 and got.where("component_id != doc_id").count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -30,7 +30,7 @@ def test_run_against_brute_force(spark):
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     filters = langid.learn(docs.where(fold("doc_id", 5) != 0))
-    kept = docs.withColumn("p", langid.predictor(spark, filters, "text")).where("p.lang != 'und'").drop("p").collect()
+    kept = docs.withColumn("p", langid.predictor(spark, filters, "text")).where("p.lang != 'und' and p.score > 0").drop("p").collect()
     first = {d for d, _, c in brute([(r.doc_id, r.text) for r in kept]) if d == c}
     clean = {r.doc_id for r in decontaminate.report(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).where("not contaminated").collect()}
     mixed = mixing.mix(docs.where(docs.doc_id.isin(list(first & clean)))).collect()
