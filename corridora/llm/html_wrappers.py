@@ -1,27 +1,33 @@
 """Main-text extraction by union-free wrapper inference over the pages of a host.
 
-A page's token stream is made well formed (implied ends are closed, inline tags melt into their
-text), and becomes a wrapper of its own: a regular expression without unions, built of tags, text,
-optional parts ``(x)?`` and repeated parts ``(x)+``. Wrappers of one host are aligned pairwise, again
-and again, until one is left:
-
-* a tag that only one side has is optional, after its predecessor;
-* a tag that recurs under the same parent is repeated; where tags recur in turn, the parent's whole
-  content is one repeated group;
-* text that differs is a slot, text that is the same in all pages stays a literal.
-
-Every page is aligned, inside tasks first, so a host's wrapper grows with its markup and not with
-its pages; partial wrappers of a host meet in two salted steps, none of which is one task's alone.
-
-The wrapper's slots are then ranked once for the host, and each page takes the best rank that it
-fills itself: main text lies under its article or main element (or, without one, under the element
-that holds most of the page's unlinked text), outside of navigation,
-forms, adverts and the like, which tags and class names tell, and is neither mostly links nor, where
-no article element vouches for it, a literal of the template.
-
-Defined results: null and empty html give an empty text; a page with a null or odd url is judged alone;
-cut-off pages are closed at their end; a page without any text gives an empty text; repeated rows
-are extracted each; very long pages are read whole; an empty table gives an empty result.
+A page's token stream is made well formed (implied ends are closed, inline tags melt into their text,
+elements without text fall out) and becomes a wrapper of its own. A wrapper is a regular expression
+without unions over tags and texts. The wrappers of a host are aligned pairwise, again and again,
+until one is left. Two contents are aligned as sequences, in the order of the page:
+
+* items that match are aligned inside; texts that differ become a slot, equal ones stay a literal
+  (a slot remembers up to ``VALUES_KEPT`` texts, so that a template's few variants are told from text);
+* an item that only one side has becomes optional;
+* neighbours of one kind become a repeated item, successive equal sequences a repeated group, within a
+  page and where an alignment brings them together; a group that one side has folds the other side;
+* contents of more than ``MOST_ITEMS`` items, whose order says nothing, become one repeated group of
+  optional items, ``(a?b?c?)+``, which matches them all.
+
+Every page is aligned, inside tasks first, so a host's wrapper grows with its markup and not with its
+pages; partial wrappers of a host meet in two salted steps, none of which is one task's alone.
+
+For extraction a page is matched against its host's wrapper, so every text of it fills a slot, and the
+slots decide. Navigation, forms, asides and the like never hold main text. Of the others the page
+takes the best level that it fills: under an article, under a main element, anything else (there: in
+the element that holds most of it). From these fall out: texts of the template (the same few on many
+pages), while they are the lesser part; slots of links; and trailing records, which are repeated
+items of several slots without a heading, such as readers' comments. Class names only speak where an
+element does not hold the page's heading.
+
+Defined results: null and empty html give an empty text; a page with a null or odd url is matched
+against its own wrapper; cut-off pages are closed at their end; a page without any text gives an empty
+text; repeated rows are extracted each; very long pages are read whole, elements below ``MOST_DEPTH``
+melt into their parent; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -29,7 +35,8 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,11 +45,17 @@ from pyspark.sql import types as T
 
 from .shared import materialize, partitions
 
-#: Wrappers' judged slots are broadcast up to so many bytes; beyond, they are joined by host.
-BROADCAST_BYTES = 8 << 20
 SALTS = 32
-#: Without an article element: pages that must agree for a literal to be boilerplate, and most links.
-LITERAL_PAGES, LINK_SHARE = 5, 0.5
+#: Hosts whose wrappers a task holds at once.
+HOSTS_HELD = 1_000
+#: Items of a content, keys of a free group, length of a repeated group, depth of elements.
+MOST_ITEMS, MOST_KEYS, MOST_PERIOD, MOST_DEPTH = 24, 64, 4, 60
+#: Texts that a slot remembers (and how long they may be); pages for each that make them a template's.
+VALUES_KEPT, VALUE_CHARS, TEMPLATE_PAGES = 4, 200, 5
+#: Linked characters that make a slot a menu, outside of articles and inside.
+LINK_SHARE, ARTICLE_LINK_SHARE = 0.5, 0.8
+#: Of the text at the chosen level: what templates hold at most, what records leave at least, what a container holds.
+TEMPLATE_SHARE, RECORD_REST, ARTICLE_RECORD_REST, CONTAINER = 0.5, 0.3, 0.5, 0.7
 
 # Element and class names of HTML practice.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -50,6 +63,11 @@ VOID = set("area base col embed hr img input link meta param source track".split
 CLOSED_BY_BLOCK = {"p"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "option": {"select"}}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements that repeat as running text does, whatever they hold.
+FLOWING = HEADINGS | set("p li dt dd tr td th blockquote figure figcaption pre option".split())
+#: Elements whose repetition makes records.
+RECORDS = set("div section article li".split())
 BOILERPLATE_TAGS = set("head nav footer aside form menu button select dialog noscript template iframe object svg canvas audio video fieldset datalist".split())
 BOILERPLATE_WORDS = set(
     "ad ads adbox advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar sidenav rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs crumbs pagination pager footer masthead comment comments reply replies discussion disqus feedback form search toolbar skip".split()
@@ -66,6 +84,17 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+# A wrapper's node. KEY is a tag with its words, TEXT or GROUP; BODY the ordered items inside; FREE marks
+# a group of optional items in any order. SEEN counts the parent's instances that hold the node, TIMES its
+# own; texts have the VALUES seen (None: too many or long), CHARS and LINKED characters, and a page's RUNS.
+# The root has checksums of some of its pages as VALUES, so that copies of a page do not count twice.
+KEY, BODY, FREE, PAGES, SEEN, TIMES, REPEATED, VALUES, CHARS, LINKED, RUNS = range(11)
+TEXT, GROUP = "#", "()"
+
+
+def _node(key: str, body: list | None) -> list:
+    return [key, body, False, 1, 1, 1, False, None, 0, 0, []]
+
 
 def _key(name: str, attrs: str) -> str:
     """A tag with its class, id and role words, without digits: the token that is aligned."""
@@ -75,29 +104,43 @@ def _key(name: str, attrs: str) -> str:
     return name + "".join("." + w for w in sorted(said))
 
 
-def runs(page: str) -> list[tuple[str, str, int, tuple[int, ...]]]:
-    """(path, text, linked characters, its elements' numbers) of every block of text, in page order."""
-    out: list[tuple[str, str, int, tuple[int, ...]]] = []
+def parse(page: str) -> tuple[list, list[tuple[str, int, tuple[str, ...], tuple[int, ...]]]]:
+    """(the page's content as nodes, its texts): a text has its words, linked characters, and its elements' keys and numbers."""
+    root = _node("", [])
     stack: list[str] = []
-    keys: list[str] = []
-    numbers: list[int] = []
-    opened = 0
-    text: list[str] = []
-    linked, in_link = 0, 0
+    nodes, keys, numbers = [root], [], []
+    texts: list[tuple[str, int, tuple[str, ...], tuple[int, ...]]] = []
+    held: list[str] = []
+    linked, in_link, opened = 0, False, 0
 
     def flush() -> None:
         nonlocal linked
-        if text:
-            said = "".join(text)
+        if held:
+            said = "".join(held)
             said = " ".join((entities.unescape(said) if "&" in said else said).split())
             if said:
-                out.append(("/".join(keys), said, min(linked, len(said)), tuple(numbers)))
-            text.clear()
+                item = _node(TEXT, None)
+                item[VALUES] = [said] if len(said) <= VALUE_CHARS else None
+                item[CHARS], item[LINKED], item[RUNS] = len(said), min(linked, len(said)), [len(texts)]
+                nodes[-1][BODY].append(item)
+                texts.append((said, item[LINKED], tuple(keys), tuple(numbers)))
+            held.clear()
         linked = 0
 
+    def close() -> str:
+        if len(stack) <= MOST_DEPTH:
+            keys.pop()
+            numbers.pop()
+            node = nodes.pop()
+            if node[BODY]:
+                node[BODY] = fold(node[BODY])
+            else:
+                nodes[-1][BODY].pop()
+        return stack.pop()
+
     for m in _TOKEN.finditer(page):
         if (said := m["text"]) is not None:
-            text.append(said)
+            held.append(said)
             if in_link:
                 linked += len(said.strip())
             continue
@@ -107,228 +150,426 @@ def runs(page: str) -> list[tuple[str, str, int, tuple[int, ...]]]:
         name = name.lower()
         if name in INLINE:
             if name == "a":
-                in_link = 0 if m["end"] else 1
+                in_link = not m["end"]
             continue
         if name == "br":
-            text.append(" ")
+            held.append(" ")
             continue
         flush()
-        in_link = 0
+        in_link = False
         if name in VOID:
             continue
         if m["end"]:
             if name in stack:
-                while stack:
-                    keys.pop()
-                    numbers.pop()
-                    if stack.pop() == name:
-                        break
+                while close() != name:
+                    pass
             continue
         if stack and stack[-1] in CLOSED_BY_BLOCK:
-            stack.pop()
-            keys.pop()
-            numbers.pop()
+            close()
         if name in SIBLINGS:
             scope, at = SCOPE[name], len(stack) - 1
+            keep = len(stack)
             while at >= 0 and stack[at] not in scope:
                 if stack[at] in SIBLINGS[name]:
-                    del stack[at:], keys[at:], numbers[at:]
+                    keep = at
                 at -= 1
+            while len(stack) > keep:
+                close()
         if not m["attrs"].rstrip().endswith("/") or name in ("p", "div"):
             stack.append(name)
-            keys.append(_key(name, m["attrs"]))
-            opened += 1
-            numbers.append(opened)
+            if len(stack) <= MOST_DEPTH:
+                opened += 1
+                keys.append(_key(name, m["attrs"]))
+                numbers.append(opened)
+                node = _node(keys[-1], [])
+                nodes[-1][BODY].append(node)
+                nodes.append(node)
     flush()
+    while stack:
+        close()
+    root[BODY] = fold(root[BODY])
+    root[VALUES] = [zlib.crc32("\n".join(t[0] for t in texts).encode("utf-8", "replace"))]
+    return root, texts
+
+
+def _shape(node: list) -> set[str]:
+    return {x[KEY] for x in _flat(node[BODY])}
+
+
+def _flat(items: list[list]) -> Iterator[list]:
+    for x in items:
+        if x[KEY] == GROUP:
+            yield from _flat(x[BODY])
+        else:
+            yield x
+
+
+def _likeness(a: list, b: list) -> float:
+    """How well two items match: 0 not at all, up to 3."""
+    if a[KEY] != b[KEY]:
+        return 0.0
+    if a[KEY] == TEXT:
+        return 1.0
+    if a[KEY] == GROUP:
+        return 3.0 if [x[KEY] for x in a[BODY]] == [x[KEY] for x in b[BODY]] else 0.0
+    one, two = _shape(a), _shape(b)
+    return 1.0 + 2.0 * len(one & two) / len(one | two) if one | two else 3.0
+
+
+def _alike(a: list, b: list) -> bool:
+    """Whether neighbours are instances of one item."""
+    return _likeness(a, b) >= 2.0 or a[KEY] == b[KEY] and a[KEY].split(".")[0] in (TEXT, *FLOWING)
+
+
+def _joined(a: list, b: list, *, neighbours: bool, across: bool) -> list:
+    """Two instances of one item as one: ``neighbours`` in one parent, or from two parents; ``across`` pages."""
+    out = list(a)
+    out[FREE] = a[FREE] or b[FREE]
+    out[PAGES] = a[PAGES] + b[PAGES] if across and not neighbours else max(a[PAGES], b[PAGES])
+    out[SEEN] = max(a[SEEN], b[SEEN]) if neighbours else a[SEEN] + b[SEEN]
+    out[TIMES] = a[TIMES] + b[TIMES]
+    out[REPEATED] = neighbours or a[REPEATED] or b[REPEATED]
+    if a[KEY] == TEXT:
+        values = None if a[VALUES] is None or b[VALUES] is None else sorted({*a[VALUES], *b[VALUES]})
+        out[VALUES] = values if values is not None and len(values) <= VALUES_KEPT else None
+        out[CHARS], out[LINKED], out[RUNS] = a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], [] if across else a[RUNS] + b[RUNS]
+    else:
+        out[BODY] = aligned(a[BODY], b[BODY], across)
+        if not a[KEY]:
+            out[VALUES] = sorted({*a[VALUES], *b[VALUES]})[: TEMPLATE_PAGES * VALUES_KEPT]
     return out
 
 
-# A wrapper node: [pages, occurrences, repeated, group, literal, chars, linked, {key: node}]; the
-# literal is a text that all pages share, or None for a slot. Children keep their aligned order.
-PAGES, SEEN, REPEATED, GROUP, LITERAL, CHARS, LINKED, PARTS = range(8)
-TEXT = "#"
-
-
-def _node() -> list:
-    return [1, 0, False, False, None, 0, 0, {}]
-
-
-def page_wrapper(found: list[tuple[str, str, int, tuple[int, ...]]]) -> list:
-    """The wrapper of one page's runs."""
-    root = _node()
-    before: tuple[int, ...] = ()
-    for path, text, linked, numbers in found:
-        keys = [*path.split("/"), TEXT] if path else [TEXT]
-        node, same, node_same = root, True, True
-        for depth, key in enumerate(keys):
-            same = same and depth < min(len(before), len(numbers)) and before[depth] == numbers[depth]
-            child = node[PARTS].get(key)
-            if child is None:
-                child = node[PARTS][key] = _node()
-            elif not same:
-                # again under the same parent, or in another parent of that name
-                child[REPEATED] |= depth == 0 or node_same
-                if node_same and next(reversed(node[PARTS])) != key:
-                    node[GROUP] = True
-            if not same:
-                child[SEEN] += 1
-            node, node_same = child, same
-        node[LITERAL] = text if node[SEEN] == 1 and len(text) <= 200 else None
-        node[CHARS] += len(text)
-        node[LINKED] += linked
-        before = numbers
-    return root
+def _grouped(a: list[list], b: list[list], across: bool) -> list:
+    group = _node(GROUP, [_joined(x, y, neighbours=False, across=across) for x, y in zip(a, b, strict=True)])
+    group[PAGES], group[SEEN] = max(x[PAGES] for x in (*a, *b)), max(x[SEEN] for x in (*a, *b))
+    group[TIMES], group[REPEATED] = 2, True
+    return group
+
+
+def fold(items: list[list], across: bool = False) -> list[list]:
+    """Successive equal items as one repeated item, successive equal sequences as one repeated group."""
+    out: list[list] = []
+    for item in items:
+        out.append(item)
+        while (shorter := _folded_end(out, across)) is not None:
+            out = shorter
+    return [_free(out, across)] if len(out) > MOST_ITEMS else out
+
+
+def _folded_end(out: list[list], across: bool) -> list[list] | None:
+    """``out`` with its last items folded into what stands before them, if they repeat it."""
+    for n in range(1, MOST_PERIOD + 1):
+        last = out[-n:]
+        if len(out) > n and n > 1 and (group := out[-n - 1])[KEY] == GROUP and not group[FREE] and len(group[BODY]) == n and all(map(_alike, group[BODY], last)):
+            group = list(group)
+            group[BODY] = [_joined(x, y, neighbours=False, across=across) for x, y in zip(group[BODY], last, strict=True)]
+            group[TIMES] += 1
+            return [*out[: -n - 1], group]
+        if len(out) >= 2 * n and all(map(_alike, out[-2 * n : -n], last)):
+            joined = _joined(out[-2], out[-1], neighbours=True, across=across) if n == 1 else _grouped(out[-2 * n : -n], last, across)
+            return [*out[: -2 * n], joined]
+    return None
+
+
+def _free(items: list[list], across: bool) -> list:
+    """A group of optional items in any order, which matches ``items`` however they are mixed."""
+    by: dict[str, list] = {}
+    flat = [x for x in _flat(items)]
+    if len({x[KEY] for x in flat}) > MOST_KEYS:  # the classes of so many say nothing
+        flat = [[x[KEY].split(".")[0], *x[1:]] for x in flat]
+    for x in flat:
+        by[x[KEY]] = _joined(by[x[KEY]], x, neighbours=True, across=across) if x[KEY] in by else x
+    group = _node(GROUP, list(by.values()))
+    group[FREE] = group[REPEATED] = True
+    group[PAGES], group[SEEN] = max(x[PAGES] for x in flat), max(x[SEEN] for x in flat)
+    return group
+
+
+def _by_groups(items: list[list], other: list[list], across: bool) -> list[list]:
+    """``items`` with every sequence that one of the ``other`` side's groups matches folded into a group."""
+    for group in other:
+        n = len(group[BODY]) if group[KEY] == GROUP else 0
+        if n < 2 or group[FREE]:
+            continue
+        out: list[list] = []
+        at = 0
+        while at < len(items):
+            here = items[at : at + n]
+            if len(here) == n and all(map(_alike, group[BODY], here)):
+                one = _node(GROUP, here)
+                one[PAGES], one[SEEN], one[REPEATED] = max(x[PAGES] for x in here), max(x[SEEN] for x in here), True
+                out.append(one)
+                at += n
+            else:
+                out.append(items[at])
+                at += 1
+        items = fold(out, across) if len(out) < len(items) else items
+    return items
+
+
+def _is_free(items: list[list]) -> bool:
+    return len(items) == 1 and items[0][KEY] == GROUP and bool(items[0][FREE])
+
+
+def _pairs(a: list[list], b: list[list]) -> list[tuple[int, int]]:
+    """The places of items that match, in order on both sides, with the greatest likeness in total."""
+    if len(a) == len(b) and all(x[KEY] == y[KEY] for x, y in zip(a, b, strict=True)) and len({x[KEY] for x in a}) == len(a):
+        return [(i, i) for i in range(len(a))]
+    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    like = [[_likeness(x, y) for y in b] for x in a]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            take = like[i][j] + best[i + 1][j + 1] if like[i][j] else 0.0
+            best[i][j] = max(take, best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if like[i][j] and best[i][j] == like[i][j] + best[i + 1][j + 1]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i + 1][j]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def aligned(a: list[list], b: list[list], across: bool) -> list[list]:
+    """One content that matches whatever either matches."""
+    if not _is_free(a) and not _is_free(b):
+        b = _by_groups(b, a, across)
+        a = _by_groups(a, b, across)
+    if _is_free(a) or _is_free(b):
+        return [_free(_summed(a, b) if across else [*a, *b], across)]
+    out: list[list] = []
+    i = j = 0
+    for x, y in [*_pairs(a, b), (len(a), len(b))]:
+        out += a[i:x]
+        out += b[j:y]
+        if x < len(a):
+            out.append(_joined(a[x], b[y], neighbours=False, across=across))
+        i, j = x + 1, y + 1
+    return fold(out, across)
+
+
+def _summed(a: list[list], b: list[list]) -> list[list]:
+    """Items of two pages' contents, those of one key joined so that their pages add up."""
+    by = {x[KEY]: x for x in _free(a, True)[BODY]}
+    for x in _free(b, True)[BODY]:
+        by[x[KEY]] = _joined(by[x[KEY]], x, neighbours=False, across=True) if x[KEY] in by else x
+    return list(by.values())
 
 
 def align(a: list, b: list) -> list:
-    """One wrapper that matches whatever either matches; ``a`` is changed and returned."""
-    a[SEEN] += b[SEEN]
-    a[REPEATED] |= b[REPEATED]
-    a[GROUP] |= b[GROUP]
-    a[LITERAL] = a[LITERAL] if a[LITERAL] == b[LITERAL] else None
-    a[CHARS] += b[CHARS]
-    a[LINKED] += b[LINKED]
-    a[PAGES] += b[PAGES]
-    mine, order = a[PARTS], list(a[PARTS])
-    last = -1
-    for key, part in b[PARTS].items():
-        if key in mine:
-            align(mine[key], part)
-            at = order.index(key)
-            a[GROUP] |= at < last
-            last = max(last, at)
-        else:
-            last += 1
-            order.insert(last, key)
-            mine[key] = part
-    if len(order) != len(mine) or list(mine) != order:
-        a[PARTS] = {k: mine[k] for k in order}
-    return a
+    """One wrapper that matches whatever the wrappers of two pages, or sets of pages, match."""
+    return _joined(a, b, neighbours=False, across=True)
 
 
-def expression(node: list, pages: int | None = None) -> str:
+def expression(node: list) -> str:
     """The wrapper as a regular expression: tags, ``#`` slots or 'literals', ``?`` and ``+``."""
-    pages = node[PAGES] if pages is None else pages
     parts = []
-    for key, part in node[PARTS].items():
-        inner = (f"'{part[LITERAL]}'" if part[LITERAL] is not None else TEXT) if key == TEXT else f"<{key}>{expression(part)}</>"
-        optional, repeated = part[PAGES] < node[PAGES], part[REPEATED]
-        parts.append(f"({inner}){'+' * repeated}{'?' * optional}" if optional or repeated else inner)
-    said = "".join(parts)
-    return f"({said})+" if node[GROUP] else said
+    for x in node[BODY]:
+        if x[KEY] == TEXT:
+            said = f"'{x[VALUES][0]}'" if x[VALUES] is not None and len(x[VALUES]) == 1 else TEXT
+        else:
+            said = expression(x) if x[KEY] == GROUP else f"<{x[KEY]}>{expression(x)}</>"
+        optional = node[FREE] or x[SEEN] < node[TIMES]
+        parts.append(f"({said}){'+' * x[REPEATED]}{'?' * optional}" if optional or x[REPEATED] else said)
+    return "".join(parts)
+
 
+# What is known of a slot: its level, and letters for what speaks against it. NEVER holds no main text.
+NEVER, ARTICLE, MARKED, OTHER = "-012"
+TEMPLATE, MENU, RECORD = "tmr"
 
-def _boilerplate(key: str) -> bool:
+
+def _boilerplate(key: str, holds_heading: bool, in_article: bool) -> bool:
     name, *words = key.split(".")
     if name in ("html", "body", "main", "article"):
         return False
-    return name in BOILERPLATE_TAGS or any(w in BOILERPLATE_WORDS for word in words for w in word.split("-"))
-
+    if name in BOILERPLATE_TAGS or name == "header" and not in_article:
+        return True
+    return not holds_heading and any(w in BOILERPLATE_WORDS for word in words for w in word.split("-"))
 
-#: Ranks of slots: under an article, marked as main text, varied text, literals of the template.
-ARTICLE, MARKED, VARIED, FIXED = "0123"
 
+def _level(keys: tuple[str, ...]) -> str:
+    parts = [k.split(".") for k in keys]
+    if any(p[0] == "article" for p in parts):
+        return ARTICLE
+    return MARKED if any(p[0] == "main" or "main" in p[1:] or "article" in p[1:] for p in parts) else OTHER
 
-def rank(root: list) -> list[str]:
-    """The slots that may hold main text: the rank and the path of each."""
-    slots: list[tuple[tuple[str, ...], list]] = []
 
-    def walk(node: list, path: tuple[str, ...]) -> None:
-        for key, part in node[PARTS].items():
-            if key == TEXT:
-                slots.append((path, part))
-            elif not _boilerplate(key) and not (key.split(".")[0] == "header" and not any(p.split(".")[0] == "article" for p in path)):
-                walk(part, (*path, key))
+def _holds(node: list, names: set[str]) -> bool:
+    return any(x[KEY] != TEXT and (x[KEY].split(".")[0] in names or _holds(x, names)) for x in node[BODY])
 
-    walk(root, ())
 
-    def marked(path: tuple[str, ...]) -> bool:
-        return any((parts := k.split("."))[0] in ("article", "main") or "main" in parts[1:] or "article" in parts[1:] for k in path)
+def _slots(node: list) -> int:
+    """Different places of text inside a node; blocks that repeat count as two."""
+    return sum(1 if x[KEY] == TEXT else _slots(x) * (2 if x[REPEATED] and x[KEY].split(".")[0] in RECORDS else 1) for x in node[BODY])
 
-    out = []
-    for path, n in slots:
-        if any(k.split(".")[0] == "article" for k in path):
-            level = ARTICLE
-        elif marked(path):
-            level = MARKED
-        elif n[LINKED] > LINK_SHARE * n[CHARS]:
-            continue
-        else:
-            level = FIXED if n[LITERAL] is not None and n[PAGES] >= LITERAL_PAGES else VARIED
-        out.append(level + "/".join(path))
-    return out
 
-
-def choose(levels: dict[str, str], chars: dict[str, int]) -> set[str]:
-    """The paths of main text among those with ``chars``, by the ranks of paths."""
-    best_level = min((levels[p] for p in chars if p in levels), default=None)
-    found = {p: n for p, n in chars.items() if levels.get(p) == best_level}
-    if best_level is None or best_level in (ARTICLE, MARKED):
-        return set(found) if best_level is not None else set()
-    plain = {p: tuple(p.split("/")) if p else () for p in found}
-    total = sum(found.values())
-    best: tuple[str, ...] = ()
-    while True:  # go down while one child holds most of the text
-        inner: dict[tuple[str, ...], int] = {}
-        for p, keys in plain.items():
-            if len(keys) > len(best) + 1 and keys[: len(best)] == best:  # the text's own element is no container
-                inner[keys[: len(best) + 1]] = inner.get(keys[: len(best) + 1], 0) + found[p]
-        most = max(inner, key=lambda k: inner[k], default=None)
-        if most is None or inner[most] < 0.7 * total:
-            break
-        best = most
-    return {p for p, keys in plain.items() if keys[: len(best)] == best}
-
-
-def judge(root: list) -> list[str]:
-    """The paths of the slots that hold main text, for all of the wrapper's pages together."""
-    chars: dict[str, int] = {}
-
-    def walk(node: list, path: tuple[str, ...]) -> None:
-        for key, part in node[PARTS].items():
-            if key == TEXT:
-                chars["/".join(path)] = part[CHARS]
-            else:
-                walk(part, (*path, key))
-
-    walk(root, ())
-    return sorted(choose({s[1:]: s[0] for s in rank(root)}, chars))
+def _record(node: list) -> bool:
+    """Whether a repeated node is a record: several slots, no heading, and blocks that running text does not have."""
+    names = {x[KEY].split(".")[0] for x in node[BODY]} if node[KEY] == GROUP else {node[KEY].split(".")[0]}
+    if not names <= RECORDS or _slots(node) < 2 or _holds(node, HEADINGS):
+        return False
+    return names != {"li"} or _holds(node, RECORDS - {"li"} | {"header", "footer"})
+
+
+def judge(wrapper: list) -> list:
+    """The wrapper as a template: nodes (key, items, free), and texts ("#", what is known of the slot)."""
+    pages = len(wrapper[VALUES])
+
+    def walk(node: list, keys: tuple[str, ...], never: bool, record: bool) -> list:
+        out = []
+        for x in node[BODY]:
+            name = x[KEY].split(".")[0]
+            if x[KEY] == TEXT:
+                level = _level(keys)
+                said = NEVER if never else level
+                if x[VALUES] is not None and min(x[PAGES], pages) >= TEMPLATE_PAGES * len(x[VALUES]):
+                    said += TEMPLATE
+                if x[LINKED] > (ARTICLE_LINK_SHARE if level == ARTICLE else LINK_SHARE) * x[CHARS] and (level != ARTICLE or any(k.split(".")[0] == "li" for k in keys)):
+                    said += MENU
+                out.append([TEXT, said + RECORD * record])
+                continue
+            group = x[KEY] == GROUP
+            inside = record or x[REPEATED] and not x[FREE] and _record(x)
+            gone = never or not group and _boilerplate(x[KEY], _holds(x, {"h1"}), any(k.split(".")[0] == "article" for k in keys))
+            out.append([x[KEY], walk(x, keys if group else (*keys, x[KEY]), gone, inside), bool(x[FREE])])
+        return out
+
+    return ["", walk(wrapper, (), False, False), False]
+
+
+def match(template: list, page: list, give: Callable[[list, list], None]) -> None:
+    """Matches a page's content against a template: ``give`` is called with each slot and the texts that fill it."""
+    w, p = template[BODY], page[BODY]
+
+    def pair(slot: list, item: list) -> None:
+        if item[KEY] == TEXT:
+            give(slot, item[RUNS])
+        elif item[KEY] == slot[KEY]:
+            match(slot, item, give)
+
+    rest = p
+    if not _is_free(w) and not _is_free(p):
+        p = _by_groups(p, w, False)
+        done = set()
+        if not _is_free(p):
+            for i, j in _pairs(w, p):
+                pair(w[i], p[j])
+                done.add(j)
+        rest = [x for j, x in enumerate(p) if j not in done]
+    if rest:  # what the order does not place goes by its key
+        by: dict[str, list] = {}
+        for x in _flat(w):
+            by.setdefault(x[KEY], x)
+        for x in _flat(rest):
+            if x[KEY] in by:
+                pair(by[x[KEY]], x)
+
+
+def _own(keys: tuple[str, ...]) -> str:
+    """What is known of a text that no slot takes."""
+    found = any(_boilerplate(k, False, any(p.split(".")[0] == "article" for p in keys[:i])) for i, k in enumerate(keys))
+    return NEVER if found else _level(keys)
+
+
+def main_text(page: str, template: list | None) -> str:
+    """The main text of one page by its host's template, or by that of the page alone."""
+    root, texts = parse(page)
+    known: list[str | None] = [None] * len(texts)
+
+    def give(slot: list, runs: list[int]) -> None:
+        for r in runs:
+            known[r] = slot[1]
+
+    match(judge(root) if template is None else template, root, give)
+    codes = [_own(texts[i][2]) if k is None else k for i, k in enumerate(known)]
+    level = min((c[0] for c in codes if c[0] != NEVER), default=None)
+    if level is None:
+        return ""
+    chars = lambda places: sum(len(texts[i][0]) for i in places)
+    chosen = [i for i, c in enumerate(codes) if c[0] == level]
+    plain = [i for i in chosen if TEMPLATE not in codes[i]]
+    if chars(plain) >= (1 - TEMPLATE_SHARE) * chars(chosen):
+        chosen = plain
+    chosen = [i for i in chosen if MENU not in codes[i]] or chosen
+    if level == OTHER:
+        chosen = _contained(chosen, texts)
+    apart = [i for i in chosen if RECORD not in codes[i]]
+    if apart and chars(apart) >= (ARTICLE_RECORD_REST if level == ARTICLE else RECORD_REST) * chars(chosen):
+        chosen = [i for i in chosen if RECORD not in codes[i] or i < apart[-1]]
+    return " ".join(texts[i][0] for i in chosen)
+
+
+def _contained(chosen: list[int], texts: list[tuple]) -> list[int]:
+    """The texts in the innermost element that holds most of what the element around it holds."""
+    depth, total = 0, sum(len(texts[i][0]) for i in chosen)
+    while True:
+        inner: dict[int, int] = {}
+        for i in chosen:
+            if len(texts[i][3]) > depth + 1:  # a text's own element is no container
+                inner[texts[i][3][depth]] = inner.get(texts[i][3][depth], 0) + len(texts[i][0])
+        most = max(inner, key=lambda k: (inner[k], -k), default=None)
+        if most is None or inner[most] < CONTAINER * total:
+            return chosen
+        chosen = [i for i in chosen if len(texts[i][3]) > depth + 1 and texts[i][3][depth] == most]
+        depth += 1
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+def _wrappers(known: dict[tuple[str, int], list]) -> pa.RecordBatch:
+    columns = [pa.array([h for h, _ in known], pa.string()), pa.array([s for _, s in known], pa.int32()), pa.array([json.dumps(w) for w in known.values()], pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["host", "salt", "wrapper"])
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, html) to this task's partial wrappers."""
     from pyspark import TaskContext
 
     salt = TaskContext.get().partitionId() % SALTS
-    known: dict[str, list] = {}
+    known: dict[tuple[str, int], list] = {}
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            wrapper = page_wrapper(runs(page.as_py() or ""))
-            known[host] = align(known[host], wrapper) if host in known else wrapper
-        if len(known) > 10_000:
-            yield _wrappers(known, salt)
-            known = {}
+            wrapper = _learned(parse(page.as_py() or "")[0])
+            known[host, salt] = align(known[host, salt], wrapper) if (host, salt) in known else wrapper
+            if len(known) >= HOSTS_HELD:
+                yield _wrappers(known)
+                known = {}
     if known:
-        yield _wrappers(known, salt)
+        yield _wrappers(known)
 
 
-def _wrappers(known: dict[str, list], salt: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([salt] * len(known), pa.int32()), pa.array([json.dumps(w) for w in known.values()], pa.string())], names=["host", "salt", "wrapper"])
+def _learned(node: list) -> list:
+    """A page's wrapper without the page's texts' places."""
+    out = list(node)
+    out[RUNS] = []
+    if out[BODY] is not None:
+        out[BODY] = [_learned(x) for x in out[BODY]]
+    return out
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial wrappers that a task holds to one of each (host, salt)."""
-    known: dict[tuple[str, int], list] = {}
+    """Partial wrappers, which come in order of (host, salt), to one of each."""
+    key, held = None, None
     for batch in batches:
+        done: dict[tuple[str, int], list] = {}
         for host, salt, said in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            wrapper = json.loads(said)
-            known[host, salt] = align(known[host, salt], wrapper) if (host, salt) in known else wrapper
-    if known:
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in known], pa.string()), pa.array([s for _, s in known], pa.int32()), pa.array([json.dumps(w) for w in known.values()], pa.string())], names=["host", "salt", "wrapper"])
+            if (host, salt) != key:
+                if key is not None:
+                    done[key] = held
+                key, held = (host, salt), json.loads(said)
+            else:
+                held = align(held, json.loads(said))
+        if done:
+            yield _wrappers(done)
+    if key is not None:
+        yield _wrappers({key: held})
 
 
 _PARTIAL = "host string, salt int, wrapper string"
@@ -343,33 +584,30 @@ def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
     return whole.select("host", "wrapper")
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
+@F.arrow_udf(T.StringType())
 def _judge(wrappers: pa.Array) -> pa.Array:
-    return pa.array([rank(json.loads(w)) for w in wrappers.to_pylist()], pa.list_(pa.string()))
+    return pa.array([json.dumps(judge(json.loads(w.as_py())), separators=(",", ":")) for w in wrappers], pa.string())
 
 
 @F.arrow_udf(T.StringType())
-def _main_text(pages: pa.Array, slots: pa.Array) -> pa.Array:
+def _main_text(pages: pa.Array, templates: pa.Array) -> pa.Array:
     out = []
-    known: dict[tuple, dict[str, str]] = {}
-    for page, said in zip(pages, slots.to_pylist(), strict=True):
-        found = runs(page.as_py() or "")
-        said = tuple(rank(page_wrapper(found)) if said is None else said)
-        if said not in known:
-            known = {} if len(known) > 10_000 else known
-            known[said] = {s[1:]: s[0] for s in said}
-        chars: dict[str, int] = {}
-        for path, text, *_ in found:
-            chars[path] = chars.get(path, 0) + len(text)
-        chosen = choose(known[said], chars)
-        out.append(" ".join(text for path, text, *_ in found if path in chosen))
+    known: dict[str, list] = {}
+    for page, said in zip(pages, templates, strict=True):
+        said = said.as_py()
+        if said is not None and said not in known:
+            known = {} if len(known) >= HOSTS_HELD else known
+            known[said] = json.loads(said)
+        out.append(main_text(page.as_py() or "", None if said is None else known[said]))
     return pa.array(out, pa.string())
 
 
 def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", result: str = "text") -> DataFrame:
-    """``pages`` with a column of main text. The html itself is not shuffled while wrappers are few."""
-    slots = materialize(infer_wrappers(pages, url_col=url_col, html_col=html_col).select(F.col("host").alias("__host"), _judge("wrapper").alias("__slots")), "wrappers")
-    size = slots.agg(F.sum(F.length(F.array_join("__slots", " ")) + F.length("__host") + 64)).first()[0] or 0
-    side = F.broadcast(slots) if size <= BROADCAST_BYTES else slots
-    joined = pages.withColumn("__host", host_of(F.col(url_col))).join(side, "__host", "left")
-    return joined.withColumn(result, _main_text(F.col(html_col).cast("string"), F.col("__slots"))).drop("__host", "__slots")
+    """``pages`` with a column of main text, by each host's template (a few hundred bytes to some KB).
+
+    Pages and templates are joined by host without hints: Spark broadcasts the templates up to its own
+    threshold; beyond, pages are shuffled, and AQE splits a host of many pages.
+    """
+    templates = infer_wrappers(pages, url_col=url_col, html_col=html_col).select(F.col("host").alias("__host"), _judge("wrapper").alias("__template"))
+    joined = pages.withColumn("__host", host_of(F.col(url_col))).join(materialize(templates, "templates"), "__host", "left")
+    return joined.withColumn(result, _main_text(F.col(html_col).cast("string"), F.col("__template"))).drop("__host", "__template")

@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 from corridora.llm import html_wrappers as hw
 
 
@@ -40,12 +42,6 @@ def test_extraction(spark):
     assert got[40] == "Title 1 First para boldgraph & 1 next Second 1" and got[50] == "" and got[51] == "" and got[52] == "no markup at all" and got[53] == want(0)
 
 
-def test_joined_by_host_when_wrappers_are_many(spark, monkeypatch):
-    monkeypatch.setattr(hw, "BROADCAST_BYTES", -1)
-    rows = [(i, f"http://a.example/{i}", site(i), None) for i in range(4)]
-    assert {r.page_id: r.text for r in hw.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {i: want(i) for i in range(4)}
-
-
 def test_mixed_templates_and_pages_without_a_host(spark):
     old = lambda i: page(f"<div id=content><div class=text><h1>Old {i}</h1><p>{'older ' * 30}{i}</p></div></div>")
     rows = [(i, f"http://a.example/{i}", site(i), None) for i in range(6)] + [(10 + i, f"http://a.example/old{i}", old(i), None) for i in range(2)]
@@ -59,12 +55,107 @@ def test_empty(spark):
     assert hw.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_alignment_makes_options_repeats_and_slots():
+def wrapper_of(*pages):
     w = None
-    for body in ("<div><h1>A</h1><p>same</p></div>", "<div><h1>B</h1><p>same</p><p>same</p><em>x</em></div>", "<div><p>same</p></div>"):
-        found = hw.page_wrapper(hw.runs(body))
+    for said in pages:
+        found = hw._learned(hw.parse(said)[0])
         w = hw.align(w, found) if w else found
-    said = hw.expression(w)
-    assert "(<h1>#</>)?" in said and "(<p>" in said and ")+" in said
-    a, b = hw.page_wrapper(hw.runs(site(1))), hw.page_wrapper(hw.runs(site(2)))
-    assert set(hw.judge(hw.align(a, b))) >= {"html/body/article/h1", "html/body/article/p"}
+    return w
+
+
+def test_alignment_makes_options_repeats_groups_and_slots():
+    w = wrapper_of("<div><h1>A</h1><p>same</p></div>", "<div><h1>B</h1><p>same</p><p>same</p><pre>x</pre></div>", "<div><p>same</p></div>")
+    assert hw.expression(w) == "<div>(<h1>#</>)?(<p>'same'</>)+(<pre>'x'</>)?</>"
+    # successive equal sequences become a repeated group, and a page with one of them meets it
+    two = "<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl>"
+    assert hw.expression(wrapper_of(two)) == "<dl>(<dt>#</><dd>#</>)+</>"
+    assert hw.expression(wrapper_of(two, "<dl><dt>e</dt><dd>f</dd></dl>")) == "<dl>(<dt>#</><dd>#</>)+</>"
+    # blocks of one name keep apart by what they hold, and by their order
+    w = wrapper_of(*[f"<div>Top</div><div><h1>T{i}</h1><p>x{i}</p></div><div><ul><li>a<li>b</ul></div>" for i in range(3)])
+    assert hw.expression(w) == "<div>'Top'</><div><h1>#</><p>#</></><div><ul>(<li>#</>)+</></>"
+
+
+def test_contents_in_no_order_become_a_free_group():
+    names = [f"x{chr(97 + i)}" for i in range(26)]
+    pages = [f"<section>{''.join(f'<{n}>t</{n}>' for n in (names if k else names[::-1]))}</section>" for k in range(2)]
+    w = wrapper_of(*pages)
+    (section,) = w[hw.BODY]
+    assert hw._is_free(section[hw.BODY]) and len(section[hw.BODY][0][hw.BODY]) == 26
+    taken = []
+    hw.match(hw.judge(w), hw.parse(pages[1])[0], lambda slot, runs: taken.extend(runs))
+    assert sorted(taken) == list(range(26))
+
+
+def test_every_text_of_a_page_fills_a_slot_of_its_wrapper():
+    pages = [site(i) for i in range(8)] + [plain(i) for i in range(4)]
+    template = hw.judge(wrapper_of(*pages))
+    for said in pages:
+        root, texts = hw.parse(said)
+        taken = []
+        hw.match(template, root, lambda slot, runs: taken.extend(runs))
+        assert sorted(taken) == list(range(len(texts)))
+
+
+def nameless(i):
+    """No class says anything, no article marks the text; the wrapper's slots must tell."""
+    comments = "".join(f"<div><div>user{i}{j}</div><div>{'I think so too '*(j + 1)}{i}{j}</div></div>" for j in range(i % 4))
+    return page(
+        f"<div class=k1><ul><li><a href=/>Start</a><li><a href=/x>Part {i}</a></ul></div><div class=k2>We use biscuits</div><div class=k3>Buy {'one' if i % 2 else 'two'} now</div>"
+        f"<div class=k4><div class=k5><h1>Head {i}</h1><p>{'lorem ' * (20 + i)}{i}</p>{f'<blockquote>{i} said</blockquote>' * (i % 2)}<p>{'ipsum ' * 15}{i}</p><p>Thanks to all our readers</p></div>{comments}</div><div class=k6>Rights {i} reserved by us</div>"
+    )
+
+
+def test_meaningless_class_names(spark):
+    df = spark.createDataFrame([(i, f"http://n.example/{i}", nameless(i), None) for i in range(24)], SCHEMA)
+    got = {r.page_id: r.text for r in hw.extract(df).collect()}
+    for i in range(24):
+        quote = f"{i} said " * (i % 2)
+        assert got[i] == f"Head {i} " + "lorem " * (20 + i) + f"{i} {quote}" + "ipsum " * 15 + f"{i} Thanks to all our readers"
+
+
+class Reader(HTMLParser):
+    """A plain reading of markup that has an article, by the parser of the standard library."""
+
+    BLOCKS = {"p", "h1", "h2", "h3", "li", "ul", "div", "article", "br"}
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.blocks, self.held = 0, [], []
+
+    def handle_starttag(self, tag, attrs):
+        self.flush(tag)
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        self.flush(tag)
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.held.append(data)
+
+    def flush(self, tag):
+        if tag in self.BLOCKS:
+            said = " ".join("".join(self.held).split())
+            self.blocks += [said] * bool(said)
+            self.held = []
+
+
+def test_pages_against_a_plain_reading(spark):
+    from corridora.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = queries.op1_html_wrappers(spark, sf).collect()
+    assert len(rows) == len(html)
+    for r in rows:
+        reader = Reader()
+        reader.feed(html[r.page_id] or "")
+        assert r.text == " ".join(reader.blocks) and r.n_chars == len(r.text), r.page_id
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, "http://c.example/same", page(f"<article><h1>One title</h1><p>{'long ' * 60}</p></article><footer>f</footer>"), None) for i in range(9)]
+    rows += [(10, "http://c.example/deep", "<div>" * 400 + "deep text" + "</div>" * 400, None)]
+    got = {r.page_id: r.text for r in hw.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: "One title " + ("long " * 60).strip() for i in range(9)} | {10: "deep text"}
