@@ -1,26 +1,34 @@
 """Mixing sources to target weights by entropy balancing.
 
-Each source g gets a target of T_g words. Among all document rates r (0 to ``cap``) that meet every
-source's target, the one nearest to taking each document once is chosen: the least relative entropy
-sum over documents of size * (r log r - r + 1), counted per word. Its dual is convex with one
-multiplier per source, and the solution is an exponential tilt r = min(cap, exp(lambda_g * z)).
-z is 1 (all lengths alike) or, with ``length_tilt``, a power of a document's length relative to its
-source, so that a source is thinned or repeated more at one end. Newton steps, kept inside a
-shrinking bracket, run as aggregations over strata (source, length class); every document enters
-through its stratum's exact sums, so the constraint holds for the documents themselves.
+Each source g gets a target of T_g words. Among all document rates r (0 to ``cap``) whose words meet
+every source's target, the one nearest to taking each document once is chosen: the least relative
+entropy, the sum of r log r - r + 1 over documents. Its dual is convex with one multiplier per source,
+and the solution tilts every document exponentially by its tokens: r = min(cap, exp(lambda_g * z)),
+where z is the document's size over its source's mean size. A source that has too many words loses
+them from its long documents first and keeps most of its documents; one that has too few repeats its
+long documents first.
+
+The dual is solved by Newton steps, kept inside a shrinking bracket; each is an aggregation over
+strata of documents of a source that are alike in size. A stratum enters with its exact sums and has
+the rate of its mean size, so the constraint holds for the documents themselves, and the steps cost
+the same whatever a source's documents are. Strata are sizes up to 64 words, and a 64th of a doubling
+beyond.
 
 Rates are rounded into copies so that each source's words stay near its target: from the longest
-class to the shortest, a class gets the whole number of copies that comes nearest to its share plus
-what was left over so far; inside a class they are dealt out evenly in a fixed pseudo-random order.
+stratum to the shortest, a stratum gets the whole number of copies that comes nearest to its share plus
+what was left over so far; inside a stratum they are dealt out evenly in a fixed pseudo-random order.
 
-DataFrame functions only; reruns agree. Windows hold one cell of about CELL_ROWS rows of a class.
+DataFrame functions only; reruns agree. Rows that repeat are one group with a number of rows, and
+prefix sums run over bounded buckets in two levels, so that no source, stratum or copied document is
+one task's alone.
 
 Targets: sources by code point, null last, weigh ``weights`` in turn, and share ``budget`` of all
 sizes; a target stops at ``cap`` times its source's size and the excess is reshared by weight
 until none is above (the water level of the sorted caps).
 
 Defined results: null and empty texts have size 0 and nothing is taken of them; a null source is a
-source; repeated rows are dealt copies each; an empty table gives an empty result.
+source; repeated rows are dealt copies each; very long texts are strata like others; an empty table
+gives an empty result; other columns are left to the caller.
 """
 
 from __future__ import annotations
@@ -29,12 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize, release
+from .shared import materialize, release, running_start
 
 WEIGHTS = (3, 1, 2)
-CELL_ROWS = 64
-CLASSES_PER_DOUBLING = 4
+STRATA_PER_DOUBLING = 64
 TOLERANCE, STEPS = 1e-9, 60
+#: Newton steps between two cuts of the lineage.
+STEPS_A_CUT = 2
 
 
 def count_words(text: Column) -> Column:
@@ -60,35 +69,54 @@ def targets(sources: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, budget: f
     return found.select("key", "source_size", F.least(F.col("cap"), F.coalesce(F.col("water") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def solve_rates(strata: DataFrame, wanted: DataFrame, *, cap: float = 2.0, length_tilt: float = 0.0) -> DataFrame:
+def _stratum(size: Column) -> Column:
+    """A number for sizes that are alike: the size itself, or its 64th of a doubling; -1 for none."""
+    fine = F.floor(F.log2(size.cast("double")) * STRATA_PER_DOUBLING + 1e-9)
+    return F.when(size <= 0, -1).when(size <= STRATA_PER_DOUBLING, size).otherwise(fine).cast("int")
+
+
+def solve_rates(strata: DataFrame, wanted: DataFrame, *, cap: float = 2.0) -> DataFrame:
     """(key, class, n, words) and (key, source_size, target) to strata with their ``rate``.
 
     Newton steps on the dual until every source's words are within TOLERANCE of its target.
     """
-    means = strata.groupBy("key").agg((F.sum("words") / F.sum("n")).alias("source_mean"))
-    tilt = F.lit(1.0) if length_tilt == 0 else F.pow(F.col("words") / F.col("n") / F.col("source_mean"), F.lit(length_tilt))
-    cells = materialize(strata.where("words > 0").join(means, "key").withColumn("z", tilt).select("key", "class", "n", "words", "z"), "strata")
-    state = wanted.where("source_size > 0").select("key", "target", F.lit(0.0).alias("lam"), F.lit(-800.0).alias("lo"), F.lit(800.0).alias("hi"), F.lit(1.0).alias("off"))
+    means = strata.where("words > 0").groupBy("key").agg((F.sum("words") / F.sum("n")).alias("source_mean"))
+    cells = strata.where("words > 0").join(means, "key").select("key", "class", "n", "words", (F.col("words") / F.col("n") / F.col("source_mean")).alias("z"))
+    cells = materialize(cells, "strata")
+    # exp(lam * z) spans all rates that doubles tell apart, down to the shortest document's z
+    state = wanted.where("source_size > 0").select("key", "target", F.lit(0.0).alias("lam"), F.lit(-1e9).alias("lo"), F.lit(1e9).alias("hi"), F.lit(1.0).alias("off"))
     state = materialize(state, "newton")
-    for _ in range(STEPS):
-        rate = F.least(F.lit(cap), F.exp(F.col("lam") * F.col("z")))
+    rate = F.least(F.lit(cap), F.exp(F.col("lam") * F.col("z")))
+
+    def step(state: DataFrame) -> DataFrame:
         slope = F.when(rate < cap, F.col("z") * rate * F.col("words")).otherwise(0.0)
-        sums = cells.join(state, "key").groupBy("key").agg(F.first("target").alias("target"), F.first("lam").alias("lam"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.sum(rate * F.col("words")).alias("got"), F.sum(slope).alias("slope"))
+        held = [F.first(c).alias(c) for c in ("target", "lam", "lo", "hi")]
+        sums = cells.join(state, "key").groupBy("key").agg(*held, F.sum(rate * F.col("words")).alias("got"), F.sum(slope).alias("slope"))
         gap = F.col("got") - F.col("target")
         lo, hi = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.when(F.col("slope") > 0, F.col("lam") - gap / F.col("slope"))
         sums = sums.withColumn("off", F.abs(gap) / F.col("target")).withColumns({"lo": lo, "hi": hi, "next": newton})
-        inside = F.when(F.col("next").between(F.col("lo"), F.col("hi")), F.col("next")).otherwise((F.col("lo") + F.col("hi")) / 2)
-        before = state
-        state = materialize(sums.select("key", "target", F.when(F.col("off") <= TOLERANCE, F.col("lam")).otherwise(inside).alias("lam"), "lo", "hi", "off"), "newton")
+        # outside of the bracket a step halves it, on a scale that reaches far ends in few steps
+        middle = F.when(F.col("lo") >= 1, F.sqrt(F.col("lo") * F.col("hi"))).when(F.col("hi") <= -1, -F.sqrt(F.col("lo") * F.col("hi")))
+        middle = F.coalesce(middle, F.when(F.col("lo") < -2, F.lit(-1.5)).when(F.col("hi") > 2, F.lit(1.5)), (F.col("lo") + F.col("hi")) / 2)
+        inside = F.when(F.col("next").between(F.col("lo"), F.col("hi")), F.col("next")).otherwise(middle)
+        return sums.select("key", "target", F.when(F.col("off") <= TOLERANCE, F.col("lam")).otherwise(inside).alias("lam"), "lo", "hi", "off")
+
+    for _ in range(0, STEPS, STEPS_A_CUT):
+        before, following = state, state
+        for _ in range(STEPS_A_CUT):
+            following = step(following)
+        state = materialize(following, "newton")
         release(before)
         if state.where(F.col("off") > TOLERANCE).isEmpty():
             break
-    return cells.join(state.select("key", "lam"), "key").select("key", "class", "n", "words", F.least(F.lit(cap), F.exp(F.col("lam") * F.col("z"))).alias("rate"))
+    else:
+        raise RuntimeError(f"the multipliers did not settle within {STEPS} steps")
+    return cells.join(state.select("key", "lam"), "key").select("key", "class", "n", "words", rate.alias("rate"))
 
 
-def _copies_per_class(rated: DataFrame, cap: float) -> DataFrame:
-    """(key, class, n, copies): whole copies of each class, what is left over passed to shorter ones."""
+def _copies_per_stratum(rated: DataFrame, cap: float) -> DataFrame:
+    """(key, class, n, copies): whole copies of each stratum, what is left over passed to shorter ones."""
     row = F.struct(F.col("class").alias("c"), "n", "words", "rate")
     listed = rated.groupBy("key").agg(F.sort_array(F.collect_list(row), asc=False).alias("rows"))
 
@@ -103,40 +131,37 @@ def _copies_per_class(rated: DataFrame, cap: float) -> DataFrame:
     return listed.select("key", F.explode(F.aggregate("rows", start, deal)["out"]).alias("x")).select("key", "x.*")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0, length_tilt: float = 0.0) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Per document: doc_id, text_hash, source, size, source_size, target, rate, copies, taken."""
-    small = docs.select(F.col(id_col), _key(F.col(source_col)).alias("key"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
-    length = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * CLASSES_PER_DOUBLING + 1e-9)).otherwise(-1).cast("int")
-    small = materialize(small.withColumn("class", length), "sizes")
-    strata = materialize(small.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "classes")
+    columns = [F.col(id_col), _key(F.col(source_col)).alias("key"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash")]
+    small = docs.select(*columns).withColumn("class", _stratum(F.col("size")))
+    # rows that repeat are one group of m rows
+    small = materialize(small.groupBy(id_col, "key", "source", "size", "text_hash", "class").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    strata = materialize(small.groupBy("key", "class").agg(F.sum("m").alias("n"), F.sum(F.col("size") * F.col("m")).alias("words")), "classes")
     wanted = materialize(targets(strata.groupBy("key").agg(F.sum("words").alias("source_size")), weights=weights, budget=budget, cap=cap), "targets")
-    dealt = materialize(_copies_per_class(solve_rates(strata, wanted, cap=cap, length_tilt=length_tilt), cap), "copies")
-
-    counts = strata.select("key", "class", F.ceil(F.col("n") / CELL_ROWS).alias("salts"))
-    celled = small.where("size > 0").join(counts, ["key", "class"]).withColumn("cell", F.pmod(F.xxhash64(id_col, "text_hash"), F.col("salts"))).drop("salts")
-    offsets = celled.groupBy("key", "class", "cell").agg(F.count(F.lit(1)).alias("m"))
-    ahead = Window.partitionBy("key", "class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select("key", "class", "cell", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("start"))
-    here = Window.partitionBy("key", "class", "cell").orderBy("size", "text_hash", id_col)
-    ranked = celled.withColumn("at", F.row_number().over(here)).join(offsets, ["key", "class", "cell"]).join(dealt, ["key", "class"])
-    at, share = F.col("start") + F.col("at"), F.col("copies")
+    dealt = materialize(_copies_per_stratum(solve_rates(strata, wanted, cap=cap), cap), "copies")
+
+    placed = running_start(small.where("size > 0"), ["key", "class"], [id_col, "text_hash"], "m").join(dealt, ["key", "class"])
+    rows = placed.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    at, share = F.col("start") + F.col("__i"), F.col("copies")
     each = (F.floor(at * share / F.col("n")) - F.floor((at - 1) * share / F.col("n"))).cast("int")
-    some = ranked.select(id_col, "text_hash", "key", "source", "size", "rate", each.alias("copies"))
-    none = small.where("size = 0").select(id_col, "text_hash", "key", "source", "size", F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
+    some = rows.select(id_col, "text_hash", "key", "source", "size", "rate", each.alias("copies"))
+    none = small.where("size = 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("m")))).select(id_col, "text_hash", "key", "source", "size", F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
     return some.unionByName(none).join(wanted, "key").select(id_col, "text_hash", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it (0 to cap times).
 
-    Rows that repeat both id and text count as one row that takes their copies together.
+    Rows that repeat id, text and source count as one row that takes their copies together.
     """
-    plan = mix(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__text_hash")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    keys = {"__id": F.col(id_col), "__text": F.col("text_hash"), "__from": F.col("source")}
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
     plan = materialize(plan, "plan")
     keyed = docs.withColumn("__hash", F.xxhash64(text_col))
     if not plan.where("__rows > 1").isEmpty():
-        keyed = keyed.dropDuplicates([id_col, "__hash"])
+        keyed = keyed.dropDuplicates([id_col, "__hash", source_col])
     chosen = plan.where("__copies > 0")
-    joined = keyed.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__text_hash")))
+    joined = keyed.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")) & F.col(source_col).eqNullSafe(F.col("__from")))
     repeated = joined.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return repeated.select(*docs.columns)

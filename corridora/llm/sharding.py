@@ -10,7 +10,8 @@ gaps, and the place of any row number is computed without looking at others.
 DataFrame functions only. The texts are never shuffled: only id, size and checksums are numbered.
 
 Defined results: null texts have size 1 and the checksum of the empty text; null ids come first;
-repeated rows are interchangeable and each get a place; an empty table gives an empty result;
+repeated rows are interchangeable and each get a place; very long texts only count by their size and
+checksum; an empty table gives an empty result;
 equal texts are not kept together under this law.
 """
 
@@ -18,13 +19,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import materialize
+from .shared import materialize, running_start
 
 ROUNDS = 4
-#: Rows in a bucket of the numbering, on average.
-BUCKET_ROWS = 64
 #: Cycle walks tried; each leaves the domain with odds of 1 to sqrt(N). Beyond, an error is raised.
 WALKS = 64
 
@@ -53,23 +51,15 @@ def permute(row: Column, n: Column, seed: int = 0) -> Column:
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
-    """(``df`` with a gapless global number from 0 in the order (bucket by hash, ``order``), its number of rows).
+    """(the ``order`` columns of ``df``, row by row, with a gapless global number from 0; their number).
 
-    Buckets hold about BUCKET_ROWS rows at any size of the table; their counts are summed up in
-    two levels, so that no window holds more than the square root of the buckets.
+    Rows that repeat all of them are one group with a number of rows, so that they are no task's alone.
     """
-    total = df.count()
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    tier = max(1, int(buckets**0.5))
-    spread = materialize(df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets))), "buckets")
-    counts = spread.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("__tier", F.floor(F.col("__bucket") / tier))
-    inner = Window.partitionBy("__tier").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.orderBy("__tier").rowsBetween(Window.unboundedPreceding, -1)
-    tiers = counts.groupBy("__tier").agg(F.sum("n").alias("n")).select("__tier", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("before"))
-    start = counts.withColumn("within", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(tiers, "__tier").select("__bucket", (F.col("before") + F.col("within")).alias("__start"))
-    here = Window.partitionBy("__bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    ranked = spread.withColumn("__rank", F.row_number().over(here))
-    return ranked.join(start, "__bucket").withColumn(name, F.col("__start") + F.col("__rank") - 1).drop("__bucket", "__start", "__rank"), total
+    groups = materialize(df.groupBy(*order).agg(F.count(F.lit(1)).alias("__rows")), "groups")
+    total = groups.agg(F.sum("__rows")).first()[0] or 0
+    placed = running_start(groups, [], order, "__rows")
+    rows = placed.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__rows") - 1)))
+    return rows.select(*order, (F.col("start") + F.col("__i")).alias(name)), total
 
 
 def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:

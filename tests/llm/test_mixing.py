@@ -1,7 +1,7 @@
+import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from corridora.llm import mixing
 
@@ -46,11 +46,43 @@ def test_targets_and_rounding(spark):
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
 
 
-def test_length_tilt_meets_the_targets(spark):
-    df = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 50)), "ab"[i % 5 == 0]) for i in range(800)], "doc_id long, text string, source string")
-    got = mixing.mix(df, length_tilt=0.5).groupBy("source", "target").agg(F.sum("taken").alias("t"), F.sum(F.col("rate") * F.col("size")).alias("r")).collect()
-    for r in got:
-        assert r.r == pytest.approx(r.target, rel=1e-6) and abs(r.t - r.target) < 0.03 * r.target
+def brute_multiplier(sizes, target, cap=2.0):
+    """The multiplier of one source by plain bisection over its documents."""
+    mean = sum(sizes) / len(sizes)
+    lo, hi = -1e7, 1e7
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        got = sum(min(cap, math.exp(min(700, mid * n / mean))) * n for n in sizes)
+        lo, hi = (mid, hi) if got < target else (lo, mid)
+    return (lo + hi) / 2, mean
+
+
+def test_rates_against_brute_force(spark):
+    """Documents are tilted by their length; the rates solve the dual, and thinned sources lose long documents first."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 5, 30, 64, 200, 1000])), "abc"[min(2, i % 7)]) for i in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    for source in "abc":
+        mine = [r for r in got if r.source == source]
+        sizes, target = [r["size"] for r in mine], mine[0].target
+        assert sum(r.rate * r["size"] for r in mine) == pytest.approx(target, rel=1e-6)
+        assert abs(sum(r.taken for r in mine) - target) <= 1000
+        lam, mean = brute_multiplier(sizes, target)
+        for r in mine:
+            assert r.rate == pytest.approx(min(2.0, math.exp(lam * r["size"] / mean)), rel=1e-5)
+        assert len({round(r.rate, 6) for r in mine}) > 2 or target >= 2 * sum(sizes) * (1 - 1e-9)
+
+
+def test_rows_that_repeat_are_dealt_copies_each(spark):
+    rows = [(1, "a b c", "s")] * 300 + [(i, "d e f g", "t") for i in range(2, 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    mine = [r for r in got if r.doc_id == 1]
+    assert len(got) == len(rows) and len(mine) == 300
+    assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3 and {r.copies for r in mine} <= {0, 1, 2}
+    copies = sum(r.copies for r in mine)
+    assert mixing.mixed_documents(df).where("doc_id = 1").count() == copies
 
 
 def test_awkward_documents(spark):
