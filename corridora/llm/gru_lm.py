@@ -1,17 +1,21 @@
 """Scoring by a gated recurrent language model with a class-factored output softmax, in numpy.
 
-Tokens are lower-cased words and an end for each text. The model's symbols are the most frequent
-tokens and one for all others. P(token | before) = P(class | state) * P(symbol | class, state), and
-for the other tokens times their smoothed share of all others' counts in training, so every text has
-a probability, whatever its words, and the sum over one text's next tokens is 1.
+Tokens are lower-cased words and an end for each text. Known words are grouped by the company that
+they keep. The model's symbols are the most frequent words, the rest of each group, and one for all
+other tokens. P(token | before) = P(class | state) * P(symbol | class, state), and for a token that
+shares a symbol times its smoothed share of the symbol's counts in training, so every text has a
+probability, whatever its words, and the sum over one text's next tokens is 1. A class is a part of a
+group's symbols, of like frequency, so that the classes alone tell a text's language or subject.
 
 Texts of a block run side by side in lanes. Truncated backpropagation covers a window of positions;
 the state is carried from window to window and is reset only where a text begins, so a score is that
 of the whole text. Lanes refill as texts end.
 
-Counting is a Spark aggregation over all training texts. Training is data-parallel: every task runs
-once over all training texts of its partition from the same weights, and the weights are averaged,
-weighted by tokens, in rounds of a tree.
+Counting is a Spark aggregation over all training texts. So is the company: how often each of the
+most frequent words stands near each known one; groups are the clusters of these counts. Training is
+data-parallel: a hash of the text deals every training text to one of ``ROUNDS`` rounds; in a round
+every task runs once over the round's texts of its partition, all from the same weights, and the
+weights are averaged, weighted by tokens, in a tree.
 Word counts are looked up in a table of at most ``KNOWN_WORDS`` frequent words; rarer ones, whose
 texts are few, are joined.
 
@@ -32,17 +36,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as kernels
-from .shared import materialize
+from .shared import materialize, release
 
 END = np.uint64(0x0123456789ABCDEF)
 SMOOTH = 0.1
 #: Frequent words whose counts every task holds (16 bytes each).
 KNOWN_WORDS = 200_000
-SYMBOLS, CLASSES, HIDDEN, WINDOW, LANES = 2048, 40, 24, 16, 512
+SYMBOLS, HIDDEN, WINDOW = 2048, 24, 16
+#: Texts side by side in scoring and in learning, and learning steps that a block should give at least.
+LANES, LEARN_LANES, LEARN_STEPS = 512, 192, 512
+#: Groups of known words, and classes of each group's symbols.
+GROUPS, BINS = 8, 6
+#: Frequent words whose nearness tells groups apart, and how near that is.
+COMPANY, REACH = 48, 4
 #: Tokens of a block of texts. A long text bounds the number of lanes, and wide windows cost less a token.
 BLOCK_TOKENS, LOOK_UP_TOKENS = 4_000_000, 500_000
 #: AdaGrad's rate and first sum of squares.
-RATE, START = 0.06, 1e-2
+RATE, START = 0.07, 1e-2
+#: Every training text is learned from in one of so many rounds; after each the weights are averaged.
+ROUNDS = 2
 #: Weights averaged in one task of the tree.
 FAN_IN = 8
 
@@ -53,12 +65,13 @@ class Vocabulary:
 
     hashes: np.ndarray  # ascending
     counts: np.ndarray
-    symbol: np.ndarray  # the symbol of each, or that of all others
+    symbol: np.ndarray  # the symbol of each
+    log_share: np.ndarray  # log10 of each one's share of its symbol
     total: int
     distinct: int
     order: np.ndarray  # symbols by class
     bounds: np.ndarray  # classes' borders in it
-    frequency: np.ndarray  # of each symbol
+    frequency: np.ndarray  # of each symbol; the last one is that of all other tokens
 
     @property
     def others(self) -> int:
@@ -66,7 +79,7 @@ class Vocabulary:
 
     def other_mass(self) -> float:
         """The smoothed count of all other tokens together, one unseen token included."""
-        return float(self.frequency[self.others]) + SMOOTH * (self.distinct - self.others + 1)
+        return float(self.frequency[self.others]) + SMOOTH * (self.distinct - np.count_nonzero(self.counts) + 1)
 
     def look_up(self, words: np.ndarray) -> np.ndarray:
         """The place of each word in the table, or -1."""
@@ -82,22 +95,57 @@ class Vocabulary:
         return np.r_[self.symbol, self.others].astype(np.int16)[at]
 
 
-def vocabulary(hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> Vocabulary:
-    order = np.lexsort((hashes, -counts, hashes != END))  # the end is always a symbol
-    if not len(hashes) or hashes[order[0]] != END:
-        hashes, counts = np.r_[hashes, END].astype(np.uint64), np.r_[counts, 0]
-        order = np.r_[len(hashes) - 1, order]
-    chosen = order[: SYMBOLS - 1]
-    frequency = np.r_[counts[chosen], total - counts[chosen].sum()].astype(np.int64)
-    symbol = np.full(len(hashes), len(chosen), dtype=np.int32)
+def vocabulary(hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, group: np.ndarray | None = None) -> Vocabulary:
+    """From the known words' hashes, counts and groups, and the totals of all tokens."""
+    group = np.zeros(len(hashes), np.int64) if group is None else group
+    if END not in hashes:  # the end is always a symbol
+        hashes, counts, group = np.r_[hashes, END].astype(np.uint64), np.r_[counts, 0], np.r_[group, 0].astype(np.int64)
+    chosen = np.lexsort((hashes, -counts, hashes != END))[: SYMBOLS - 1 - GROUPS]
+    symbol = np.full(len(hashes), -1, dtype=np.int32)
     symbol[chosen] = np.arange(len(chosen))
+    rest = np.unique(group[symbol < 0])
+    symbol[symbol < 0] = len(chosen) + np.searchsorted(rest, group[symbol < 0])
+    n = len(chosen) + len(rest)
+    frequency = np.r_[np.bincount(symbol, weights=counts, minlength=n), total - counts.sum()].astype(np.int64)
+    mass = np.bincount(symbol, weights=counts + SMOOTH, minlength=n)
+    log_share = np.where(symbol < len(chosen), 0.0, np.log10((counts + SMOOTH) / mass[symbol]))
+    order, bounds = [], [0]
+    for g in np.unique(group[chosen]):
+        # a group's classes hold equal shares of the square roots of counts
+        inside = np.flatnonzero(group[chosen] == g)
+        inside = inside[np.argsort(-frequency[inside], kind="stable")]
+        summed = np.cumsum(np.sqrt(frequency[inside] + 1.0))
+        share = np.minimum((summed - summed[0]) / summed[-1] * BINS, BINS - 1).astype(int)
+        order.append(inside)
+        bounds += [bounds[-1] + int(e) for e in np.r_[np.flatnonzero(np.diff(share)) + 1, len(inside)]]
+    order.append(np.arange(len(chosen), n + 1))
+    bounds += range(bounds[-1] + 1, bounds[-1] + len(rest) + 2)
     by = np.argsort(hashes)
-    # classes hold equal shares of the square roots of counts; all others are a class alone
-    ranked = np.argsort(-frequency[:-1], kind="stable")
-    mass = np.cumsum(np.sqrt(frequency[:-1][ranked] + 1.0))
-    share = np.minimum((mass - mass[0]) / max(mass[-1], 1e-9) * (CLASSES - 1), CLASSES - 2).astype(int)
-    bounds = np.r_[0, np.flatnonzero(np.diff(share)) + 1, len(ranked), len(ranked) + 1]
-    return Vocabulary(hashes[by], counts[by], symbol[by], int(total), int(distinct), np.r_[ranked, len(ranked)], bounds, frequency)
+    return Vocabulary(hashes[by], counts[by], symbol[by], log_share[by], int(total), int(distinct), np.concatenate(order), np.array(bounds), frequency)
+
+
+def clusters(company: np.ndarray, counts: np.ndarray, *, steps: int = 15, prior: float = 4.0, seed: int = 5) -> np.ndarray:
+    """The group of each known word, from how often each frequent word stands near it: k-means on square
+    roots of smoothed shares, where words weigh by the roots of their counts."""
+    if not len(counts):
+        return np.zeros(0, np.int64)
+    usual = (company.sum(axis=0) + 1.0) / (company.sum() + company.shape[1])
+    x = np.sqrt((company + prior * usual) / (company.sum(axis=1, keepdims=True) + prior)).astype(np.float32) - np.sqrt(usual).astype(np.float32)
+    weight = np.sqrt(counts + 1.0)
+    random = np.random.default_rng(seed)
+    centre = x[[int(counts.argmax())]]
+    away = ((x - centre[0]) ** 2).sum(axis=1)
+    while len(centre) < min(GROUPS, len(x)) and (chance := away * weight).sum() > 1e-9:  # far from those there are
+        centre = np.r_[centre, x[[int(random.choice(len(x), p=chance / chance.sum()))]]]
+        away = np.minimum(away, ((x - centre[-1]) ** 2).sum(axis=1))
+    group = np.zeros(len(x), np.int64)
+    for _ in range(steps):
+        group = (x @ (-2 * centre.T) + (centre**2).sum(axis=1)).argmin(axis=1)
+        for k in range(len(centre)):
+            here = group == k
+            if here.any():
+                centre[k] = np.average(x[here], axis=0, weights=weight[here])
+    return group
 
 
 class Model:
@@ -235,10 +283,11 @@ class Model:
             self.w[k] -= g
 
 
-def lanes(symbols: np.ndarray, first: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def lanes(symbols: np.ndarray, first: np.ndarray, end: int, learn: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Windows of (inputs, targets, begins, places): texts dealt to lanes, longest first."""
     sizes = np.diff(first)
-    width = int(np.clip(len(symbols) // max(256, int(sizes.max(initial=1))), 16, LANES))
+    depth = max(WINDOW * (LEARN_STEPS if learn else WINDOW), int(sizes.max(initial=1)))
+    width = int(np.clip(len(symbols) // depth, 8, LEARN_LANES if learn else LANES))
     width = min(width, len(sizes))
     if not width:
         return
@@ -275,7 +324,7 @@ def run(model: Model, symbols: np.ndarray, first: np.ndarray, end: int, rate: fl
     """Log probabilities (natural) of all positions; with a ``rate``, learning on the way."""
     out = np.zeros(len(symbols), np.float32)
     state = None
-    for inputs, targets, begins, places in lanes(symbols, first, end):
+    for inputs, targets, begins, places in lanes(symbols, first, end, rate > 0):
         n = inputs.shape[1]
         state = np.zeros((n, HIDDEN), np.float32) if state is None else state[:n]
         state, log_p, grads = model.window(state, inputs, targets, begins, rate > 0)
@@ -318,6 +367,58 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
+_COMPANY = "place binary, n binary"
+
+
+def _add(total: np.ndarray, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    for batch in batches:
+        for place, n in zip(batch.column(0), batch.column(1), strict=True):
+            total[np.frombuffer(place.as_py(), np.uint32)] += np.frombuffer(n.as_py(), np.uint32)
+    return total
+
+
+def _sparse(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    some = np.flatnonzero(total)
+    if len(some):
+        yield pa.RecordBatch.from_arrays([pa.array([some.astype(np.uint32).tobytes()], pa.binary()), pa.array([total[some].astype(np.uint32).tobytes()], pa.binary())], names=["place", "n"])
+
+
+def company_counts(texts: DataFrame, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each of the COMPANY most frequent words stands within REACH of each known word (hashes
+    ascending), in all texts. A task's sums have a bounded size and meet in a tree."""
+    feature = np.full(len(hashes) + 1, -1, dtype=np.int32)
+    feature[np.lexsort((hashes, -counts))[:COMPANY]] = np.arange(min(COMPANY, len(hashes)))
+    known = Vocabulary(hashes, counts, *[np.zeros(0)] * 2, 0, 0, *[np.zeros(0)] * 3)
+    shared = texts.sparkSession.sparkContext.broadcast((known, feature))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, feature = shared.value
+        total = np.zeros(len(v.hashes) * COMPANY, np.uint32)
+        for _, words, first in _tokens(batches, 0):
+            owner = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+            for a in range(0, len(words), LOOK_UP_TOKENS):
+                own, at = owner[a : a + LOOK_UP_TOKENS], v.look_up(words[a : a + LOOK_UP_TOKENS])
+                near = feature[at]
+                for d in range(1, REACH + 1):
+                    same = own[d:] == own[:-d]
+                    for one, two in ((at[:-d], near[d:]), (at[d:], near[:-d])):
+                        ok = np.flatnonzero(same & (two >= 0) & (one >= 0))
+                        np.add.at(total, one[ok] * COMPANY + two[ok], 1)
+        yield from _sparse(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sparse(_add(np.zeros(len(shared.value[0].hashes) * COMPANY, np.uint32), batches))
+
+    level = materialize(texts.mapInArrow(meet, _COMPANY), "company")
+    while (many := level.count()) > FAN_IN:
+        before, level = level, materialize(level.repartition(-(-many // FAN_IN)).mapInArrow(add, _COMPANY), "company")
+        release(before)
+    total = _add(np.zeros(len(hashes) * COMPANY, np.uint32), level.toArrow().to_batches())  # FAN_IN rows at most
+    release(level)
+    shared.destroy()
+    return total.reshape(len(hashes), COMPANY)
+
+
 def learn_vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """(vocabulary, counts (word, n) of every training token) of a DataFrame with one text column."""
     counts = texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -333,7 +434,11 @@ def learn_vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
             break
         least = r[0]
     known = counts.where(grade >= least).toArrow() if least is not None else counts.limit(0).toArrow()
-    return vocabulary(known["word"].to_numpy().view(np.uint64).copy(), known["n"].to_numpy().copy(), total or 0, distinct or 0), counts
+    hashes, n = known["word"].to_numpy().view(np.uint64), known["n"].to_numpy()
+    by = np.argsort(hashes)
+    hashes, n = hashes[by], n[by]
+    group = clusters(company_counts(texts, hashes, n), n)
+    return vocabulary(hashes, n, total or 0, distinct or 0, group), counts
 
 
 _WEIGHTS = "weight double, flat binary"
@@ -344,13 +449,21 @@ def _pair(weight: float, flat: np.ndarray) -> pa.RecordBatch:
 
 
 def train(texts: DataFrame, words: Vocabulary) -> np.ndarray:
-    """The flat weights after one pass over every row of texts, a DataFrame with one text column."""
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+    """The flat weights after every row of texts, a DataFrame with one text column, was learned from once."""
     flat = Model(words).flat()
+    turn = F.pmod(F.xxhash64(F.col(texts.columns[0]), F.lit("round")), F.lit(ROUNDS))
+    for k in range(ROUNDS):
+        flat = _round(texts.where(turn == k), words, flat)
+    return flat
+
+
+def _round(texts: DataFrame, words: Vocabulary, flat: np.ndarray) -> np.ndarray:
+    """The averaged weights after one pass over all texts from the weights ``flat``."""
+    shared = texts.sparkSession.sparkContext.broadcast((words, flat))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        model, seen = Model(v), 0
+        v, start = shared.value
+        model, seen = Model(v).load(start), 0
         end = int(v.symbol[v.look_up(np.array([END]))[0]])
         for _, hashes, first in _tokens(batches, 0):
             run(model, v.symbols(v.look_up(hashes)), first, end, RATE)
@@ -369,11 +482,12 @@ def train(texts: DataFrame, words: Vocabulary) -> np.ndarray:
             yield _pair(total, mean)
 
     level = materialize(texts.mapInArrow(fit, _WEIGHTS), "weights")
-    many = level.count()
-    while many > FAN_IN:
-        many = -(-many // FAN_IN)
-        level = materialize(level.repartition(many).mapInArrow(average, _WEIGHTS), "weights")
+    shared.destroy()
+    while (many := level.count()) > FAN_IN:
+        before, level = level, materialize(level.repartition(-(-many // FAN_IN)).mapInArrow(average, _WEIGHTS), "weights")
+        release(before)
     parts = level.toArrow()  # FAN_IN rows at most
+    release(level)
     if parts.num_rows:
         weight = parts["weight"].to_numpy()
         flat = sum(np.frombuffer(x.as_py(), np.float32) * (w / weight.sum()) for x, w in zip(parts["flat"], weight, strict=True)).astype(np.float32)
@@ -400,6 +514,7 @@ def score(docs: DataFrame, *, held_out) -> DataFrame:
         model = Model(v).load(weights)
         end = int(v.symbol[v.look_up(np.array([END]))[0]])
         seen = np.r_[v.counts > 0, False].astype(np.float64)
+        shares = np.r_[v.log_share, -np.log10(v.other_mass())]
         log_counts = np.r_[np.log10(v.counts + SMOOTH), 0.0]  # the last one for words that are joined
         row = TaskContext.get().partitionId() << 33
         for rows, hashes, first in _tokens(batches, 2):
@@ -409,8 +524,7 @@ def score(docs: DataFrame, *, held_out) -> DataFrame:
             log_model = run(model, symbols, first, end).astype(np.float64)
             log_model /= np.log(10)
             log_c = log_counts[at]
-            other = np.flatnonzero(symbols == v.others)
-            log_model[other] += log_c[other] - np.log10(v.other_mass())
+            log_model += shares[at]
             owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
             rare = np.flatnonzero(at < 0)
             by = rare[np.lexsort((hashes[rare], owner[rare]))]
