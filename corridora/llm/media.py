@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import json
 import struct
+import time
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .shared import shared_folder
+from .shared import materialize, shared_folder
 
 WIDTH = 64
-RANGE_BYTES, BATCH_BYTES, RETRIES = 16 << 20, 8 << 20, 3
+RANGE_BYTES, BATCH_BYTES, BATCH_ROWS = 16 << 20, 8 << 20, 10_000
+#: Reads of a member, and the seconds before the second one, which double.
+RETRIES, PAUSE = 4, 0.2
 _MARK = b"\x00\xffMEMBER\xff\x00\x9d\x1b\xe7\x42\xa6\x58"
 _HEAD = struct.Struct("<16sqBQQII")
 SCHEMA = "doc_id long, file string, offset long, n_bytes long, media binary, error string"
@@ -142,35 +145,48 @@ class ArchiveReader(DataSourceReader):
         if not partition.size:
             return
         store, folder = _store(self.path)
-        where = f"{folder}/{partition.file}"
-        source = store.open_input_file(where)
-        rows, held, at = [], 0, _next_head(source, partition.start, partition.size)
-        while at is not None and at < partition.stop:
-            member, problem = None, None
-            for _ in range(RETRIES):
-                try:
-                    member = _read_member(source, at)
-                    break
-                except (OSError, ValueError) as e:
-                    problem = str(e)
-                    source.close()
-                    source = store.open_input_file(where)
-            if member is None:
-                rows.append((None, partition.file, at, None, None, problem))
-                at = _next_head(source, at + 1, partition.size)
+        opened = [store.open_input_file(f"{folder}/{partition.file}")]
+
+        def reopen() -> None:
+            opened[0].close()
+            opened[0] = store.open_input_file(f"{folder}/{partition.file}")
+
+        rows, held = [], 0
+        at, problem = _patiently(lambda: _next_head(opened[0], partition.start, partition.size), reopen)
+        while problem is None and at is not None and at < partition.stop:
+            member, damage = _patiently(lambda: _read_member(opened[0], at), reopen)
+            if damage is not None:
+                rows.append((None, partition.file, at, None, None, str(damage)))
+                at, problem = _patiently(lambda: _next_head(opened[0], at + 1, partition.size), reopen)
             else:
                 doc_id, n_bytes, media, following = member
                 rows.append((doc_id, partition.file, at, n_bytes, media, None))
                 held += len(media)
                 at = following if following < partition.size else None
-            if held > BATCH_BYTES:
+            if held > BATCH_BYTES or len(rows) >= BATCH_ROWS:
                 yield _rows(rows)
                 rows, held = [], 0
-        source.close()
+        opened[0].close()
+        if problem is not None:  # the file itself cannot be read: the task fails and is run again
+            raise problem
         if rows:
             yield _rows(rows)
 
 
+def _patiently(read: Callable, reopen: Callable[[], None]) -> tuple[object, Exception | None]:
+    """(what ``read`` gives, None), or (None, what kept going wrong) after RETRIES, with pauses that double."""
+    problem: Exception | None = None
+    for turn in range(RETRIES):
+        try:
+            return read(), None
+        except (OSError, ValueError, struct.error) as e:
+            problem = e
+            if isinstance(e, OSError) and turn + 1 < RETRIES:
+                time.sleep(PAUSE * 2**turn)
+            reopen()
+    return None, problem
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
@@ -276,8 +292,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_features(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Stores all texts, reads them back and describes them: the columns of FEATURES."""
+    """Stores all texts, reads them back and describes them: the columns of FEATURES.
+
+    Without a ``path`` the archive is only a step on the way: it is deleted once the features are written.
+    """
     spark = docs.sparkSession
-    path = path or f"{shared_folder(spark)}/corridora-media-{uuid.uuid4().hex}"
-    write_archive(docs, path)
-    return read_archive(spark, path).mapInArrow(_features, FEATURES)
+    folder = path or f"{shared_folder(spark)}/corridora-media-{uuid.uuid4().hex}"
+    write_archive(docs, folder)
+    found = read_archive(spark, folder).mapInArrow(_features, FEATURES)
+    if path is not None:
+        return found
+    found = materialize(found, "features")
+    store, place = _store(folder)
+    store.delete_dir(place)
+    return found

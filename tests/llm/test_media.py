@@ -43,3 +43,25 @@ def test_empty(spark, tmp_path):
 @pytest.mark.parametrize("data", [bytes(64), bytes(range(256)), b"x" * 6400])
 def test_png_round_trip(data):
     assert media.decode_png(media.encode_png(data)).tobytes() == data
+
+
+def test_reads_are_retried_with_pauses(monkeypatch):
+    monkeypatch.setattr(media, "PAUSE", 0.001)
+    turns, opened = [], []
+
+    def read():
+        turns.append(1)
+        if len(turns) < 3:
+            raise OSError("gone")
+        return "here"
+
+    assert media._patiently(read, lambda: opened.append(1)) == ("here", None) and len(opened) == 2
+    found, problem = media._patiently(lambda: 1 / 0 if False else (_ for _ in ()).throw(ValueError("bad")), lambda: None)
+    assert found is None and str(problem) == "bad"
+
+
+def test_the_archive_of_a_query_is_deleted(spark):
+    before = set(os.listdir(media.shared_folder(spark).removeprefix("file://")))
+    assert media.media_features(documents(spark)).count() == len(DOCS)
+    after = set(os.listdir(media.shared_folder(spark).removeprefix("file://"))) - before
+    assert not any("media" in name for name in after)
