@@ -56,6 +56,13 @@ def room_grammar(text: Column | str) -> Column:
     return col(text).rlike(r"^[1-4]\d\d[A-Z]?$")
 
 
+def room_on_floor(text: Column | str, floor: Column | str, digits: dict[str, str]) -> Column:
+    """Whether a room number's first digit is one of its floor's ``digits`` (such as {"upper": "34"})."""
+    known = F.create_map(*[F.lit(x) for pair in sorted(digits.items()) for x in pair])
+    first = F.substring(col(text), 1, 1)
+    return F.coalesce(room_grammar(text) & F.contains(F.element_at(known, col(floor)), first), F.lit(False))
+
+
 def clock(seconds: Column | str) -> Column:
     """Seconds as m:ss."""
     s = F.floor(col(seconds)).cast("long")

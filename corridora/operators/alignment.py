@@ -19,7 +19,7 @@ def nudge(placements: DataFrame, deltas: DataFrame) -> DataFrame:
     The scale keeps LEAST_SCALE; the fixed floor does not move; a moved floor is no longer verified.
     """
     d = deltas.select("floor", *[F.col(f).alias(f"d_{f}") for f in FIELDS])
-    joined = placements.join(F.broadcast(d), "floor", "left")
+    joined = placements.join(d, "floor", "left")
     free = F.col("floor") != FIXED_FLOOR
     step = {f: F.when(free, F.col(f) + F.coalesce(f"d_{f}", F.lit(0.0))).otherwise(F.col(f)) for f in FIELDS}
     step["scale"] = F.greatest(step["scale"], F.lit(LEAST_SCALE))
@@ -59,5 +59,5 @@ def elevation(position: Column | str, heights: dict[int, float]) -> Column:
 
 def column_anchors(ends: DataFrame, heights: DataFrame) -> DataFrame:
     """(link_id, floor, x, y) to each link's distinct anchors in order of height."""
-    raised = ends.join(F.broadcast(heights.select("floor", "z")), "floor")
+    raised = ends.join(heights.select("floor", "z"), "floor")
     return raised.groupBy("link_id").agg(F.sort_array(F.collect_set(F.struct("z", "floor", "x", "y"))).alias("anchors"))

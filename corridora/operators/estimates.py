@@ -4,11 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.numbers import minute_of_day, round_half_up
 from .validate import FEET_PER_SECOND, STAIR_SECONDS, pace, valid_reports
 
 WINDOW_MINUTES, MIN_ROUTE, MIN_PACE_REPORTS, BUSIER = 30, 2, 3, 0.15
+#: Parts of a key's range of values, of which a median needs the values of one or two.
+VALUE_BINS = 4096
+
+
+def exact_medians(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """(keys, n, median): exact medians whose keys may hold any share of the rows.
+
+    A histogram, which combines before the shuffle, tells where each key's middle ranks lie; only the
+    values there are shuffled, each distinct one once a task. So no key is gathered in one task.
+    """
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    rows = df.select(key.alias("k"), value.cast("double").alias("v")).where("v is not null")
+    ends = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / VALUE_BINS
+    place = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(VALUE_BINS - 1))).otherwise(0)
+    binned = rows.join(ends, "k").select("k", "n", "v", place.alias("bin"))
+    order = Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = binned.groupBy("k", "n", "bin").agg(F.count(F.lit(1)).alias("m")).withColumn("above", F.coalesce(F.sum("m").over(order), F.lit(0)))
+    # ranks from 1; the same one twice where their number is odd
+    first, second = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    holds = lambda r: (F.col("above") < r) & (r <= F.col("above") + F.col("m"))
+    middle = sizes.where(holds(first) | holds(second)).select("k", "bin", "above")
+    values = binned.join(middle, ["k", "bin"]).groupBy("k", "n", "bin", "above", "v").agg(F.count(F.lit(1)).alias("m"))
+    inner = Window.partitionBy("k", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("above", F.col("above") + F.coalesce(F.sum("m").over(inner), F.lit(0)))
+    picked = values.groupBy("k", "n").agg(F.max(F.when(holds(first), F.col("v"))).alias("a"), F.max(F.when(holds(second), F.col("v"))).alias("b"))
+    return picked.select(*[F.col(f"k.{c}").alias(c) for c in keys], "n", ((F.col("a") + F.col("b")) / 2).alias("median"))
 
 
 def pair_key(a: str = "from", b: str = "to") -> list[Column]:
@@ -25,7 +53,7 @@ def pace_by_minute(reports: DataFrame, minutes: DataFrame) -> DataFrame:
     """(minute, n_now, pace_now) for the asked minutes (at most 1440, so they are broadcast)."""
     timed = reports.withColumn("near", minute_of_day(F.timestamp_millis("at")))
     near = timed.join(F.broadcast(_around(minutes.select("minute").distinct())), "near")
-    return near.groupBy("minute").agg(F.count(F.lit(1)).alias("n_now"), F.median(pace()).alias("pace_now"))
+    return exact_medians(near, ["minute"], pace()).select("minute", F.col("n").alias("n_now"), F.col("median").alias("pace_now"))
 
 
 def estimate(wanted: DataFrame, reports: DataFrame) -> DataFrame:
@@ -37,8 +65,8 @@ def estimate(wanted: DataFrame, reports: DataFrame) -> DataFrame:
     """
     valid = valid_reports(reports)
     asked = wanted.withColumn("minute", minute_of_day(F.timestamp_millis("now"))).select("*", *pair_key())
-    every = valid.agg(F.count(F.lit(1)).alias("n_all"), F.median(pace()).alias("pace_all"))
-    base = asked.join(pace_by_minute(valid, asked), "minute", "left").join(F.broadcast(every))
+    every = exact_medians(valid, [], pace()).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_all"), F.max("median").alias("pace_all"))
+    base = asked.join(pace_by_minute(valid, asked), "minute", "left").join(F.broadcast(every))  # one row
     n_now = F.coalesce("n_now", F.lit(0))
     enough_now = (n_now >= MIN_PACE_REPORTS) & (F.col("n_all") >= MIN_PACE_REPORTS)
     slowdown = F.when(enough_now, F.col("pace_all") / F.col("pace_now") - 1)
@@ -48,9 +76,9 @@ def estimate(wanted: DataFrame, reports: DataFrame) -> DataFrame:
     pairs = asked.select("pair_a", "pair_b", "minute").distinct()
     away = F.abs(F.col("report_minute") - F.col("minute"))
     near = F.least(away, 1440 - away) <= WINDOW_MINUTES
-    route = pairs.join(same, ["pair_a", "pair_b"]).groupBy("pair_a", "pair_b", "minute").agg(
-        F.count(F.lit(1)).alias("n"), F.median("seconds").alias("all_seconds"), F.count_if(near).alias("n_near"), F.median(F.when(near, F.col("seconds"))).alias("near_seconds")
-    )
+    whole = exact_medians(same, ["pair_a", "pair_b"], F.col("seconds")).select("pair_a", "pair_b", "n", F.col("median").alias("all_seconds"))
+    close = exact_medians(pairs.join(same, ["pair_a", "pair_b"]).where(near), ["pair_a", "pair_b", "minute"], F.col("seconds"))
+    route = pairs.join(whole, ["pair_a", "pair_b"]).join(close.select("pair_a", "pair_b", "minute", F.col("n").alias("n_near"), F.col("median").alias("near_seconds")), ["pair_a", "pair_b", "minute"], "left")
     joined = base.join(route, ["pair_a", "pair_b", "minute"], "left")
     by_route = F.col("n") >= MIN_ROUTE
     route_seconds = F.when(F.col("n_near") >= MIN_ROUTE, F.col("near_seconds")).otherwise(F.col("all_seconds") * (1 + F.coalesce("busier", F.lit(0.0))))

@@ -6,7 +6,7 @@ import heapq
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lineage import cut, release
@@ -99,6 +99,30 @@ def distance_fields(cells: DataFrame, sources: DataFrame) -> DataFrame:
     return grid_edges(cells).groupBy("floor").cogroup(seeds.groupBy("on_floor")).applyInPandas(_field, schema)
 
 
+def landing_fields(cells: DataFrame, landings: DataFrame, path: str, version: str) -> DataFrame:
+    """The distance fields of all landings (end_id, floor, r, c) as a table under ``path``, built once a
+    ``version`` of grids and links and read ever after; start fields of single routes are not kept.
+
+    A new version is another folder; an old one is dropped by :func:`drop_fields`.
+    """
+    spark = cells.sparkSession
+    place = f"{path.rstrip('/')}/version={version}"
+    if not _exists(spark, f"{place}/_SUCCESS"):
+        distance_fields(cells, landings.select(F.col("end_id").alias("src"), "floor", "r", "c")).write.mode("overwrite").partitionBy("floor").parquet(place)
+    return spark.read.schema("src string, r int, c int, dist double, prev_r long, prev_c long, floor string").parquet(place)
+
+
+def drop_fields(spark: SparkSession, path: str, version: str) -> None:
+    """Deletes the kept fields of a version, when grids or links have changed."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version={version}")
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def trace(fields: DataFrame, targets: DataFrame) -> DataFrame:
     """targets (floor, src, r, c) to their paths (floor, src, r, c, path): previous cells back to the source.
 
@@ -135,18 +159,26 @@ def portal_edges(ends: DataFrame, fields: DataFrame) -> DataFrame:
     return stairs.unionByName(walks)
 
 
-def route(cells: DataFrame, portals: DataFrame, ends: DataFrame, feet_per_cell: float) -> DataFrame:
+def landings(portals: DataFrame) -> DataFrame:
+    """portals (link_id, floor, r, c) with the ``end_id`` by which fields name them."""
+    return portals.select(F.concat_ws("|", F.lit("p"), "link_id", "floor").alias("end_id"), "link_id", "floor", "r", "c")
+
+
+def route(cells: DataFrame, portals: DataFrame, ends: DataFrame, feet_per_cell: float, kept: DataFrame | None = None) -> DataFrame:
     """The cheapest way from any start to any end over floors joined by portals.
 
     portals (link_id, floor, r, c); ends (route_id, role start|end, floor, r, c). Returns (route_id,
-    seq, end_id, cost) of the chosen chain of ends; cost in feet. Fields are built on the grids once;
-    the small graph of portal ends is relaxed by joins.
+    seq, end_id, cost) of the chosen chain of ends; cost in feet. Fields are built on the grids once, the
+    landings' ones not at all if ``kept`` has them (see :func:`landing_fields`); the small graph of
+    portal ends is relaxed by joins.
     """
-    landing = portals.select(F.concat_ws("|", F.lit("p"), "link_id", "floor").alias("end_id"), "link_id", "floor", "r", "c")
+    landing = landings(portals)
     asked = ends.select(F.concat_ws("|", "route_id", "role", "floor", "r", "c").alias("end_id"), "route_id", "role", "floor", "r", "c")
     every = landing.select("end_id", "link_id", "floor", "r", "c").unionByName(asked.select("end_id", F.lit(None).cast("string").alias("link_id"), "floor", "r", "c").distinct())
     starts = every.join(asked.where("role = 'start'").select("end_id").distinct(), "end_id", "left_semi").select(F.col("end_id").alias("src"), "floor", "r", "c")
-    fields = cut(distance_fields(cells, landing.select(F.col("end_id").alias("src"), "floor", "r", "c").unionByName(starts)))
+    built = starts if kept is not None else starts.unionByName(landing.select(F.col("end_id").alias("src"), "floor", "r", "c"))
+    fields = cut(distance_fields(cells, built))
+    fields = fields if kept is None else fields.unionByName(kept)
     edges = portal_edges(every, fields).withColumn("w", F.when(F.col("kind") == "walk", F.col("w") * feet_per_cell).otherwise(F.col("w")))
     dist = shortest(edges.select("a", "b", "w"), asked.where("role = 'start'").select(F.col("route_id").alias("src"), F.col("end_id").alias("node")))
     goals = asked.where("role = 'end'").select(F.col("route_id").alias("src"), F.col("end_id").alias("node"))

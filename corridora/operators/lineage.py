@@ -6,6 +6,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Rows of a side that a caller states and that is broadcast, at most.
+MOST_STATED = 10_000
+
+
+def stated(df: DataFrame, what: str, most: int = MOST_STATED) -> DataFrame:
+    """A small side that its caller states, such as queries or parameters, to be broadcast; its size is checked."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"{what}: more than {most} rows cannot be broadcast; hand them over in blocks")
+    return F.broadcast(df)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import graph
-from .lineage import cut
+from .lineage import cut, release, stated
 
 CELL = ["layer", "r", "c"]
 
@@ -44,6 +44,123 @@ def opening(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     return dilate(erode(mask, offsets), offsets)
 
 
+def both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells of both masks."""
+    return a.select(*CELL).join(b.select(*CELL), CELL, "left_semi")
+
+
+def either(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells of one mask or the other."""
+    return a.select(*CELL).union(b.select(*CELL)).distinct()
+
+
+def without(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells of the first mask that the second has not."""
+    return a.select(*CELL).join(b.select(*CELL), CELL, "left_anti")
+
+
+def inverse(mask: DataFrame, page: DataFrame) -> DataFrame:
+    """Cells of a page's rectangles (layer, r0, c0, r1, c1) that the mask has not."""
+    return without(fill_rectangles(page), mask)
+
+
+def grow(mask: DataFrame, n: int) -> DataFrame:
+    """``n`` dilations by the eight neighbours: a square, along one axis and then the other."""
+    side = F.sequence(F.lit(-n), F.lit(n))
+    along = mask.select("layer", (F.col("r") + F.explode(side)).alias("r"), "c").distinct()
+    return along.select("layer", "r", (F.col("c") + F.explode(side)).alias("c")).distinct()
+
+
+def shrink(mask: DataFrame, n: int) -> DataFrame:
+    """``n`` erosions by the eight neighbours, along one axis and then the other."""
+    side = F.sequence(F.lit(-n), F.lit(n))
+    whole = F.count(F.lit(1)) == 2 * n + 1
+    along = mask.select(*CELL).distinct().select("layer", (F.col("r") + F.explode(side)).alias("r"), "c").groupBy(*CELL).agg(whole.alias("ok")).where("ok")
+    return along.select("layer", "r", (F.col("c") + F.explode(side)).alias("c")).groupBy(*CELL).agg(whole.alias("ok")).where("ok").select(*CELL)
+
+
+def seal(mask: DataFrame, n: int) -> DataFrame:
+    """A closing by a square of ``n`` cells on each side."""
+    return shrink(grow(mask, n), n)
+
+
+def density(cells: DataFrame, reach: int, keys: list[str] | None = None) -> DataFrame:
+    """(keys, layer, r, c, share): the share of set cells in the square of ``reach`` around; 0 is not listed."""
+    keys = [*(keys or []), *CELL]
+    side = F.sequence(F.lit(-reach), F.lit(reach))
+    moved = lambda df, c, n: df.withColumn(c, F.col(c) + F.explode(side)).groupBy(*keys).agg(F.sum(n).alias("n"))
+    summed = moved(moved(cells.select(*keys).distinct().withColumn("n", F.lit(1)), "r", "n"), "c", "n")
+    return summed.select(*keys, (F.col("n") / float((2 * reach + 1) ** 2)).alias("share"))
+
+
+def line_offsets(angle: float, length: int) -> list[tuple[int, int]]:
+    """The cells (row, column) of a straight line of ``length`` about the origin."""
+    t, half = math.radians(angle), (length - 1) / 2
+    return sorted({(round(s * math.sin(t)), round(s * math.cos(t))) for s in (k / 3 - half for k in range(3 * length - 2))})
+
+
+def line_openings(mask: DataFrame, length: int, angles: int = 12) -> DataFrame:
+    """(angle, layer, r, c): cells of the mask on a whole line of ``length``, for each of ``angles`` directions (numbered)."""
+    lines = [line_offsets(180.0 * k / angles, length) for k in range(angles)]
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, line in enumerate(lines) for i, j in line])
+    many = F.element_at(F.array(*[F.lit(len(line)) for line in lines]), F.col("angle") + 1)
+    spread = mask.select(*CELL).distinct().withColumn("s", F.explode(steps))
+    centres = spread.groupBy(F.col("s.k").alias("angle"), "layer", (F.col("r") - F.col("s.i")).alias("r"), (F.col("c") - F.col("s.j")).alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == many)
+    back = centres.withColumn("s", F.explode(F.filter(steps, lambda s: s["k"] == F.col("angle"))))
+    return back.select("angle", "layer", (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c")).distinct()
+
+
+def hatching(ink: DataFrame, lines: DataFrame, *, reach: int, strong: float, dense: float, crossed: float, link: int, core: int, least: int, spread: int, angles: int = 12) -> DataFrame:
+    """Fields of parallel ruling: where one direction's lines (angle, layer, r, c) are dense, those of
+    directions a quarter turn and more apart are not, and ink is dense. Small fields drop out."""
+    d = density(lines, reach, ["angle"])
+    best = d.groupBy(*CELL).agg(F.max(F.struct("share", (-F.col("angle")).alias("a"))).alias("b")).select(*CELL, F.col("b.share").alias("best"), (-F.col("b.a")).alias("main"))
+    apart = F.abs(F.col("angle") - F.col("main"))
+    far = F.least(apart, angles - apart) >= angles // 4
+    cross = d.join(best, CELL).groupBy(*CELL, "best").agg(F.coalesce(F.max(F.when(far, F.col("share"))), F.lit(0.0)).alias("cross"))
+    inked = density(ink, reach).where(F.col("share") > dense)
+    field = cross.where((F.col("best") > strong) & (F.col("cross") < crossed * F.col("best"))).join(inked.select(*CELL), CELL, "left_semi")
+    whole = despeckle(shrink(fill_holes(seal(field, link)), core), least, eight=False)
+    return grow(whole, core + spread)
+
+
+def storey(ink: DataFrame, lines: DataFrame, points: DataFrame, *, reach: int, dense: float, near: int, link: int, spread: int) -> DataFrame:
+    """The part of a page that is drawn in detail: dense short ink near a known point (layer, r, c)."""
+    detail = without(ink, grow(lines, 2))
+    seeds = label(density(detail, reach).where(F.col("share") > dense))
+    kept = seeds.join(grow(points, near), CELL, "left_semi").select("layer", "component").distinct()
+    return grow(fill_holes(seal(seeds.join(kept, ["layer", "component"], "left_semi"), link)), spread)
+
+
+def footprint(walls: DataFrame, storey_mask: DataFrame, *, link: int = 8, least: int = 120_000, clear: int = 14, court: int = 90_000) -> DataFrame:
+    """A storey's solid slab: sealed, filled, without parts under ``least`` cells; courts of ``court`` cells
+    or more that hold no wall within ``clear`` and are not of the storey are open."""
+    solid = despeckle(fill_holes(seal(storey_mask, link)), least)
+    voids = without(without(solid, grow(walls, clear)), storey_mask)
+    return without(solid, despeckle(voids, court))
+
+
+def polygon_cells(edges: DataFrame) -> DataFrame:
+    """Polygon edges (layer, poly_id, x1, y1, x2, y2) to the cells whose centres lie inside (even-odd): (layer, poly_id, r, c).
+
+    An edge is met by the rows whose centre line it crosses; a row's crossings pair up from left to right.
+    """
+    top, bottom = F.ceil(F.least("y1", "y2") - 0.5), F.ceil(F.greatest("y1", "y2") - 0.5) - 1
+    rows = edges.withColumns({"__top": top, "__bottom": bottom}).where("__top <= __bottom").withColumn("r", F.explode(F.sequence("__top", "__bottom")))
+    x = F.col("x1") + (F.col("r") + 0.5 - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    met = rows.groupBy("layer", "poly_id", "r").agg(F.sort_array(F.collect_list(x)).alias("x"))
+    runs_ = F.transform(F.sequence(F.lit(0), F.floor(F.size("x") / 2).cast("int") - 1), lambda i: F.struct(F.ceil(F.get("x", 2 * i) - 0.5).alias("a"), (F.ceil(F.get("x", 2 * i + 1) - 0.5) - 1).alias("b")))
+    spans = met.where(F.size("x") > 1).withColumn("s", F.explode(runs_)).where("s.a <= s.b")
+    return spans.select("layer", "poly_id", "r", F.explode(F.sequence("s.a", "s.b")).alias("c"))
+
+
+def box_cells(boxes: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Boxes (layer, x, y, w, h) to the cells that they touch after scaling, one at least each."""
+    lo = lambda c: F.floor(F.col(c) * scale).cast("long")
+    hi = lambda c, d: F.greatest(F.ceil((F.col(c) + F.col(d)) * scale).cast("long") - 1, lo(c))
+    return fill_rectangles(boxes.select("layer", lo("y").alias("r0"), lo("x").alias("c0"), hi("y", "h").alias("r1"), hi("x", "w").alias("c1")))
+
+
 def near_wall(cells: DataFrame) -> DataFrame:
     """cells (layer, r, c, walk) with ``near_wall``: the cell or one of its eight neighbours is not
     walkable or off the grid (a chamfer clearance below 2)."""
@@ -53,8 +170,28 @@ def near_wall(cells: DataFrame) -> DataFrame:
     return cells.join(open_, CELL, "left").withColumn("near_wall", F.col("open").isNull()).drop("open")
 
 
-def label(mask: DataFrame) -> DataFrame:
-    """(layer, r, c, component): four-connected components, named by their smallest cell id.
+def derived_planes(cells: DataFrame) -> DataFrame:
+    """cells (layer, r, c, walk, east, south) with ``near_wall`` and ``net``: whether the cell is of its
+    layer's largest network over open steps (the smallest cell's on ties)."""
+    walled = near_wall(cells)
+    found = networks(cells)
+    size = found.groupBy("layer", "component").agg(F.count(F.lit(1)).alias("n"))
+    best = size.groupBy("layer").agg(F.min_by("component", F.struct((-F.col("n")).alias("m"), "component")).alias("component"))
+    net = found.join(best, ["layer", "component"], "left_semi").select(*CELL, F.lit(True).alias("net"))
+    return walled.join(net, CELL, "left").withColumn("net", F.coalesce("net", F.lit(False)))
+
+
+def networks(cells: DataFrame) -> DataFrame:
+    """cells (layer, r, c, walk, east, south) to (layer, r, c, component): walkable cells joined by open steps."""
+    walk = cells.where("walk")
+    ident = F.struct(*CELL)
+    step = lambda flag, dr, dc: walk.where(flag).select(ident.alias("a"), F.struct("layer", (F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")).alias("b"))
+    found = graph.components(walk.select(ident.alias("id")), step("east", 0, 1).unionByName(step("south", 1, 0)))
+    return found.select("id.*", F.format_string("%s:%d:%d", F.col("component.layer").cast("string"), F.col("component.r").cast("long"), F.col("component.c").cast("long")).alias("component"))
+
+
+def label(mask: DataFrame, *, eight: bool = False) -> DataFrame:
+    """(layer, r, c, component): components over four neighbours, or eight, named by their smallest cell id.
 
     Rows of cells become runs first, so components are found between runs, not cells.
     """
@@ -62,7 +199,7 @@ def label(mask: DataFrame) -> DataFrame:
     ident = F.struct("layer", "r", "c0")
     nodes = flat.select(ident.alias("id"), "layer", "r", "c0", "c1")
     below = nodes.select(F.col("id").alias("b"), "layer", (F.col("r") - 1).alias("r"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
-    touch = nodes.join(below, ["layer", "r"]).where("c0 <= d1 and d0 <= c1").select(F.col("id").alias("a"), "b")
+    touch = nodes.join(below, ["layer", "r"]).where(f"c0 <= d1 + {int(eight)} and d0 <= c1 + {int(eight)}").select(F.col("id").alias("a"), "b")
     found = graph.components(nodes.select("id"), touch)
     cells = nodes.join(found, "id").select("layer", "r", F.explode(F.sequence("c0", "c1")).alias("c"), "component")
     return cells.select("layer", "r", "c", F.format_string("%s:%d:%d", F.col("component.layer").cast("string"), F.col("component.r").cast("long"), F.col("component.c0").cast("long")).alias("component"))
@@ -76,9 +213,9 @@ def largest(mask: DataFrame) -> DataFrame:
     return found.join(best, ["layer", "component"], "left_semi").select(*CELL)
 
 
-def despeckle(mask: DataFrame, least: int) -> DataFrame:
+def despeckle(mask: DataFrame, least: int, *, eight: bool = False) -> DataFrame:
     """The mask without components of fewer than ``least`` cells."""
-    found = label(mask)
+    found = label(mask, eight=eight)
     kept = found.groupBy("layer", "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return found.join(kept, ["layer", "component"], "left_semi").select(*CELL)
 
@@ -200,8 +337,9 @@ def turned(mask: DataFrame, scale: Column | float, angle: Column | float) -> Dat
 
 
 def sweep(fixed: DataFrame, moving: DataFrame, parameters: DataFrame, reach: int) -> DataFrame:
-    """parameters (p_id, scale, angle) to the best one by overlap after its best shift: one row a layer."""
-    posed = turned(moving.join(F.broadcast(parameters)), F.col("scale"), F.col("angle"))
+    """parameters (p_id, scale, angle), a stated set, to the best one by overlap after its best shift: one row a layer."""
+    few = stated(parameters, "parameters", 1_000)
+    posed = turned(moving.join(few), F.col("scale"), F.col("angle"))
     keyed = posed.withColumn("layer", F.struct("layer", "p_id"))
     target = fixed.join(F.broadcast(parameters.select("p_id"))).withColumn("layer", F.struct("layer", "p_id"))
     shifts = best_shift(target, keyed, reach)
@@ -209,6 +347,20 @@ def sweep(fixed: DataFrame, moving: DataFrame, parameters: DataFrame, reach: int
     return best.select(F.col("l").alias("layer"), "s.*").join(F.broadcast(parameters), "p_id")
 
 
+def refine(fixed: DataFrame, moving: DataFrame, *, scale: float = 1.0, angle: float = 0.0, scale_step: float = 0.1, angle_step: float = 0.1, rounds: int = 3, reach: int = 5) -> DataFrame:
+    """One pose for one layer, coarse to fine: each round sweeps five by five poses about the best one so
+    far, in steps half as wide as before. One row as of :func:`sweep`."""
+    found = None
+    for _ in range(rounds):
+        grid = [(5 * i + j, scale + (i - 2) * scale_step, angle + (j - 2) * angle_step) for i in range(5) for j in range(5)]
+        found = sweep(fixed, moving, fixed.sparkSession.createDataFrame(grid, "p_id int, scale double, angle double"), reach)
+        best = found.first()
+        if best is None:
+            return found
+        scale, angle, scale_step, angle_step = best["scale"], best["angle"], scale_step / 2, angle_step / 2
+    return found
+
+
 def depths(mask: DataFrame) -> DataFrame:
     """(layer, r, c, depth): how many erosions by the eight neighbours a cell survives, plus one.
 
@@ -245,6 +397,91 @@ def bridges(labelled: DataFrame, wanted: DataFrame, main: DataFrame, reach: int
     return best.select("layer", "component", "b.*")
 
 
+def rim(mask: DataFrame) -> DataFrame:
+    """Cells of the mask that lack one of their four neighbours in it."""
+    return without(mask, erode(mask.select(*CELL).distinct(), [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]))
+
+
+def shortest_gaps(labelled: DataFrame, wanted: DataFrame, main: DataFrame, reach: float) -> DataFrame:
+    """(layer, component, r, c, to_r, to_c): each wanted component's nearest cell of its layer's main one, up
+    to ``reach`` away; the first by row and column on ties. Only rims meet, by tiles."""
+    tile = math.ceil(reach)
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
+    edge = labelled.join(rim(labelled.withColumn("layer", F.struct("layer", "component"))).select("layer.layer", "layer.component", "r", "c"), ["layer", "component", "r", "c"], "left_semi")
+    here = edge.join(wanted, ["layer", "component"], "left_semi").withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+    here = here.withColumns({"tr": F.floor(F.col("r") / tile) + F.col("i"), "tc": F.floor(F.col("c") / tile) + F.col("j")})
+    goal = edge.join(main, ["layer", "component"], "left_semi").select("layer", F.col("r").alias("to_r"), F.col("c").alias("to_c"), F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"))
+    square = (F.col("r") - F.col("to_r")) ** 2 + (F.col("c") - F.col("to_c")) ** 2
+    met = here.join(goal, ["layer", "tr", "tc"]).withColumn("d", square).where(F.col("d") <= reach * reach)
+    best = met.groupBy("layer", "component").agg(F.min_by(F.struct("r", "c", "to_r", "to_c"), F.struct("d", "r", "c", "to_r", "to_c")).alias("b"))
+    return best.select("layer", "component", "b.*")
+
+
+def _line_points(corners: bool) -> Column:
+    """The cells of a straight line from (r, c) to (to_r, to_c); with ``corners`` only straight steps."""
+    n = F.greatest(F.abs(F.col("to_r") - F.col("r")), F.abs(F.col("to_c") - F.col("c")), F.lit(1))
+    at = lambda a, b, k: F.floor(F.col(a) + (F.col(b) - F.col(a)) * k / n + 0.5).cast("long")
+    point = lambda k: F.struct(at("r", "to_r", k).alias("r"), at("c", "to_c", k).alias("c"))
+    corner = lambda k: F.struct(at("r", "to_r", k - 1).alias("r"), at("c", "to_c", k).alias("c"))
+    k = F.sequence(F.lit(0).cast("long"), n.cast("long"))
+    if not corners:
+        return F.transform(k, point)
+    bent = lambda k: (k > 0) & (at("r", "to_r", k) != at("r", "to_r", k - 1)) & (at("c", "to_c", k) != at("c", "to_c", k - 1))
+    return F.flatten(F.transform(k, lambda k: F.when(bent(k), F.array(corner(k), point(k))).otherwise(F.array(point(k)))))
+
+
+def _largest_and_rest(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    sizes = labelled.groupBy("layer", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("layer").agg(F.min_by("component", F.struct((-F.col("n")).alias("m"), "component")).alias("component"))
+    return main, sizes.join(main, ["layer", "component"], "left_anti")
+
+
+def connect(cells: DataFrame, points: DataFrame, *, reach: float = 5.0, least: int = 12, passes: int = 6) -> DataFrame:
+    """cells (layer, r, c, walk, east, south) with short gaps bridged: pockets that hold a point (layer, r, c)
+    or have ``least`` cells open a run of cells to the nearest cell of the largest network, pass by pass,
+    until none is near enough or ``passes`` are over."""
+    now = cut(cells.select(*CELL, "walk", "east", "south"))
+    for _ in range(passes):
+        found = cut(networks(now))
+        main, rest = _largest_and_rest(found)
+        held = found.join(points.select(*CELL), CELL, "left_semi").select("layer", "component").distinct()
+        wanted = rest.join(held.withColumn("held", F.lit(True)), ["layer", "component"], "left").where((F.col("n") >= least) | F.col("held")).select("layer", "component")
+        gaps = cut(shortest_gaps(found, wanted, main, reach))
+        if gaps.isEmpty():
+            release(found, gaps)
+            return now
+        path = gaps.withColumn("p", _line_points(corners=True))
+        opened = path.select("layer", F.explode("p").alias("q")).select("layer", "q.r", "q.c", F.lit(True).alias("o_walk"), F.lit(False).alias("o_east"), F.lit(False).alias("o_south"))
+        pairs = path.select("layer", F.explode(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("a"), F.slice("p", F.lit(2), F.size("p") - 1).alias("b"))).alias("s"))
+        pairs = pairs.where("s.a.r != s.b.r or s.a.c != s.b.c").select("layer", F.least("s.a.r", "s.b.r").alias("r"), F.least("s.a.c", "s.b.c").alias("c"), (F.col("s.a.r") == F.col("s.b.r")).alias("along"))
+        opened = opened.unionByName(pairs.select(*CELL, F.lit(True).alias("o_walk"), F.col("along").alias("o_east"), (~F.col("along")).alias("o_south")))
+        opened = opened.groupBy(*CELL).agg(*[F.bool_or(c).alias(c) for c in ("o_walk", "o_east", "o_south")])
+        either_ = lambda a: (F.coalesce(a, F.lit(False)) | F.coalesce(f"o_{a}", F.lit(False))).alias(a)
+        now = cut(now.join(opened, CELL, "full_outer").select(*CELL, either_("walk"), either_("east"), either_("south")), now)
+        release(found, gaps)
+    return now
+
+
+def carve_doors(free: DataFrame, *, least: int = 400, wall: float = 16.0, radius: int = 5, passes: int = 14) -> tuple[DataFrame, DataFrame]:
+    """(the mask with its rooms opened, doors (layer, r, c)): free space of ``least`` cells or more that is not
+    of the largest part (over eight neighbours) is opened to it through the thinnest wall of up to ``wall``
+    cells, ``radius`` cells to each side, pass by pass."""
+    now, doors = cut(free.select(*CELL).distinct()), None
+    for _ in range(passes):
+        found = cut(label(now, eight=True))
+        main, rest = _largest_and_rest(found)
+        gaps = cut(shortest_gaps(found, rest.where(F.col("n") >= least).select("layer", "component"), main, wall))
+        release(found)
+        if gaps.isEmpty():
+            release(gaps)
+            break
+        way = gaps.select("layer", F.explode(_line_points(corners=False)).alias("q")).select("layer", "q.r", "q.c")
+        now = cut(either(now, grow(way, radius)), now)
+        here = gaps.select("layer", "r", "c")
+        doors = cut(here if doors is None else doors.unionByName(here), *([gaps] if doors is None else [gaps, doors]))
+    return now, doors if doors is not None else now.limit(0)
+
+
 def reachable_share(owners: DataFrame, main: DataFrame) -> DataFrame:
     """(layer, rooms, reached, share) of rooms (layer, room, component) that touch the main component."""
     j = owners.join(main.withColumn("is_main", F.lit(True)), ["layer", "component"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import natural_order, room_tokens, strip_room
+from .lineage import stated
 
 # Words that ask for the nearest restroom.
 RESTROOM_WORDS = ["restroom", "restrooms", "bathroom", "bathrooms", "toilet", "washroom", "wc"]
@@ -23,8 +24,8 @@ def build_index(points: DataFrame) -> DataFrame:
     kind = F.when(restroom, "restroom").when(F.col("kind").isin("room", "landmark", "entrance"), F.col("kind"))
     label = F.coalesce("label", F.when(restroom, "Restroom"), "id")
     named = points.withColumns({"kind": kind, "label": label}).where(F.col("kind").isNotNull())
-    first = Window.partitionBy("label").orderBy("floor_idx", "ord")
-    doors = named.where("kind = 'entrance'").withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn").withColumn("key", F.concat(F.lit("entrance:"), "label"))
+    rest = F.struct(*[c for c in named.columns if c != "label"])
+    doors = named.where("kind = 'entrance'").groupBy("label").agg(F.min_by(rest, F.struct("floor_idx", "ord")).alias("r")).select("label", "r.*").withColumn("key", F.concat(F.lit("entrance:"), "label"))
     rest = named.where("kind != 'entrance'").withColumn("key", F.concat_ws(":", "floor", "id"))
     return rest.unionByName(doors).select("key", "id", "floor", "floor_idx", "ord", "label", "kind", "aliases")
 
@@ -50,10 +51,10 @@ def search(index: DataFrame, query: str, *, has_restrooms: bool = False, limit:
 
 
 def search_many(index: DataFrame, queries: DataFrame, *, limit: int = 8) -> DataFrame:
-    """(query_id, query) to ranked rows of each; the stated queries are broadcast, the index is not moved."""
+    """(query_id, query) to ranked rows of each; the stated queries are broadcast (their number is checked), the index is not moved."""
     q = queries.withColumn("q", F.lower(F.trim("query"))).where("q != ''")
     alias = F.array_min(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: match_score(a, F.col("q")) + 0.5))
-    pairs = index.join(F.broadcast(q), F.lower(F.concat_ws("\n", F.concat(F.lit("room "), F.col("label")), "aliases")).contains(F.col("q")) | F.lit("room ").startswith(F.col("q")))
+    pairs = index.join(stated(q, "searches"), F.lower(F.concat_ws("\n", F.concat(F.lit("room "), F.col("label")), "aliases")).contains(F.col("q")) | F.lit("room ").startswith(F.col("q")))
     scored = pairs.withColumn("score", F.least(match_score(F.col("label"), F.col("q")), alias)).where(F.col("score").isNotNull())
     best = Window.partitionBy("query_id").orderBy("score", *natural_order("label"), "floor_idx", "ord")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).drop("q")
@@ -93,6 +94,31 @@ def rooms_in_text(index: DataFrame, texts: DataFrame) -> DataFrame:
     return hit.groupBy("text_id").agg(F.min_by("key", F.struct("at", "rank", "key")).alias("key"))
 
 
+#: Labels by rank: what is drawn first where two collide.
+LABEL_RANK = ("entrance", "landmark", "stairs", "restroom", "room")
+
+
+def label_items(points: DataFrame) -> DataFrame:
+    """points (floor, id, kind, label, poi_type, ...) to (key, text, label_kind, rank) of every place that has a name.
+
+    A room whose label says a word of three letters or more is a landmark; restrooms and stairs have
+    names of their own; other points of interest and junctions have no label.
+    """
+    wordy = F.coalesce(F.col("label").rlike("(?i)[a-z]{3}"), F.lit(False))
+    poi = F.when(F.col("poi_type").isin("restroom", "stairs"), F.col("poi_type"))
+    kind = F.when(F.col("kind") == "room", F.when(wordy, "landmark").otherwise("room")).when(F.col("kind") == "poi", poi).when(F.col("kind").isin("landmark", "entrance"), F.col("kind"))
+    named = points.withColumn("label_kind", kind).where("label_kind is not null")
+    own = F.when(F.col("label_kind").isin("restroom", "stairs"), F.initcap("label_kind")).otherwise(F.col("id"))
+    given = F.when(F.col("label_kind").isin("restroom", "stairs") & (F.col("label") == ""), None).otherwise(F.col("label"))
+    rank = F.array_position(F.array(*map(F.lit, LABEL_RANK)), F.col("label_kind")).cast("int")
+    return named.withColumns({"key": F.concat_ws(":", "floor", "id"), "text": F.coalesce(given, own), "rank": rank})
+
+
+def all_links(marked: DataFrame, guessed: DataFrame) -> DataFrame:
+    """Stair links that are marked and those guessed from marks, told apart by ``origin``."""
+    return marked.withColumn("origin", F.lit("marked")).unionByName(guessed.withColumn("origin", F.lit("guessed")), allowMissingColumns=True)
+
+
 def marks(points: DataFrame) -> DataFrame:
     """Stair markers in floor order."""
     return points.where("kind = 'poi' and poi_type = 'stairs'").orderBy("floor_idx", "ord")

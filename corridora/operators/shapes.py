@@ -95,11 +95,129 @@ def simplify(ring: Column | str, tolerance: float = 2.2) -> Column:
     return cut(F.col(ring) if isinstance(ring, str) else ring)
 
 
+def _straight(points: np.ndarray, merge: float, snap: float, most: float, least: float) -> np.ndarray:
+    """A ring's points with nearly straight corners taken out and edges near a multiple of 45 degrees made exact."""
+
+    def turns(p: np.ndarray) -> np.ndarray:
+        edge = np.roll(p, -1, axis=0) - p
+        bearing = np.arctan2(edge[:, 1], edge[:, 0])
+        return np.abs((np.degrees(bearing - np.roll(bearing, 1)) + 180) % 360 - 180)
+
+    while len(points) > 3 and (bend := turns(points)).min() <= merge:
+        points = np.delete(points, int(bend.argmin()), axis=0)
+    edge = np.roll(points, -1, axis=0) - points
+    bearing = np.degrees(np.arctan2(edge[:, 1], edge[:, 0]))
+    exact = np.round(bearing / 45) * 45
+    bearing = np.radians(np.where(np.abs(bearing - exact) <= snap, exact, bearing))
+    way, middle = np.stack([np.cos(bearing), np.sin(bearing)], axis=1), points + edge / 2
+    # a corner is where its two edges' lines meet, unless that is far from the point or they are parallel
+    before, start = np.roll(way, 1, axis=0), np.roll(middle, 1, axis=0)
+    area = before[:, 0] * way[:, 1] - before[:, 1] * way[:, 0]
+    gap = middle - start
+    t = (gap[:, 0] * way[:, 1] - gap[:, 1] * way[:, 0]) / np.where(np.abs(area) < 1e-6, 1.0, area)
+    met = start + before * t[:, None]
+    near = (np.abs(area) >= 1e-6) & (np.hypot(*(met - points).T) <= most)
+    corners_ = np.where(near[:, None], met, points)
+    kept: list[np.ndarray] = []
+    for p in corners_:
+        if not kept or np.hypot(*(p - kept[-1])) >= least:
+            kept.append(p)
+    if len(kept) > 1 and np.hypot(*(kept[0] - kept[-1])) < least:
+        kept.pop()
+    return np.array(kept)
+
+
+def straighten(ring: Column | str, *, tolerance: float = 2.2, merge: float = 8.0, snap: float = 7.0, most: float = 6.0, least: float = 3.0) -> Column:
+    """A simplified ring whose edges are straight: corners of up to ``merge`` degrees are taken out, edges
+    within ``snap`` degrees of a multiple of 45 turned to it (corners move up to ``most``), edges under
+    ``least`` dropped. An empty ring if fewer than three points stay."""
+
+    @F.arrow_udf(RING)
+    def tidy(values: pa.Array) -> pa.Array:
+        out = []
+        for r in values.to_pylist():
+            points = np.array([(q["x"], q["y"]) for q in r]) if r else np.zeros((0, 2))
+            points = _straight(points, merge, snap, most, least) if len(points) > 2 else points
+            out.append(None if r is None else [{"x": x, "y": y} for x, y in points.tolist()] if len(points) > 2 else [])
+        return pa.array(out, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+    return tidy(simplify(ring, tolerance))
+
+
+def clip_ring(ring: Column | str, box: tuple[float, float, float, float]) -> Column:
+    """The part of a ring inside (x0, y0, x1, y1), cut side by side; an empty array if nothing is."""
+    out = F.col(ring) if isinstance(ring, str) else ring
+    for axis, limit, sign in (("x", box[0], 1.0), ("x", box[2], -1.0), ("y", box[1], 1.0), ("y", box[3], -1.0)):
+        out = _half_plane(out, axis, limit, sign)
+    return out
+
+
+def _half_plane(ring: Column, axis: str, limit: float, sign: float) -> Column:
+    n = F.size(ring)
+    other = "y" if axis == "x" else "x"
+
+    def side(i: Column) -> Column:
+        a, b = F.get(ring, F.pmod(i + n - 1, n)), F.get(ring, i)
+        a_in, b_in = (a[axis] - limit) * sign >= 0, (b[axis] - limit) * sign >= 0
+        cross = a[other] + (b[other] - a[other]) * (F.lit(limit) - a[axis]) / (b[axis] - a[axis])
+        at = F.struct(F.lit(float(limit)).alias(axis), cross.alias(other)) if axis == "x" else F.struct(cross.alias(other), F.lit(float(limit)).alias(axis))
+        here = F.struct(b["x"].alias("x"), b["y"].alias("y"))
+        return F.when(b_in & ~a_in, F.array(at, here)).when(b_in, F.array(here)).when(a_in, F.array(at)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+
+    empty = F.array().cast("array<struct<x:double,y:double>>")
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), side))).otherwise(empty)
+
+
+def clip_segments(segments: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Segments (x1, y1, x2, y2, ...) cut to the box; those outside of it drop out."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    low, high = [F.lit(0.0)], [F.lit(1.0)]
+    ok = F.lit(True)
+    for start, step, lo, hi in (("x1", dx, box[0], box[2]), ("y1", dy, box[1], box[3])):
+        a, b = (F.lit(lo) - F.col(start)) / F.nullif(step, F.lit(0.0)), (F.lit(hi) - F.col(start)) / F.nullif(step, F.lit(0.0))
+        low.append(F.coalesce(F.least(a, b), F.lit(0.0)))
+        high.append(F.coalesce(F.greatest(a, b), F.lit(1.0)))
+        ok = ok & ((step != 0) | F.col(start).between(lo, hi))
+    t = segments.withColumns({"__a": F.greatest(*low), "__b": F.least(*high), "__ok": ok}).where("__ok and __a <= __b")
+    at = lambda c, d, k: F.col(c) + d * F.col(k)
+    return t.withColumns({"x1": at("x1", dx, "__a"), "y1": at("y1", dy, "__a"), "x2": at("x1", dx, "__b"), "y2": at("y1", dy, "__b")}).drop("__a", "__b", "__ok")
+
+
+def combine_polygons(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """The outlines (layer, ring_id, ring) of two layers' polygons (layer, poly_id, ring) together: ``how`` is
+    union, intersection or difference, told on cells of one unit."""
+    from . import raster
+
+    cells = [raster.polygon_cells(spatial.ring_edges(p.select("layer", F.col("poly_id").alias("pid"), "ring").withColumn("poly_id", F.struct("layer", "pid"))).select("poly_id.layer", "poly_id", "x1", "y1", "x2", "y2")) for p in (a, b)]
+    mask = {"union": raster.either, "intersection": raster.both, "difference": raster.without}[how](*cells)
+    return rings(raster.boundary_edges(mask))
+
+
+def boxes(points: DataFrame, keys: list[str], *, margin: float = 0.0) -> DataFrame:
+    """(keys, x0, y0, x1, y1, w, h) around the points (x, y) of each key."""
+    g = points.groupBy(*keys).agg((F.min("x") - margin).alias("x0"), (F.min("y") - margin).alias("y0"), (F.max("x") + margin).alias("x1"), (F.max("y") + margin).alias("y1"))
+    return g.withColumns({"w": F.col("x1") - F.col("x0"), "h": F.col("y1") - F.col("y0")})
+
+
+def frame(bounds: DataFrame, width: float, height: float, *, most: float = 4.0, pad: float = 1.2) -> DataFrame:
+    """Boxes with the view that shows each: its middle (cx, cy) and a scale that fits it, padded, up to ``most``."""
+    fit = F.least(F.lit(width) / (F.greatest("w", F.lit(1.0)) * pad), F.lit(height) / (F.greatest("h", F.lit(1.0)) * pad), F.lit(float(most)))
+    return bounds.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2, "scale": fit})
+
+
+def floor_in_view(samples: DataFrame, outlines: DataFrame, current: int) -> DataFrame:
+    """The floor (idx) that a view's samples (p_id, x, y, weight) show: coverage of each floor's outlines
+    (idx, poly_id, ring), then the choice that does not flicker."""
+    edges = spatial.ring_edges(outlines.withColumn("poly_id", F.struct("idx", "poly_id")))
+    share = spatial.coverage(samples, edges).groupBy(F.col("poly_id.idx").alias("idx")).agg(F.sum("share").alias("share"))
+    return spatial.pick_floor(share, current)
+
+
 def hole_owners(outers: DataFrame, holes: DataFrame) -> DataFrame:
     """(hole_id, poly_id): the smallest outer ring (poly_id, ring) that contains each hole (hole_id, ring)."""
     points = holes.select(F.col("hole_id").alias("p_id"), ((F.get("ring", F.lit(0))["x"] + F.get("ring", F.lit(1))["x"]) / 2).alias("x"), ((F.get("ring", F.lit(0))["y"] + F.get("ring", F.lit(1))["y"]) / 2).alias("y"))
     area = outers.select("poly_id", F.abs(signed_area("ring")).alias("area"))
-    inside = spatial.inside(points, spatial.ring_edges(outers)).join(F.broadcast(area), "poly_id")
+    inside = spatial.inside(points, spatial.ring_edges(outers)).join(area, "poly_id")
     return inside.groupBy(F.col("p_id").alias("hole_id")).agg(F.min_by("poly_id", F.struct("area", "poly_id")).alias("poly_id"))
 
 
@@ -125,7 +243,7 @@ def moved_points(points: DataFrame, moves: DataFrame) -> DataFrame:
     scale, angle, tx, ty, label): transformed to another floor, dropped, or made a landmark."""
     from ..functions.geometry import similarity
 
-    m = F.broadcast(moves.select("floor", "id", "action", "to_floor", "scale", "angle", "tx", "ty", F.col("label").alias("new_label")))
+    m = moves.select("floor", "id", "action", "to_floor", "scale", "angle", "tx", "ty", F.col("label").alias("new_label"))
     j = points.join(m, ["floor", "id"], "left").where("action is null or action != 'drop'")
     x, y = similarity("x", "y", "scale", "angle", "tx", "ty")
     goes, up = F.col("action") == "move", F.col("action") == "promote"

@@ -124,6 +124,43 @@ def fit_similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return fit.select(*keys, "n", "scale", "angle", (F.col("bx_") / n - mx).alias("tx"), (F.col("by_") / n - my).alias("ty"))
 
 
+def fit_pinned(pairs: DataFrame, keys: list[str], angle: float = 0.0) -> DataFrame:
+    """(keys, ax, ay, bx, by) to the least-squares scale and shift a to b with the turn given: n, scale, angle, tx, ty.
+
+    A scale of 1 where a has no spread; null with fewer than two pairs.
+    """
+    x, y = similarity("ax", "ay", F.lit(1.0), F.lit(float(angle)), F.lit(0.0), F.lit(0.0))
+    turned = pairs.withColumns({"rx": x, "ry": y})
+    sums = {"sx": "rx", "sy": "ry", "ox": "bx", "oy": "by", "rr": "rx * rx + ry * ry", "rb": "rx * bx + ry * by"}
+    g = turned.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(e)).alias(k) for k, e in sums.items()])
+    spread = F.col("rr") - (F.col("sx") ** 2 + F.col("sy") ** 2) / F.col("n")
+    along = F.col("rb") - (F.col("sx") * F.col("ox") + F.col("sy") * F.col("oy")) / F.col("n")
+    fit = g.withColumn("scale", F.when(F.col("n") >= 2, F.when(spread > 1e-9, along / spread).otherwise(1.0)))
+    return fit.select(*keys, "n", "scale", F.lit(float(angle)).alias("angle"), ((F.col("ox") - F.col("scale") * F.col("sx")) / F.col("n")).alias("tx"), ((F.col("oy") - F.col("scale") * F.col("sy")) / F.col("n")).alias("ty"))
+
+
+def within(words: DataFrame, points: DataFrame, reach: float) -> DataFrame:
+    """words (read_id, x, y) and points (point_id, px, py) to (read_id, point_id, dist) of pairs up to ``reach`` apart, by tiles."""
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
+    near = words.withColumn("__i", F.explode(steps)).withColumn("__j", F.explode(steps)).withColumns({"__tx": F.floor(F.col("x") / reach) + F.col("__i"), "__ty": F.floor(F.col("y") / reach) + F.col("__j")})
+    filed = points.select("point_id", "px", "py", F.floor(F.col("px") / reach).alias("__tx"), F.floor(F.col("py") / reach).alias("__ty"))
+    dist = F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y"))
+    return near.join(filed, ["__tx", "__ty"]).withColumn("dist", dist).where(F.col("dist") <= reach).select("read_id", "point_id", "dist")
+
+
+def claims(words: DataFrame, points: DataFrame, owners: DataFrame, near: float = 60.0) -> DataFrame:
+    """words (read_id, x, y, pocket, leaky) to (read_id, point_id, dist, claimed): the points up to ``near`` away.
+
+    A word claims the points (pocket, point_id) that own its pocket; in a leaky pocket, which spans
+    several rooms, only points up to half of ``near`` away. ``dist`` is null for owners farther off.
+    """
+    close = within(words, points, near)
+    owned = words.where("not leaky").select("read_id", "pocket").join(owners, "pocket").select("read_id", "point_id", F.lit(True).alias("owned"))
+    leaky = words.select("read_id", "leaky")
+    joined = close.join(owned, ["read_id", "point_id"], "full_outer").join(leaky, "read_id")
+    return joined.select("read_id", "point_id", "dist", (F.coalesce("owned", F.lit(False)) | F.col("leaky") & (F.col("dist") <= near / 2)).alias("claimed"))
+
+
 def shared_names(points: DataFrame) -> DataFrame:
     """(floor, name, x, y) to named pairs of every two floors: floor_a, floor_b, name, ax, ay, bx, by."""
     a = points.select(F.col("floor").alias("floor_a"), "name", F.col("x").alias("ax"), F.col("y").alias("ay"))
@@ -133,7 +170,7 @@ def shared_names(points: DataFrame) -> DataFrame:
 
 def residuals(pairs: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
     """Each pair's distance after the fit."""
-    joined = pairs.join(F.broadcast(fits), keys)
+    joined = pairs.join(fits, keys)
     mx, my = similarity("ax", "ay", "scale", "angle", "tx", "ty")
     return joined.withColumn("residual", F.hypot(F.col("bx") - mx, F.col("by") - my))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import col, finite, round_half_up
+from .lineage import stated
 
 STAIR_SECONDS, FEET_PER_SECOND = 25, 4.0
 MIN_SECONDS, MAX_SECONDS, MIN_PACE, MAX_PACE, MAX_NAME = 10, 1200, 1.0, 10.0, 64
@@ -56,4 +57,4 @@ def valid_sponsors(sponsors: DataFrame) -> DataFrame:
 def whole_bounds(df: DataFrame, boxes: DataFrame, slack: float = 3.0) -> DataFrame:
     """Rows (x0, y0, x1, y1) that are one of a few known ``boxes``, each side within ``slack``."""
     close = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= slack for c in ("x0", "y0", "x1", "y1")]
-    return df.alias("a").join(F.broadcast(boxes).alias("b"), close[0] & close[1] & close[2] & close[3], "left_semi")
+    return df.alias("a").join(stated(boxes, "known boxes", 1_000).alias("b"), close[0] & close[1] & close[2] & close[3], "left_semi")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut, release
+
 AGREE, DISPUTE, DISPUTE_MARGIN, CORROBORATED, AGREED, DISPUTED, FULL_SCORE = 0.75, 0.9, 0.1, 0.6, 0.75, 0.25, 24.0
+#: Queries of a block that is broadcast.
+BLOCK_ROWS = 5_000
 
 
 def weighted_vote(votes: DataFrame, keys: list[str], text: str, valid: Column, weight: int = 2) -> DataFrame:
@@ -30,10 +34,23 @@ def dot(a: Column, b: Column) -> Column:
 def class_scores(queries: DataFrame, templates: DataFrame) -> DataFrame:
     """(q_id, q) against (t_id, t, label) to (q_id, label, score): each class's best dot product.
 
-    A template never meets the query that has its id. The queries are a stated, bounded set and are
-    broadcast; the templates are only scanned, and their scores shrink to one a query and class in
-    each task before the shuffle.
+    A template never meets the query that has its id. The queries are taken in blocks of about
+    BLOCK_ROWS, each of which is broadcast; the templates are only scanned, and their scores shrink to
+    one a query and class in each task before the shuffle.
     """
+    blocks = -(-queries.count() // BLOCK_ROWS)
+    if blocks <= 1:
+        return _block_scores(queries, templates)
+    numbered = cut(queries.withColumn("__block", F.pmod(F.xxhash64("q_id", F.lit("block")), F.lit(blocks))))
+    done = None
+    for k in range(blocks):
+        before, found = done, _block_scores(numbered.where(F.col("__block") == k).drop("__block"), templates)
+        done = cut(found if before is None else before.unionByName(found), *([before] if before is not None else []))
+    release(numbered)
+    return done
+
+
+def _block_scores(queries: DataFrame, templates: DataFrame) -> DataFrame:
     pairs = templates.join(F.broadcast(queries), F.col("q_id") != F.col("t_id"))
     return pairs.groupBy("q_id", "label").agg(F.max(dot(F.col("q"), F.col("t"))).alias("score"))
 
@@ -47,7 +64,7 @@ def classify(queries: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def leave_one_out(templates: DataFrame) -> DataFrame:
-    """(n, accuracy) of nearest-neighbour classification of each template by the others."""
+    """(n, accuracy) of nearest-neighbour classification of each template by the others, in blocks."""
     found = classify(templates.select(F.col("t_id").alias("q_id"), F.col("t").alias("q")), templates)
     truth = templates.select(F.col("t_id").alias("q_id"), F.col("label").alias("truth"))
     return found.join(truth, "q_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("truth")).cast("double")).alias("accuracy"))

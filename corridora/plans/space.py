@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..operators import alignment, graph, raster, review, sequence, shapes, spatial
+from ..operators.lineage import cut, shared_folder
 from ..sources import floors
-from .places import points
 from .registry import query, table
 
 _C = "SELECT c_custkey AS p_id, CAST(c_custkey * 37 % 3000 AS DOUBLE) AS x, CAST(c_custkey * 91 % 2400 AS DOUBLE) AS y FROM customer"
@@ -177,11 +179,18 @@ def ring_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("k", F.round(geometry.signed_area("p"), 4).alias("area"))
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT c_custkey // 48 AS grp, c_custkey AS ord, c_custkey % 3 AS floor, CAST(c_custkey * 37 % 600 AS DOUBLE) AS x, CAST(c_custkey * 91 % 500 AS DOUBLE) AS y, row_number() OVER (PARTITION BY c_custkey // 48 ORDER BY c_custkey) AS i FROM customer),
+f AS (SELECT DISTINCT grp, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, floors BIGINT[], ords BIGINT[])[]) AS g FROM m
+  UNION ALL SELECT grp, i, CASE WHEN p > 0 THEN list_transform(g, lambda s, j: CASE WHEN j = p THEN struct_pack(x := s.x, y := s.y, floors := list_append(s.floors, floor), ords := list_append(s.ords, ord)) ELSE s END)
+    ELSE list_append(g, struct_pack(x := x, y := y, floors := [floor], ords := [ord])) END FROM (
+    SELECT f.grp, m.i, f.g, m.x, m.y, m.floor, m.ord, coalesce(list_position(list_transform(f.g, lambda s: sqrt((s.x - m.x) * (s.x - m.x) + (s.y - m.y) * (s.y - m.y)) <= 130 AND NOT list_contains(s.floors, m.floor)), true), 0) AS p
+    FROM f JOIN m ON m.grp = f.grp AND m.i = f.i + 1)),
+kept AS (SELECT grp, list_filter(g, lambda s: len(s.ords) >= 2) AS g FROM (SELECT grp, arg_max(g, i) AS g FROM f GROUP BY grp)),
+links AS (SELECT grp, unnest(range(0, len(g))) AS link, unnest(g) AS s FROM kept)
+SELECT grp, CAST(link AS INTEGER) AS link, unnest(s.ords) AS ord FROM links""")
 def stair_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    marks = c.select(F.col("c_nationkey").alias("grp"), k.alias("ord"), (k % 3).alias("floor"), (k * 37 % 600).cast("double").alias("x"), (k * 91 % 500).cast("double").alias("y"))
+    marks = table(spark, sf_dir, "customer").select(F.floor(k / 48).alias("grp"), k.alias("ord"), (k % 3).alias("floor"), (k * 37 % 600).cast("double").alias("x"), (k * 91 % 500).cast("double").alias("y"))
     return spatial.stair_links(marks)
 
 
@@ -210,12 +219,12 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(nodes, e)
 
 
-_MASK = "m AS (SELECT DISTINCT p_partkey // 1000 % 2 AS layer, p_partkey % 1000 // 40 AS r, p_partkey % 40 AS c FROM part WHERE p_size > 12)"
+_MASK = "m AS (SELECT DISTINCT p_partkey // 1000 AS layer, p_partkey % 1000 // 40 AS r, p_partkey % 40 AS c FROM part WHERE p_size > 12)"
 
 
 def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where("p_size > 12").select((F.floor(k / 1000) % 2).alias("layer"), F.floor(k % 1000 / 40).alias("r"), (k % 40).alias("c")).distinct()
+    return table(spark, sf_dir, "part").where("p_size > 12").select(F.floor(k / 1000).alias("layer"), F.floor(k % 1000 / 40).alias("r"), (k % 40).alias("c")).distinct()
 
 
 @query(f"""WITH {_MASK}, g AS (SELECT *, c - row_number() OVER (PARTITION BY layer, r ORDER BY c) AS g FROM m) SELECT layer, r, min(c) AS c0, max(c) AS c1 FROM g GROUP BY layer, r, g""")
@@ -277,54 +286,139 @@ def tile_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.pool(cells, 4).select("layer", "tr", "tc", F.round("mean", 6).alias("mean"), "any")
 
 
-@query("SELECT 'f' || CAST(i % 3 AS VARCHAR) AS floor, CAST(i // 3 // 13 AS INTEGER) AS r, CAST(i // 3 % 13 AS INTEGER) AS c, (i // 3) % 5 = 0 OR i % 7 = 0 AS walk FROM range(3 * 13 * 11) t(i)")
+_PLANE = "SELECT CAST(k // 143 AS VARCHAR) AS floor, CAST(k % 143 // 13 AS INTEGER) AS r, CAST(k % 13 AS INTEGER) AS c, walk FROM (SELECT p_partkey AS k, p_size > 12 AS walk FROM part)"
+
+
+@query(_PLANE)
 def packed_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    at = F.floor(i / 3)
-    cells = spark.range(3 * 13 * 11).select(F.concat(F.lit("f"), (i % 3).cast("string")).alias("floor"), at.alias("i"), ((at % 5 == 0) | (i % 7 == 0)).alias("walk"))
-    plane = floors.pack_plane(cells, "walk").select("floor", F.lit(13).alias("cols"), F.lit(11).alias("rows"), *[F.col("bits").alias(p) for p in ("walk", "pub", "east", "south")])
-    return floors.grid_cells(plane).select("floor", "r", "c", "walk")
+    k = F.col("p_partkey")
+    cells = table(spark, sf_dir, "part").select(F.floor(k / 143).cast("string").alias("floor"), (k % 143).alias("i"), (F.col("p_size") > 12).alias("walk"))
+    size = cells.groupBy("floor").agg(F.max("i").alias("last"))  # the last floor may be cut short
+    plane = floors.pack_plane(cells, "walk").join(size, "floor").select("floor", "last", F.lit(13).alias("cols"), F.lit(11).alias("rows"), *[F.col("bits").alias(p) for p in ("walk", "pub", "east", "south")])
+    return floors.grid_cells(plane).join(size, "floor").where("r * 13 + c <= last").select("floor", "r", "c", "walk")
+
+
+_GRID = """k AS (SELECT 'b' || CAST(p_partkey // 1152 AS VARCHAR) || '-' || CAST(p_partkey // 576 % 2 AS VARCHAR) AS floor, CAST(p_partkey % 576 // 24 AS INTEGER) AS r, CAST(p_partkey % 24 AS INTEGER) AS c,
+  max(p_size) > 8 AS walk, max(p_size) > 20 AS pub, max(p_size) > 40 AS stair FROM part GROUP BY ALL),
+nw AS (SELECT k.floor, k.r, k.c, k.walk, k.pub, k.stair, count(n.r) < 9 AS near_wall FROM k LEFT JOIN k n ON n.floor = k.floor AND n.walk AND abs(n.r - k.r) <= 1 AND abs(n.c - k.c) <= 1 GROUP BY ALL),
+g AS MATERIALIZED (SELECT a.*, a.walk AND coalesce(e.walk, false) AS east, a.walk AND coalesce(s.walk, false) AS south FROM nw a LEFT JOIN nw e ON e.floor = a.floor AND e.r = a.r AND e.c = a.c + 1 LEFT JOIN nw s ON s.floor = a.floor AND s.r = a.r + 1 AND s.c = a.c)"""
+_STEPS_OF = """me AS (SELECT floor, r, c, east, south, CASE WHEN pub THEN 1.0 ELSE 3.2 END * CASE WHEN near_wall THEN 1.5 ELSE 1.0 END AS cost FROM g WHERE walk),
+wide AS (SELECT a.floor, a.r, a.c, a.east, a.south, a.cost, e.cost AS ec, s.cost AS sc, d.cost AS dc, a.east AND a.south AND e.south AND s.east AS box FROM me a LEFT JOIN me e ON e.floor = a.floor AND e.r = a.r AND e.c = a.c + 1
+  LEFT JOIN me s ON s.floor = a.floor AND s.r = a.r + 1 AND s.c = a.c LEFT JOIN me d ON d.floor = a.floor AND d.r = a.r + 1 AND d.c = a.c + 1),
+one AS (SELECT floor, r AS ar, c AS ac, r AS br, c + 1 AS bc, 0.5 * (cost + ec) AS w FROM wide WHERE east AND ec IS NOT NULL UNION ALL SELECT floor, r, c, r + 1, c, 0.5 * (cost + sc) FROM wide WHERE south AND sc IS NOT NULL
+  UNION ALL SELECT floor, r, c, r + 1, c + 1, sqrt(2.0) * 0.5 * (cost + dc) FROM wide WHERE box AND dc IS NOT NULL UNION ALL SELECT floor, r, c + 1, r + 1, c, sqrt(2.0) * 0.5 * (ec + sc) FROM wide WHERE box AND ec IS NOT NULL AND sc IS NOT NULL),
+ed AS MATERIALIZED (SELECT floor, ar, ac, br, bc, CAST(w AS DOUBLE) AS w FROM one UNION ALL SELECT floor, br, bc, ar, ac, CAST(w AS DOUBLE) FROM one)"""
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two floors of 24 x 24 cells with walls where a part's size says so."""
+    """Buildings of two floors of 24 x 24 cells, with walls where a part's size says so."""
     k = F.col("p_partkey")
-    cell = [F.when(F.floor(k / 576) % 2 == 0, "main").otherwise("upper").alias("floor"), F.floor(k % 576 / 24).cast("int").alias("r"), (k % 24).cast("int").alias("c")]
-    cells = table(spark, sf_dir, "part").groupBy(*cell).agg((F.max("p_size") > 8).alias("walk"), (F.max("p_size") > 20).alias("pub"))
+    name = F.concat(F.lit("b"), F.floor(k / 1152).cast("string"), F.lit("-"), (F.floor(k / 576) % 2).cast("string"))
+    cell = [name.alias("floor"), F.floor(k % 576 / 24).cast("int").alias("r"), (k % 24).cast("int").alias("c")]
+    cells = table(spark, sf_dir, "part").groupBy(*cell).agg((F.max("p_size") > 8).alias("walk"), (F.max("p_size") > 20).alias("pub"), (F.max("p_size") > 40).alias("stair"))
     walls = raster.near_wall(cells.withColumnRenamed("floor", "layer")).withColumnRenamed("layer", "floor")
-    here = walls.alias("a")
     right = walls.where("walk").select("floor", "r", (F.col("c") - 1).alias("c"), F.lit(True).alias("e"))
     down = walls.where("walk").select("floor", (F.col("r") - 1).alias("r"), "c", F.lit(True).alias("s"))
-    j = here.join(right, ["floor", "r", "c"], "left").join(down, ["floor", "r", "c"], "left")
-    return j.select("floor", "r", "c", "walk", "pub", "near_wall", (F.col("walk") & F.coalesce("e", F.lit(False))).alias("east"), (F.col("walk") & F.coalesce("s", F.lit(False))).alias("south"))
+    j = walls.join(right, ["floor", "r", "c"], "left").join(down, ["floor", "r", "c"], "left")
+    return j.select("floor", "r", "c", "walk", "pub", "stair", "near_wall", (F.col("walk") & F.coalesce("e", F.lit(False))).alias("east"), (F.col("walk") & F.coalesce("s", F.lit(False))).alias("south"))
 
 
-@query()
+_FIELD = f"""{_GRID}, {_STEPS_OF}, src AS (SELECT floor, min(r * 100 + c) AS m FROM g WHERE walk GROUP BY floor),
+d(floor, r, c, dist) USING KEY (floor, r, c) AS (SELECT floor, CAST(m // 100 AS INTEGER), CAST(m % 100 AS INTEGER), CAST(0 AS DOUBLE) FROM src
+  UNION SELECT n.floor, n.br, n.bc, n.nd FROM (SELECT e.floor, e.br, e.bc, min(d.dist + e.w) AS nd FROM d JOIN ed e ON e.floor = d.floor AND e.ar = d.r AND e.ac = d.c GROUP BY ALL) n
+  LEFT JOIN recurring.d o ON o.floor = n.floor AND o.r = n.br AND o.c = n.bc WHERE o.dist IS NULL OR n.nd < o.dist - 1e-9)"""
+
+
+def _field_sources(cells: DataFrame) -> DataFrame:
+    return cells.where("walk").groupBy("floor").agg(F.min(F.struct("r", "c")).alias("m")).select(F.lit("s").alias("src"), "floor", "m.r", "m.c")
+
+
+@query(f"WITH RECURSIVE {_FIELD} SELECT floor, 's' AS src, r, c, round(dist, 6) AS dist FROM d")
 def distance_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _grid(spark, sf_dir)
-    source = cells.where("walk").groupBy("floor").agg(F.min(F.struct("r", "c")).alias("m")).select(F.lit("s").alias("src"), "floor", "m.r", "m.c")
-    return graph.distance_fields(cells, source).select("floor", "src", "r", "c", F.round("dist", 6).alias("dist"))
+    return graph.distance_fields(cells, _field_sources(cells)).select("floor", "src", "r", "c", F.round("dist", 6).alias("dist"))
 
 
-@query()
-def grid_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH RECURSIVE {_FIELD} SELECT floor, max(round(dist, 5)) AS dist FROM d WHERE r >= 12 AND c >= 12 GROUP BY floor")
+def traced_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The costs of the paths back from all cells of a corner, counted along their steps."""
     cells = _grid(spark, sf_dir)
-    free = cells.where("walk")
-    corner = lambda floor, agg: free.where(F.col("floor") == floor).agg(agg(F.struct("r", "c")).alias("m")).select(F.lit(floor).alias("floor"), "m.r", "m.c")
-    both = free.where("floor = 'main'").select("r", "c").join(free.where("floor = 'upper'").select("r", "c"), ["r", "c"]).orderBy(F.abs(F.col("r") - 12) + F.abs(F.col("c") - 12), "r", "c").limit(2)
-    portals = both.select(F.concat_ws("-", F.lit("st"), "r", "c").alias("link_id"), F.explode(F.array(F.lit("main"), F.lit("upper"))).alias("floor"), "r", "c")
-    ends = corner("main", F.min).select(F.lit("w").alias("route_id"), F.lit("start").alias("role"), "floor", "r", "c").union(corner("upper", F.max).select(F.lit("w"), F.lit("end"), "floor", "r", "c"))
-    return graph.route(cells, portals, ends, 2.3).withColumn("cost", F.round("cost", 6))
+    fields = graph.distance_fields(cells, _field_sources(cells))
+    paths = graph.trace(fields, fields.where("r >= 12 and c >= 12").select("floor", "src", "r", "c"))
+    to = F.transform("path", lambda p, i: F.struct(F.get("path", i - 1).alias("a"), p.alias("b")))
+    steps = paths.select("floor", F.col("r").alias("tr"), F.col("c").alias("tc"), F.explode(to).alias("s")).select("floor", "tr", "tc", F.col("s.a.r").alias("a_r"), F.col("s.a.c").alias("a_c"), F.col("s.b.r").alias("b_r"), F.col("s.b.c").alias("b_c"))
+    cost = steps.join(graph.grid_edges(cells), ["floor", "a_r", "a_c", "b_r", "b_c"], "left").groupBy("floor", "tr", "tc").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("cost"))
+    return cost.groupBy("floor").agg(F.max(F.round("cost", 5)).alias("dist"))
 
 
-@query()
+_ROUTE = f"""WITH RECURSIVE {_GRID}, {_STEPS_OF}, up AS (SELECT a.floor AS lo, b.floor AS hi, a.r, a.c FROM g a JOIN g b ON a.floor LIKE '%-0' AND b.floor = replace(a.floor, '-0', '-1') AND a.r = b.r AND a.c = b.c AND a.walk AND b.walk AND a.stair AND b.stair),
+legs AS MATERIALIZED (SELECT floor AS fa, ar, ac, floor AS fb, br, bc, w * 2.3 AS w FROM ed UNION ALL SELECT lo, r, c, hi, r, c, CAST(220 AS DOUBLE) FROM up UNION ALL SELECT hi, r, c, lo, r, c, CAST(220 AS DOUBLE) FROM up),
+d(floor, r, c, dist) USING KEY (floor, r, c) AS (SELECT floor, CAST(min(r * 100 + c) // 100 AS INTEGER), CAST(min(r * 100 + c) % 100 AS INTEGER), CAST(0 AS DOUBLE) FROM g WHERE walk AND floor LIKE '%-0' GROUP BY floor
+  UNION SELECT n.fb, n.br, n.bc, n.nd FROM (SELECT e.fb, e.br, e.bc, min(d.dist + e.w) AS nd FROM d JOIN legs e ON e.fa = d.floor AND e.ar = d.r AND e.ac = d.c GROUP BY ALL) n
+  LEFT JOIN recurring.d o ON o.floor = n.fb AND o.r = n.br AND o.c = n.bc WHERE o.dist IS NULL OR n.nd < o.dist - 1e-9)
+SELECT replace(d.floor, '-1', '') AS route_id, round(dist, 4) AS cost FROM d JOIN (SELECT floor, max(r * 100 + c) AS m FROM g WHERE walk AND floor LIKE '%-1' GROUP BY floor) t ON t.floor = d.floor AND d.r * 100 + d.c = t.m"""
+
+
+def _route_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells, all stairs between a building's two floors, and one walk a building, from corner to corner."""
+    cells = _grid(spark, sf_dir)
+    free = cells.where("walk").withColumn("building", F.regexp_extract("floor", "^(.*)-", 1))
+    low, high = free.where("floor like '%-0'"), free.where("floor like '%-1'")
+    both = low.where("stair").select("building", "r", "c").join(high.where("stair").select("building", "r", "c"), ["building", "r", "c"])
+    portals = both.select(F.concat_ws(":", "building", "r", "c").alias("link_id"), F.explode(F.array(F.concat("building", F.lit("-0")), F.concat("building", F.lit("-1")))).alias("floor"), "r", "c")
+    end = lambda df, role, pick: df.groupBy("building", "floor").agg(pick(F.struct("r", "c")).alias("m")).select(F.col("building").alias("route_id"), F.lit(role).alias("role"), "floor", "m.r", "m.c")
+    return cells, portals, end(low, "start", F.min).union(end(high, "end", F.max))
+
+
+@query(_ROUTE)
+def grid_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.route(*_route_parts(spark, sf_dir), 2.3)
+    return found.where("seq = 0").select("route_id", F.round("cost", 4).alias("cost"))
+
+
+@query(_ROUTE)
+def kept_field_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same walks with the landings' fields read from their table, built by the first of two calls."""
+    cells, portals, ends = _route_parts(spark, sf_dir)
+    path = f"{shared_folder(spark)}/corridora-fields-{uuid.uuid4().hex}"
+    for _ in range(2):
+        kept = graph.landing_fields(cells, graph.landings(portals), path, "1")
+    found = cut(graph.route(cells, portals, ends, 2.3, kept).where("seq = 0").select("route_id", F.round("cost", 4).alias("cost")))
+    graph.drop_fields(spark, path, "1")
+    return found
+
+
+_SNAPPED = f"""{_GRID}, pl AS (SELECT c_custkey AS place_id, 'b' || CAST(c_custkey // 1000 AS VARCHAR) || '-' || CAST(c_custkey % 2 AS VARCHAR) AS floor, c_custkey * 37 % 144 // 6 AS pc, c_custkey * 91 % 144 // 6 AS pr FROM customer),
+n AS (SELECT place_id, g.r, g.c, CASE WHEN NOT near_wall AND pub THEN 0 WHEN NOT near_wall THEN 1 ELSE 2 END AS kind, c - pc AS dx, r - pr AS dy, greatest(abs(c - pc), abs(r - pr)) AS ring FROM pl JOIN g ON g.floor = pl.floor AND g.walk),
+o AS (SELECT *, least(CASE WHEN dy = -ring THEN dx * 4 END, CASE WHEN dy = ring THEN dx * 4 + 1 END, CASE WHEN dx = -ring THEN dy * 4 + 2 END, CASE WHEN dx = ring THEN dy * 4 + 3 END) AS along FROM n WHERE ring <= 45)"""
+
+
+@query(f"WITH {_SNAPPED} SELECT place_id, r, c FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY kind, ring, along) AS rn FROM o) WHERE rn = 1")
 def snapped_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _grid(spark, sf_dir).withColumn("net", F.col("walk") & ~F.col("near_wall"))
-    places = points(spark, sf_dir).where("floor != 'lower'").select(F.col("id").alias("place_id"), "floor", (F.col("x") / 20).alias("x"), (F.col("y") / 16).alias("y"))
+    k = F.col("c_custkey")
+    floor = F.concat(F.lit("b"), F.floor(k / 1000).cast("string"), F.lit("-"), (k % 2).cast("string"))
+    places = table(spark, sf_dir, "customer").select(k.alias("place_id"), floor.alias("floor"), (k * 37 % 144).cast("double").alias("x"), (k * 91 % 144).cast("double").alias("y"))
     return spatial.snap(places, cells, 6.0)
 
 
-@query()
+@query(f"WITH {_SNAPPED} SELECT 'l' || CAST(place_id AS VARCHAR) AS link_id, r, c FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY kind, ring, along) AS rn FROM o) WHERE rn = 1")
+def snapped_link_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _grid(spark, sf_dir).withColumn("net", F.col("walk") & ~F.col("near_wall"))
+    k = F.col("c_custkey")
+    floor = F.concat(F.lit("b"), F.floor(k / 1000).cast("string"), F.lit("-"), (k % 2).cast("string"))
+    ident = k.cast("string")
+    links = table(spark, sf_dir, "customer").select(F.concat(F.lit("l"), ident).alias("id"), F.lit("stairs").alias("kind"), F.lit(False).alias("verified"), F.map_from_arrays(F.array(floor, F.lit("gone")), F.array(ident, ident)).alias("points"))
+    known = table(spark, sf_dir, "customer").select(floor.alias("floor"), ident.alias("id"), (k * 37 % 144).cast("double").alias("x"), (k * 91 % 144).cast("double").alias("y"))
+    return floors.snapped_ends(floors.link_ends(links, known), cells, 6.0).select("link_id", "r", "c")
+
+
+_REACH = """k AS (SELECT layer, r, c, layer * 1000000 + r * 1000 + c AS id FROM m), e AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.layer = y.layer AND abs(x.r - y.r) + abs(x.c - y.c) = 1),
+t AS (SELECT id, id AS o FROM k UNION SELECT t.id, b FROM t JOIN e ON a = t.o), n AS (SELECT id, min(o) AS comp FROM t GROUP BY 1), cc AS MATERIALIZED (SELECT k.layer, k.r, k.c, comp FROM n JOIN k USING (id))"""
+
+
+@query(f"""WITH RECURSIVE {_MASK}, {_REACH}, big AS (SELECT comp FROM cc GROUP BY 1 HAVING count(*) >= 4)
+SELECT m.layer, m.r, m.c FROM m JOIN cc ON cc.layer = m.layer AND abs(cc.r - m.r) <= 3 AND abs(cc.c - m.c) <= 3 JOIN big ON big.comp = cc.comp WHERE m.c % 2 = 0 GROUP BY ALL HAVING count(DISTINCT cc.comp) > 1""")
 def separator_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _mask(spark, sf_dir)
     return raster.separators(m.where("c % 2 = 0"), raster.label(m), reach=3, least=4)
@@ -385,17 +479,28 @@ def anchored_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.anchor_steps(steps, spine).select("route_id", "step", "seq", F.round("cum", 5).alias("cum"))
 
 
-@query()
+@query(f"""WITH {_PATHS}, p AS (SELECT route_id, CAST(seq // 4000000 AS INTEGER) AS leg, seq, x, y, CASE WHEN seq // 4000000 = 0 THEN 0.0 ELSE 14.0 END AS z FROM pts),
+l AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz, lead(leg) OVER w AS nl FROM p WINDOW w AS (PARTITION BY route_id ORDER BY leg, seq)),
+every AS (SELECT route_id, leg, seq, 0 AS riser, x, y, z FROM p UNION ALL SELECT route_id, leg, seq, CAST(i AS INTEGER), x + (nx - x) * (i / 11.0), y + (ny - y) * (i / 11.0), z + (nz - z) * (i / 11.0) FROM l, range(1, 11) t(i) WHERE nl <> leg),
+s AS (SELECT *, row_number() OVER w AS rn, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2), 0) AS d FROM every WINDOW w AS (PARTITION BY route_id ORDER BY leg, seq, riser))
+SELECT route_id, leg, seq, riser, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(sum(d) OVER (PARTITION BY route_id ORDER BY leg, seq, riser ROWS UNBOUNDED PRECEDING), 4) AS cum FROM s WHERE rn = 1 OR d >= 1e-4""")
 def lifted_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     points_ = _spine(spark, sf_dir).withColumn("leg", F.floor(F.col("seq") / 4_000_000).cast("int")).withColumn("floor", F.when(F.col("leg") == 0, "main").otherwise("upper"))
     heights = spark.createDataFrame([("main", 0.0), ("upper", 14.0)], "floor string, z double")
-    return shapes.lift(points_.drop("cum"), heights)
+    found = shapes.lift(points_.drop("cum"), heights)
+    return found.select("route_id", "leg", "seq", "riser", *[F.round(c, 4).alias(c) for c in ("x", "y", "z", "cum")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MASK}, ed AS (SELECT m.layer, m.c AS x1, m.r AS y1, m.c + 1 AS x2, m.r AS y2 FROM m ANTI JOIN m n ON n.layer = m.layer AND n.r = m.r - 1 AND n.c = m.c UNION ALL SELECT m.layer, m.c + 1, m.r, m.c + 1, m.r + 1 FROM m ANTI JOIN m n ON n.layer = m.layer AND n.r = m.r AND n.c = m.c + 1
+UNION ALL SELECT m.layer, m.c + 1, m.r + 1, m.c, m.r + 1 FROM m ANTI JOIN m n ON n.layer = m.layer AND n.r = m.r + 1 AND n.c = m.c UNION ALL SELECT m.layer, m.c, m.r + 1, m.c, m.r FROM m ANTI JOIN m n ON n.layer = m.layer AND n.r = m.r AND n.c = m.c - 1),
+e AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY layer, x1, y1, x2, y2) AS id FROM ed),
+nx AS MATERIALIZED (SELECT id, nid, straight FROM (SELECT a.id, b.id AS nid, a.x2 - a.x1 = b.x2 - b.x1 AND a.y2 - a.y1 = b.y2 - b.y1 AS straight, row_number() OVER (PARTITION BY a.id ORDER BY -((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1)), b.x2, b.y2) AS rn
+  FROM e a JOIN e b ON b.layer = a.layer AND b.x1 = a.x2 AND b.y1 = a.y2) WHERE rn = 1),
+t AS (SELECT id, id AS o FROM e UNION SELECT t.id, nx.nid FROM t JOIN nx ON nx.id = t.o), rings AS (SELECT id, min(o) AS ring FROM t GROUP BY 1)
+SELECT f.layer, f.x1, f.y1, CAST(count(*) FILTER (NOT straight) AS INTEGER) AS corners, CAST(sum(e.x1 * e.y2 - e.x2 * e.y1) AS DOUBLE) / 2 AS area FROM rings JOIN e ON e.id = rings.id JOIN nx ON nx.id = e.id JOIN e f ON f.id = rings.ring GROUP BY f.layer, f.x1, f.y1, rings.ring""")
 def mask_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shapes.rings(raster.boundary_edges(_mask(spark, sf_dir)))
-    return found.select("layer", "ring_id.x1", "ring_id.y1", F.size("ring").alias("corners"), geometry.signed_area("ring").alias("area"), F.size(shapes.simplify("ring")).alias("simplified"))
+    return found.select("layer", "ring_id.x1", "ring_id.y1", F.size("ring").alias("corners"), geometry.signed_area("ring").alias("area"))
 
 
 @query(f"""WITH {_MASK}, g AS (SELECT layer, r, c, r // 7 * 10 + c // 9 AS component FROM m), t AS (SELECT a.layer, a.component, a.r, a.c, b.r AS to_r, b.c AS to_c, abs(a.r - b.r) + abs(a.c - b.c) AS d FROM g a JOIN g b ON a.layer = b.layer AND b.component = 11 AND a.component <> 11 AND (a.r = b.r OR a.c = b.c) AND abs(a.r - b.r) + abs(a.c - b.c) <= 6)

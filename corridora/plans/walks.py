@@ -46,7 +46,7 @@ def cleaned_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_REPORTS} SELECT \"from\", count(*) AS n, round(median(pace), 6) AS pace FROM valid GROUP BY 1")
 def pace_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.valid_reports(reports(spark, sf_dir)).groupBy("from").agg(F.count(F.lit(1)).alias("n"), F.round(F.median(validate.pace()), 6).alias("pace"))
+    return estimates.exact_medians(validate.valid_reports(reports(spark, sf_dir)), ["from"], validate.pace()).select("from", "n", F.round("median", 6).alias("pace"))
 
 
 @query(f"""WITH {_REPORTS} SELECT m.minute, count(*) AS n_now, round(median(pace), 6) AS pace_now FROM valid v JOIN (SELECT unnest([0, 5, 710, 1430]) AS minute) m
@@ -59,8 +59,9 @@ def circular_time_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_REPORTS} SELECT a, b, count(*) AS n, median(seconds) AS seconds FROM valid GROUP BY a, b HAVING count(*) >= 2")
 def unordered_pair_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = validate.valid_reports(reports(spark, sf_dir)).select(*estimates.pair_key(), "seconds").groupBy("pair_a", "pair_b")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.median("seconds").alias("seconds")).where("n >= 2").withColumnsRenamed({"pair_a": "a", "pair_b": "b"})
+    r = validate.valid_reports(reports(spark, sf_dir)).select(*estimates.pair_key(), "seconds")
+    g = estimates.exact_medians(r, ["pair_a", "pair_b"], F.col("seconds")).where("n >= 2")
+    return g.select(F.col("pair_a").alias("a"), F.col("pair_b").alias("b"), "n", F.col("median").alias("seconds"))
 
 
 _WANTED = f"""wanted AS (SELECT c_custkey AS walk_id, 'p' || CAST(c_custkey % 45 AS VARCHAR) AS "from", 'p' || CAST(c_nationkey AS VARCHAR) AS "to", 100.0 + c_custkey % 900 AS feet,

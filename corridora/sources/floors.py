@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import pairs
+from ..operators import raster, spatial
 
 POINT = "struct<x:double,y:double,kind:string,label:string,aliases:array<string>,poiType:string,source:string,confidence:double>"
 FLOOR = f"id string, label string, image struct<w:int,h:int>, points map<string,{POINT}>, edges array<struct<a:string,b:string,auto:boolean>>, entrances array<string>"
@@ -46,6 +47,63 @@ def link_ends(links: DataFrame, point_table: DataFrame) -> DataFrame:
     return ends.join(point_table.select("floor", "id", "x", "y"), ["floor", "id"])
 
 
+def snapped_ends(ends: DataFrame, cells: DataFrame, cell_size: float) -> DataFrame:
+    """Link ends (link_id, floor, id, x, y, ...) with the walkable cell (r, c) each stands on or nearest to, public ones first."""
+    named = ends.withColumn("place_id", F.struct("link_id", "floor"))
+    return named.join(spatial.snap(named.select("place_id", "floor", "x", "y"), cells, cell_size), "place_id").drop("place_id")
+
+
+def decoded_grid(grids: DataFrame) -> DataFrame:
+    """(floor, r, c, walk, pub, east, south, near_wall, net) of bit-plane grids, the derived planes included."""
+    cells = grid_cells(grids)
+    derived = raster.derived_planes(cells.withColumnRenamed("floor", "layer"))
+    return derived.withColumnRenamed("layer", "floor").select("floor", "r", "c", "walk", "pub", "east", "south", "near_wall", "net")
+
+
+def traced_rooms(point_table: DataFrame) -> DataFrame:
+    """(floor, point_id, label, x, y) of the room points that a floor file holds."""
+    return point_table.where("kind = 'room'").select("floor", F.col("id").alias("point_id"), "label", "x", "y")
+
+
+def labelled_points(point_table: DataFrame) -> DataFrame:
+    """(floor, id, name, kind, x, y) of points with a place in the world: rooms and landmarks, by label or id."""
+    return point_table.where("kind in ('room', 'landmark')").select("floor", "id", F.coalesce("label", "id").alias("name"), "kind", "x", "y")
+
+
+WALLS = "floor string, w int, h int, quant int, pxPerFoot double, boxes array<int>, outlines array<array<int>>, footprint array<struct<outer:array<int>,holes:array<array<int>>>>"
+VERDICT = "array<struct<text:string,x:double,y:double,why:string>>"
+
+
+def wall_boxes(files: DataFrame) -> DataFrame:
+    """(layer, x, y, w, h) of wall files, in cells."""
+    i = F.sequence(F.lit(0), F.floor(F.size("boxes") / 4).cast("int") - 1)
+    box = F.transform(i, lambda k: F.struct(*[F.get("boxes", 4 * k + j).alias(n) for j, n in enumerate("xywh")]))
+    return files.where(F.size("boxes") >= 4).select(F.col("floor").alias("layer"), F.explode(box).alias("b")).select("layer", "b.*")
+
+
+def decisions(texts: DataFrame, value: str = "value") -> DataFrame:
+    """Review decisions as JSON (floor, value) to (floor, verdict, text, x, y, why); no rows where nothing is said."""
+    d = texts.select("floor", F.from_json(value, f"reject {VERDICT}, place {VERDICT}").alias("d"))
+    one = lambda verdict: d.select("floor", F.lit(verdict).alias("verdict"), F.explode(f"d.{verdict}").alias("v"))
+    return one("reject").unionByName(one("place")).select("floor", "verdict", "v.*")
+
+
+def rooms_file(room_table: DataFrame) -> DataFrame:
+    """(floor, value): each floor's rooms (id, label, kind, x, y, area, ring) as the compact JSON of a room file."""
+    flat = F.flatten(F.transform("ring", lambda p: F.array(F.round(p["x"]).cast("int"), F.round(p["y"]).cast("int"))))
+    row = F.struct("id", "label", "kind", *[F.round(c).cast("int").alias(c) for c in ("x", "y", "area")], flat.alias("poly"))
+    listed = room_table.groupBy("floor").agg(F.sort_array(F.collect_list(row)).alias("rooms"))
+    return listed.select("floor", F.to_json(F.struct("floor", "rooms")).alias("value"))
+
+
+def report_file(buckets: DataFrame) -> DataFrame:
+    """(floor, value): reconciled reads (floor, bucket, text, x, y, conf, was) as the JSON of a scan report."""
+    row = F.struct("text", "x", "y", "conf", "was")
+    of = lambda name: F.sort_array(F.collect_list(F.when(F.col("bucket") == name, row))).alias(name)
+    g = buckets.groupBy("floor").agg(of("corrected"), of("found"), of("unread"), F.count_if(F.col("bucket") == "confirmed").alias("confirmed"))
+    return g.select("floor", F.to_json(F.struct("corrected", "found", "unread", "confirmed")).alias("value"))
+
+
 def rooms(files: DataFrame) -> DataFrame:
     """(floor, id, label, kind, x, y, area, ring)."""
     return files.select("floor", F.explode("rooms").alias("r")).select("floor", "r.id", "r.label", "r.kind", "r.x", "r.y", "r.area", pairs("r.poly").alias("ring"))
