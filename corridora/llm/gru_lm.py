@@ -42,13 +42,13 @@ END = np.uint64(0x0123456789ABCDEF)
 SMOOTH = 0.1
 #: Frequent words whose counts every task holds (16 bytes each).
 KNOWN_WORDS = 200_000
-SYMBOLS, HIDDEN, WINDOW = 2048, 24, 16
+SYMBOLS, HIDDEN, WINDOW = 1024, 24, 16
 #: Texts side by side in scoring and in learning, and learning steps that a block should give at least.
-LANES, LEARN_LANES, LEARN_STEPS = 512, 192, 512
+LANES, LEARN_LANES, LEARN_STEPS = 512, 256, 512
 #: Groups of known words, and classes of each group's symbols.
 GROUPS, BINS = 8, 6
 #: Frequent words whose nearness tells groups apart, and how near that is.
-COMPANY, REACH = 48, 4
+COMPANY, REACH = 48, 2
 #: Tokens of a block of texts. A long text bounds the number of lanes, and wide windows cost less a token.
 BLOCK_TOKENS, LOOK_UP_TOKENS = 4_000_000, 500_000
 #: AdaGrad's rate and first sum of squares.
@@ -373,14 +373,15 @@ _COMPANY = "place binary, n binary"
 def _add(total: np.ndarray, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     for batch in batches:
         for place, n in zip(batch.column(0), batch.column(1), strict=True):
-            total[np.frombuffer(place.as_py(), np.uint32)] += np.frombuffer(n.as_py(), np.uint32)
+            total[np.cumsum(kernels.expand(place.as_py(), np.uint32), dtype=np.int64)] += kernels.expand(n.as_py(), np.uint32)
     return total
 
 
 def _sparse(total: np.ndarray) -> Iterator[pa.RecordBatch]:
     some = np.flatnonzero(total)
     if len(some):
-        yield pa.RecordBatch.from_arrays([pa.array([some.astype(np.uint32).tobytes()], pa.binary()), pa.array([total[some].astype(np.uint32).tobytes()], pa.binary())], names=["place", "n"])
+        place, n = kernels.squeeze(np.diff(some, prepend=0).astype(np.uint32)), kernels.squeeze(total[some].astype(np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array([place], pa.binary()), pa.array([n], pa.binary())], names=["place", "n"])
 
 
 def company_counts(texts: DataFrame, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -410,10 +411,10 @@ def company_counts(texts: DataFrame, hashes: np.ndarray, counts: np.ndarray) ->
         yield from _sparse(_add(np.zeros(len(shared.value[0].hashes) * COMPANY, np.uint32), batches))
 
     level = materialize(texts.mapInArrow(meet, _COMPANY), "company")
-    while (many := level.count()) > FAN_IN:
+    while (many := level.count()) > 1:
         before, level = level, materialize(level.repartition(-(-many // FAN_IN)).mapInArrow(add, _COMPANY), "company")
         release(before)
-    total = _add(np.zeros(len(hashes) * COMPANY, np.uint32), level.toArrow().to_batches())  # FAN_IN rows at most
+    total = _add(np.zeros(len(hashes) * COMPANY, np.uint32), level.toArrow().to_batches())  # one row of a bounded size
     release(level)
     shared.destroy()
     return total.reshape(len(hashes), COMPANY)
@@ -546,6 +547,7 @@ def score(docs: DataFrame, *, held_out) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     scored = materialize(rows.mapInArrow(judge, _SCORED), "scored")
+    shared.destroy()
     rare = scored.select("row", F.explode(F.arrays_zip("rare_word", "rare_n")).alias("x")).select("row", F.col("x.rare_word").alias("word"), F.col("x.rare_n").alias("m"))
     found = rare.join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))

@@ -55,20 +55,6 @@ PART_BYTES = 64 << 20
 
 _PACKED = "part int, flush long, n int, ids binary, tokens binary, owners binary, weights binary"
 _SETS = "doc_id long, text_hash long, row long, n_shingles long, name long, other_name long, central double, prefix int, tokens array<long>"
-_CODEC = "zstd"
-
-
-def _squeeze(values: np.ndarray) -> bytes:
-    """Compressed byte planes of an unsigned array (planes of equal significance compress well)."""
-    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
-
-
-def _expand(blob: bytes, dtype: type) -> np.ndarray:
-    size = int.from_bytes(blob[:8], "little")
-    raw = np.frombuffer(pa.decompress(blob[8:], size, codec=_CODEC, asbytes=True), dtype=np.uint8)
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(dtype)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -115,13 +101,13 @@ def _packer(words: int, parts: int):
             value, own = value[order], own[order]
             sets_at = np.full(len(counts), 65535, dtype=np.uint16)
             sets_at[first] = number[first]
-            rows = [(flush % parts, flush, len(counts), _squeeze(np.concatenate([np.where(gone, _NULL_ID, ids), said])), _squeeze(np.concatenate([names, others])), _squeeze(counts.astype(np.int32)), _squeeze(sets_at))]
+            rows = [(flush % parts, flush, len(counts), kernels.squeeze(np.concatenate([np.where(gone, _NULL_ID, ids), said])), kernels.squeeze(np.concatenate([names, others])), kernels.squeeze(counts.astype(np.int32)), kernels.squeeze(sets_at))]
             edges = np.searchsorted(value, (np.arange(parts + 1, dtype=object) * 2**TOKEN_BITS // parts).astype(np.uint64))
             for r in np.flatnonzero(np.diff(edges)):
                 x = value[edges[r] : edges[r + 1]]
                 step = np.diff(x, prepend=np.uint64(0))
                 step = step.astype(np.uint32) if step[1:].max(initial=0) < 2**32 and step[0] < 2**32 else step
-                rows.append((int(r), flush, -step.itemsize, None, _squeeze(step), _squeeze(own[edges[r] : edges[r + 1]]), x[:1].tobytes()))
+                rows.append((int(r), flush, -step.itemsize, None, kernels.squeeze(step), kernels.squeeze(own[edges[r] : edges[r + 1]]), x[:1].tobytes()))
             return _batch(rows, _PACKED_ARROW)
 
         for batch in batches:
@@ -158,9 +144,9 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n >= 0:
                 table.append((part, flush, n, ids, tokens, owners, weights))
             else:
-                step = _expand(tokens, np.uint32 if n == -4 else np.uint64).astype(np.uint64)
+                step = kernels.expand(tokens, np.uint32 if n == -4 else np.uint64).astype(np.uint64)
                 step[:1] = np.frombuffer(weights, dtype=np.uint64)
-                blobs.append((flush, np.cumsum(step, dtype=np.uint64), _expand(owners, np.uint16)))
+                blobs.append((flush, np.cumsum(step, dtype=np.uint64), kernels.expand(owners, np.uint16)))
         if table:
             yield _batch(table, _PACKED_ARROW)
     if not blobs:
@@ -178,7 +164,7 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.flatnonzero(names[at] == tokens)
         if len(keep):
             weight = np.minimum(255, np.round(8 * np.log2(count[at[keep]]))).astype(np.uint8)
-            yield _batch([(0, flush, -1, None, _squeeze(tokens[keep]), _squeeze(owners[keep]), _squeeze(weight))], _PACKED_ARROW)
+            yield _batch([(0, flush, -1, None, kernels.squeeze(tokens[keep]), kernels.squeeze(owners[keep]), kernels.squeeze(weight))], _PACKED_ARROW)
 
 
 def _gatherer(per_cent: int):
@@ -191,7 +177,7 @@ def _gatherer(per_cent: int):
         for batch in batches:
             for _, flush, n, ids, tokens, owners, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if n >= 0:
-                    tables[flush] = (_expand(ids, np.int64), _expand(tokens, np.uint64), _expand(owners, np.int32), _expand(weights, np.uint16))
+                    tables[flush] = (kernels.expand(ids, np.int64), kernels.expand(tokens, np.uint64), kernels.expand(owners, np.int32), kernels.expand(weights, np.uint16))
                 else:
                     found[flush].append((tokens, owners, weights))
         for flush, (ids, names, counts, sets_at) in tables.items():
@@ -200,7 +186,7 @@ def _gatherer(per_cent: int):
             row = np.zeros(n_sets, dtype=np.int64)
             row[sets_at[sets_at != 65535]] = np.flatnonzero(sets_at != 65535)
             packed = found.pop(flush, [])
-            tokens, owners, weights = (np.concatenate([_expand(p[i], t) for p in packed]) if packed else np.zeros(0, t) for i, t in enumerate((np.uint64, np.uint16, np.uint8)))
+            tokens, owners, weights = (np.concatenate([kernels.expand(p[i], t) for p in packed]) if packed else np.zeros(0, t) for i, t in enumerate((np.uint64, np.uint16, np.uint8)))
             shared = np.bincount(owners, minlength=n_sets)
             size = counts[row]
             least = -(-per_cent * size // 100)

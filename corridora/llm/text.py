@@ -37,6 +37,20 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Compressed byte planes of an unsigned array (planes of equal significance compress well)."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expand(blob: bytes, dtype: type) -> np.ndarray:
+    """The array that :func:`squeeze` took."""
+    size = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.decompress(blob[8:], size, codec="zstd", asbytes=True), dtype=np.uint8)
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(dtype)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and multiply)."""
     x = (x ^ (x >> U64(33))) * U64(0xFF51AFD7ED558CCD)
