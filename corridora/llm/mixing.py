@@ -19,8 +19,8 @@ stratum to the shortest, a stratum gets the whole number of copies that comes ne
 what was left over so far; inside a stratum they are dealt out evenly in a fixed pseudo-random order.
 
 DataFrame functions only; reruns agree. Rows that repeat are one group with a number of rows, and
-prefix sums run over bounded buckets in two levels, so that no source, stratum or copied document is
-one task's alone.
+prefix sums run over tiers in two levels, so that no source, stratum or copied document is one task's
+alone.
 
 Targets: sources by code point, null last, weigh ``weights`` in turn, and share ``budget`` of all
 sizes; a target stops at ``cap`` times its source's size and the excess is reshared by weight

@@ -10,9 +10,6 @@ from ..operators.lineage import materialize, release, shared_folder
 
 __all__ = ["ascii_lower", "fold", "input_bytes", "materialize", "partitions", "release", "running_start", "shared_folder"]
 
-#: Rows in a bucket of the running sums, on average.
-BUCKET_ROWS = 64
-
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -36,22 +33,17 @@ def ascii_lower(column: Column) -> Column:
 
 def running_start(groups: DataFrame, within: list[str], order: list[str], amount: str) -> DataFrame:
     """``groups`` with ``start``: the sum of ``amount`` over those before it of its ``within`` keys, in the
-    order (bucket by hash of ``order``, ``order``). Rows must differ in ``order``.
+    order (tier by hash of ``order``, ``order``). Rows must differ in ``order``, and should be a table.
 
-    Buckets hold about BUCKET_ROWS rows at any size of a key; their sums are summed up in two levels, so
-    that no window holds more than the square root of a key's buckets.
+    There are as many tiers as the root of the rows: no window holds more than about that many rows,
+    though a key may have all of them.
     """
-    key = F.struct(*[F.col(c) for c in within]) if within else F.lit(0)
-    counts = groups.groupBy(key.alias("__key")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS), F.lit(1)).alias("__buckets"))
-    spread = groups.withColumn("__key", key).join(counts, "__key").withColumn("__bucket", F.pmod(F.xxhash64(*order), F.col("__buckets")))
-    spread = materialize(spread.withColumn("__tier", F.floor(F.col("__bucket") / F.ceil(F.sqrt(F.col("__buckets").cast("double"))))).drop("__buckets"), "buckets")
-    sums = spread.groupBy("__key", "__tier", "__bucket").agg(F.sum(amount).alias("n"))
-    before = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tiers = sums.groupBy("__key", "__tier").agg(F.sum("n").alias("n"))
-    tiers = tiers.select("__key", "__tier", before(Window.partitionBy("__key").orderBy("__tier")).alias("__above"))
-    sums = sums.withColumn("__inner", before(Window.partitionBy("__key", "__tier").orderBy("__bucket"))).join(tiers, ["__key", "__tier"])
-    sums = sums.select("__key", "__bucket", (F.col("__above") + F.col("__inner")).alias("__start"))
-    here = Window.partitionBy("__key", "__bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = spread.withColumn("__here", F.coalesce(F.sum(amount).over(here), F.lit(0)))
-    out = ranked.join(sums, ["__key", "__bucket"]).withColumn("start", F.col("__start") + F.col("__here"))
-    return out.select(*groups.columns, "start")
+    tiers = int(groups.count() ** 0.5) + 1
+    keys = [*within, "__tier"]
+    tiered = groups.withColumn("__tier", F.pmod(F.xxhash64(*order), F.lit(tiers)))
+    sums = tiered.groupBy(*keys).agg(F.sum(amount).alias("__n"))
+    above = Window.partitionBy(*within).orderBy("__tier").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__above"))
+    here = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = tiered.withColumn("__here", F.coalesce(F.sum(amount).over(here), F.lit(0)))
+    return ranked.join(sums, keys).select(*groups.columns, (F.col("__above") + F.col("__here")).alias("start"))
