@@ -66,17 +66,19 @@ def inverse(mask: DataFrame, page: DataFrame) -> DataFrame:
 
 def grow(mask: DataFrame, n: int) -> DataFrame:
     """``n`` dilations by the eight neighbours: a square, along one axis and then the other."""
-    side = F.sequence(F.lit(-n), F.lit(n))
-    along = mask.select("layer", (F.col("r") + F.explode(side)).alias("r"), "c").distinct()
-    return along.select("layer", "r", (F.col("c") + F.explode(side)).alias("c")).distinct()
+    return _spread(_spread(mask.select(*CELL), "r", n).distinct(), "c", n).distinct()
+
+
+def _spread(cells: DataFrame, axis: str, n: int) -> DataFrame:
+    """Each row at all places up to ``n`` away along an axis."""
+    return cells.withColumn("__d", F.explode(F.sequence(F.lit(-n), F.lit(n)))).withColumn(axis, F.col(axis) + F.col("__d")).drop("__d")
 
 
 def shrink(mask: DataFrame, n: int) -> DataFrame:
     """``n`` erosions by the eight neighbours, along one axis and then the other."""
-    side = F.sequence(F.lit(-n), F.lit(n))
     whole = F.count(F.lit(1)) == 2 * n + 1
-    along = mask.select(*CELL).distinct().select("layer", (F.col("r") + F.explode(side)).alias("r"), "c").groupBy(*CELL).agg(whole.alias("ok")).where("ok")
-    return along.select("layer", "r", (F.col("c") + F.explode(side)).alias("c")).groupBy(*CELL).agg(whole.alias("ok")).where("ok").select(*CELL)
+    kept = lambda cells: cells.groupBy(*CELL).agg(whole.alias("ok")).where("ok").select(*CELL)
+    return kept(_spread(kept(_spread(mask.select(*CELL).distinct(), "r", n)), "c", n))
 
 
 def seal(mask: DataFrame, n: int) -> DataFrame:
@@ -87,9 +89,8 @@ def seal(mask: DataFrame, n: int) -> DataFrame:
 def density(cells: DataFrame, reach: int, keys: list[str] | None = None) -> DataFrame:
     """(keys, layer, r, c, share): the share of set cells in the square of ``reach`` around; 0 is not listed."""
     keys = [*(keys or []), *CELL]
-    side = F.sequence(F.lit(-reach), F.lit(reach))
-    moved = lambda df, c, n: df.withColumn(c, F.col(c) + F.explode(side)).groupBy(*keys).agg(F.sum(n).alias("n"))
-    summed = moved(moved(cells.select(*keys).distinct().withColumn("n", F.lit(1)), "r", "n"), "c", "n")
+    moved = lambda df, axis: _spread(df, axis, reach).groupBy(*keys).agg(F.sum("n").alias("n"))
+    summed = moved(moved(cells.select(*keys).distinct().withColumn("n", F.lit(1)), "r"), "c")
     return summed.select(*keys, (F.col("n") / float((2 * reach + 1) ** 2)).alias("share"))
 
 

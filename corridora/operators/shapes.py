@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -146,26 +148,24 @@ def straighten(ring: Column | str, *, tolerance: float = 2.2, merge: float = 8.0
 
 def clip_ring(ring: Column | str, box: tuple[float, float, float, float]) -> Column:
     """The part of a ring inside (x0, y0, x1, y1), cut side by side; an empty array if nothing is."""
-    out = F.col(ring) if isinstance(ring, str) else ring
-    for axis, limit, sign in (("x", box[0], 1.0), ("x", box[2], -1.0), ("y", box[1], 1.0), ("y", box[3], -1.0)):
-        out = _half_plane(out, axis, limit, sign)
-    return out
+    sides = [F.struct(F.lit(across).alias("across"), F.lit(float(limit)).alias("limit"), F.lit(sign).alias("sign")) for across, limit, sign in ((True, box[0], 1.0), (True, box[2], -1.0), (False, box[1], 1.0), (False, box[3], -1.0))]
+    points = F.coalesce(F.col(ring) if isinstance(ring, str) else ring, F.array()).cast("array<struct<x:double,y:double>>")
+    return F.aggregate(F.array(*sides), points, _half_plane)
 
 
-def _half_plane(ring: Column, axis: str, limit: float, sign: float) -> Column:
-    n = F.size(ring)
-    other = "y" if axis == "x" else "x"
+def _half_plane(ring: Column, side: Column) -> Column:
+    """The ring's points on the inner side of a line, and where it crosses the line."""
+    on = lambda p: F.when(side["across"], p["x"]).otherwise(p["y"])
+    along = lambda p: F.when(side["across"], p["y"]).otherwise(p["x"])
+    inner = lambda p: (on(p) - side["limit"]) * side["sign"] >= 0
+    before = F.concat(F.slice(ring, -1, 1), F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))))
 
-    def side(i: Column) -> Column:
-        a, b = F.get(ring, F.pmod(i + n - 1, n)), F.get(ring, i)
-        a_in, b_in = (a[axis] - limit) * sign >= 0, (b[axis] - limit) * sign >= 0
-        cross = a[other] + (b[other] - a[other]) * (F.lit(limit) - a[axis]) / (b[axis] - a[axis])
-        at = F.struct(F.lit(float(limit)).alias(axis), cross.alias(other)) if axis == "x" else F.struct(cross.alias(other), F.lit(float(limit)).alias(axis))
-        here = F.struct(b["x"].alias("x"), b["y"].alias("y"))
-        return F.when(b_in & ~a_in, F.array(at, here)).when(b_in, F.array(here)).when(a_in, F.array(at)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+    def step(a: Column, b: Column) -> Column:
+        at = along(a) + (along(b) - along(a)) * (side["limit"] - on(a)) / F.nullif(on(b) - on(a), F.lit(0.0))
+        cross = F.struct(F.when(side["across"], side["limit"]).otherwise(at).alias("x"), F.when(side["across"], at).otherwise(side["limit"]).alias("y"))
+        return F.filter(F.array(F.when(inner(a) != inner(b), cross), F.when(inner(b), b)), lambda p: p.isNotNull())
 
-    empty = F.array().cast("array<struct<x:double,y:double>>")
-    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), side))).otherwise(empty)
+    return F.when(F.size(ring) == 0, ring).otherwise(F.flatten(F.zip_with(before, ring, step)))
 
 
 def clip_segments(segments: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
@@ -183,14 +183,20 @@ def clip_segments(segments: DataFrame, box: tuple[float, float, float, float]) -
     return t.withColumns({"x1": at("x1", dx, "__a"), "y1": at("y1", dy, "__a"), "x2": at("x1", dx, "__b"), "y2": at("y1", dy, "__b")}).drop("__a", "__b", "__ok")
 
 
-def combine_polygons(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-    """The outlines (layer, ring_id, ring) of two layers' polygons (layer, poly_id, ring) together: ``how`` is
-    union, intersection or difference, told on cells of one unit."""
+def combine_polygons(a: DataFrame, b: DataFrame, hows: tuple[str, ...] = ("union", "intersection", "difference")) -> DataFrame:
+    """The outlines (how, layer, ring_id, ring) of two sets of polygons (layer, poly_id, ring) together, told on
+    cells of one unit: their union, intersection or difference."""
     from . import raster
 
-    cells = [raster.polygon_cells(spatial.ring_edges(p.select("layer", F.col("poly_id").alias("pid"), "ring").withColumn("poly_id", F.struct("layer", "pid"))).select("poly_id.layer", "poly_id", "x1", "y1", "x2", "y2")) for p in (a, b)]
-    mask = {"union": raster.either, "intersection": raster.both, "difference": raster.without}[how](*cells)
-    return rings(raster.boundary_edges(mask))
+    def cells(p: DataFrame) -> DataFrame:
+        named = p.select("ring", F.struct("layer", F.col("poly_id").alias("pid")).alias("poly_id"))
+        return cut(raster.polygon_cells(spatial.ring_edges(named).select("poly_id.layer", "poly_id", "x1", "y1", "x2", "y2")).select(*raster.CELL).distinct())
+
+    one, two = cells(a), cells(b)
+    of = {"union": raster.either, "intersection": raster.both, "difference": raster.without}
+    tagged = [of[how](one, two).withColumn("layer", F.struct(F.lit(how).alias("how"), "layer")) for how in hows]
+    found = rings(raster.boundary_edges(reduce(DataFrame.union, tagged)))
+    return found.select("layer.how", "layer.layer", "ring_id", "ring")
 
 
 def boxes(points: DataFrame, keys: list[str], *, margin: float = 0.0) -> DataFrame:

@@ -17,9 +17,9 @@ GRID = "floor string, cols int, rows int, cell int, walk string, pub string, eas
 ORDER = ("lower", "main", "upper")
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document or array a file; what does not fit the schema is null."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, schema: str, *, lines: bool = False) -> DataFrame:
+    """One JSON document or array a file, or one document a line; what does not fit the schema is null."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def floor_index(floor: Column | str) -> Column:
