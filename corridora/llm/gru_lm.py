@@ -463,6 +463,7 @@ def _round(texts: DataFrame, words: Vocabulary, flat: np.ndarray) -> np.ndarray:
     shared = texts.sparkSession.sparkContext.broadcast((words, flat))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernels.one_thread()
         v, start = shared.value
         model, seen = Model(v).load(start), 0
         end = int(v.symbol[v.look_up(np.array([END]))[0]])
@@ -511,6 +512,7 @@ def score(docs: DataFrame, *, held_out) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        kernels.one_thread()
         v, weights = shared.value
         model = Model(v).load(weights)
         end = int(v.symbol[v.look_up(np.array([END]))[0]])

@@ -8,7 +8,10 @@ odds of about 1 in 10**19; callers that need more compare the words themselves.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,18 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
+@functools.cache
+def one_thread() -> None:
+    """Holds numpy's matrix products to one thread: a task has one core, and for small products the other
+    threads only wait, which doubles the CPU time. Without the bundled OpenBLAS nothing is changed."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """Compressed byte planes of an unsigned array (planes of equal significance compress well)."""
     raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()

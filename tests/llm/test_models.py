@@ -1,6 +1,7 @@
 """Language ID, quality and the language model: held-out accuracy and defined results."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -101,7 +102,8 @@ def test_every_training_text_reaches_the_network(spark):
 
 def test_model_beats_the_base_on_held_out_texts(spark):
     rows = [r for r in queries.op2_gru_lm(spark, SF).collect() if r.held_out]
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    gain = (sum(r.score for r in rows) - sum(r.base_score for r in rows)) / sum(r.n_tokens for r in rows)
+    assert gain > 0.1  # log10 a token
 
 
 def test_probabilities_sum_to_one():
@@ -146,3 +148,125 @@ def test_letters_and_blocks():
     column = pa.array(["Ab", None, "", "1", "é"])
     found = list(langid.ngrams(column))
     assert [bool(x) for x in found[0][3]] == [True, False, False, False, True]
+
+
+M64 = 2**64 - 1
+
+
+def plain_mix(x):
+    x = (x ^ (x >> 33)) * 0xFF51AFD7ED558CCD & M64
+    x = (x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53 & M64
+    return x ^ (x >> 33)
+
+
+def plain_prediction(filters, text):
+    """(language, score) of one text by plain loops over its n-grams and the filters' bits."""
+    if text is None or not any(ch.isalpha() for ch in text):
+        return "und", 0.0
+    low = "".join((ch.lower() if len(ch.lower()) == 1 else ch) if ch.isalpha() else " " for ch in text)
+    said = " " + " ".join(low.split(" ")).strip() + " "
+    while "  " in said:
+        said = said.replace("  ", " ")
+    hits, total = [0] * len(filters.languages), 0
+    for n in langid.SIZES:
+        for i in range(len(said) - n + 1):
+            value = 0
+            for ch in said[i : i + n]:
+                value = (value << 16 & M64) ^ (ord(ch) * 0x9E3779B1 & M64)
+            h = plain_mix(value + n & M64)
+            total += 1
+            for k in range(len(hits)):
+                slots = [(h >> (j * langid.SLOT_BITS)) & ((1 << langid.SLOT_BITS) - 1) for j in range(langid.HASHES)]
+                hits[k] += all(int(filters.bits[k // 64][s]) >> (k % 64) & 1 for s in slots)
+    counts = [max(0.0, (x - total * f) / (1 - f)) for x, f in zip(hits, filters.false_rate, strict=True)]
+    most = max(counts)
+    if most <= 0:
+        return filters.prior, 0.0
+    others = (sum(counts) - most) / max(1, len(counts) - 1)
+    return filters.languages[counts.index(most)], min(1.0, max(0.0, (most - others) / max(total, 1)))
+
+
+def test_language_against_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    filters = langid.learn(docs.where(fold("doc_id", 5) != 0))
+    texts = [r.text for r in docs.orderBy("doc_id").collect()[::9]] + [r[1] for r in DOCS if r[0] != 8]
+    for text, found in zip(texts, filters.predict(pa.array(texts)).to_pylist(), strict=True):
+        lang, score = plain_prediction(filters, text)
+        assert found["lang"] == lang and found["score"] == pytest.approx(score, abs=1e-9), text
+
+
+def plain_features(text):
+    """The features of one text by plain counting of its bytes, words and lines."""
+    data = (text or "").encode()
+    n = max(len(data), 1)
+    kinds = [sum(1 for b in data if quality._CLASSES[b] == k) for k in range(8)]
+    marks = [data.count(bytes([b])) for b in range(128)]
+    words = re.findall(rb"[^\x20\x09-\x0d]+", data)
+    lines = re.findall(rb"[^\n\r]+", data)
+    many, kind = max(len(words), 1), lambda b: int(quality._CLASSES[b])
+    capital = sum(kind(w[0]) == 2 for w in words)
+    after = [data[min(m.start() + 1, len(data) - 1)] for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
+    shout = sum(kind(w[0]) == 2 and kind(b) == 2 for w, b in zip(words, after, strict=True))
+    tail = sum(kind(w[-1]) == 7 for w in words)
+    low = {bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words}
+    extra = [math.log1p(len(data)), math.log1p(len(words)), sum(map(len, words)) / many / 10, len(low) / many, capital / many, shout / many, tail / many, math.log1p(len(lines)), len(set(lines)) / max(len(lines), 1), len(lines) / many]
+    return [*(math.sqrt(x / n) for x in marks), *(math.sqrt(x / n) for x in kinds), *extra]
+
+
+def test_quality_features_and_scores_against_plain_counting(spark):
+    # the byte after a text's last word is the next text's in a block, so each text is a block of its own
+    texts = [r[1] for r in DOCS if r[0] != 8] + ["AB cd!\nAB cd!\r\nX\ty."]
+    random = np.random.default_rng(4)
+    ranker = quality.Ranker(random.normal(size=quality.N_FEATURES), random.uniform(0.5, 2, quality.N_FEATURES), random.normal(size=quality.N_FEATURES), 0.3, 0.7, True)
+    for text in texts:
+        x = quality.features(pa.array([text], pa.string()))
+        want = np.array(plain_features(text))
+        assert np.allclose(x[0], want, atol=1e-5), text
+        strength = sum(max(-8, min(8, (a - m) / s)) * w for a, m, s, w in zip(want, ranker.mean, ranker.scale, ranker.weights, strict=True))
+        away = 0.7 * (strength - 0.3) + math.log(0.7 / 0.3)
+        assert ranker.score(x)[0] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, away)))), rel=1e-3)
+
+
+def plain_log_probability(model, v, symbols, end):
+    """Natural log probabilities of one text's symbols, token by token from the model's equations."""
+    w = {k: x.astype(np.float64) for k, x in model.w.items()}
+    h = gru_lm.HIDDEN
+    state, before, out = np.zeros(h), end, []
+    for s in symbols:
+        a, g = w["input"][before] + w["gate"], state @ w["recur"]
+        z, r = 1 / (1 + np.exp(-(a[:h] + g[:h]))), 1 / (1 + np.exp(-(a[h : 2 * h] + g[h : 2 * h])))
+        state = state + z * (np.tanh(a[2 * h :] + r * g[2 * h :]) - state)
+        place = model.place[s]
+        k = model.of_class[place]
+        lo, hi = v.bounds[k], v.bounds[k + 1]
+        c = state @ w["to_class"] + w["class"]
+        inner = state @ w["to_symbol"][lo:hi].T + w["symbol"][lo:hi]
+        out.append(c[k] - np.log(np.exp(c).sum()) + inner[place - lo] - np.log(np.exp(inner).sum()))
+        before = s
+    return out
+
+
+def test_scores_against_the_equations(spark):
+    docs = documents(spark).select("doc_id", "text").coalesce(1)
+    held_out = fold("doc_id", 10) == 0
+    got = gru_lm.score(docs, held_out=held_out).collect()
+    texts = docs.where(~held_out).select("text")
+    v, counts = gru_lm.learn_vocabulary(texts)
+    model = gru_lm.Model(v).load(gru_lm.train(texts, v))
+    end = int(v.symbol[v.look_up(np.array([gru_lm.END]))[0]])
+    for doc_id, text in [(r[0], r[1]) for r in DOCS if r[0] in (0, 2, 4, 6, 9, 8)]:
+        hashes = np.concatenate([x[1] for x in gru_lm._tokens(iter([pa.RecordBatch.from_arrays([pa.array([text])], names=["t"])]), 0)])
+        at = v.look_up(hashes)
+        model_sum = sum(plain_log_probability(model, v, v.symbols(at).tolist(), end)) / math.log(10)
+        share = sum(v.log_share[i] if i >= 0 else math.log10(gru_lm.SMOOTH / v.other_mass()) for i in at)
+        mine = next(r for r in got if r.doc_id == doc_id)
+        assert mine.score == pytest.approx(model_sum + share, rel=2e-3, abs=1e-2), doc_id
+
+
+def test_words_of_a_language_share_a_group():
+    random = np.random.default_rng(2)
+    company = np.zeros((400, gru_lm.COMPANY))
+    for i in range(400):  # two languages, each with its own frequent words
+        company[i, random.integers(0, 8, 30) + 8 * (i % 2)] += 1
+    group = gru_lm.clusters(company, np.arange(400, 0, -1))
+    assert not set(group[::2]) & set(group[1::2])
