@@ -9,6 +9,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import signed_area
 from ..operators.lineage import cut, materialize, shared_folder
@@ -130,7 +131,7 @@ def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return floors.decisions(said).select("floor", "verdict", "text", "x")
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _as_wkb(rings: pa.Array) -> pa.Array:
     """Rings as well-known binary polygons, every other one with its bytes the other way round."""
     out = []
@@ -159,7 +160,7 @@ def overlapping_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outdoor.read_overlapping(spark, path, (20.0, 30.0, 60.0, 45.0)).select("c_custkey")
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _as_png(rows: pa.Array) -> pa.Array:
     """16 x 16 images whose lines take all of the format's filters in turn."""
     out = []
