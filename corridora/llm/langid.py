@@ -92,6 +92,9 @@ def ngrams(column: pa.Array, limit: int = 256 << 10) -> Iterator[tuple[int, int,
         space = points == 32
         keep = np.ones(len(points), dtype=bool)
         keep[1:] = ~(space[1:] & space[:-1] & (owner[1:] == owner[:-1]))
+        points, owner, space = points[keep], owner[keep], space[keep]
+        keep = np.ones(len(points), dtype=bool)
+        keep[:-1] = ~(space[1:] & space[:-1])  # a space that ends a text is the one after it
         yield a, z, _hashed(points[keep], owner[keep]), has
 
 
