@@ -43,6 +43,11 @@ def test_conversation_over_many_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_ties_of_one_turn_go_by_role_then_text(spark):
+    rows = [(1, 0, "user", "z"), (1, 0, "assistant", "y"), (1, 0, "assistant", "a"), (1, 0, None, "n")]
+    assert got(spark.createDataFrame(rows, SCHEMA).repartition(3)) == expected(rows)
+
+
 def test_empty(spark):
     assert got(spark.createDataFrame([], SCHEMA)) == {}
 

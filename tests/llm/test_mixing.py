@@ -94,3 +94,10 @@ def test_awkward_documents(spark):
     assert mixed.columns == docs.columns
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert max(v for k, v in counts.items() if k != 7) <= 2 and counts.get(3) is None
+
+
+def test_a_very_long_text_is_a_stratum(spark):
+    rows = [(0, "w " * 400_000, "a"), *[(i, "w w w", "a") for i in range(1, 50)], (99, "w w", "b")]
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0]["size"] == 400_000 and all(0 <= r.copies <= 2 for r in got.values())
+    assert got[99].taken == 4  # a source that is small takes its cap

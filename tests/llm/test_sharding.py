@@ -36,3 +36,10 @@ def test_awkward_documents(spark):
     key = lambda r: (str(r.doc_id), r.shard, r.slot)
     assert sorted(map(key, again)) == sorted(map(key, rows))
     assert sharding.shard(nothing(spark)).count() == 0
+
+
+def test_long_texts_and_many_repeats(spark):
+    rows = [(1, "x" * 3_000_000), (2, None)] + [(3, "same")] * 500
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 502 and next(r["size"] for r in got if r.doc_id == 1) == 3_000_001
+    assert sorted(r.slot * 16 + r.shard for r in got) == list(range(502))
