@@ -23,11 +23,13 @@ def pocket_marks(pockets: DataFrame, ink: DataFrame) -> DataFrame:
     return holes.select("layer.layer", "layer.component", "r", "c").join(ink.select(*CELL), CELL, "left_semi").select(*CELL, "component")
 
 
-def glyph_boxes(marks: DataFrame, height: tuple[int, int], width: tuple[int, int], cells: tuple[int, int], keys: list[str] | None = None) -> DataFrame:
-    """marks (layer, r, c, glyph, keys) to one row a glyph whose sizes lie in the bounds: (layer, keys, glyph, y0, y1, x0, x1, h, w, n, size, cy, cx)."""
+def glyph_boxes(marks: DataFrame, height: tuple[int, int], width: tuple[int, int], cells: tuple[int, int], *, keys: list[str] | None = None, aspect: tuple[float, float] = (0.0, 1e9), fill: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+    """marks (layer, r, c, glyph, keys) to one row a glyph whose sizes, aspect (width by height) and filled share
+    of its box lie in the bounds: (layer, keys, glyph, y0, y1, x0, x1, h, w, n, size, cy, cx)."""
     g = marks.groupBy("layer", *(keys or []), "glyph").agg(F.min("r").alias("y0"), (F.max("r") + 1).alias("y1"), F.min("c").alias("x0"), (F.max("c") + 1).alias("x1"), F.count(F.lit(1)).alias("n"))
     g = g.withColumns({"h": F.col("y1") - F.col("y0"), "w": F.col("x1") - F.col("x0"), "cy": (F.col("y0") + F.col("y1")) / 2.0, "cx": (F.col("x0") + F.col("x1")) / 2.0})
-    return g.withColumn("size", F.greatest("h", "w")).where(F.col("h").between(*height) & F.col("w").between(*width) & F.col("n").between(*cells))
+    sized = F.col("h").between(*height) & F.col("w").between(*width) & F.col("n").between(*cells)
+    return g.withColumn("size", F.greatest("h", "w")).where(sized & (F.col("w") / F.col("h")).between(*aspect) & (F.col("n") / (F.col("h") * F.col("w"))).between(*fill))
 
 
 def of_one_height(boxes: DataFrame, keys: list[str], band: float = SIZE_BAND) -> DataFrame:

@@ -211,6 +211,16 @@ def streamed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("`from` string, `to` string, feet long, flights long, seconds long, at long").parquet(path)
 
 
+@query(f"WITH {_REPORTS}, c AS (SELECT CASE WHEN abs({NOW} - \"at\") < 86400000 THEN \"at\" ELSE {NOW} END AS t FROM valid WHERE feet <= 5000 AND flights <= 4) SELECT count(*) AS n, min(t) AS first, max(t) AS last FROM (SELECT t FROM c ORDER BY t DESC LIMIT 50)")
+def streamed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of the 50 newest reports, kept by a stream that reads one file a batch."""
+    incoming = _report_folder(spark, reports(spark, sf_dir).repartition(3, "ord"))
+    stream = streams.cleaned(spark.readStream.schema(logs.REPORT).option("maxFilesPerTrigger", 1).json(incoming), NOW)
+    path = _scratch(spark, "bounded")
+    streams.ingest(stream, path, f"{path}-checkpoint", most=50).awaitTermination()
+    return streams.read_log(spark, path).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+
+
 @query(f"WITH {_REPORTS} SELECT DISTINCT \"from\", \"to\", \"at\", CAST(floor(seconds + 0.5) AS BIGINT) AS seconds FROM valid WHERE feet <= 5000 AND flights <= 4 AND abs({NOW} - \"at\") < 86400000")
 def streamed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of one day that arrive twice, kept once."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..operators.validate import valid_reports
@@ -25,7 +26,7 @@ def parse_report_array(texts: DataFrame, value: str = "value") -> DataFrame:
     return valid_reports(rows).withColumn("at", F.col("at").cast("long"))
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Parquet rows, or none where nothing has been written yet."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.validate import clean_reports
-from ..sources.reports import REPORT
+from ..sources.reports import MAX_SHARED, REPORT, bounded_log, read_or_empty
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -30,6 +30,28 @@ def append_log(stream: DataFrame, path: str, checkpoint: str, *, available_now:
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="60 seconds")).start()
 
 
+def ingest(stream: DataFrame, path: str, checkpoint: str, *, most: int = MAX_SHARED, order: str = "at") -> StreamingQuery:
+    """A log that never holds more than its ``most`` newest rows: each batch writes a snapshot of the newest
+    rows of the one before and its own, and deletes the one before that. A batch that is run again
+    writes the same snapshot. Read it with :func:`read_log`."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = read_or_empty(spark, f"{path}/snapshot={number - 1}", batch.schema)
+        bounded_log(before.unionByName(batch), most, order=order).write.mode("overwrite").parquet(f"{path}/snapshot={number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot={number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the newest snapshot."""
+    rows = spark.read.parquet(path)
+    newest = rows.agg(F.max("snapshot")).first()[0]
+    return rows.where(F.col("snapshot") == newest).drop("snapshot")
+
+
 def deduplicated(stream: DataFrame, horizon: str = "1 day") -> DataFrame:
     """One row a (from, to, at, seconds) within a horizon of event time; an optional variant that bounds state."""
     timed = stream.withColumn("event_time", F.timestamp_millis("at")).withWatermark("event_time", horizon)

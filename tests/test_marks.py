@@ -143,6 +143,9 @@ def test_glyph_boxes_have_bounds(spark):
     cells = [("p", r, c, 1) for r, c in block(2, 3, 9, 7)] + [("p", r, c, 2) for r, c in block(0, 20, 1, 21)]
     out = reading.glyph_boxes(spark.createDataFrame(cells, "layer string, r int, c int, glyph int"), (4, 20), (2, 20), (10, 100)).collect()
     assert [(x.glyph, x.y0, x.y1, x.x0, x.x1, x.n, x.cy, x.cx) for x in out] == [(1, 2, 10, 3, 8, 40, 6.0, 5.5)]
+    marks = spark.createDataFrame(cells, "layer string, r int, c int, glyph int")
+    assert reading.glyph_boxes(marks, (1, 20), (1, 20), (1, 100), aspect=(0.9, 1.1)).first().glyph == 2
+    assert reading.glyph_boxes(marks.where("not (glyph = 1 and r = 5)"), (1, 20), (1, 20), (1, 100), fill=(0.95, 1.0)).first().glyph == 2
 
 
 def test_straighten_makes_bumpy_walls_straight(spark):
