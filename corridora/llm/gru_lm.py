@@ -42,17 +42,17 @@ END = np.uint64(0x0123456789ABCDEF)
 SMOOTH = 0.1
 #: Frequent words whose counts every task holds (16 bytes each).
 KNOWN_WORDS = 200_000
-SYMBOLS, HIDDEN, WINDOW = 1024, 24, 16
+SYMBOLS, HIDDEN, WINDOW = 768, 24, 32
 #: Texts side by side in scoring and in learning, and learning steps that a block should give at least.
-LANES, LEARN_LANES, LEARN_STEPS = 512, 256, 512
+LANES, LEARN_LANES, LEARN_STEPS = 512, 256, 128
 #: Groups of known words, and classes of each group's symbols.
-GROUPS, BINS = 8, 6
+GROUPS, BINS = 8, 3
 #: Frequent words whose nearness tells groups apart, and how near that is.
 COMPANY, REACH = 48, 2
 #: Tokens of a block of texts. A long text bounds the number of lanes, and wide windows cost less a token.
 BLOCK_TOKENS, LOOK_UP_TOKENS = 4_000_000, 500_000
 #: AdaGrad's rate and first sum of squares.
-RATE, START = 0.07, 1e-2
+RATE, START = 0.1, 1e-2
 #: Every training text is learned from in one of so many rounds; after each the weights are averaged.
 ROUNDS = 2
 #: Weights averaged in one task of the tree.
@@ -286,7 +286,7 @@ class Model:
 def lanes(symbols: np.ndarray, first: np.ndarray, end: int, learn: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Windows of (inputs, targets, begins, places): texts dealt to lanes, longest first."""
     sizes = np.diff(first)
-    depth = max(WINDOW * (LEARN_STEPS if learn else WINDOW), int(sizes.max(initial=1)))
+    depth = max(WINDOW * LEARN_STEPS if learn else 256, int(sizes.max(initial=1)))
     width = int(np.clip(len(symbols) // depth, 8, LEARN_LANES if learn else LANES))
     width = min(width, len(sizes))
     if not width:
