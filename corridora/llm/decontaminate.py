@@ -126,7 +126,9 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> Iterato
 def _finder(shared):
     @F.arrow_udf(RESULT)
     def find(texts: pa.Array) -> pa.Array:
-        return _scan(texts, shared.value)
+        found = _scan(texts, shared.value)
+        kernels.give_back()
+        return found
 
     return find
 

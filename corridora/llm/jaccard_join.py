@@ -126,11 +126,14 @@ def _packer(words: int, parts: int):
                 if held and (tokens + len(hashes) > FLUSH_TOKENS or sets + z - a > FLUSH_ROWS):
                     yield out()
                     held.clear()
+                    kernels.give_back()
                     flush, tokens, sets = flush + 1, 0, 0
                 held.append((ids[a:z], gone[a:z], said[a:z], counts, names, others, hashes))
                 tokens, sets = tokens + len(hashes), sets + z - a
         if held:
             yield out()
+        held.clear()
+        kernels.give_back()
 
     return pack
 
@@ -165,6 +168,8 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(keep):
             weight = np.minimum(255, np.round(8 * np.log2(count[at[keep]]))).astype(np.uint8)
             yield _batch([(0, flush, -1, None, kernels.squeeze(tokens[keep]), kernels.squeeze(owners[keep]), kernels.squeeze(weight))], _PACKED_ARROW)
+    del names, count, blobs
+    kernels.give_back()
 
 
 def _gatherer(per_cent: int):
@@ -208,6 +213,9 @@ def _gatherer(per_cent: int):
             longs = [pa.array(ids, mask=ids == _NULL_ID), pa.array(said), pa.array((flush << 16) + np.arange(len(ids))), pa.array(counts.astype(np.int64)), pa.array(names.view(np.int64)), pa.array(others.view(np.int64))]
             runs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([*longs, pa.array(middle), pa.array(prefix), runs], schema=schema)
+        tables.clear()
+        found.clear()
+        kernels.give_back()
 
     return gather
 

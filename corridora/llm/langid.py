@@ -173,6 +173,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
                 for lang, (hashes, owners) in ((lang, x) for x in stretches for lang in sorted(set(said))):
                     value, n = np.unique(hashes[(said == lang)[owners]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "ngram", "n"])
+        kernels.give_back()
 
     counts = sample.mapInArrow(count, "lang string, ngram long, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     counts = materialize(counts, "ngrams")
@@ -198,6 +199,8 @@ def predictor(spark, filters: Filters, text: Column | str) -> Column:
 
     @F.arrow_udf(RESULT)
     def find(texts: pa.Array) -> pa.Array:
-        return shared.value.predict(texts)
+        found = shared.value.predict(texts)
+        kernels.give_back()
+        return found
 
     return find(F.col(text) if isinstance(text, str) else text)

@@ -52,6 +52,14 @@ def one_thread() -> None:
                 break
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on after its task, beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """Compressed byte planes of an unsigned array (planes of equal significance compress well)."""
     raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
