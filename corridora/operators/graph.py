@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import heapq
 import math
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lineage import cut, release
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 ROOM_COST, WALL_COST, STAIR_FEET = 3.2, 1.5, 220.0
 
 
@@ -67,6 +70,8 @@ def shortest(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) ->
 
 def _field(key: tuple, steps: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
     """One floor's distances from each of its sources: a heap over the floor's steps."""
+    import pandas as pd
+
     reach: dict[tuple, list] = {}
     for ar, ac, br, bc, w in steps[["a_r", "a_c", "b_r", "b_c", "w"]].itertuples(index=False):
         reach.setdefault((ar, ac), []).append(((br, bc), w))
@@ -129,7 +134,9 @@ def trace(fields: DataFrame, targets: DataFrame) -> DataFrame:
     One field is one task, as it was built.
     """
 
-    def follow(key: tuple, field: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+    def follow(key, field, ends):
+        import pandas as pd
+
         prev = {(r, c): (pr, pc) for r, c, pr, pc in field[["r", "c", "prev_r", "prev_c"]].itertuples(index=False) if not pd.isna(pr)}
         known = set(field[["r", "c"]].itertuples(index=False, name=None))
         out = []
