@@ -44,15 +44,17 @@ SMOOTH = 0.1
 KNOWN_WORDS = 200_000
 SYMBOLS, HIDDEN, WINDOW = 768, 24, 32
 #: Texts side by side in scoring and in learning, and learning steps that a block should give at least.
-LANES, LEARN_LANES, LEARN_STEPS = 512, 256, 128
+LANES, LEARN_LANES, LEARN_STEPS = 512, 256, 256
 #: Groups of known words, and classes of each group's symbols.
 GROUPS, BINS = 8, 3
 #: Frequent words whose nearness tells groups apart, and how near that is.
 COMPANY, REACH = 48, 2
+#: Tokens of a long text that are learned from in one go.
+STRETCH = 2048
 #: Tokens of a block of texts. A long text bounds the number of lanes, and wide windows cost less a token.
 BLOCK_TOKENS, LOOK_UP_TOKENS = 4_000_000, 500_000
 #: AdaGrad's rate and first sum of squares.
-RATE, START = 0.1, 1e-2
+RATE, START = 0.13, 1e-2
 #: Every training text is learned from in one of so many rounds; after each the weights are averaged.
 ROUNDS = 2
 #: Weights averaged in one task of the tree.
@@ -187,16 +189,25 @@ class Model:
         steps, lanes = inputs.shape
         states = np.empty((steps + 1, lanes, h), np.float32)
         kept = []
-        keep = (~begins)[:, :, None].astype(np.float32)
+        keep, fresh = (~begins)[:, :, None].astype(np.float32), begins.any(axis=1)
         states[0] = state
         now = state
-        for t in range(steps):
-            now = now * keep[t]
-            a = w["input"][inputs[t]] + w["gate"]
-            g = now @ w["recur"]
-            zr = 0.5 + 0.5 * np.tanh(0.5 * (a[:, : 2 * h] + g[:, : 2 * h]))
-            new = np.tanh(a[:, 2 * h :] + zr[:, h:] * g[:, 2 * h :])
-            before, now = now, now + zr[:, :h] * (new - now)
+        for t in range(steps):  # in place where it can be: these are most of the work
+            before = now * keep[t] if fresh[t] else now
+            a = w["input"][inputs[t]]
+            a += w["gate"]
+            g = before @ w["recur"]
+            zr = a[:, : 2 * h] + g[:, : 2 * h]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            new = zr[:, h:] * g[:, 2 * h :]
+            new += a[:, 2 * h :]
+            np.tanh(new, out=new)
+            now = new - before
+            now *= zr[:, :h]
+            now += before
             states[t + 1] = now
             if learn:
                 kept.append((before, zr, new, g[:, 2 * h :]))
@@ -250,14 +261,25 @@ class Model:
             for t in range(steps - 1, -1, -1):
                 before, zr, new, g_new = kept[t]
                 z, r = zr[:, :h], zr[:, h:]
-                d_now = d_now + d_states[t]
-                d_new = d_now * z * (1 - new * new)
+                d_now += d_states[t]
+                rest = 1 - z
+                d_new = d_now * z
                 d = d_input[t]
-                d[:, :h] = d_now * (new - before) * z * (1 - z)
-                d[:, h : 2 * h] = d_new * g_new * r * (1 - r)
-                d[:, 2 * h :] = d_new * r
+                np.subtract(new, before, out=d[:, :h])
+                d[:, :h] *= d_new
+                d[:, :h] *= rest
+                new *= new
+                np.subtract(1, new, out=new)
+                d_new *= new
+                np.multiply(d_new, r, out=d[:, 2 * h :])
+                np.subtract(1, r, out=d[:, h : 2 * h])
+                d[:, h : 2 * h] *= d[:, 2 * h :]
+                d[:, h : 2 * h] *= g_new
                 d_recur += before.T @ d
-                d_now = (d_now * (1 - z) + d @ w["recur"].T) * keep[t]
+                d_now *= rest
+                d_now += d @ w["recur"].T
+                if fresh[t]:
+                    d_now *= keep[t]
                 d[:, 2 * h :] = d_new
             grads["recur"], grads["gate"] = d_recur, d_input.sum(axis=(0, 1))
             ids, flat = inputs.reshape(-1), d_input.reshape(-1, 3 * h)
@@ -321,9 +343,12 @@ def lanes(symbols: np.ndarray, first: np.ndarray, end: int, learn: bool = False)
 
 
 def run(model: Model, symbols: np.ndarray, first: np.ndarray, end: int, rate: float = 0.0) -> np.ndarray:
-    """Log probabilities (natural) of all positions; with a ``rate``, learning on the way."""
+    """Log probabilities (natural) of all positions; with a ``rate``, learning on the way: then long texts
+    are taken in stretches, each from a fresh state, so that lanes are alike."""
     out = np.zeros(len(symbols), np.float32)
     state = None
+    if rate > 0:
+        first = np.unique(np.r_[first, np.concatenate([np.arange(a, z, STRETCH) for a, z in zip(first[:-1], first[1:]) if z - a > STRETCH] or [first[:1]])])
     for inputs, targets, begins, places in lanes(symbols, first, end, rate > 0):
         n = inputs.shape[1]
         state = np.zeros((n, HIDDEN), np.float32) if state is None else state[:n]
