@@ -100,7 +100,7 @@ def line_offsets(angle: float, length: int) -> list[tuple[int, int]]:
     return sorted({(round(s * math.sin(t)), round(s * math.cos(t))) for s in (k / 3 - half for k in range(3 * length - 2))})
 
 
-def line_openings(mask: DataFrame, length: int, angles: int = 12) -> DataFrame:
+def line_openings(mask: DataFrame, length: int = 31, angles: int = 12) -> DataFrame:
     """(angle, layer, r, c): cells of the mask on a whole line of ``length``, for each of ``angles`` directions (numbered)."""
     lines = [line_offsets(180.0 * k / angles, length) for k in range(angles)]
     steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, line in enumerate(lines) for i, j in line])
@@ -111,7 +111,7 @@ def line_openings(mask: DataFrame, length: int, angles: int = 12) -> DataFrame:
     return back.select("angle", "layer", (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c")).distinct()
 
 
-def hatching(ink: DataFrame, lines: DataFrame, *, reach: int, strong: float, dense: float, crossed: float, link: int, core: int, least: int, spread: int, angles: int = 12) -> DataFrame:
+def hatching(ink: DataFrame, lines: DataFrame, *, reach: int = 60, strong: float = 0.045, dense: float = 0.07, crossed: float = 0.25, link: int = 10, core: int = 15, least: int = 40_000, spread: int = 14, angles: int = 12) -> DataFrame:
     """Fields of parallel ruling: where one direction's lines (angle, layer, r, c) are dense, those of
     directions a quarter turn and more apart are not, and ink is dense. Small fields drop out."""
     d = density(lines, reach, ["angle"])
@@ -125,7 +125,7 @@ def hatching(ink: DataFrame, lines: DataFrame, *, reach: int, strong: float, den
     return grow(whole, core + spread)
 
 
-def storey(ink: DataFrame, lines: DataFrame, points: DataFrame, *, reach: int, dense: float, near: int, link: int, spread: int) -> DataFrame:
+def storey(ink: DataFrame, lines: DataFrame, points: DataFrame, *, reach: int = 60, dense: float = 0.02, near: int = 45, link: int = 30, spread: int = 22) -> DataFrame:
     """The part of a page that is drawn in detail: dense short ink near a known point (layer, r, c)."""
     detail = without(ink, grow(lines, 2))
     seeds = label(density(detail, reach).where(F.col("share") > dense))
@@ -133,7 +133,17 @@ def storey(ink: DataFrame, lines: DataFrame, points: DataFrame, *, reach: int, d
     return grow(fill_holes(seal(seeds.join(kept, ["layer", "component"], "left_semi"), link)), spread)
 
 
-def footprint(walls: DataFrame, storey_mask: DataFrame, *, link: int = 8, least: int = 120_000, clear: int = 14, court: int = 90_000) -> DataFrame:
+def clean_ink(ink: DataFrame, least: int = 6) -> DataFrame:
+    """Ink without specks, its gaps of a cell closed."""
+    return seal(despeckle(ink, least, eight=True), 1)
+
+
+def page_footprint(ink: DataFrame, reach: int = 14) -> DataFrame:
+    """What a page's ink encloses: grown together, filled, shrunk again; the largest part of each layer."""
+    return largest(shrink(fill_holes(grow(ink, reach)), reach))
+
+
+def footprint(walls: DataFrame, storey_mask: DataFrame, *, link: int = 22, least: int = 120_000, clear: int = 24, court: int = 90_000) -> DataFrame:
     """A storey's solid slab: sealed, filled, without parts under ``least`` cells; courts of ``court`` cells
     or more that hold no wall within ``clear`` and are not of the storey are open."""
     solid = despeckle(fill_holes(seal(storey_mask, link)), least)

@@ -11,7 +11,7 @@ from . import graph, raster
 from .raster import CELL
 
 WORD_REACH, SIZE_RATIO, WORD_GAP, WORD_GLYPHS = 70, 1.5, 0.7, 6
-SIZE_BAND, VERTICAL_ASPECT, SNAP_DEGREES = 0.35, 1.15, 12.0
+SIZE_BAND, VERTICAL_ASPECT, SNAP_DEGREES = 0.35, 1.3, 10.0
 #: Rows and columns of a glyph's vector.
 ROWS, COLUMNS = 24, 16
 

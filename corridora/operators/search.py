@@ -94,8 +94,8 @@ def rooms_in_text(index: DataFrame, texts: DataFrame) -> DataFrame:
     return hit.groupBy("text_id").agg(F.min_by("key", F.struct("at", "rank", "key")).alias("key"))
 
 
-#: Labels by rank: what is drawn first where two collide.
-LABEL_RANK = ("entrance", "landmark", "stairs", "restroom", "room")
+# Kinds of labels by rank, what is drawn first where two collide.
+LABEL_RANK = ("landmark", "entrance", "restroom", "stairs", "room")
 
 
 def label_items(points: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_WORDS}, s AS (SELECT word, count(*) AS n, covar_pop(cx, cx) AS xx, covar_pop(cy, cy) AS yy, covar_pop(cx, cy) AS xy, max(y1) - min(y0) AS h, max(x1) - min(x0) AS w FROM kept JOIN gb USING (glyph) GROUP BY 1),
-a AS (SELECT word, CASE WHEN n > 1 THEN degrees(atan2(2 * xy, xx - yy) / 2) WHEN h > w * 1.15 THEN 90 ELSE 0 END AS angle FROM s) SELECT word, round(CASE WHEN abs(angle) < 12 THEN 0 WHEN 90 - abs(angle) < 12 THEN 90 ELSE angle END, 4) AS angle FROM a""")
+a AS (SELECT word, CASE WHEN n > 1 THEN degrees(atan2(2 * xy, xx - yy) / 2) WHEN h > w * 1.3 THEN 90 ELSE 0 END AS angle FROM s) SELECT word, round(CASE WHEN abs(angle) < 10 THEN 0 WHEN 90 - abs(angle) < 10 THEN 90 ELSE angle END, 4) AS angle FROM a""")
 def word_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _glyphs(spark, sf_dir)
     return reading.word_angles(g, reading.words(g)).select("word", F.round("angle", 4).alias("angle"))
@@ -181,7 +181,7 @@ _POINTS_SQL = """pts AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'lower' WHEN 1 TH
 
 
 @query(f"""WITH {_POINTS_SQL}, k AS (SELECT *, CASE kind WHEN 'room' THEN CASE WHEN coalesce(regexp_matches(label, '[A-Za-z][A-Za-z][A-Za-z]'), false) THEN 'landmark' ELSE 'room' END WHEN 'poi' THEN poi_type WHEN 'junction' THEN NULL ELSE kind END AS label_kind FROM pts)
-SELECT floor || ':' || id AS key, CASE WHEN label_kind IN ('restroom', 'stairs') THEN coalesce(nullif(label, ''), upper(label_kind[1]) || label_kind[2:]) ELSE coalesce(label, id) END AS text, label_kind, CAST(list_position(['entrance', 'landmark', 'stairs', 'restroom', 'room'], label_kind) AS INTEGER) AS rank FROM k WHERE label_kind IS NOT NULL""")
+SELECT floor || ':' || id AS key, CASE WHEN label_kind IN ('restroom', 'stairs') THEN coalesce(nullif(label, ''), upper(label_kind[1]) || label_kind[2:]) ELSE coalesce(label, id) END AS text, label_kind, CAST(list_position(['landmark', 'entrance', 'restroom', 'stairs', 'room'], label_kind) AS INTEGER) AS rank FROM k WHERE label_kind IS NOT NULL""")
 def label_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.label_items(points(spark, sf_dir)).select("key", "text", "label_kind", "rank")
 

@@ -81,6 +81,13 @@ def test_footprint_keeps_true_courts_open(spark):
     assert make(outline | {(9, 9)}, 30) == block(0, 0, 19, 19)  # a wall inside: a room, not a court
 
 
+def test_ink_and_page_footprint(spark):
+    outline = block(0, 0, 19, 19) - block(1, 1, 18, 18) - {(0, 7)}
+    ink = mask(spark, outline | {(40, 40), (9, 60), (9, 61)})
+    assert got(raster.clean_ink(ink, 3)) == outline | {(0, 7)}  # specks are gone, the gap is closed
+    assert got(raster.page_footprint(mask(spark, outline | block(40, 40, 42, 42)), 2)) == block(0, 0, 19, 19)
+
+
 def test_hatching_tells_parallel_from_crossing_lines(spark):
     ruled = {(r, c) for r in range(0, 30, 3) for c in range(30)}
     crossed = {(r, c + 60) for r in range(30) for c in range(30) if r % 3 == 0 or c % 3 == 0}
