@@ -44,7 +44,7 @@ SMOOTH = 0.1
 KNOWN_WORDS = 200_000
 SYMBOLS, HIDDEN, WINDOW = 768, 24, 32
 #: Texts side by side in scoring and in learning, and learning steps that a block should give at least.
-LANES, LEARN_LANES, LEARN_STEPS = 512, 256, 256
+LANES, LEARN_LANES, LEARN_STEPS = 512, 256, 128
 #: Groups of known words, and classes of each group's symbols.
 GROUPS, BINS = 8, 3
 #: Frequent words whose nearness tells groups apart, and how near that is.
@@ -54,7 +54,7 @@ STRETCH = 2048
 #: Tokens of a block of texts. A long text bounds the number of lanes, and wide windows cost less a token.
 BLOCK_TOKENS, LOOK_UP_TOKENS = 4_000_000, 500_000
 #: AdaGrad's rate and first sum of squares.
-RATE, START = 0.13, 1e-2
+RATE, START = 0.18, 1e-2
 #: Every training text is learned from in one of so many rounds; after each the weights are averaged.
 ROUNDS = 2
 #: Weights averaged in one task of the tree.
