@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, gru_lm, html_wrappers, langid, media, mixing, quality, sharding
+from . import centroids, chat_format, decontaminate, gru_lm, html_wrappers, langid, media, mixing, quality, sharding
 from .jaccard_join import jaccard_join
 from .shared import fold
 
@@ -70,9 +70,14 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 16)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return centroids.cluster(vectors, centroids.fit(vectors)).drop("embedding")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_wrappers, op2_gru_lm, op3_chat_format, op4_language_id, op5_media_archive, op6_mix_sources, op7_decontaminate, op8_bradley_terry, op9_ngram_jaccard_join, op10_feistel_shards)
+    for f in (op1_html_wrappers, op2_gru_lm, op3_chat_format, op4_language_id, op5_media_archive, op6_mix_sources, op7_decontaminate, op8_bradley_terry, op9_ngram_jaccard_join, op10_feistel_shards, op11_centroids)
 }
 
 #: Every occurrence of a 10-word window (or of a whole shorter item), found by joins of word lists.
@@ -112,7 +117,8 @@ FROM t GROUP BY conv_id
 #: All pairs that share a shingle, their exact Jaccard similarity, and reachability by recursion.
 _OP9 = r"""
 WITH RECURSIVE w AS MATERIALIZED (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS MATERIALIZED (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] ELSE [array_to_string(w, ' ')] END) AS g FROM w WHERE len(w) > 0),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
@@ -124,4 +130,32 @@ SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS comp
 FROM w JOIN reach r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_chat_format": _OP3, "op7_decontaminate": _OP7, "op9_ngram_jaccard_join": _OP9}
+def _op11() -> str:
+    """Vectors and centroids as rows (id, component, value); each round an assignment and a mean."""
+    rounds = []
+    for n in range(4):
+        if n:
+            rounds.append(
+                f"m{n} AS (SELECT a.k, v.i, CAST(floor(sum(v.x)::HUGEINT // count(*)) AS BIGINT) - CASE WHEN sum(v.x) < 0 AND sum(v.x)::HUGEINT % count(*) <> 0 THEN 1 ELSE 0 END AS x FROM a{n - 1} a JOIN v USING (id) GROUP BY a.k, v.i),\n"
+                f"c{n} AS MATERIALIZED (SELECT c.k, c.i, coalesce(m.x, c.x) AS x FROM c{n - 1} c LEFT JOIN m{n} m ON m.k = c.k AND m.i = c.i)"
+            )
+        rounds.append(
+            f"d{n} AS (SELECT v.id, c.k, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS d FROM v JOIN c{n} c ON c.i = v.i GROUP BY v.id, c.k),\n"
+            f"a{n} AS MATERIALIZED (SELECT id, k, d FROM d{n} QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, k) = 1)"
+        )
+    return f"""
+WITH e AS (
+  SELECT vec_id, embedding AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([1 for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64),
+t AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) AS id, vec_id, v FROM e),
+v AS MATERIALIZED (SELECT id, unnest(range(64)) AS i, unnest([CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in v]) AS x FROM t),
+c0 AS (SELECT id - 1 AS k, i, x FROM v WHERE id <= 16),
+{", ".join(rounds)},
+h AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY k)
+SELECT t.vec_id, CAST(a.k AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, h.centroid_sha256
+FROM t JOIN a3 a USING (id) JOIN h ON h.k = a.k
+"""
+
+
+ORACLES: dict[str, str] = {"op11_centroids": _op11(), "op3_chat_format": _OP3, "op7_decontaminate": _OP7, "op9_ngram_jaccard_join": _OP9}
