@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat_format, decontaminate, gru_lm, html_wrappers, langid, media, mixing, quality, sharding
+from . import centroids, chat_format, decontaminate, filter_audit, gru_lm, html_wrappers, langid, media, mixing, quality, sharding
 from .jaccard_join import jaccard_join
 from .shared import fold
 
@@ -75,9 +75,13 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(vectors, centroids.fit(vectors)).drop("embedding")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_wrappers, op2_gru_lm, op3_chat_format, op4_language_id, op5_media_archive, op6_mix_sources, op7_decontaminate, op8_bradley_terry, op9_ngram_jaccard_join, op10_feistel_shards, op11_centroids)
+    for f in (op1_html_wrappers, op2_gru_lm, op3_chat_format, op4_language_id, op5_media_archive, op6_mix_sources, op7_decontaminate, op8_bradley_terry, op9_ngram_jaccard_join, op10_feistel_shards, op11_centroids, op13_filter_audit)
 }
 
 #: Every occurrence of a 10-word window (or of a whole shorter item), found by joins of word lists.
@@ -158,4 +162,35 @@ FROM t JOIN a3 a USING (id) JOIN h ON h.k = a.k
 """
 
 
-ORACLES: dict[str, str] = {"op11_centroids": _op11(), "op3_chat_format": _OP3, "op7_decontaminate": _OP7, "op9_ngram_jaccard_join": _OP9}
+#: Verdicts of each document, then every order's steps over the counts of verdicts.
+_OP13 = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails
+  FROM t LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+o(p) AS (SELECT '' UNION ALL SELECT p || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(p, x)),
+s AS (SELECT p AS filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM o WHERE len(p) = 5),
+x AS (
+  SELECT m.*, s.*, contains(fails, filter_order[step]) AS hit,
+    fails <> '' AND len(translate(fails, substr(filter_order, 1, step - 1), '')) < len(fails) AS gone
+  FROM m, s),
+y AS (
+  SELECT part, filter_order, step, filter_order[step] AS letter,
+    sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = filter_order[step] THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN hit AND NOT gone AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN hit AND NOT gone AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM x GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM y
+"""
+
+ORACLES: dict[str, str] = {"op13_filter_audit": _OP13, "op11_centroids": _op11(), "op3_chat_format": _OP3, "op7_decontaminate": _OP7, "op9_ngram_jaccard_join": _OP9}

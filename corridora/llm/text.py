@@ -137,12 +137,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): a hash for each word of lower-cased ``data``; first as in word_spans."""
-    starts, ends, first = word_spans(data, offsets, kind)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash for each span of bytes; the spans ascend and do not overlap."""
     out = np.empty(len(starts), dtype=U64)
     at = 0
-    while at < len(starts):  # whole words of about BLOCK_BYTES at a time
+    while at < len(starts):  # whole spans of about BLOCK_BYTES at a time
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, side="right")))
         piece = data[starts[at] : ends[to - 1]]
         a, z = starts[at:to] - starts[at], ends[at:to] - starts[at]
@@ -150,7 +149,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tupl
         np.cumsum((piece.astype(U64) + U64(1)) * _power(_BASE, len(piece)), out=total[1:])
         out[at:to] = mix((total[z] - total[a]) * _power(_INVERSE, len(piece) + 1)[a] + (z - a).astype(U64))
         at = to
-    return out, first
+    return out
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): a hash for each word of lower-cased ``data``; first as in word_spans."""
+    starts, ends, first = word_spans(data, offsets, kind)
+    return span_hashes(data, starts, ends), first
 
 
 def windows(words: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
