@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import free_name
+
 K, ROUNDS, DIMS, SCALE, SEED = 16, 3, 64, 64, 1
 #: Components compared with every centroid before candidates are ordered, and in each block after.
 FIRST, BLOCK = 8, 14
@@ -222,7 +224,7 @@ def cluster(vectors: DataFrame, centroids: Centroids, *, vector_col: str = "embe
 
     Two passes over the vectors: the sums first, which every row then carries.
     """
-    name = "__found" + "_" * max(map(len, vectors.columns))
+    name = free_name(vectors, "found")
     named = {c.lower() for c in ("cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")}
     others = [F.col(f"`{c}`") for c in vectors.columns if c.lower() not in named]
     v = F.col(vector_col).cast("array<double>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat_format, decontaminate, filter_audit, gru_lm, html_wrappers, langid, media, mixing, quality, sharding
+from . import bpe, centroids, chat_format, decontaminate, filter_audit, gru_lm, html_wrappers, langid, media, mixing, quality, sharding
 from .jaccard_join import jaccard_join
 from .shared import fold
 
@@ -75,13 +75,26 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(vectors, centroids.fit(vectors)).drop("embedding")
 
 
+#: A file of public_tokenizers, installed on the driver and the executors.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op12_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, public_tokenizers.path(TOKENIZER), decode=True)
+    hexed = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return coded.select("doc_id", "n_tokens", hexed("ids").alias("ids_sha256"), hexed("decoded").alias("decoded_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_wrappers, op2_gru_lm, op3_chat_format, op4_language_id, op5_media_archive, op6_mix_sources, op7_decontaminate, op8_bradley_terry, op9_ngram_jaccard_join, op10_feistel_shards, op11_centroids, op13_filter_audit)
+    for f in (op1_html_wrappers, op2_gru_lm, op3_chat_format, op4_language_id, op5_media_archive, op6_mix_sources, op7_decontaminate, op8_bradley_terry, op9_ngram_jaccard_join, op10_feistel_shards, op11_centroids, op12_bpe_chunks, op13_filter_audit)
 }
 
 #: Every occurrence of a 10-word window (or of a whole shorter item), found by joins of word lists.

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators.lineage import materialize, release, shared_folder
 
-__all__ = ["ascii_lower", "fold", "input_bytes", "materialize", "partitions", "release", "running_start", "shared_folder"]
+__all__ = ["ascii_lower", "fold", "free_name", "input_bytes", "materialize", "partitions", "release", "running_start", "shared_folder"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -20,6 +20,11 @@ def input_bytes(df: DataFrame, text_col: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` has not."""
+    return f"__{name}" + "_" * max(map(len, df.columns), default=0)
+
+
 def fold(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (a null id counts as the empty text)."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
