@@ -20,9 +20,12 @@ For extraction a page is matched against its host's wrapper, so every text of it
 slots decide. Navigation, forms, asides and the like never hold main text. Of the others the page
 takes the best level that it fills: under an article, under a main element, anything else (there: in
 the element that holds most of it). From these fall out: texts of the template (the same few on many
-pages), while they are the lesser part; slots of links; and trailing records, which are repeated
-items of several slots without a heading, such as readers' comments. Class names only speak where an
-element does not hold the page's heading.
+pages) that are neither headings nor running text, while they are the lesser part; slots of links; and
+trailing records below the last heading, which are repeated items of several slots that bear the signs
+of readers' comments: a class that says so, an author with a time, or (outside of articles) a short first
+slot in a number of items that varies. Class names only speak where an element does not hold the page's
+heading or most of its article; words that parts of articles also bear (``AMBIGUOUS``) only break ties:
+a part with a heading and running text goes if its slots are links, the template's, or comments, too.
 
 Defined results: null and empty html give an empty text; a page with a null or odd url is matched
 against its own wrapper; cut-off pages are closed at their end; a page without any text gives an empty
@@ -52,6 +55,8 @@ HOSTS_HELD = 1_000
 MOST_ITEMS, MOST_KEYS, MOST_PERIOD, MOST_DEPTH = 24, 64, 4, 60
 #: Texts that a slot remembers (and how long they may be); pages for each that make them a template's.
 VALUES_KEPT, VALUE_CHARS, TEMPLATE_PAGES = 4, 200, 5
+#: Characters of a comment's first slot and of a text that tells its time, at most.
+BYLINE_CHARS, DATED_CHARS = 40, 60
 #: Linked characters that make a slot a menu, outside of articles and inside.
 LINK_SHARE, ARTICLE_LINK_SHARE = 0.5, 0.8
 #: Of the text at the chosen level: what templates hold at most, what records leave at least, what a container holds.
@@ -72,7 +77,18 @@ BOILERPLATE_TAGS = set("head nav footer aside form menu button select dialog nos
 BOILERPLATE_WORDS = set(
     "ad ads adbox advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar sidenav rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs crumbs pagination pager footer masthead comment comments reply replies discussion disqus feedback form search toolbar skip".split()
 )
-
+#: Words that parts of an article bear as well, anywhere and inside articles or main elements.
+AMBIGUOUS = set("discussion form social banner notice notices alert search share sharing feedback menu menus".split())
+AMBIGUOUS_INSIDE = AMBIGUOUS | set("related recommended recommendations reply promotion rail login overlay notification notifications subscription".split())
+#: Words of comments, of their authors and of their times.
+COMMENTS = set("comment comments commenter reply replies disqus".split())
+AUTHORS = set("author avatar user username byline commenter poster nickname".split())
+DATES = set("date time timestamp posted ago".split())
+#: Elements of running text: with headings, what a template's repeated texts never are.
+RUNNING = set("p li dt dd td th blockquote figcaption pre".split())
+
+#: A short text that tells a time.
+_DATED = re.compile(r"\b\d{1,2}:\d{2}\b|\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b(?:19|20)\d{2}\b|\b(?:ago|yesterday|today|hier|gestern|ayer)\b", re.IGNORECASE)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<raw>script|style|title|textarea|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
@@ -380,16 +396,71 @@ def expression(node: list) -> str:
 
 # What is known of a slot: its level, and letters for what speaks against it. NEVER holds no main text.
 NEVER, ARTICLE, MARKED, OTHER = "-012"
-TEMPLATE, MENU, RECORD = "tmr"
+TEMPLATE, FLOWED, MENU, RECORD, SIGNED = "tfmra"
+
+
+def _words(key: str) -> set[str]:
+    return {w for word in key.split(".")[1:] for w in word.split("-")}
+
+
+def _weights(node: list, pages: int) -> tuple[int, int, int]:
+    """Characters of a node's texts: all, linked ones, the template's."""
+    total = [0, 0, 0]
+    for x in node[BODY]:
+        part = (x[CHARS], x[LINKED], x[CHARS] * _of_template(x, pages)) if x[KEY] == TEXT else _weights(x, pages)
+        total = [a + b for a, b in zip(total, part)]
+    return tuple(total)
+
+
+def _of_template(text: list, pages: int) -> bool:
+    return text[VALUES] is not None and min(text[PAGES], pages) >= TEMPLATE_PAGES * len(text[VALUES])
 
 
-def _boilerplate(key: str, holds_heading: bool, in_article: bool) -> bool:
-    name, *words = key.split(".")
+def _boilerplate(key: str, above: tuple[str, ...], node: list | None, pages: int, article: int) -> bool:
+    """Whether an element is none of the article's, by its tag and words; ``article``: characters of the one around."""
+    name = key.split(".")[0]
+    level = _level(above)
     if name in ("html", "body", "main", "article"):
         return False
-    if name in BOILERPLATE_TAGS or name == "header" and not in_article:
+    if name in BOILERPLATE_TAGS or name == "header" and level != ARTICLE:
         return True
-    return not holds_heading and any(w in BOILERPLATE_WORDS for word in words for w in word.split("-"))
+    words = _words(key) & BOILERPLATE_WORDS
+    if not words:
+        return False
+    doubtful = words <= (AMBIGUOUS if level == OTHER else AMBIGUOUS_INSIDE)
+    if node is None:
+        return not (doubtful and level == ARTICLE)
+    if _holds(node, {"h1"}):
+        return False
+    chars, linked, constant = _weights(node, pages)
+    if level == ARTICLE and 2 * chars > article:
+        return False
+    if doubtful and _holds(node, HEADINGS) and _holds(node, RUNNING):
+        return 2 * max(linked, constant) > chars or _has_comments(node)
+    return True
+
+
+def _has_comments(node: list) -> bool:
+    return any(x[KEY] != TEXT and (x[REPEATED] and _record(x) and _signs(x) != "" or _has_comments(x)) for x in node[BODY])
+
+
+def _signs(node: list) -> str:
+    """Letters of a repeated record's texts: RECORD for readers' comments, SIGNED for those if a time stands by."""
+    said = _words(node[KEY]) | _said(node)
+    if said & COMMENTS or said & AUTHORS and said & DATES:
+        return RECORD
+    return SIGNED if said & AUTHORS or _short_first(node) else ""
+
+
+def _said(node: list) -> set[str]:
+    return {w for x in node[BODY] if x[KEY] != TEXT for w in _words(x[KEY]) | _said(x)}
+
+
+def _short_first(node: list) -> bool:
+    """Whether the first text of a node is short, and differs from page to page, as a name is."""
+    while node[KEY] != TEXT:
+        node = node[BODY][0]
+    return node[CHARS] <= BYLINE_CHARS * node[TIMES] and (node[VALUES] is None or len(node[VALUES]) > 1)
 
 
 def _level(keys: tuple[str, ...]) -> str:
@@ -420,26 +491,30 @@ def judge(wrapper: list) -> list:
     """The wrapper as a template: nodes (key, items, free), and texts ("#", what is known of the slot)."""
     pages = len(wrapper[VALUES])
 
-    def walk(node: list, keys: tuple[str, ...], never: bool, record: bool) -> list:
+    def walk(node: list, keys: tuple[str, ...], never: bool, record: str, article: int) -> list:
         out = []
+        level = _level(keys)
+        flowing = bool(keys) and keys[-1].split(".")[0] in RUNNING | HEADINGS
         for x in node[BODY]:
-            name = x[KEY].split(".")[0]
             if x[KEY] == TEXT:
-                level = _level(keys)
                 said = NEVER if never else level
-                if x[VALUES] is not None and min(x[PAGES], pages) >= TEMPLATE_PAGES * len(x[VALUES]):
-                    said += TEMPLATE
+                if _of_template(x, pages) and not (flowing and level != OTHER):
+                    said += FLOWED if flowing else TEMPLATE
                 if x[LINKED] > (ARTICLE_LINK_SHARE if level == ARTICLE else LINK_SHARE) * x[CHARS] and (level != ARTICLE or any(k.split(".")[0] == "li" for k in keys)):
                     said += MENU
-                out.append([TEXT, said + RECORD * record])
+                out.append([TEXT, said + record])
                 continue
             group = x[KEY] == GROUP
-            inside = record or x[REPEATED] and not x[FREE] and _record(x)
-            gone = never or not group and _boilerplate(x[KEY], _holds(x, {"h1"}), any(k.split(".")[0] == "article" for k in keys))
-            out.append([x[KEY], walk(x, keys if group else (*keys, x[KEY]), gone, inside), bool(x[FREE])])
+            inside = record
+            if not record and x[REPEATED] and not x[FREE] and _record(x):
+                varies = x[SEEN] < node[TIMES] or x[TIMES] % max(x[SEEN], 1) != 0
+                inside = RECORD if level == OTHER and varies and _short_first(x) else _signs(x)
+            gone = never or not group and _boilerplate(x[KEY], keys, x, pages, article)
+            around = _weights(x, pages)[0] if x[KEY].split(".")[0] == "article" else article
+            out.append([x[KEY], walk(x, keys if group else (*keys, x[KEY]), gone, inside, around), bool(x[FREE])])
         return out
 
-    return ["", walk(wrapper, (), False, False), False]
+    return ["", walk(wrapper, (), False, "", 0), False]
 
 
 def match(template: list, page: list, give: Callable[[list, list], None]) -> None:
@@ -472,8 +547,7 @@ def match(template: list, page: list, give: Callable[[list, list], None]) -> Non
 
 def _own(keys: tuple[str, ...]) -> str:
     """What is known of a text that no slot takes."""
-    found = any(_boilerplate(k, False, any(p.split(".")[0] == "article" for p in keys[:i])) for i, k in enumerate(keys))
-    return NEVER if found else _level(keys)
+    return NEVER if any(_boilerplate(k, keys[:i], None, 0, 0) for i, k in enumerate(keys)) else _level(keys)
 
 
 def main_text(page: str, template: list | None) -> str:
@@ -497,25 +571,31 @@ def main_text(page: str, template: list | None) -> str:
         chosen = plain
     chosen = [i for i in chosen if MENU not in codes[i]] or chosen
     if level == OTHER:
-        chosen = _contained(chosen, texts)
-    apart = [i for i in chosen if RECORD not in codes[i]]
+        # the template's headings and running text count where the page's own text is
+        chosen = _contained(chosen, texts, [i for i in chosen if FLOWED not in codes[i]] or chosen)
+    # outside of their comments, signs of an author need a time beside them
+    signed = [texts[i][0] for i in chosen if SIGNED in codes[i]]
+    dated = sum(len(t) <= DATED_CHARS and _DATED.search(t) is not None for t in signed)
+    letters = RECORD + SIGNED * (6 * dated >= len(signed) > 0)
+    apart = [i for i in chosen if not any(x in codes[i] for x in letters)]
     if apart and chars(apart) >= (ARTICLE_RECORD_REST if level == ARTICLE else RECORD_REST) * chars(chosen):
-        chosen = [i for i in chosen if RECORD not in codes[i] or i < apart[-1]]
+        chosen = [i for i in chosen if i <= apart[-1]]
     return " ".join(texts[i][0] for i in chosen)
 
 
-def _contained(chosen: list[int], texts: list[tuple]) -> list[int]:
-    """The texts in the innermost element that holds most of what the element around it holds."""
-    depth, total = 0, sum(len(texts[i][0]) for i in chosen)
+def _contained(chosen: list[int], texts: list[tuple], telling: list[int]) -> list[int]:
+    """The texts in the innermost element that holds most of what the element around it holds of ``telling`` ones."""
+    depth, total = 0, sum(len(texts[i][0]) for i in telling)
     while True:
         inner: dict[int, int] = {}
-        for i in chosen:
+        for i in telling:
             if len(texts[i][3]) > depth + 1:  # a text's own element is no container
                 inner[texts[i][3][depth]] = inner.get(texts[i][3][depth], 0) + len(texts[i][0])
         most = max(inner, key=lambda k: (inner[k], -k), default=None)
         if most is None or inner[most] < CONTAINER * total:
             return chosen
-        chosen = [i for i in chosen if len(texts[i][3]) > depth + 1 and texts[i][3][depth] == most]
+        inside = lambda i: len(texts[i][3]) > depth + 1 and texts[i][3][depth] == most  # noqa: B023, E731
+        chosen, telling = [i for i in chosen if inside(i)], [i for i in telling if inside(i)]
         depth += 1
 
 

@@ -159,3 +159,53 @@ def test_copies_of_a_page_are_no_template(spark):
     rows += [(10, "http://c.example/deep", "<div>" * 400 + "deep text" + "</div>" * 400, None)]
     got = {r.page_id: r.text for r in hw.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: "One title " + ("long " * 60).strip() for i in range(9)} | {10: "deep text"}
+
+
+def test_articles_keep_their_own_parts(spark):
+    """Sections with a word of boilerplate, recurring subheadings and trailing blocks are the article's."""
+    paper = lambda i: page(
+        f"<nav><a href=/>Home</a></nav><article><h1>Paper {i}</h1><p>{'method ' * 30}{i}</p><section class=discussion><h2>Discussion</h2><p>{'finding ' * 20}{i}</p></section>"
+        f"<section class=related-work><h2>Related work</h2><p>{'earlier ' * 20}{i}</p></section><div class=feedback><p>Was this of use to you?</p></div>"
+        f"<div class=share><h3>Share</h3><ul><li><a href=/f>Here and there</a><li><a href=/t>And elsewhere</a></ul></div></article>"
+    )
+    paper_text = lambda i: f"Paper {i} {'method ' * 30}{i} Discussion {'finding ' * 20}{i} Related work {'earlier ' * 20}{i}"
+    recipe = lambda i: page(f"<article><h1>Dish {i}</h1><h2>{('Ingredients', 'You need')[i % 2]}</h2><p>{'flour ' * (i + 9)}{i}</p><h2>{('Method', 'Background')[i // 2 % 2]}</h2><p>Heat the oven first.</p><p>{'stir ' * 20}{i}</p></article>")
+    recipe_text = lambda i: f"Dish {i} {('Ingredients', 'You need')[i % 2]} {'flour ' * (i + 9)}{i} {('Method', 'Background')[i // 2 % 2]} Heat the oven first. {'stir ' * 20}{i}"
+    essay = lambda i: page(f"<article><h1>Essay {i}</h1><p>{'intro ' * 200}{i}</p>" + "".join(f"<div><p>As {j} of {i} has it</p><blockquote>{'quoted ' * 9}{i}{j}</blockquote></div>" for j in range(3)) + "</article>")
+    essay_text = lambda i: f"Essay {i} {'intro ' * 200}{i} " + " ".join(f"As {j} of {i} has it {'quoted ' * 9}{i}{j}" for j in range(3))
+    rows, want = [], {}
+    for k, (host, make, said) in enumerate((("p", paper, paper_text), ("r", recipe, recipe_text), ("e", essay, essay_text))):
+        for i in range(24):
+            rows.append((100 * k + i, f"http://{host}.example/{i}", make(i), None))
+            want[100 * k + i] = said(i)
+    got = {r.page_id: r.text for r in hw.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {}
+
+
+def test_recurring_subheadings_without_an_article(spark):
+    recipe = lambda i: page(f"<div class=a><a href=/>Home</a></div><div class=b><h1>Dish {i}</h1><h2>Ingredients</h2><p>{'flour ' * 30}{i}</p><h2>Method</h2><p>{'stir ' * 20}{i}</p></div><div class=c><p>All about us</p></div>")
+    got = {r.page_id: r.text for r in hw.extract(spark.createDataFrame([(i, f"http://r.example/{i}", recipe(i), None) for i in range(24)], SCHEMA)).collect()}
+    assert got == {i: f"Dish {i} Ingredients {'flour ' * 30}{i} Method {'stir ' * 20}{i}" for i in range(24)}
+
+
+def test_comments_of_readers_fall_out(spark):
+    """By a class that says so, by author and time, or by a time beside a short first slot."""
+    kinds = {
+        "c": lambda i, j: f"<div class=comment-item><div>reader {i}{j}</div><p>I think so {i}{j}</p></div>",
+        "u": lambda i, j: f"<div><div class=user-name>reader {i}{j}</div><div class=date>long ago</div><p>I think so {i}{j}</p></div>",
+        "t": lambda i, j: f"<div><div>reader {i}{j}</div><div>2024-05-0{j + 1} at 12:0{j}</div><p>I think so {i}{j}</p></div>",
+    }
+    rows, want = [], {}
+    for k, (host, make) in enumerate(kinds.items()):
+        for i in range(12):
+            said = f"<article><h1>Head {i}</h1><p>{'lorem ' * 60}{i}</p><h2>Section</h2><p>{'ipsum ' * 40}{i}</p>{''.join(make(i, j) for j in range(i % 4))}</article>"
+            rows.append((100 * k + i, f"http://{host}.example/{i}", page(said), None))
+            want[100 * k + i] = f"Head {i} {'lorem ' * 60}{i} Section {'ipsum ' * 40}{i}"
+    got = {r.page_id: r.text for r in hw.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {}
+
+
+def test_a_very_long_page(spark):
+    body = "".join(f"<p>{'word ' * 20}{i}</p>" for i in range(30_000))
+    got = hw.extract(spark.createDataFrame([(1, "http://l.example/1", page(f"<nav>menu</nav><article><h1>Long</h1>{body}</article>"), None)], SCHEMA)).first().text
+    assert got == "Long " + " ".join("word " * 20 + str(i) for i in range(30_000))
