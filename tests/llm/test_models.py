@@ -205,8 +205,7 @@ def plain_features(text):
     lines = re.findall(rb"[^\n\r]+", data)
     many, kind = max(len(words), 1), lambda b: int(quality._CLASSES[b])
     capital = sum(kind(w[0]) == 2 for w in words)
-    after = [data[min(m.start() + 1, len(data) - 1)] for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
-    shout = sum(kind(w[0]) == 2 and kind(b) == 2 for w, b in zip(words, after, strict=True))
+    shout = sum(kind(w[0]) == 2 and len(w) > 1 and kind(w[1]) == 2 for w in words)
     tail = sum(kind(w[-1]) == 7 for w in words)
     low = {bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words}
     extra = [math.log1p(len(data)), math.log1p(len(words)), sum(map(len, words)) / many / 10, len(low) / many, capital / many, shout / many, tail / many, math.log1p(len(lines)), len(set(lines)) / max(len(lines), 1), len(lines) / many]
@@ -214,7 +213,6 @@ def plain_features(text):
 
 
 def test_quality_features_and_scores_against_plain_counting(spark):
-    # the byte after a text's last word is the next text's in a block, so each text is a block of its own
     texts = [r[1] for r in DOCS if r[0] != 8] + ["AB cd!\nAB cd!\r\nX\ty."]
     random = np.random.default_rng(4)
     ranker = quality.Ranker(random.normal(size=quality.N_FEATURES), random.uniform(0.5, 2, quality.N_FEATURES), random.normal(size=quality.N_FEATURES), 0.3, 0.7, True)
@@ -227,6 +225,17 @@ def test_quality_features_and_scores_against_plain_counting(spark):
         assert ranker.score(x)[0] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, away)))), rel=1e-3)
 
 
+def test_quality_scores_depend_on_no_other_row():
+    texts = ["I like A", "bx yes", "Bx Yes I", "", None, "A", "B", "x" * 700_000 + " A", "Zz AB"] * 3 + [r[1] for r in DOCS]
+    random = np.random.default_rng(8)
+    ranker = quality.Ranker(random.normal(size=quality.N_FEATURES), random.uniform(0.5, 2, quality.N_FEATURES), random.normal(size=quality.N_FEATURES), 0.3, 0.7, True)
+    alone = [ranker.score(quality.features(pa.array([t], pa.string())))[0] for t in texts]
+    for seed in range(4):
+        order = np.random.default_rng(seed).permutation(len(texts))
+        together = ranker.score(quality.features(pa.array([texts[i] for i in order], pa.string())))
+        assert together.tolist() == [alone[i] for i in order]
+
+
 def plain_log_probability(model, v, symbols, end):
     """Natural log probabilities of one text's symbols, token by token from the model's equations."""
     w = {k: x.astype(np.float64) for k, x in model.w.items()}
