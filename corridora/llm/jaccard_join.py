@@ -5,6 +5,8 @@ similarity reaches the threshold. The join loses no link and never emits all pai
 
 1. *Survivors.* Shingles are dealt out by hash as packed numpy blobs; one that lies in a single
    document cannot be in any intersection, so only shared shingles come back to their documents.
+   A shingle of several sets of a block is dealt out once with their number, so one that all documents
+   have is a few bytes a block, and its sets wait with their block.
    A set of n shingles with fewer than threshold * n shared ones has no partner and drops out.
    Documents with equal sets form a class and are handled once.
 2. *Prefixes.* In the global order (rarest first) linked sets share one of the first
@@ -48,6 +50,8 @@ from .shared import input_bytes, materialize, partitions, release
 TOKEN_BITS = 48
 #: A block of documents that is packed together: at most so many shingles and rows.
 FLUSH_TOKENS, FLUSH_ROWS = 500_000, 60_000
+#: From so many sets of a block on, a shingle's sets stay with their block, and only their number is compared.
+HOME_SETS = 4
 #: Shared shingles and members of a group of the token-group matrix, on average at most (or one set).
 GROUP_TOKENS, GROUP_MEMBERS = 25_000, 64
 #: Bytes of text whose shingles one task compares.
@@ -65,6 +69,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 _PACKED_ARROW = pa.schema([("part", pa.int32()), ("flush", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("tokens", pa.binary()), ("owners", pa.binary()), ("weights", pa.binary())])
 
 
+#: Kinds of rows beside tables (their number of documents), shingles with their sets (minus the bytes of a
+#: step) and shared ones (-1): sets that wait with their block, numbers of sets, and weights for the former.
+_HOME, _COUNTED, _WEIGHED = -16, -17, -18
 _NULL_ID = np.int64(-(2**63))
 
 
@@ -102,7 +109,18 @@ def _packer(words: int, parts: int):
             sets_at = np.full(len(counts), 65535, dtype=np.uint16)
             sets_at[first] = number[first]
             rows = [(flush % parts, flush, len(counts), kernels.squeeze(np.concatenate([np.where(gone, _NULL_ID, ids), said])), kernels.squeeze(np.concatenate([names, others])), kernels.squeeze(counts.astype(np.int32)), kernels.squeeze(sets_at))]
-            edges = np.searchsorted(value, (np.arange(parts + 1, dtype=object) * 2**TOKEN_BITS // parts).astype(np.uint64))
+            starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
+            many = np.diff(np.r_[starts, len(value)])
+            home = many >= HOME_SETS
+            bounds = (np.arange(parts + 1, dtype=object) * 2**TOKEN_BITS // parts).astype(np.uint64)
+            if home.any():
+                stays, here, sets_of = np.repeat(home, many), value[starts[home]], many[home].astype(np.uint32)
+                rows.append((flush % parts, flush, _HOME, None, kernels.squeeze(here), kernels.squeeze(own[stays]), kernels.squeeze(sets_of)))
+                value, own = value[~stays], own[~stays]
+                edges = np.searchsorted(here, bounds)
+                for r in np.flatnonzero(np.diff(edges)):
+                    rows.append((int(r), flush, _COUNTED, None, kernels.squeeze(here[edges[r] : edges[r + 1]]), None, kernels.squeeze(sets_of[edges[r] : edges[r + 1]])))
+            edges = np.searchsorted(value, bounds)
             for r in np.flatnonzero(np.diff(edges)):
                 x = value[edges[r] : edges[r + 1]]
                 step = np.diff(x, prepend=np.uint64(0))
@@ -140,11 +158,13 @@ def _packer(words: int, parts: int):
 
 def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Within a hash range: keep shingles of two or more documents, with how many (as a log)."""
-    blobs = []
+    blobs, counted = [], []
     for batch in batches:
         table = []
         for part, flush, n, ids, tokens, owners, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if n >= 0:
+            if n == _COUNTED:
+                counted.append((flush, kernels.expand(tokens, np.uint64), kernels.expand(weights, np.uint32)))
+            elif n >= 0 or n == _HOME:
                 table.append((part, flush, n, ids, tokens, owners, weights))
             else:
                 step = kernels.expand(tokens, np.uint32 if n == -4 else np.uint64).astype(np.uint64)
@@ -152,14 +172,21 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 blobs.append((flush, np.cumsum(step, dtype=np.uint64), kernels.expand(owners, np.uint16)))
         if table:
             yield _batch(table, _PACKED_ARROW)
-    if not blobs:
+    if not blobs and not counted:
         return
-    value = np.concatenate([b[1] for b in blobs])
-    ordered = np.sort(value)
-    edges = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])
-    count, names = np.diff(edges), ordered[edges[:-1]]
+    value = np.concatenate([b[1] for b in blobs] or [np.zeros(0, np.uint64)])
+    value.sort()
+    edges = np.flatnonzero(np.r_[True, value[1:] != value[:-1], True]) if len(value) else np.zeros(1, np.int64)
+    count, names = np.diff(edges), value[edges[:-1]]
+    del value, edges
+    if counted:
+        names, count = np.concatenate([names, *(c[1] for c in counted)]), np.concatenate([count, *(c[2].astype(np.int64) for c in counted)])
+        order = np.argsort(names, kind="stable")
+        names, count = names[order], count[order]
+        first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        names, count = names[first], np.add.reduceat(count, first)
+        del order, first
     names, count = names[count > 1], count[count > 1]
-    del value, ordered, edges
     if not len(names):
         return
     for flush, tokens, owners in blobs:
@@ -168,7 +195,10 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(keep):
             weight = np.minimum(255, np.round(8 * np.log2(count[at[keep]]))).astype(np.uint8)
             yield _batch([(0, flush, -1, None, kernels.squeeze(tokens[keep]), kernels.squeeze(owners[keep]), kernels.squeeze(weight))], _PACKED_ARROW)
-    del names, count, blobs
+    for flush, tokens, _ in counted:  # shared by what they are: several sets of a block have them
+        weight = np.minimum(255, np.round(8 * np.log2(count[np.searchsorted(names, tokens)]))).astype(np.uint8)
+        yield _batch([(0, flush, _WEIGHED, None, kernels.squeeze(tokens), None, kernels.squeeze(weight))], _PACKED_ARROW)
+    del names, count, blobs, counted
     kernels.give_back()
 
 
@@ -179,10 +209,16 @@ def _gatherer(per_cent: int):
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, tuple] = {}
         found: dict[int, list[tuple]] = defaultdict(list)
+        home: dict[int, tuple] = {}
+        weighed: dict[int, list[tuple]] = defaultdict(list)
         for batch in batches:
             for _, flush, n, ids, tokens, owners, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if n >= 0:
                     tables[flush] = (kernels.expand(ids, np.int64), kernels.expand(tokens, np.uint64), kernels.expand(owners, np.int32), kernels.expand(weights, np.uint16))
+                elif n == _HOME:
+                    home[flush] = (tokens, owners, weights)
+                elif n == _WEIGHED:
+                    weighed[flush].append((tokens, weights))
                 else:
                     found[flush].append((tokens, owners, weights))
         for flush, (ids, names, counts, sets_at) in tables.items():
@@ -192,6 +228,12 @@ def _gatherer(per_cent: int):
             row[sets_at[sets_at != 65535]] = np.flatnonzero(sets_at != 65535)
             packed = found.pop(flush, [])
             tokens, owners, weights = (np.concatenate([kernels.expand(p[i], t) for p in packed]) if packed else np.zeros(0, t) for i, t in enumerate((np.uint64, np.uint16, np.uint8)))
+            if flush in home:
+                here, its, sets_of = (kernels.expand(x, t) for x, t in zip(home.pop(flush), (np.uint64, np.uint16, np.uint32), strict=True))
+                told, weight = (np.concatenate([kernels.expand(p[i], t) for p in weighed[flush]]) for i, t in enumerate((np.uint64, np.uint8)))
+                weight = weight[np.argsort(told)]  # both have each shingle once
+                tokens, owners, weights = np.concatenate([tokens, np.repeat(here, sets_of)]), np.concatenate([owners, its]), np.concatenate([weights, np.repeat(weight, sets_of)])
+                del weighed[flush]
             shared = np.bincount(owners, minlength=n_sets)
             size = counts[row]
             least = -(-per_cent * size // 100)

@@ -90,3 +90,40 @@ def test_many_short_texts_in_one_block(spark):
         assert got.select("component_id").distinct().count() == 69_000 and got.where("component_id != doc_id").count() == 1000
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_shingle_of_all_documents_is_a_few_bytes_a_block(monkeypatch):
+    """What one task compares of a hot shingle grows with the blocks, not with the documents."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corridora.llm import jaccard_join as jj
+    from corridora.llm import text as kernels
+
+    class Task:
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+
+    monkeypatch.setattr("pyspark.TaskContext.get", staticmethod(lambda: Task))
+    monkeypatch.setattr(jj, "FLUSH_ROWS", 500)
+    line = "all of these documents say this"
+    texts = [f"{line} {' '.join(f'w{i}x{j}' for j in range(i % 7 + 3))}" for i in range(6000)] + [line] * 100
+    rows = pa.table({"id": range(len(texts)), "text": texts, "said": range(len(texts))}).to_batches(max_chunksize=500)
+    packed = list(jj._packer(5, 1)(iter(rows)))
+    kinds = [(n, t, o, w) for b in packed for n, t, o, w in zip(*(b.column(i).to_pylist() for i in (2, 4, 5, 6)))]
+    moved = [kernels.expand(t, np.uint32 if n == -4 else np.uint64) for n, t, _, _ in kinds if n in (-4, -8)]
+    counted = [kernels.expand(w, np.uint32) for n, _, _, w in kinds if n == jj._COUNTED]
+    blocks = sum(n >= 0 for n, *_ in kinds)
+    assert 12 <= blocks <= 14 and len(counted) >= blocks - 1 and all(len(c) < 10 for c in counted) and max(int(c.max()) for c in counted) > 400
+    assert all(len(np.unique(np.cumsum(m, dtype=np.uint64))) > len(m) / (jj.HOME_SETS - 1) for m in moved)
+    back = list(jj._share(iter(packed)))
+    sets = [r for b in jj._gatherer(75)(iter(back)) for r in b.to_pylist()]
+    want = {}
+    for t in texts:
+        for g in {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}:
+            want.setdefault(g, set()).add(t)
+    assert len(sets) == len(texts)
+    for r in sets:
+        grams = {tuple(texts[r["doc_id"]].split()[k : k + 5]) for k in range(len(texts[r["doc_id"]].split()) - 4)}
+        assert r["n_shingles"] == len(grams)
+        if r["tokens"]:
+            assert len(r["tokens"]) == sum(len(want[g]) > 1 for g in grams) and len(set(r["tokens"])) == len(r["tokens"])
