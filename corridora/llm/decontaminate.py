@@ -5,8 +5,10 @@ consecutive words of an item; an item of fewer words, but not none, is one windo
 Every document word inside any occurrence of a window is hit. Hits found by hash are verified
 against the window's words.
 
-The test set is broadcast in blocks of at most ``BLOCK_WORDS`` words; a larger test set takes
-several passes over the documents, whose spans are then merged. No document is shuffled.
+A test set of at most ``BLOCK_WORDS`` words is broadcast whole, and no document is shuffled. A larger one
+takes a pass over the documents for each block of so many words: a pass holds one block only, writes the
+results of the texts that are hit, by the texts' digests, and gives its broadcast up; the results of all
+passes are then joined to the documents by digest, and spans of one text united.
 
 Defined results: null or empty texts have no words and no hits; items without words have no
 windows; repeated items each count once by their id; a null item id hits words but is not listed;
@@ -16,6 +18,8 @@ through untouched in :func:`remove_documents` and :func:`remove_spans`.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as kernels
-from .shared import ascii_lower
+from .shared import ascii_lower, free_name, materialize, release
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of test items in one broadcast block: about 64 MB of driver memory at most.
@@ -135,10 +139,12 @@ def _finder(shared):
 
 @F.arrow_udf(RESULT)
 def _merge(texts: pa.Array, found: pa.Array) -> pa.Array:
-    """The results of several blocks of items as one: united spans, words counted again."""
-    rows = []
-    for text, results in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-        data = kernels.LOWER[np.frombuffer((text or "").encode(), dtype=np.uint8)]
+    """The results of several blocks of items as one: united spans, words counted again (null: no hits)."""
+    rows = _scan(texts, Windows([], 1)).to_pylist()
+    for at, results in enumerate(found.to_pylist()):
+        if not results:
+            continue
+        data = kernels.LOWER[np.frombuffer(texts[at].as_py().encode(), dtype=np.uint8)]
         starts, _, _ = kernels.word_spans(data, np.array([0, len(data)]), kernels.ALNUM)
         borders = sorted((r["spans"][i], r["spans"][i + 1]) for r in results for i in range(0, len(r["spans"]), 2))
         joined: list[list[int]] = []
@@ -148,19 +154,35 @@ def _merge(texts: pa.Array, found: pa.Array) -> pa.Array:
             else:
                 joined.append([lo, hi])
         hits = sum(int(np.searchsorted(starts, hi) - np.searchsorted(starts, lo)) for lo, hi in joined)
-        rows.append({"n_words": len(starts), "n_hit": hits, "item_ids": sorted({i for r in results for i in r["item_ids"]}), "spans": [b for pair in joined for b in pair]})
+        rows[at] |= {"n_hit": hits, "item_ids": sorted({i for r in results for i in r["item_ids"]}), "spans": [b for pair in joined for b in pair]}
     return pa.array(rows, type=_RESULT_ARROW)
 
 
+def _passes(docs: DataFrame, text: Column, blocks: Iterator[list], n: int) -> DataFrame:
+    """(name, results): the results of every block for the texts that it hits, by the texts' digests."""
+    hits = []
+    for block in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(Windows(block, n))
+        found = docs.select(F.unhex(F.sha2(text, 256)).alias("name"), _finder(shared)(text).alias("found"))
+        hits.append(materialize(found.where("found.n_hit > 0").dropDuplicates(["name"]), "hits"))
+        shared.destroy()
+    # one result of a text for each block
+    out = materialize(functools.reduce(DataFrame.union, hits).groupBy("name").agg(F.collect_list("found").alias("results")), "results")
+    release(*hits)
+    return out
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, result: str = "found") -> DataFrame:
     """``docs`` with a struct column ``result``: n_words, n_hit, item_ids, spans (UTF-8 byte borders of hit words)."""
-    columns: list[Column] = []
-    for block in _blocks(benchmark, item_id, item_text, n):
-        columns.append(_finder(docs.sparkSession.sparkContext.broadcast(Windows(block, n)))(F.col(text_col).cast("string")))
-    if len(columns) == 1:
-        return docs.withColumn(result, columns[0])
-    parts = [f"__found_{i}" for i in range(len(columns))]
-    return docs.withColumns(dict(zip(parts, columns, strict=True))).withColumn(result, _merge(F.col(text_col).cast("string"), F.array(*parts))).drop(*parts)
+    text = F.col(text_col).cast("string")
+    blocks = _blocks(benchmark, item_id, item_text, n)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return docs.withColumn(result, _finder(docs.sparkSession.sparkContext.broadcast(Windows(first, n)))(text))
+    found = _passes(docs, text, itertools.chain([first, second], blocks), n)
+    name, results = free_name(docs, "name"), free_name(docs, "results")
+    both = docs.withColumn(name, F.unhex(F.sha2(text, 256))).join(found.select(F.col("name").alias(name), F.col("results").alias(results)), name, "left")
+    return both.withColumn(result, _merge(text, F.col(results))).select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != result.lower()], result)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -45,6 +45,31 @@ def test_blocks_of_items_agree(spark, monkeypatch):
     assert got == brute([(r[0], r[1]) for r in DOCS], ITEMS)
 
 
+def test_ten_blocks_hold_one_broadcast_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 24)
+    words = [f"word{i}" for i in range(240)]
+    more = spark.createDataFrame([(100 + i, " ".join(words[24 * i : 24 * i + 24])) for i in range(10)], "item_id long, text string")
+    docs = documents(spark).unionByName(spark.createDataFrame([(50, "some " + " ".join(words[20:40]) + " more"), (51, " ".join(words))] * 2, "doc_id long, text string"), allowMissingColumns=True)
+    live, most, passes = set(), 0, 0
+    real = type(spark.sparkContext).broadcast
+
+    def counted(context, value):
+        nonlocal most, passes
+        shared = real(context, value)
+        live.add(id(value))
+        passes, most = passes + 1, max(most, len(live))
+        destroy = shared.destroy
+        shared.destroy = lambda *a: (live.discard(id(value)), destroy(*a))
+        return shared
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    both = items(spark).unionByName(more)
+    found = decontaminate.scan(docs, both)
+    assert passes >= 10 and most == 1 and set(found.columns) == set(docs.columns)
+    got = sorted((tuple(r) for r in decontaminate.report(docs, both).collect()), key=str)
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in both.collect()])
+
+
 def test_empty_tables(spark):
     assert decontaminate.report(nothing(spark), items(spark)).count() == 0
     none = decontaminate.report(documents(spark), items(spark).limit(0)).collect()
