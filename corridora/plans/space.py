@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..operators import alignment, graph, raster, review, sequence, shapes, spatial
+from ..operators import alignment, graph, raster, registration, review, sequence, shapes, spatial
 from ..operators.lineage import cut, shared_folder
 from ..sources import floors
 from .registry import query, table
@@ -270,7 +270,7 @@ def overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT layer, dr, dc, "both" FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY "both" DESC, abs(dr) + abs(dc), dr, dc) AS rn FROM n) WHERE rn = 1""")
 def best_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _mask(spark, sf_dir)
-    return raster.best_shift(m, m.withColumns({"r": F.col("r") + 2, "c": F.col("c") - 3}), 5)
+    return registration.best_shift(m, m.withColumns({"r": F.col("r") + 2, "c": F.col("c") - 3}), 5)
 
 
 @query(f"""WITH {_MASK}, e AS (SELECT m.layer, m.c AS x1, m.r AS y1, m.c + 1 AS x2, m.r AS y2 FROM m ANTI JOIN m n ON n.layer = m.layer AND n.r = m.r - 1 AND n.c = m.c UNION ALL SELECT m.layer, m.c + 1, m.r, m.c + 1, m.r + 1 FROM m ANTI JOIN m n ON n.layer = m.layer AND n.r = m.r AND n.c = m.c + 1

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corridora.operators import estimates, graph, lineage, raster, reading, sequence, shapes, voting
+from corridora.operators import estimates, graph, lineage, raster, registration, reading, sequence, shapes, voting
 from corridora.sources import images, outdoor, store
 
 CELLS = "layer string, r int, c int"
@@ -190,7 +190,7 @@ def test_string_pull_against_a_plain_fold(spark):
 def test_refine_finds_a_turn(spark):
     shape = block(-10, -3, 10, 3) | block(-10, -3, -6, 10)
     turned = {(round(math.sin(0.2) * c + math.cos(0.2) * r), round(math.cos(0.2) * c - math.sin(0.2) * r)) for r, c in shape}
-    best = raster.refine(mask(spark, turned), mask(spark, shape), scale_step=0.1, angle_step=0.2, rounds=2, reach=2).first()
+    best = registration.refine(mask(spark, turned), mask(spark, shape), scale_step=0.1, angle_step=0.2, rounds=2, reach=2).first()
     assert abs(best.angle - 0.2) <= 0.1 and abs(best.scale - 1.0) <= 0.1
 
 
