@@ -18,14 +18,15 @@ RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructFie
 
 
 def rings(edges: DataFrame) -> DataFrame:
-    """Directed unit edges (layer, x1, y1, x2, y2) to rings (layer, ring_id, ring), corners only.
+    """Directed edges (layer, x1, y1, x2, y2) to rings (layer, ring_id, ring), corners only.
 
-    At a corner with two ways on, the sharper right turn is taken, so touching rings stay apart.
+    At a corner with several ways on, the sharpest turn to the inside is taken, so touching rings stay apart.
     Positions along a ring come from pointer doubling: the rounds are the logarithm of its length.
     """
     e = cut(edges.select("layer", "x1", "y1", "x2", "y2", F.monotonically_increasing_id().alias("id")))  # written: the numbers stay
     following = e.select("layer", F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("x3"), F.col("y2").alias("y3"), F.col("id").alias("next"))
-    turn = (F.col("x2") - F.col("x1")) * (F.col("y3") - F.col("y2")) - (F.col("y2") - F.col("y1")) * (F.col("x3") - F.col("x2"))
+    ax, ay, bx, by = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("x3") - F.col("x2"), F.col("y3") - F.col("y2")
+    turn = F.atan2((ax * by - ay * bx).cast("double"), (ax * bx + ay * by).cast("double"))
     nxt = cut(e.join(following, ["layer", "x2", "y2"]).groupBy("id").agg(F.min_by("next", F.struct((-turn).alias("t"), "x3", "y3")).alias("next")))
     named = graph.components(nxt.select("id"), nxt.select(F.col("id").alias("a"), F.col("next").alias("b")))
     place = F.struct("layer", "x1", "y1", "x2", "y2")
