@@ -154,53 +154,11 @@ def trace(fields: DataFrame, targets: DataFrame) -> DataFrame:
     return fields.groupBy("floor", "src").cogroup(ends.groupBy("on_floor", "of")).applyInPandas(follow, schema)
 
 
-def portal_edges(ends: DataFrame, fields: DataFrame) -> DataFrame:
-    """Edges between portal ends (end_id, link_id, floor, r, c): stairs where links are equal, else
-    walks of the floor's field (src = end_id)."""
-    a = ends.select(F.col("end_id").alias("a"), F.col("link_id").alias("la"), F.col("floor").alias("fa"))
-    b = ends.select(F.col("end_id").alias("b"), F.col("link_id").alias("lb"), F.col("floor").alias("fb"), "r", "c")
-    stairs = a.join(b, (F.col("la") == F.col("lb")) & (F.col("a") != F.col("b"))).select("a", "b", F.lit(STAIR_FEET).alias("w"), F.lit("stairs").alias("kind"))
-    walks = a.join(b, (F.col("fa") == F.col("fb")) & (F.col("a") != F.col("b")) & ~F.col("la").eqNullSafe(F.col("lb")))
-    field = fields.select(F.col("src").alias("a"), F.col("floor").alias("fa"), "r", "c", F.col("dist").alias("w"))
-    walks = walks.join(field, ["a", "fa", "r", "c"]).select("a", "b", "w", F.lit("walk").alias("kind"))
-    return stairs.unionByName(walks)
-
-
 def landings(portals: DataFrame) -> DataFrame:
     """portals (link_id, floor, r, c) with the ``end_id`` by which fields name them."""
     return portals.select(F.concat_ws("|", F.lit("p"), "link_id", "floor").alias("end_id"), "link_id", "floor", "r", "c")
 
 
-def route(cells: DataFrame, portals: DataFrame, ends: DataFrame, feet_per_cell: float, kept: DataFrame | None = None) -> DataFrame:
-    """The cheapest way from any start to any end over floors joined by portals.
-
-    portals (link_id, floor, r, c); ends (route_id, role start|end, floor, r, c). Returns (route_id,
-    seq, end_id, cost) of the chosen chain of ends; cost in feet. Fields are built on the grids once, the
-    landings' ones not at all if ``kept`` has them (see :func:`landing_fields`); the small graph of
-    portal ends is relaxed by joins.
-    """
-    landing = landings(portals)
-    asked = ends.select(F.concat_ws("|", "route_id", "role", "floor", "r", "c").alias("end_id"), "route_id", "role", "floor", "r", "c")
-    every = landing.select("end_id", "link_id", "floor", "r", "c").unionByName(asked.select("end_id", F.lit(None).cast("string").alias("link_id"), "floor", "r", "c").distinct())
-    starts = every.join(asked.where("role = 'start'").select("end_id").distinct(), "end_id", "left_semi").select(F.col("end_id").alias("src"), "floor", "r", "c")
-    built = starts if kept is not None else starts.unionByName(landing.select(F.col("end_id").alias("src"), "floor", "r", "c"))
-    fields = cut(distance_fields(cells, built))
-    fields = fields if kept is None else fields.unionByName(kept)
-    edges = portal_edges(every, fields).withColumn("w", F.when(F.col("kind") == "walk", F.col("w") * feet_per_cell).otherwise(F.col("w")))
-    dist = shortest(edges.select("a", "b", "w"), asked.where("role = 'start'").select(F.col("route_id").alias("src"), F.col("end_id").alias("node")))
-    goals = asked.where("role = 'end'").select(F.col("route_id").alias("src"), F.col("end_id").alias("node"))
-    best = dist.join(goals, ["src", "node"]).groupBy("src").agg(F.min(F.struct("dist", "node")).alias("m")).select("src", F.col("m.node").alias("node"), F.col("m.dist").alias("cost"))
-    chain, seq = best.withColumn("seq", F.lit(0)), 0
-    out = chain
-    while True:
-        seq += 1
-        chain = cut(chain.select("src", "node", "cost").join(dist.where("prev is not null").select("src", "node", "prev"), ["src", "node"]).select("src", F.col("prev").alias("node"), "cost").withColumn("seq", F.lit(-seq)))
-        if chain.isEmpty():
-            break
-        out = out.unionByName(chain)
-    return out.select(F.col("src").alias("route_id"), "seq", F.col("node").alias("end_id"), "cost")
-
-
 def components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
     """(id) and (a, b) to (id, component): the smallest id reachable.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..operators import alignment, graph, raster, registration, review, sequence, shapes, spatial
+from ..operators import alignment, graph, raster, registration, review, routes, sequence, shapes, spatial
 from ..operators.lineage import cut, shared_folder
 from ..sources import floors
 from .registry import query, table
@@ -315,7 +315,11 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     name = F.concat(F.lit("b"), F.floor(k / 1152).cast("string"), F.lit("-"), (F.floor(k / 576) % 2).cast("string"))
     cell = [name.alias("floor"), F.floor(k % 576 / 24).cast("int").alias("r"), (k % 24).cast("int").alias("c")]
-    cells = table(spark, sf_dir, "part").groupBy(*cell).agg((F.max("p_size") > 8).alias("walk"), (F.max("p_size") > 20).alias("pub"), (F.max("p_size") > 40).alias("stair"))
+    return _opened(table(spark, sf_dir, "part").groupBy(*cell).agg((F.max("p_size") > 8).alias("walk"), (F.max("p_size") > 20).alias("pub"), (F.max("p_size") > 40).alias("stair")))
+
+
+def _opened(cells: DataFrame) -> DataFrame:
+    """Cells with their open steps and those near a wall."""
     walls = raster.near_wall(cells.withColumnRenamed("floor", "layer")).withColumnRenamed("layer", "floor")
     right = walls.where("walk").select("floor", "r", (F.col("c") - 1).alias("c"), F.lit(True).alias("e"))
     down = walls.where("walk").select("floor", (F.col("r") - 1).alias("r"), "c", F.lit(True).alias("s"))
@@ -372,7 +376,7 @@ def _route_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 @query(_ROUTE)
 def grid_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.route(*_route_parts(spark, sf_dir), 2.3)
+    found = routes.route(*_route_parts(spark, sf_dir), 2.3)
     return found.where("seq = 0").select("route_id", F.round("cost", 4).alias("cost"))
 
 
@@ -383,7 +387,7 @@ def kept_field_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/corridora-fields-{uuid.uuid4().hex}"
     for _ in range(2):
         kept = graph.landing_fields(cells, graph.landings(portals), path, "1")
-    found = cut(graph.route(cells, portals, ends, 2.3, kept).where("seq = 0").select("route_id", F.round("cost", 4).alias("cost")))
+    found = cut(routes.route(cells, portals, ends, 2.3, kept).where("seq = 0").select("route_id", F.round("cost", 4).alias("cost")))
     graph.drop_fields(spark, path, "1")
     return found
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corridora.functions import geometry, numbers, text
-from corridora.operators import estimates, graph, raster, review, search, sequence, spatial, validate
+from corridora.operators import estimates, graph, raster, review, routes, search, sequence, spatial, validate
 from corridora.sources import floors, reports
 
 
@@ -213,7 +213,7 @@ def test_route_over_two_floors(spark):
     cells = grid(spark, ["....", "...."], "main").union(grid(spark, ["....", "...."], "upper"))
     portals = spark.createDataFrame([("st", "main", 0, 3), ("st", "upper", 0, 3)], "link_id string, floor string, r int, c int")
     ends = spark.createDataFrame([("w", "start", "main", 0, 0), ("w", "end", "upper", 0, 0), ("w", "end", "upper", 1, 3), ("no", "start", "main", 0, 0)], "route_id string, role string, floor string, r int, c int")
-    rows = graph.route(cells, portals, ends, 2.0).collect()
+    rows = routes.route(cells, portals, ends, 2.0).collect()
     assert {r.route_id for r in rows} == {"w"} and len(rows) == 4
     assert rows[0].cost == pytest.approx(220 + 2.0 * 1.5 * 3 + 2.0 * 1.5)
 
