@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import natural_order, room_tokens, strip_room
-from .lineage import stated
+from .lineage import cut
 
 # Words that ask for the nearest restroom.
 RESTROOM_WORDS = ["restroom", "restrooms", "bathroom", "bathrooms", "toilet", "washroom", "wc"]
@@ -50,14 +52,82 @@ def search(index: DataFrame, query: str, *, has_restrooms: bool = False, limit:
     return scored.orderBy("special", "score", *natural_order("label"), "floor_idx", "ord").limit(limit)
 
 
-def search_many(index: DataFrame, queries: DataFrame, *, limit: int = 8) -> DataFrame:
-    """(query_id, query) to ranked rows of each; the stated queries are broadcast (their number is checked), the index is not moved."""
-    q = queries.withColumn("q", F.lower(F.trim("query"))).where("q != ''")
-    alias = F.array_min(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: match_score(a, F.col("q")) + 0.5))
-    pairs = index.join(stated(q, "searches"), F.lower(F.concat_ws("\n", F.concat(F.lit("room "), F.col("label")), "aliases")).contains(F.col("q")) | F.lit("room ").startswith(F.col("q")))
-    scored = pairs.withColumn("score", F.least(match_score(F.col("label"), F.col("q")), alias)).where(F.col("score").isNotNull())
-    best = Window.partitionBy("query_id").orderBy("score", *natural_order("label"), "floor_idx", "ord")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).drop("q")
+#: Rows of an index that short searches can rank at most.
+MOST_RANKS = 50
+_ORDER = ["floor_idx", "ord"]
+
+
+class Substrings(NamedTuple):
+    """What :func:`search_many` looks texts up in, made once an index.
+
+    ``names``: (gram, key, name, cost), each name under every three letters of it; ``counts``: (gram, n) of names;
+    ``short``: (gram, key, score, rank), the best rows for each search of one or two letters; ``first``: (key, rank),
+    the first rows of all.
+    """
+
+    names: DataFrame
+    counts: DataFrame
+    short: DataFrame
+    first: DataFrame
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The different runs of ``n`` letters of a text."""
+    runs = F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.char_length(text) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def _names(index: DataFrame) -> DataFrame:
+    """(key, name, cost) of labels and aliases."""
+    label = F.struct(F.lower("label").alias("name"), F.lit(0.0).alias("cost"))
+    aliases = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(F.lower(a).alias("name"), F.lit(0.5).alias("cost")))
+    return index.select("key", F.explode(F.concat(F.array(label), aliases)).alias("n")).select("key", "n.*").where("name is not null")
+
+
+def substrings(index: DataFrame) -> Substrings:
+    """The lookup tables of an index (keys differ), written once."""
+    names = _names(index)
+    long = cut(names.select(F.explode(_grams(F.col("name"), 3)).alias("gram"), "key", "name", "cost"))
+    counts = cut(long.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    few = names.select(F.explode(F.array_union(_grams(F.col("name"), 1), _grams(F.col("name"), 2))).alias("gram"), "key", "name", "cost")
+    few = few.groupBy("gram", "key").agg(F.min(match_score(F.col("name"), F.col("gram")) + F.col("cost")).alias("score"))
+    order = [*natural_order("label"), *_ORDER, "key"]
+    # ranks up to a limit: every task keeps as many rows of a gram before the shuffle
+    best = Window.partitionBy("gram").orderBy("score", *order)
+    short = few.join(index.select("key", "label", *_ORDER), "key").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= MOST_RANKS)
+    first = index.select("key", "label", *_ORDER).orderBy(*order).limit(MOST_RANKS)
+    return Substrings(long, counts, cut(short.select("gram", "key", "score", "rank")), cut(first.select("key")))
+
+
+def search_many(index: DataFrame, queries: DataFrame, *, limit: int = 8, built: Substrings | None = None) -> DataFrame:
+    """(query_id, query) to ranked rows of each: as :func:`search`, without the row for restrooms.
+
+    A search of three letters and more meets the names under its rarest three letters, which then are compared;
+    a shorter one its ready ranks; "room ..." also the names under the rest of it. All joins are by key, so
+    neither searches nor index are broadcast or held whole. ``built``: tables of :func:`substrings`.
+    """
+    if limit > MOST_RANKS:
+        raise ValueError(f"limits go up to {MOST_RANKS}")
+    t = built or substrings(index)
+    q = queries.select("query_id", F.lower(F.trim("query")).alias("q")).where("q != ''")
+    rest = q.where("startswith(q, 'room ')").select("query_id", "q", F.substring("q", 6, 1_000_000).alias("sought"))
+    sought = q.select("query_id", "q", F.col("q").alias("sought")).union(rest).where("sought != ''")
+    grams = sought.where("char_length(sought) >= 3").withColumn("gram", F.explode(_grams(F.col("sought"), 3)))
+    # a gram that no name has is the rarest: no name has the search then
+    rarest = grams.join(t.counts, "gram", "left").groupBy("query_id", "q", "sought").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    score = match_score(F.col("name"), F.col("q")) + F.col("cost")
+    long = rarest.join(t.names, "gram").where("contains(name, sought)").select("query_id", "key", score.alias("score"))
+    short = sought.where("char_length(sought) < 3")
+    exact = short.where("q = sought").join(t.short, F.col("sought") == F.col("gram")).select("query_id", "key", "score")
+    begun = short.where("q != sought").join(_names(index).select("key", "name", "cost", F.explode(F.array(F.substring("name", 1, 1), F.substring("name", 1, 2))).alias("gram")), F.col("sought") == F.col("gram")).select("query_id", "key", score.alias("score"))
+    # the beginnings of "room " find every row
+    listed = t.first.agg(F.collect_list("key").alias("keys"))
+    begins = F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring(F.lit("room"), F.lit(1), n)))
+    every = q.join(listed.select(begins.alias("q"), "keys"), "q").select("query_id", F.explode("keys").alias("key"), F.lit(2.0).alias("score"))
+    found = long.union(exact).union(begun).union(every).where("score is not null").groupBy("query_id", "key").agg(F.min("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy("score", *natural_order("label"), *_ORDER, "key")
+    ranked = found.join(index, "key").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    return ranked.join(queries.select("query_id", "query"), "query_id")
 
 
 def resolve_places(index: DataFrame, wanted: DataFrame) -> DataFrame:
