@@ -2,41 +2,94 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import minute_of_day, round_half_up
+from .lineage import cut, release
 from .validate import FEET_PER_SECOND, STAIR_SECONDS, pace, valid_reports
 
 WINDOW_MINUTES, MIN_ROUTE, MIN_PACE_REPORTS, BUSIER = 30, 2, 3, 0.15
-#: Parts of a key's range of values, of which a median needs the values of one or two.
-VALUE_BINS = 4096
+#: Parts of a range of values in one round, and rows that one task may sort for one key.
+VALUE_BINS, MOST_AT_ONCE = 4096, 100_000
 
 
 def exact_medians(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """(keys, n, median): exact medians whose keys may hold any share of the rows.
+    """(keys, n, median): exact medians, whatever the spread of values and the share of rows that a key has.
 
-    A histogram, which combines before the shuffle, tells where each key's middle ranks lie; only the
-    values there are shuffled, each distinct one once a task. So no key is gathered in one task.
+    Keys of up to ``MOST_AT_ONCE`` rows are one aggregate. For the others a histogram, which combines before
+    the shuffle, tells which part of the key's values holds the middle ranks; that part's own least and greatest
+    value bound the next histogram, until so few rows are left that a task can sort them. A value far off thus
+    costs a round, not a task.
     """
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
     rows = df.select(key.alias("k"), value.cast("double").alias("v")).where("v is not null")
-    ends = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / VALUE_BINS
-    place = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(VALUE_BINS - 1))).otherwise(0)
-    binned = rows.join(ends, "k").select("k", "n", "v", place.alias("bin"))
-    order = Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = binned.groupBy("k", "n", "bin").agg(F.count(F.lit(1)).alias("m")).withColumn("above", F.coalesce(F.sum("m").over(order), F.lit(0)))
-    # ranks from 1; the same one twice where their number is odd
+    heavy = cut(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where(F.col("n") > MOST_AT_ONCE))
+    if heavy.isEmpty():
+        release(heavy)
+        found = rows
+    else:
+        found = rows.join(heavy.select("k"), "k", "left_anti")
+    found = found.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.median("v").alias("median"))
+    if "_scratch" in heavy.__dict__:
+        found = found.union(_heavy_medians(rows.join(heavy.select("k"), "k", "left_semi"), heavy))
+    return found.select(*[F.col(f"k.{c}").alias(c) for c in keys], "n", "median")
+
+
+def _binned(lo: Column, hi: Column) -> Column:
+    width = (hi - lo) / VALUE_BINS
+    return F.when(width > 0, F.least(F.floor((F.col("v") - lo) / width), F.lit(VALUE_BINS - 1))).otherwise(0)
+
+
+def _middle(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, above, m, lo, hi, a, b): bins (keys, n, before, bin, m, lo, hi) to those with the middle ranks.
+
+    Where these lie in different bins, or in one of a single value, ``a`` and ``b`` are the two values; else they
+    are null, and the one bin has ``m`` rows from ``lo`` to ``hi`` after ``above`` others.
+    """
+    order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bins.withColumn("above", F.col("before") + F.coalesce(F.sum("m").over(order), F.lit(0)))
     first, second = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     holds = lambda r: (F.col("above") < r) & (r <= F.col("above") + F.col("m"))
-    middle = sizes.where(holds(first) | holds(second)).select("k", "bin", "above")
-    values = binned.join(middle, ["k", "bin"]).groupBy("k", "n", "bin", "above", "v").agg(F.count(F.lit(1)).alias("m"))
-    inner = Window.partitionBy("k", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    values = values.withColumn("above", F.col("above") + F.coalesce(F.sum("m").over(inner), F.lit(0)))
-    picked = values.groupBy("k", "n").agg(F.max(F.when(holds(first), F.col("v"))).alias("a"), F.max(F.when(holds(second), F.col("v"))).alias("b"))
-    return picked.select(*[F.col(f"k.{c}").alias(c) for c in keys], "n", ((F.col("a") + F.col("b")) / 2).alias("median"))
+    kept = placed.where(holds(first) | holds(second))
+    of = lambda c, r: F.max(F.when(holds(r), F.col(c)))
+    both = kept.groupBy(*keys, "n").agg(of("above", first).alias("above"), of("m", first).alias("m"), of("lo", first).alias("lo"), of("hi", first).alias("hi"), of("lo", second).alias("lo2"), of("bin", first).alias("bin"), of("bin", second).alias("bin2"))
+    apart = (F.col("bin") != F.col("bin2")) | (F.col("lo") == F.col("hi"))
+    return both.select(*keys, "n", "above", "m", "lo", "hi", F.when(apart, F.col("hi")).alias("a"), F.when(apart, F.col("lo2")).alias("b"))
+
+
+def _sorted_out(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, median) of few rows (keys, n, above, v) a key, which ``above`` smaller ones precede."""
+    at = lambda r: F.element_at("vs", (r - F.col("above")).cast("int"))
+    held = values.groupBy(*keys, "n", "above").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    return held.select(*keys, "n", ((at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2).alias("median"))
+
+
+def _heavy_medians(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(k, n, median) for keys (k, n, lo, hi) of many rows."""
+    return _refined(rows, cut(heavy.select("k", "n", F.lit(0).cast("long").alias("above"), F.col("n").alias("m"), "lo", "hi")))
+
+
+def _refined(rows: DataFrame, now: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(k, n, median) of rows (k, v) for keys (k, n, above, m, lo, hi), whose middle ranks lie among ``m`` rows from
+    ``lo`` to ``hi``."""
+    rows, out, kept = cut(rows), [], []
+    for _ in range(max_rounds):
+        inside = rows.join(now.select("k", "n", "above", "m", "lo", "hi"), "k").where("v between lo and hi")
+        kept.append(cut(_sorted_out(inside.where(F.col("m") <= MOST_AT_ONCE), ["k"])))
+        out.append(kept[-1])
+        bins = inside.where(F.col("m") > MOST_AT_ONCE).withColumn("bin", _binned(F.col("lo"), F.col("hi")))
+        bins = bins.groupBy("k", "n", F.col("above").alias("before"), "bin").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        told = cut(_middle(bins, ["k"]), now)
+        kept.append(told)
+        out.append(told.where("a is not null").select("k", "n", ((F.col("a") + F.col("b")) / 2).alias("median")))
+        now = cut(told.where("a is null").select("k", "n", "above", "m", "lo", "hi"))
+        if now.isEmpty():
+            return cut(functools.reduce(DataFrame.union, out), rows, now, *kept)
+    raise RuntimeError(f"medians have not settled after {max_rounds} rounds")
 
 
 def pair_key(a: str = "from", b: str = "to") -> list[Column]:
@@ -50,10 +103,32 @@ def _around(minutes: DataFrame) -> DataFrame:
 
 
 def pace_by_minute(reports: DataFrame, minutes: DataFrame) -> DataFrame:
-    """(minute, n_now, pace_now) for the asked minutes (at most 1440, so they are broadcast)."""
-    timed = reports.withColumn("near", minute_of_day(F.timestamp_millis("at")))
-    near = timed.join(F.broadcast(_around(minutes.select("minute").distinct())), "near")
-    return exact_medians(near, ["minute"], pace()).select("minute", F.col("n").alias("n_now"), F.col("median").alias("pace_now"))
+    """(minute, n_now, pace_now) for the asked minutes (at most 1440, so they are broadcast).
+
+    Reports are counted once by their minute and a part of the range of paces; the asked minutes add up the
+    counts of the 61 minutes around. Only the reports of the part with a minute's middle ranks are looked at again.
+    """
+    timed = reports.select(minute_of_day(F.timestamp_millis("at")).alias("near"), pace().cast("double").alias("v")).where("v is not null")
+    ends = timed.agg(F.min("v"), F.max("v")).first()
+    lo, hi = (F.lit(x).cast("double") for x in ends)
+    counts = timed.groupBy("near", _binned(lo, hi).alias("bin")).agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    around = _around(minutes.select("minute").distinct())
+    bins = counts.join(F.broadcast(around), "near").groupBy("minute", "bin").agg(F.sum("m").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    total = F.sum("m").over(Window.partitionBy("minute"))
+    told = cut(_middle(bins.withColumns({"n": total, "before": F.lit(0).cast("long")}), ["minute"]))  # 1440 rows at most
+    done = told.where("a is not null").select("minute", "n", ((F.col("a") + F.col("b")) / 2).alias("median"))
+    near = around.join(F.broadcast(told.where("a is null").select("minute", "n", "above", "m", "lo", "hi")), "minute")
+    again = timed.join(F.broadcast(near), "near").where("v between lo and hi")
+    small = _sorted_out(again.where(F.col("m") <= MOST_AT_ONCE), ["minute"])
+    # a part that many reports share: minutes whose windows have a third of all reports, say
+    large = again.where(F.col("m") > MOST_AT_ONCE)
+    heavy = told.where((F.col("m") > MOST_AT_ONCE) & F.col("a").isNull())
+    found = done.union(small)
+    if not heavy.isEmpty():
+        key = F.struct("minute").alias("k")
+        rest = _refined(large.select(key, "v"), cut(heavy.select(key, "n", "above", "m", "lo", "hi")))
+        found = found.union(rest.select("k.minute", "n", "median"))
+    return found.select("minute", F.col("n").alias("n_now"), F.col("median").alias("pace_now"))
 
 
 def estimate(wanted: DataFrame, reports: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corridora.operators import estimates, graph, lineage, raster, registration, reading, sequence, shapes, voting
+from corridora.operators import estimates, graph, lineage, raster, reading, registration, sequence, shapes, validate, voting
 from corridora.sources import images, outdoor, store
 
 CELLS = "layer string, r int, c int"
@@ -202,6 +202,37 @@ def test_exact_medians_with_a_hot_key(spark):
     assert estimates.exact_medians(spark.createDataFrame([], "k string, v double"), [], F.col("v")).count() == 0
 
 
+def test_medians_of_heavy_keys_with_values_far_off(spark, monkeypatch):
+    """A value far off costs a round: no task sorts more rows of a key than stated."""
+    monkeypatch.setattr(estimates, "MOST_AT_ONCE", 60)
+    monkeypatch.setattr(estimates, "VALUE_BINS", 16)
+    rng = np.random.default_rng(1)
+    values = {"far": [*rng.normal(size=900).tolist(), 1e12], "steep": np.exp(rng.normal(size=800) * 20).tolist(), "ties": [1.0] * 400 + [2.0] * 400, "few": [3.0, 1.0], "odd": [5.0] * 301}
+    sorted_ = []
+    real = estimates._sorted_out
+    monkeypatch.setattr(estimates, "_sorted_out", lambda v, keys: (sorted_.extend(x["count"] for x in v.groupBy(*keys).count().collect()), real(v, keys))[1])
+    rows = [(k, v) for k, vs in values.items() for v in vs]
+    out = {x.k: (x.n, x["median"]) for x in estimates.exact_medians(spark.createDataFrame(rows, "k string, v double"), ["k"], F.col("v")).collect()}
+    assert out == {k: (len(v), pytest.approx(statistics.median(v), rel=1e-12)) for k, v in values.items()}
+    assert max(sorted_) <= 60
+
+
+@pytest.mark.parametrize("most", [10, 100_000])
+def test_pace_by_minute_around_midnight(spark, monkeypatch, most):
+    monkeypatch.setattr(estimates, "MOST_AT_ONCE", most)
+    monkeypatch.setattr(estimates, "VALUE_BINS", 32)
+    rng = np.random.default_rng(2)
+    at = [int(m) * 60_000 for m in rng.choice([0, 5, 20, 700, 729, 731, 1410, 1435, 1439], 400)]
+    rows = [("a", "b", float(f), 0, 100.0, t) for f, t in zip(rng.integers(100, 900, 400), at)]
+    reports = spark.createDataFrame(rows, "`from` string, `to` string, feet double, flights int, seconds double, at long")
+    asked = [0, 5, 700, 1430, 300]
+    got = {x.minute: (x.n_now, x.pace_now) for x in estimates.pace_by_minute(reports, spark.createDataFrame([(m,) for m in [*asked, 0]], "minute int")).collect()}
+    paces = [x.p for x in reports.select(validate.pace().alias("p")).collect()]
+    for m in asked:
+        near = [p for p, t in zip(paces, at) if min((t // 60_000 - m) % 1440, (m - t // 60_000) % 1440) <= 30]
+        assert got.get(m) == ((len(near), pytest.approx(statistics.median(near))) if near else None)
+
+
 def test_queries_in_blocks_score_alike(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=4).tolist(), i % 3) for i in range(40)]
