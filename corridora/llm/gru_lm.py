@@ -309,7 +309,8 @@ def lanes(symbols: np.ndarray, first: np.ndarray, end: int, learn: bool = False)
     """Windows of (inputs, targets, begins, places): texts dealt to lanes, longest first."""
     sizes = np.diff(first)
     depth = max(WINDOW * LEARN_STEPS if learn else 256, int(sizes.max(initial=1)))
-    width = int(np.clip(len(symbols) // depth, 8, LEARN_LANES if learn else LANES))
+    # a very long text has a lane, and all others share one or two: the arrays below have a place for each lane's depth
+    width = int(np.clip(-(-len(symbols) // depth), max(1, min(8, BLOCK_TOKENS // depth)), LEARN_LANES if learn else LANES))
     width = min(width, len(sizes))
     if not width:
         return

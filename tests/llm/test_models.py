@@ -225,6 +225,19 @@ def test_quality_features_and_scores_against_plain_counting(spark):
         assert ranker.score(x)[0] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, away)))), rel=1e-3)
 
 
+def test_a_very_long_text_takes_one_lane(monkeypatch):
+    """Windows hold each token once, and the arrays that they are cut from at most about twice."""
+    monkeypatch.setattr(gru_lm, "BLOCK_TOKENS", 20_000)
+    sizes = [90_000, 3, 500, 1, 40, 7, 7, 7, 7]
+    first = np.r_[0, np.cumsum(sizes)]
+    symbols = (np.arange(first[-1]) % 50).astype(np.int16)
+    seen = []
+    for inputs, targets, begins, places in gru_lm.lanes(symbols, first, 49):
+        assert inputs.shape[1] <= 2 and places.base.size <= 2.2 * len(symbols)
+        seen += places[places >= 0].tolist()
+    assert sorted(seen) == list(range(len(symbols)))
+
+
 def test_quality_scores_depend_on_no_other_row():
     texts = ["I like A", "bx yes", "Bx Yes I", "", None, "A", "B", "x" * 700_000 + " A", "Zz AB"] * 3 + [r[1] for r in DOCS]
     random = np.random.default_rng(8)
