@@ -231,16 +231,20 @@ def streamed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("`from` string, `to` string, at long, seconds long").parquet(path)
 
 
-@query("""WITH e AS (SELECT user_id AS walk_id, (event_id + 1) * 1000 AS t, event_id % 3 < 2 AS opens FROM events), l AS (SELECT *, lag(t) OVER w AS t0, lag(opens) OVER w AS was FROM e WINDOW w AS (PARTITION BY walk_id ORDER BY t))
-SELECT CAST(walk_id AS VARCHAR) AS walk_id, t0 AS started_at, t AS ended_at FROM l WHERE NOT opens AND was""")
+@query("""WITH e AS (SELECT user_id AS walk_id, (event_id + 1) * 1000 AS t, event_id % 3 < 2 AS opens FROM events), l AS (SELECT *, lag(t) OVER w AS t0, lag(opens) OVER w AS was, lead(t) OVER w AS t1 FROM e WINDOW w AS (PARTITION BY walk_id ORDER BY t))
+SELECT CAST(walk_id AS VARCHAR) AS walk_id, t0 AS started_at, t AS ended_at, 'arrived' AS outcome FROM l WHERE NOT opens AND was UNION ALL SELECT CAST(walk_id AS VARCHAR), t, NULL, 'expired' FROM l WHERE opens AND t1 IS NULL""")
 def streamed_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walks that arrive, from a stream of starts and arrivals; expired ones wait for the clock and are left to tests."""
+    """Walks from a stream of starts and arrivals; a later event moves the clock on, by which walks without an arrival expire."""
     path, out = _scratch(spark, "walks"), _scratch(spark, "closed")
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("walk_id"), F.when(F.col("event_id") % 3 < 2, "start").otherwise("arrive").alias("kind"), ((F.col("event_id") + 1) * 1000).alias("at"))
     e.write.json(path)
-    stream = spark.readStream.schema("walk_id string, kind string, at long").json(path)
-    streams.append_log(streams.closed_walks(stream), out, f"{out}-checkpoint").awaitTermination()
-    return spark.read.schema(streams.CLOSED).parquet(out).where("outcome = 'arrived'").select("walk_id", "started_at", "ended_at")
+    late = e.agg(F.lit("clock").alias("walk_id"), F.lit("arrive").alias("kind"), (F.max("at") + 10 * 3_600_000).alias("at"))
+    for more in (None, late):  # the same stream goes on where it stopped
+        if more is not None:
+            more.write.mode("append").json(path)
+        stream = spark.readStream.schema("walk_id string, kind string, at long").json(path)
+        streams.append_log(streams.closed_walks(stream), out, f"{out}-checkpoint").awaitTermination()
+    return spark.read.schema(streams.CLOSED).parquet(out)
 
 
 @query("SELECT o_orderkey AS id, 'added' AS kind, '2024-01-01' AS submitted_at FROM orders WHERE o_orderkey % 9 = 0")

@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from corridora.streaming import reports as stream
 
 NOW = 10**12
@@ -29,5 +27,6 @@ def test_walks_close(spark, tmp_path):
     events = spark.readStream.schema("walk_id string, kind string, at long").option("maxFilesPerTrigger", 1).json(str(folder))
     q = stream.closed_walks(events).writeStream.format("memory").queryName("closed").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    got = {(r.walk_id, r.outcome) for r in spark.table("closed").where(F.col("outcome") == "arrived").collect()}
-    assert got == {("a", "arrived")}
+    got = {(r.walk_id, r.started_at, r.ended_at, r.outcome) for r in spark.table("closed").collect()}
+    # the clock of the second file has passed b's hour; z is still open
+    assert got == {("a", 1_000, 61_000, "arrived"), ("b", 2_000, None, "expired")}
