@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.validate import clean_reports
 from ..sources.reports import MAX_SHARED, REPORT, bounded_log, read_or_empty
@@ -61,32 +61,58 @@ def deduplicated(stream: DataFrame, horizon: str = "1 day") -> DataFrame:
 CLOSED = "walk_id string, started_at long, ended_at long, outcome string"
 
 
-def _close(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """A start opens a walk; an arrival closes it; an hour without one expires it."""
-    if state.hasTimedOut:
-        started = state.get[0]
-        state.remove()
-        yield pd.DataFrame([(key[0], started, None, "expired")], columns=["walk_id", "started_at", "ended_at", "outcome"]).astype({"ended_at": "Int64"})
-        return
-    started, out = (state.get[0] if state.exists else None), []
-    for batch in batches:
-        for kind, at in batch.sort_values("at")[["kind", "at"]].itertuples(index=False):
-            if kind == "start":
-                started = int(at)
-            elif started is not None:
-                out.append((key[0], started, int(at), "arrived"))
-                started = None
-    if started is None:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((started,))
-        state.setTimeoutTimestamp(max(started + 3_600_000, state.getCurrentWatermarkMs() + 1))
-    if out:
-        yield pd.DataFrame(out, columns=["walk_id", "started_at", "ended_at", "outcome"]).astype({"ended_at": "Int64"})
+#: A walk without an arrival expires after so long.
+HOUR_MS = 3_600_000
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _told(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["walk_id", "started_at", "ended_at", "outcome"]).astype({"ended_at": "Int64"})
+
+
+class WalkStates(StatefulProcessor):
+    """A start opens a walk; an arrival closes it; an hour of event time without one expires it, by a timer."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "started_at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        before = started = self.open.get()[0] if self.open.exists() else None
+        out = []
+        for batch in rows:
+            for kind, at in batch.sort_values("at")[["kind", "at"]].itertuples(index=False):
+                if kind == "start":
+                    started = int(at)
+                elif started is not None:
+                    out.append((key[0], started, int(at), "arrived"))
+                    started = None
+        if started != before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if started is None:
+                self.open.clear()
+            else:
+                self.open.update((started,))
+                self.handle.registerTimer(max(started + HOUR_MS, timerValues.getCurrentWatermarkInMs() + 1))
+        if out:
+            yield _told(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        started = self.open.get()[0]
+        self.open.clear()
+        yield _told([(key[0], started, None, "expired")])
+
+    def close(self) -> None:
+        pass
 
 
 def closed_walks(events: DataFrame) -> DataFrame:
-    """A stream of (walk_id, kind start|arrive, at) to closed or expired walks."""
+    """A stream of (walk_id, kind start|arrive, at) to closed or expired walks.
+
+    The state is one long a walk that is open. Sets the session's state store to RocksDB, whose keys need not fit
+    in memory: timers have no other. A running stream keeps the store that its checkpoint names.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     timed = events.withColumn("event_time", F.timestamp_millis("at")).withWatermark("event_time", "1 minute")
-    return timed.groupBy("walk_id").applyInPandasWithState(_close, CLOSED, "started_at long", "append", "EventTimeTimeout")
+    return timed.groupBy("walk_id").transformWithStateInPandas(WalkStates(), CLOSED, "append", "EventTime")

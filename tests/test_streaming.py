@@ -30,3 +30,21 @@ def test_walks_close(spark, tmp_path):
     got = {(r.walk_id, r.started_at, r.ended_at, r.outcome) for r in spark.table("closed").collect()}
     # the clock of the second file has passed b's hour; z is still open
     assert got == {("a", 1_000, 61_000, "arrived"), ("b", 2_000, None, "expired")}
+
+
+def test_a_walk_begun_again_or_late_expires_by_its_own_hour(spark, tmp_path):
+    folder = tmp_path / "ev"
+    folder.mkdir()
+    files = [
+        [("a", "start", 1_000), ("b", "start", 2_000), ("c", "start", 3_000)],
+        [("a", "start", 3_000_000), ("c", "arrive", 3_100_000)],
+        [("clock", "arrive", 3_900_000)],  # b's hour is over, a's begins later
+        [("a", "arrive", 3_950_000)],
+        [("clock", "arrive", 90_000_000)],
+    ]
+    for k, rows in enumerate(files):
+        (folder / f"{k}.json").write_text("\n".join(json.dumps({"walk_id": w, "kind": kind, "at": t}) for w, kind, t in rows))
+        events = spark.readStream.schema("walk_id string, kind string, at long").json(str(folder))
+        stream.append_log(stream.closed_walks(events), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = sorted((r.walk_id, r.started_at, r.ended_at, r.outcome) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("a", 3_000_000, 3_950_000, "arrived"), ("b", 2_000, None, "expired"), ("c", 3_000, 3_100_000, "arrived")]
