@@ -120,8 +120,10 @@ def glyph_vectors(cells: DataFrame, keys: list[str]) -> DataFrame:
 
     wide = shares(shares(placed, "r", "h", ROWS, "i"), "c", "w", COLUMNS, "j")
     parts = wide.groupBy(*keys, "h", "w", (F.col("i") * COLUMNS + F.col("j")).alias("at")).agg(F.sum(F.col("i_share") * F.col("j_share")).alias("v"))
-    listed = parts.groupBy(*keys, "h", "w").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(ROWS * COLUMNS - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0)))
-    vector = F.array_append(dense, F.col("w") / F.col("h") * math.sqrt(COLUMNS))
-    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda t, v: t + v * v))
-    return listed.select(*keys, F.transform(vector, lambda v: v / length).alias("vector"))
+    shape = box.select(*keys, F.lit(ROWS * COLUMNS).alias("at"), (F.col("w") / F.col("h") * math.sqrt(COLUMNS)).alias("v"))
+    every = parts.select(*keys, "at", "v").union(shape)
+    # the length as a row of its own: as an expression it would be told again for each part
+    length = every.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+    listed = every.join(length, keys).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at", (F.col("v") / F.col("length")).alias("v")))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(ROWS * COLUMNS)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0)))
+    return listed.select(*keys, dense.alias("vector"))

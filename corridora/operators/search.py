@@ -155,6 +155,17 @@ def endpoints(index: DataFrame, points: DataFrame, key: str) -> DataFrame:
     return points.join(F.broadcast(item), same, "left_semi")
 
 
+def endpoints_of(index: DataFrame, points: DataFrame, picks: DataFrame) -> DataFrame:
+    """picks (pick_id, key) to (pick_id, floor, id) of all points that each can mean: as :func:`endpoints`, for any
+    number of picks, by joins of keys."""
+    item = picks.join(index.select("key", F.col("id").alias("__id"), F.col("floor").alias("__floor"), F.col("kind").alias("__kind")), "key")
+    place = points.select("floor", "id")
+    doors = item.where("__kind = 'entrance'").select("pick_id", F.col("__id").alias("id")).join(place, "id").select("pick_id", "floor", "id")
+    one = item.where("__kind != 'entrance'").select("pick_id", F.col("__floor").alias("floor"), F.col("__id").alias("id")).join(place, ["floor", "id"]).select("pick_id", "floor", "id")
+    rest = points.where("kind = 'poi' and poi_type = 'restroom'").select(F.lit(NEAREST_RESTROOM).alias("key"), "floor", "id")
+    return doors.union(one).union(picks.join(rest, "key").select("pick_id", "floor", "id"))
+
+
 def rooms_in_text(index: DataFrame, texts: DataFrame) -> DataFrame:
     """(text_id, text) to the first known room number it says (with its letter, else its digits)."""
     said = texts.select("text_id", F.posexplode(room_tokens("text")).alias("at", "token"))

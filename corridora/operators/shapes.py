@@ -287,8 +287,10 @@ def lift(points: DataFrame, heights: DataFrame, risers: int = 10) -> DataFrame:
     return kept.withColumn("cum", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("d")
 
 
-def view_samples(spark, columns: int = 16, rows: int = 12, sigma: float = 0.3) -> DataFrame:
-    """A grid of view rays (i, j, u, v, weight) with Gaussian weights about the centre."""
-    i, j = spark.range(columns).select(F.col("id").alias("i")), spark.range(rows).select(F.col("id").alias("j"))
+def view_samples(frames: DataFrame, columns: int = 16, rows: int = 12, sigma: float = 0.3) -> DataFrame:
+    """Frames (view_id, cx, cy, width, height) to a grid of samples of each: (view_id, i, j, x, y, weight), their
+    weights Gaussian about the frame's middle."""
+    each = frames.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     u, v = (F.col("i") + 0.5) / columns * 2 - 1, (F.col("j") + 0.5) / rows * 2 - 1
-    return i.join(F.broadcast(j)).select("i", "j", u.alias("u"), v.alias("v"), F.exp(-(u * u + v * v) / (2 * sigma * sigma)).alias("weight"))
+    weight = F.exp(-(u * u + v * v) / (2 * sigma * sigma))
+    return each.select("view_id", "i", "j", (F.col("cx") + u * F.col("width") / 2).alias("x"), (F.col("cy") + v * F.col("height") / 2).alias("y"), weight.alias("weight"))

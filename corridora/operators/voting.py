@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +44,10 @@ def class_scores(queries: DataFrame, templates: DataFrame) -> DataFrame:
     if blocks <= 1:
         return _block_scores(queries, templates)
     numbered = cut(queries.withColumn("__block", F.pmod(F.xxhash64("q_id", F.lit("block")), F.lit(blocks))))
-    done = None
-    for k in range(blocks):
-        before, found = done, _block_scores(numbered.where(F.col("__block") == k).drop("__block"), templates)
-        done = cut(found if before is None else before.unionByName(found), *([before] if before is not None else []))
+    # each block's scores are written once, to a table of their own
+    done = [cut(_block_scores(numbered.where(F.col("__block") == k).drop("__block"), templates)) for k in range(blocks)]
     release(numbered)
-    return done
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def _block_scores(queries: DataFrame, templates: DataFrame) -> DataFrame:

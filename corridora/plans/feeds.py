@@ -254,3 +254,28 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _scratch(spark, "saved")
     path = store.save_named(logs.proposal(changes, "2024-01-01"), folder, "main")
     return cut(spark.read.schema("id long, kind string, submitted_at string").json(path))
+
+
+@query("""WITH t(moment, upto) AS (VALUES (0, 2), (59, 2), (60, 3), (119, 3), (200, 4)) SELECT moment, o_orderpriority AS priority, count(*) AS n FROM t JOIN orders ON o_orderkey % 5 < upto GROUP BY 1, 2""")
+def kept_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that grows with every read: what is read is as it was up to a minute ago."""
+    log, path, orders, out = _scratch(spark, "log"), _scratch(spark, "kept"), table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority")), None
+    for moment, part in ((0, "o_orderkey % 5 < 2"), (59, "o_orderkey % 5 = 2"), (60, None), (119, "o_orderkey % 5 = 3"), (200, None)):
+        if part is not None:
+            orders.where(part).write.mode("append").parquet(log)
+        counted = spark.read.parquet(log).groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
+        read = cut(streams.kept_read(counted, path, now=moment)).select(F.lit(moment).alias("moment"), "priority", "n")
+        out = read if out is None else out.union(read)
+    return out
+
+
+@query("""SELECT 'f' || CAST(p_partkey % 7 AS VARCHAR) AS layer, CAST(p_partkey * 13 % 900 AS INTEGER) AS x, CAST(p_partkey * 29 % 700 AS INTEGER) AS y, CAST(1 + p_size AS INTEGER) AS w, CAST(1 + p_partkey % 11 AS INTEGER) AS h FROM part""")
+def wall_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of wall files, written as JSON and read by their schema."""
+    k = F.col("p_partkey")
+    box = F.struct(k, (k * 13 % 900).cast("int").alias("x"), (k * 29 % 700).cast("int").alias("y"), (1 + F.col("p_size")).cast("int").alias("w"), (1 + k % 11).cast("int").alias("h"))
+    g = table(spark, sf_dir, "part").groupBy(F.concat(F.lit("f"), (k % 7).cast("string")).alias("floor")).agg(F.sort_array(F.collect_list(box)).alias("b"))
+    flat = g.select("floor", F.lit(900).alias("w"), F.lit(700).alias("h"), F.lit(2).alias("quant"), F.flatten(F.transform("b", lambda x: F.array(x["x"], x["y"], x["w"], x["h"]))).alias("boxes"))
+    path = _scratch(spark, "walls")
+    logs.write_json(flat, path)
+    return floors.wall_boxes(spark.read.schema(floors.WALLS).json(path))

@@ -325,7 +325,8 @@ def rounded_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the rounded path again, corner by corner, so that its points can be told apart
     inner = F.transform(F.sequence(F.lit(2), n - 1), lambda i: F.slice(one(i), F.lit(2), F.size(one(i)) - 2))
     parts = F.when(n < 3, F.transform("p", lambda q: F.array(q))).otherwise(F.concat(F.array(F.slice("p", 1, 1)), inner, F.array(F.slice("p", -1, 1))))
-    listed = whole.withColumn("parts", parts).where(F.flatten("parts") == F.col("done"))
+    differs = F.raise_error(F.lit("a path rounded by its corners differs from the whole one"))
+    listed = whole.withColumn("parts", F.when(F.flatten(parts) == F.col("done"), parts).otherwise(differs))
     rows = listed.select("k", F.posexplode("parts").alias("i", "q")).select("k", (F.col("i") + 1).cast("long").alias("i"), F.posexplode("q").alias("part", "v"))
     return rows.select("k", "i", "part", F.round("v.x", 5).alias("x"), F.round("v.y", 5).alias("y"))
 

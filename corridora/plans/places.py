@@ -90,6 +90,20 @@ def restroom_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.endpoints(search.build_index(p), p, search.NEAREST_RESTROOM).select("id", "floor")
 
 
+#: Ids that three floors share.
+_SHARED = _BUILT.replace("CAST(c_custkey AS VARCHAR) AS id", "CAST(c_custkey // 3 AS VARCHAR) AS id")
+
+
+@query(f"""WITH {_SHARED} SELECT key AS pick_id, pts.floor, pts.id FROM built JOIN pts ON pts.id = built.id AND (built.kind = 'entrance' OR pts.floor = built.floor)
+UNION ALL SELECT 'nearest', floor, id FROM pts WHERE kind = 'poi' AND poi_type = 'restroom'""")
+def picked_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every row of the index, and the nearest restroom, can mean."""
+    p = points(spark, sf_dir).withColumn("id", F.floor(F.col("ord") / 3).cast("string"))
+    index = search.build_index(p)
+    nearest = spark.range(1).select(F.lit("nearest").alias("pick_id"), F.lit(search.NEAREST_RESTROOM).alias("key"))
+    return search.endpoints_of(index, p, index.select(F.col("key").alias("pick_id"), "key").union(nearest))
+
+
 @query(f"WITH {_POINTS} SELECT id, floor FROM pts WHERE kind = 'poi' AND poi_type = 'stairs'")
 def stair_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.marks(points(spark, sf_dir)).select("id", "floor")

@@ -451,9 +451,12 @@ def changed_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.changed(placed, alignment.nudge(placed, moved))
 
 
-@query("SELECT i, j, round((i + 0.5) / 16.0 * 2 - 1, 6) AS u, round((j + 0.5) / 12.0 * 2 - 1, 6) AS v, round(exp(-(((i + 0.5) / 16.0 * 2 - 1) ** 2 + ((j + 0.5) / 12.0 * 2 - 1) ** 2) / 0.18), 6) AS weight FROM range(16) a(i), range(12) b(j)")
+@query("""SELECT s_suppkey AS view_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(s_suppkey * 53 % 3000 + ((i + 0.5) / 16.0 * 2 - 1) * (100 + s_suppkey % 40) / 2, 6) AS x, round(s_suppkey * 29 % 2400 + ((j + 0.5) / 12.0 * 2 - 1) * (80 + s_suppkey % 30) / 2, 6) AS y,
+round(exp(-(((i + 0.5) / 16.0 * 2 - 1) ** 2 + ((j + 0.5) / 12.0 * 2 - 1) ** 2) / 0.18), 6) AS weight FROM supplier, range(16) a(i), range(12) b(j)""")
 def view_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shapes.view_samples(spark).select("i", "j", *[F.round(c, 6).alias(c) for c in ("u", "v", "weight")])
+    k = F.col("s_suppkey")
+    frames = table(spark, sf_dir, "supplier").select(k.alias("view_id"), (k * 53 % 3000).alias("cx"), (k * 29 % 2400).alias("cy"), (100 + k % 40).alias("width"), (80 + k % 30).alias("height"))
+    return shapes.view_samples(frames).select("view_id", "i", "j", *[F.round(c, 6).alias(c) for c in ("x", "y", "weight")])
 
 
 @query("""WITH o AS (SELECT c_custkey AS p_id, c_custkey % 900 AS label FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT label, count(*) AS n, min(p_id) AS p_id FROM o GROUP BY 1)

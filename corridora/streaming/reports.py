@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,6 +53,29 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("snapshot") == newest).drop("snapshot")
 
 
+#: Answers of a shared log are kept for so long.
+KEPT_SECONDS = 60
+
+
+def kept_read(rows: DataFrame, path: str, *, seconds: float = KEPT_SECONDS, now: float | None = None) -> DataFrame:
+    """``rows`` as they were read at most ``seconds`` ago: the newest answer kept under ``path``, or a new one.
+
+    Answers are folders named by the moment (in ms) they were written; a new one is only seen once it is whole,
+    and the one before the last is deleted. ``now`` in seconds is the clock's time unless given.
+    """
+    spark, moment = rows.sparkSession, int((time.time() if now is None else now) * 1000)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [x.getPath() for x in store.listStatus(folder)] if store.exists(folder) else []
+    whole = sorted(((int(x.getName()), x) for x in there if x.getName().isdigit() and store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))), key=lambda x: x[0])
+    if not whole or moment - whole[-1][0] >= seconds * 1000:
+        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{moment}")
+        for _, old in whole[:-1]:
+            store.delete(old, True)
+        return spark.read.schema(rows.schema).parquet(f"{path.rstrip('/')}/{moment}")
+    return spark.read.schema(rows.schema).parquet(whole[-1][1].toString())
+
+
 def deduplicated(stream: DataFrame, horizon: str = "1 day") -> DataFrame:
     """One row a (from, to, at, seconds) within a horizon of event time; an optional variant that bounds state."""
     timed = stream.withColumn("event_time", F.timestamp_millis("at")).withWatermark("event_time", horizon)
