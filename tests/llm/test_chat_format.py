@@ -61,3 +61,17 @@ def test_parse_inverts_assemble(turns):
     assert cf.parse(out.tobytes()) == [(r.encode(), t.encode()) for r, t in turns]
     for (a, z), (_, t) in zip(borders, turns, strict=True):
         assert cf.unescape(out[a:z].tobytes()) == t.encode()
+
+
+def test_sql_sorts_null_turns_as_the_code_does(spark):
+    import duckdb
+
+    from corridora.llm import queries
+
+    rows = [(3, None, "assistant", "late?"), (3, 0, "user", "x"), (3, None, "user", None), (4, 1, "assistant", "b"), (4, None, "assistant", "a")]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    theirs = {r[0]: r[1:] for r in con.sql(queries.ORACLES["op3_chat_format"]).fetchall() if r[0] != -7}
+    got = {r[0]: tuple(r)[1:] for r in cf.digests(cf.format_chats(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got == theirs

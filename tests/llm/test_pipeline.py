@@ -35,3 +35,17 @@ def test_run_against_brute_force(spark):
     clean = {r.doc_id for r in decontaminate.report(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).where("not contaminated").collect()}
     mixed = mixing.mix(docs.where(docs.doc_id.isin(list(first & clean)))).collect()
     assert got == {r.doc_id: r.copies for r in mixed if r.copies}
+
+
+def test_run_over_awkward_documents(spark, tmp_path):
+    """Nulls, repeats, clashing names and a very long text through all stages."""
+    spark.createDataFrame([i for i in ITEMS if i[0] == 1], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"stairs and halls number {i} lead to the rooms" for i in range(60_000))
+    more = spark.createDataFrame([(70, long, "en", "a"), (71, long + " once more", "en", "a")], "doc_id long, text string, lang string, source string")
+    docs = documents(spark).unionByName(more, allowMissingColumns=True)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # 71 is a near copy of 70; no document is taken more than twice
+    kept = [r.doc_id for r in rows]
+    assert set(kept) <= {6, 7, 8, 9, 70, None} and 70 in kept and all(kept.count(x) <= 2 for x in kept)
+    assert {r.doc_id: r["size"] for r in rows if r.doc_id == 70} == {70: len(long.encode()) + 1}
