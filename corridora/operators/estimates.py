@@ -15,6 +15,8 @@ from .validate import FEET_PER_SECOND, STAIR_SECONDS, pace, valid_reports
 WINDOW_MINUTES, MIN_ROUTE, MIN_PACE_REPORTS, BUSIER = 30, 2, 3, 0.15
 #: Parts of a range of values in one round, and rows that one task may sort for one key.
 VALUE_BINS, MOST_AT_ONCE = 4096, 100_000
+#: Parts of the range of paces that are counted for each minute of the day, and copied to the 61 around.
+MINUTE_BINS = 64
 
 
 def exact_medians(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -39,9 +41,10 @@ def exact_medians(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return found.select(*[F.col(f"k.{c}").alias(c) for c in keys], "n", "median")
 
 
-def _binned(lo: Column, hi: Column) -> Column:
-    width = (hi - lo) / VALUE_BINS
-    return F.when(width > 0, F.least(F.floor((F.col("v") - lo) / width), F.lit(VALUE_BINS - 1))).otherwise(0)
+def _binned(lo: Column, hi: Column, bins: int | None = None) -> Column:
+    bins = bins or VALUE_BINS
+    width = (hi - lo) / bins
+    return F.when(width > 0, F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1))).otherwise(0)
 
 
 def _middle(bins: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,7 +114,7 @@ def pace_by_minute(reports: DataFrame, minutes: DataFrame) -> DataFrame:
     timed = reports.select(minute_of_day(F.timestamp_millis("at")).alias("near"), pace().cast("double").alias("v")).where("v is not null")
     ends = timed.agg(F.min("v"), F.max("v")).first()
     lo, hi = (F.lit(x).cast("double") for x in ends)
-    counts = timed.groupBy("near", _binned(lo, hi).alias("bin")).agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    counts = timed.groupBy("near", _binned(lo, hi, MINUTE_BINS).alias("bin")).agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     around = _around(minutes.select("minute").distinct())
     bins = counts.join(F.broadcast(around), "near").groupBy("minute", "bin").agg(F.sum("m").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     total = F.sum("m").over(Window.partitionBy("minute"))
