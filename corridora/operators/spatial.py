@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import similarity
+from .lineage import cut
 
 
 def nearest(points: DataFrame, x: float, y: float, limit: int = 6) -> DataFrame:
@@ -187,25 +190,59 @@ def owner_by_majority(points: DataFrame, cells: DataFrame, reach: int) -> DataFr
     return counts.groupBy("p_id").agg(F.min_by("label", F.struct((-F.col("n")).alias("m"), "label")).alias("label"))
 
 
-def stair_links(marks: DataFrame, reach: float = 130.0) -> DataFrame:
-    """Stair marks (grp, ord, floor, x, y), in order, to groups: each joins the first group whose seed
-    lies within ``reach`` and that has no mark of its floor yet; groups of one drop out.
+def _around(marks: DataFrame, cells: int, to: tuple[str, str] = ("cx", "cy")) -> DataFrame:
+    """Rows of cells (cx, cy) filed under all cells up to ``cells`` away, named ``to``."""
+    steps = F.sequence(F.lit(-cells), F.lit(cells))
+    spread = marks.withColumn("__i", F.explode(steps)).withColumn("__j", F.explode(steps))
+    near = {"__x": F.col("cx") + F.col("__i"), "__y": F.col("cy") + F.col("__j")}
+    return spread.withColumns(near).drop("cx", "cy", "__i", "__j").withColumnsRenamed({"__x": to[0], "__y": to[1]})
+
+
+def stair_links(marks: DataFrame, reach: float = 130.0, max_rounds: int = 10_000) -> DataFrame:
+    """Stair marks (grp, ord, floor, x, y) to (grp, link, ord) of the stairwells of each building ``grp``.
+
+    In order, a mark belongs to the first well whose seed lies nearer than ``reach``, and founds one where there is
+    none. A well keeps its first mark of each floor; wells of one mark drop out, and the others are numbered by
+    their seeds. Marks of no finite place belong nowhere; of marks at one place and floor only the first counts.
 
-    The greedy order is the definition, so it is a fold over each ``grp`` (one building's marks).
+    Seeds are told in rounds: a mark is one as soon as no earlier mark within reach is open. A cell is so small
+    that it holds one seed at most, so a round compares a mark with no more than the first open marks, and the
+    seeds, of the 25 cells around, however many marks a building or a cell has. Rounds follow the longest chain of
+    neighbours in ascending order, for marks in no spatial order about the logarithm of their number.
     """
-    row = F.struct("ord", "floor", "x", "y")
-    listed = marks.groupBy("grp").agg(F.sort_array(F.collect_list(row)).alias("m"))
-
-    def fits(g: Column, m: Column) -> Column:
-        return (F.hypot(g["x"] - m["x"], g["y"] - m["y"]) <= reach) & ~F.array_contains(g["floors"], m["floor"])
-
-    def place(groups: Column, m: Column) -> Column:
-        first = F.array_position(F.transform(groups, lambda g: fits(g, m)), F.lit(True))
-        grown = F.transform(groups, lambda g, i: F.when(i + 1 == first, F.struct(g["x"].alias("x"), g["y"].alias("y"), F.array_append(g["floors"], m["floor"]).alias("floors"), F.array_append(g["ords"], m["ord"]).alias("ords"))).otherwise(g))
-        seed = F.struct(m["x"].alias("x"), m["y"].alias("y"), F.array(m["floor"]).alias("floors"), F.array(m["ord"]).alias("ords"))
-        return F.when(first > 0, grown).otherwise(F.array_append(groups, seed))
-
-    kinds = dict(marks.dtypes)
-    start = F.expr(f"cast(array() as array<struct<x:{kinds['x']},y:{kinds['y']},floors:array<{kinds['floor']}>,ords:array<{kinds['ord']}>>>)")
-    groups = listed.select("grp", F.posexplode(F.filter(F.aggregate("m", start, place), lambda g: F.size(g["ords"]) >= 2)).alias("link", "g"))
-    return groups.select("grp", "link", F.explode("g.ords").alias("ord"))
+    side = 0.7 * reach
+    place = [F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")]
+    finite = F.coalesce((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")), F.lit(False))
+    placed = cut(marks.where(finite).groupBy("grp", "floor", "x", "y").agg(F.min("ord").alias("ord")).select("grp", *place, F.struct("ord", "floor", "x", "y").alias("m")))
+    cell = ["grp", "cx", "cy"]
+
+    def near(a: str, b: str) -> Column:
+        return F.hypot(F.col(f"{a}.x") - F.col(f"{b}.x"), F.col(f"{a}.y") - F.col(f"{b}.y")) < reach
+
+    def on(a: DataFrame, b: DataFrame, also: Column) -> Column:
+        return (a["grp"] == b["grp"]) & (a["cx"] == b["cx"]) & (a["cy"] == b["cy"]) & also
+
+    open_, kept = placed, []
+    for _ in range(max_rounds):
+        first = open_.groupBy(*cell).agg(F.min("m").alias("m"))
+        probes = _around(first.select("grp", F.col("m").alias("lead"), "cx", "cy", F.col("cx").alias("lx"), F.col("cy").alias("ly")), 2)
+        blocked = probes.join(open_, on(probes, open_, near("lead", "m") & (F.col("m") < F.col("lead"))), "left_semi")
+        seeds = first.join(blocked.select("grp", F.col("lx").alias("cx"), F.col("ly").alias("cy")), cell, "left_anti")
+        reached = _around(seeds.withColumnRenamed("m", "lead"), 2)
+        left = open_.join(reached, on(open_, reached, near("lead", "m")), "left_anti")
+        told = cut(seeds.select(*cell, "m", F.lit(True).alias("seed")).union(left.select(*cell, "m", F.lit(False))))
+        kept.append(told)
+        open_ = told.where("not seed")
+        if open_.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"stair marks have not settled after {max_rounds} rounds")
+    wells = _around(functools.reduce(DataFrame.union, kept).where("seed").select(*cell, F.col("m").alias("lead")), 2)
+    # the first well within reach of each mark, then the first mark of each floor
+    mine = placed.join(wells, cell).where(near("lead", "m")).groupBy("grp", "m").agg(F.min("lead").alias("lead"))
+    members = mine.groupBy("grp", "lead", F.col("m.floor").alias("floor")).agg(F.min("m.ord").alias("ord"))
+    members = cut(members.select("grp", "lead", "ord"), placed, *kept)
+    # seeds keep their distance, so a building has few of them to number
+    links = members.groupBy("grp", "lead").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    links = links.select("grp", "lead", (F.row_number().over(Window.partitionBy("grp").orderBy("lead")) - 1).alias("link"))
+    return members.join(links, ["grp", "lead"]).select("grp", "link", "ord")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
@@ -179,19 +179,32 @@ def ring_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("k", F.round(geometry.signed_area("p"), 4).alias("area"))
 
 
-@query("""WITH RECURSIVE m AS (SELECT c_custkey // 48 AS grp, c_custkey AS ord, c_custkey % 3 AS floor, CAST(c_custkey * 37 % 600 AS DOUBLE) AS x, CAST(c_custkey * 91 % 500 AS DOUBLE) AS y, row_number() OVER (PARTITION BY c_custkey // 48 ORDER BY c_custkey) AS i FROM customer),
+def _stair_groups(grp: str, a: int, x: int, y: int) -> str:
+    """Marks in order: each joins the first well nearer than 130, unless that has its floor, or founds one."""
+    return f"""WITH RECURSIVE m AS (SELECT {grp} AS grp, c_custkey AS ord, c_custkey % 3 AS floor, CAST(c_custkey * {a} % {x} AS DOUBLE) AS x, CAST(c_custkey * 91 % {y} AS DOUBLE) AS y, row_number() OVER (PARTITION BY {grp} ORDER BY c_custkey) AS i FROM customer),
 f AS (SELECT DISTINCT grp, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, floors BIGINT[], ords BIGINT[])[]) AS g FROM m
-  UNION ALL SELECT grp, i, CASE WHEN p > 0 THEN list_transform(g, lambda s, j: CASE WHEN j = p THEN struct_pack(x := s.x, y := s.y, floors := list_append(s.floors, floor), ords := list_append(s.ords, ord)) ELSE s END)
-    ELSE list_append(g, struct_pack(x := x, y := y, floors := [floor], ords := [ord])) END FROM (
-    SELECT f.grp, m.i, f.g, m.x, m.y, m.floor, m.ord, coalesce(list_position(list_transform(f.g, lambda s: sqrt((s.x - m.x) * (s.x - m.x) + (s.y - m.y) * (s.y - m.y)) <= 130 AND NOT list_contains(s.floors, m.floor)), true), 0) AS p
+  UNION ALL SELECT grp, i, CASE WHEN p = 0 THEN list_append(g, struct_pack(x := x, y := y, floors := [floor], ords := [ord])) WHEN list_contains(g[p].floors, floor) THEN g
+    ELSE list_transform(g, lambda s, j: CASE WHEN j = p THEN struct_pack(x := s.x, y := s.y, floors := list_append(s.floors, floor), ords := list_append(s.ords, ord)) ELSE s END) END FROM (
+    SELECT f.grp, m.i, f.g, m.x, m.y, m.floor, m.ord, coalesce(list_position(list_transform(f.g, lambda s: sqrt((s.x - m.x) * (s.x - m.x) + (s.y - m.y) * (s.y - m.y)) < 130), true), 0) AS p
     FROM f JOIN m ON m.grp = f.grp AND m.i = f.i + 1)),
 kept AS (SELECT grp, list_filter(g, lambda s: len(s.ords) >= 2) AS g FROM (SELECT grp, arg_max(g, i) AS g FROM f GROUP BY grp)),
 links AS (SELECT grp, unnest(range(0, len(g))) AS link, unnest(g) AS s FROM kept)
-SELECT grp, CAST(link AS INTEGER) AS link, unnest(s.ords) AS ord FROM links""")
-def stair_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+SELECT grp, CAST(link AS INTEGER) AS link, unnest(s.ords) AS ord FROM links"""
+
+
+def _marks(spark: SparkSession, sf_dir: str, grp: Column, a: int, x: int, y: int) -> DataFrame:
     k = F.col("c_custkey")
-    marks = table(spark, sf_dir, "customer").select(F.floor(k / 48).alias("grp"), k.alias("ord"), (k % 3).alias("floor"), (k * 37 % 600).cast("double").alias("x"), (k * 91 % 500).cast("double").alias("y"))
-    return spatial.stair_links(marks)
+    return table(spark, sf_dir, "customer").select(grp.alias("grp"), k.alias("ord"), (k % 3).alias("floor"), (k * a % x).cast("double").alias("x"), (k * 91 % y).cast("double").alias("y"))
+
+
+@query(_stair_groups("c_custkey // 48", 37, 600, 500))
+def stair_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.stair_links(_marks(spark, sf_dir, F.floor(F.col("c_custkey") / 48), 37, 600, 500))
+
+
+@query(_stair_groups("CAST(0 AS BIGINT)", 7919, 6007, 5003))
+def stair_groups_of_one_building(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.stair_links(_marks(spark, sf_dir, F.lit(0).cast("long"), 7919, 6007, 5003))
 
 
 _NATIONS = """e AS (SELECT c_nationkey AS a, s_nationkey AS b, min(1 + l_quantity) AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)"""

@@ -252,3 +252,32 @@ def test_logs(spark, tmp_path):
     reports.append(log, f"{tmp_path}/log")
     reports.compact(spark, f"{tmp_path}/log", f"{tmp_path}/kept", 10)
     assert spark.read.parquet(f"{tmp_path}/kept").agg(F.min("at"), F.count("at")).first()[:] == (40, 10)
+
+
+def greedy_wells(marks, reach):
+    """Marks (ord, floor, x, y) of one building to (link, ord), one after another."""
+    wells = []
+    for n, floor, x, y in sorted(marks):
+        hit = next((w for w in wells if math.hypot(w[0][2] - x, w[0][3] - y) < reach), None)
+        if hit is None:
+            wells.append([(n, floor, x, y)])
+        elif all(m[1] != floor for m in hit):
+            hit.append((n, floor, x, y))
+    return {(i, m[0]) for i, w in enumerate([w for w in wells if len(w) > 1]) for m in w}
+
+
+def test_stairwells_against_marks_one_after_another(spark):
+    rng = random.Random(5)
+    crowd = [(i, rng.randrange(3), rng.uniform(-400, 400), rng.uniform(-400, 400)) for i in range(300)]
+    copies = [(i, i % 4, 50.0, 50.0) for i in range(200)] + [(1000 + i, i % 4, 50.0 + i, 50.0) for i in range(150)]
+    chain = [(i, i % 2, 60.0 * i, 0.0) for i in range(12)]
+    exact = [(0, 0, 0.0, 0.0), (1, 1, 130.0, 0.0), (2, 2, 129.9, 0.0), (3, 0, 1.0, 0.0), (4, 1, 1.0, 0.0)]
+    nowhere = [(0, 0, None, 1.0), (1, 1, float("nan"), 1.0), (2, 2, float("inf"), 1.0), (3, 0, 5.0, 5.0), (4, 1, 5.0, 5.0), (4, 1, 5.0, 5.0)]
+    all_ = {1: crowd, 2: copies, 3: chain, 4: exact, 5: nowhere, 6: [(7, 0, 1.0, 1.0)]}
+    schema = "grp long, ord long, floor long, x double, y double"
+    found = spatial.stair_links(spark.createDataFrame([(g, *m) for g, ms in all_.items() for m in ms], schema)).collect()
+    assert len(found) == len(set(found))
+    for g, ms in all_.items():
+        want = greedy_wells([m for m in ms if m[2] is not None and math.isfinite(m[2])], 130.0)
+        assert {(r.link, r.ord) for r in found if r.grp == g} == want, g
+    assert spatial.stair_links(spark.createDataFrame([], schema)).count() == 0
