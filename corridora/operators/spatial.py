@@ -21,7 +21,8 @@ def knn(queries: DataFrame, points: DataFrame, k: int, cell: float) -> DataFrame
     """(q_id, qx, qy) to each one's k nearest of (p_id, x, y): exact, by rings of grid cells.
 
     Rings of cells are searched outwards; a query is done when it has k points no farther than the
-    ring's inner border. Each round joins by cell, never all pairs.
+    ring's inner border. Each round joins by cell, never all pairs. For points of about even density;
+    :func:`tree.nearest_in_tree` takes any.
     """
     placed = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
     bounds = placed.agg(F.min("cx").alias("a"), F.max("cx").alias("b"), F.min("cy").alias("c"), F.max("cy").alias("d"), F.count(F.lit(1)).alias("n")).first()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..operators import alignment, graph, raster, registration, review, routes, sequence, shapes, spatial
+from ..operators import alignment, graph, raster, registration, review, routes, sequence, shapes, spatial, tree
 from ..operators.lineage import cut, shared_folder
 from ..sources import floors
 from .registry import query, table
@@ -37,6 +37,20 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.knn(_suppliers(spark, sf_dir), _customers(spark, sf_dir), 3, 100.0).select("q_id", "p_id", "rank")
 
 
+_UNEVEN = """c AS (SELECT k AS p_id, CASE WHEN k % 100 = 0 THEN CAST(k * 37 % 3000 AS DOUBLE) ELSE 1500 + (k // 3 * 7919 % 10007) / 100000.0 END AS x, CASE WHEN k % 100 = 0 THEN CAST(k * 91 % 2400 AS DOUBLE) ELSE 1200 + (k // 3 * 104729 % 10009) / 100000.0 END AS y FROM (SELECT c_custkey AS k FROM customer)),
+s AS (SELECT k AS q_id, CASE WHEN k % 3 = 0 THEN CAST(k * 53 % 3000 AS DOUBLE) ELSE 1500 + (k * 31 % 1000) / 10000.0 END AS qx, CASE WHEN k % 3 = 0 THEN CAST(k * 29 % 2400 AS DOUBLE) ELSE 1200 + (k * 77 % 1000) / 10000.0 END AS qy FROM (SELECT s_suppkey AS k FROM supplier))"""
+
+
+@query(f"WITH {_UNEVEN} SELECT q_id, p_id, rank FROM (SELECT q_id, p_id, row_number() OVER (PARTITION BY q_id ORDER BY sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy)), p_id) AS rank FROM c, s) WHERE rank <= 6")
+def knn_in_a_crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ninety-nine of a hundred points lie in a ten-millionth of the area, three at each place."""
+    k, q = F.col("c_custkey"), F.col("s_suppkey")
+    third, afar, apart = F.floor(k / 3), k % 100 == 0, q % 3 == 0
+    points = table(spark, sf_dir, "customer").select(k.alias("p_id"), F.when(afar, (k * 37 % 3000).cast("double")).otherwise(1500 + third * 7919 % 10007 / 100000.0).alias("x"), F.when(afar, (k * 91 % 2400).cast("double")).otherwise(1200 + third * 104729 % 10009 / 100000.0).alias("y"))
+    queries = table(spark, sf_dir, "supplier").select(q.alias("q_id"), F.when(apart, (q * 53 % 3000).cast("double")).otherwise(1500 + q * 31 % 1000 / 10000.0).alias("qx"), F.when(apart, (q * 29 % 2400).cast("double")).otherwise(1200 + q * 77 % 1000 / 10000.0).alias("qy"))
+    return tree.nearest_in_tree(queries, tree.point_tree(points, 6)).select("q_id", "p_id", "rank")
+
+
 _RING = [(200.0, 300.0), (2600.0, 250.0), (2100.0, 1300.0), (2750.0, 2200.0), (1500.0, 1500.0), (350.0, 2250.0)]
 _EDGES = ", ".join(f"({i}, {i % 2}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for i, (a, b) in enumerate(zip(_RING, _RING[1:] + _RING[:1], strict=True)))
 
