@@ -84,19 +84,25 @@ def _names(index: DataFrame) -> DataFrame:
     return index.select("key", F.explode(F.concat(F.array(label), aliases)).alias("n")).select("key", "n.*").where("name is not null")
 
 
-def substrings(index: DataFrame) -> Substrings:
-    """The lookup tables of an index (keys differ), written once."""
+def substrings(index: DataFrame, asked: DataFrame | None = None) -> Substrings:
+    """The lookup tables of an index (keys differ), written once to be kept.
+
+    With ``asked`` (gram), for one batch of searches, they hold only these runs of letters, and only what is read twice
+    is written.
+    """
     names = _names(index)
-    long = cut(names.select(F.explode(_grams(F.col("name"), 3)).alias("gram"), "key", "name", "cost"))
-    counts = cut(long.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
-    few = names.select(F.explode(F.array_union(_grams(F.col("name"), 1), _grams(F.col("name"), 2))).alias("gram"), "key", "name", "cost")
+    wanted = (lambda df: df) if asked is None else (lambda df: df.join(asked, "gram", "left_semi"))
+    keep = cut if asked is None else (lambda df: df)
+    long = cut(wanted(names.select(F.explode(_grams(F.col("name"), 3)).alias("gram"), "key", "name", "cost")))
+    counts = keep(long.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    few = wanted(names.select(F.explode(F.array_union(_grams(F.col("name"), 1), _grams(F.col("name"), 2))).alias("gram"), "key", "name", "cost"))
     few = few.groupBy("gram", "key").agg(F.min(match_score(F.col("name"), F.col("gram")) + F.col("cost")).alias("score"))
     order = [*natural_order("label"), *_ORDER, "key"]
     # ranks up to a limit: every task keeps as many rows of a gram before the shuffle
     best = Window.partitionBy("gram").orderBy("score", *order)
     short = few.join(index.select("key", "label", *_ORDER), "key").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= MOST_RANKS)
     first = index.select("key", "label", *_ORDER).orderBy(*order).limit(MOST_RANKS)
-    return Substrings(long, counts, cut(short.select("gram", "key", "score", "rank")), cut(first.select("key")))
+    return Substrings(long, counts, keep(short.select("gram", "key", "score", "rank")), keep(first.select("key")))
 
 
 def search_many(index: DataFrame, queries: DataFrame, *, limit: int = 8, built: Substrings | None = None) -> DataFrame:
@@ -104,20 +110,21 @@ def search_many(index: DataFrame, queries: DataFrame, *, limit: int = 8, built:
 
     A search of three letters and more meets the names under its rarest three letters, which then are compared;
     a shorter one its ready ranks; "room ..." also the names under the rest of it. All joins are by key, so
-    neither searches nor index are broadcast or held whole. ``built``: tables of :func:`substrings`.
+    neither searches nor index are broadcast or held whole. ``built``: tables of :func:`substrings`, to be kept where
+    batches follow each other; without, the index is read for the letters of this batch alone.
     """
     if limit > MOST_RANKS:
         raise ValueError(f"limits go up to {MOST_RANKS}")
-    t = built or substrings(index)
     q = queries.select("query_id", F.lower(F.trim("query")).alias("q")).where("q != ''")
     rest = q.where("startswith(q, 'room ')").select("query_id", "q", F.substring("q", 6, 1_000_000).alias("sought"))
     sought = q.select("query_id", "q", F.col("q").alias("sought")).union(rest).where("sought != ''")
     grams = sought.where("char_length(sought) >= 3").withColumn("gram", F.explode(_grams(F.col("sought"), 3)))
+    short = sought.where("char_length(sought) < 3")
+    t = built or substrings(index, grams.select("gram").union(short.select("sought")).distinct())
     # a gram that no name has is the rarest: no name has the search then
     rarest = grams.join(t.counts, "gram", "left").groupBy("query_id", "q", "sought").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
     score = match_score(F.col("name"), F.col("q")) + F.col("cost")
     long = rarest.join(t.names, "gram").where("contains(name, sought)").select("query_id", "key", score.alias("score"))
-    short = sought.where("char_length(sought) < 3")
     exact = short.where("q = sought").join(t.short, F.col("sought") == F.col("gram")).select("query_id", "key", "score")
     begun = short.where("q != sought").join(_names(index).select("key", "name", "cost", F.explode(F.array(F.substring("name", 1, 1), F.substring("name", 1, 2))).alias("gram")), F.col("sought") == F.col("gram")).select("query_id", "key", score.alias("score"))
     # the beginnings of "room " find every row
