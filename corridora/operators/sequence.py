@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.geometry import path_length, wrap_angle
 from ..functions.numbers import round_feet, round_half_up
 from ..functions.text import stair_phrase, turn_phrase
+from .lineage import stated
 
 PX_PER_FOOT, SAME_HALLWAY, MIN_RUN = 2.6, math.radians(42), 28 * 2.6
 
@@ -73,30 +74,35 @@ def runs(path: Column | str) -> Column:
 def directions(legs: DataFrame, floors: DataFrame) -> DataFrame:
     """legs (route_id, leg, floor, path, start_label, end_label) to readable steps.
 
-    (route_id, leg, step, kind, text, feet): start; walks, with the turn from the run before; stairs
-    between legs; arrive, with the side of the last turn. floors is (floor, idx, label), a small table.
+    (route_id, leg, step, kind, text, feet, floor, x, y): start; walks, with the turn from the run before; stairs
+    between legs, over as many flights as there are floors between; arrive, with the side of the last turn. x and y
+    are where on the floor a step happens, null for a leg without points. Legs of fewer than two points have no
+    walks. floors is (floor, idx, label), a stated table.
     """
     by_route = Window.partitionBy("route_id")
     order = by_route.orderBy("leg")
-    table = F.broadcast(floors.select("floor", F.col("idx").alias("f_idx")))
+    known = stated(floors, "floors")
+    table = F.broadcast(known.select("floor", F.col("idx").alias("f_idx")))
     l = legs.join(table, "floor").withColumns({"runs": runs("path"), "is_last": F.col("leg") == F.max("leg").over(by_route), "is_first": F.col("leg") == F.min("leg").over(by_route), "to_idx": F.lead("f_idx").over(order)})
-    l = l.join(F.broadcast(floors.select(F.col("idx").alias("to_idx"), F.col("label").alias("to_label"))), "to_idx", "left")
+    l = l.join(F.broadcast(known.select(F.col("idx").alias("to_idx"), F.col("label").alias("to_label"))), "to_idx", "left")
     n = F.size("runs")
     walked = F.when(F.col("is_last") & (n > 1), F.slice("runs", F.lit(1), n - 1)).otherwise(F.col("runs"))
-    r = l.withColumn("walked", walked).select("route_id", "leg", "is_first", F.posexplode("walked").alias("i", "run"), "walked")
+    r = l.withColumn("walked", walked).select("route_id", "leg", "floor", "is_first", F.posexplode("walked").alias("i", "run"), "walked")
     before = F.get("walked", F.col("i") - 1)
     feet = round_feet(F.col("run.px") / PX_PER_FOOT)
     said = F.concat(F.lit("~"), feet.cast("long").cast("string"), F.lit(" ft"))
     turn = turn_phrase(wrap_angle(F.col("run.b") - before["b"]))
     text = F.when((F.col("i") == 0) & F.col("is_first"), F.concat(F.lit("Head down the hallway for "), said)).when(F.col("i") == 0, F.concat(F.lit("Continue for "), said)).when(turn.isNotNull(), F.concat(turn, F.lit(" and continue for "), said)).otherwise(F.concat(F.lit("Keep going for "), said))
-    walk = r.select("route_id", "leg", (F.col("i") + 1).alias("step"), F.lit("walk").alias("kind"), text.alias("text"), feet.cast("double").alias("feet"))
+    walk = r.select("route_id", "leg", (F.col("i") + 1).alias("step"), F.lit("walk").alias("kind"), text.alias("text"), feet.cast("double").alias("feet"), "floor", F.col("run.ex").alias("x"), F.col("run.ey").alias("y"))
     none = F.lit(None).cast("double").alias("feet")
-    start = l.where("is_first").select("route_id", "leg", F.lit(0).alias("step"), F.lit("start").alias("kind"), F.concat(F.lit("Start at "), "start_label").alias("text"), none)
+    point = lambda i: ["floor", F.get("path", i)["x"].alias("x"), F.get("path", i)["y"].alias("y")]
+    last = point(F.size("path") - 1)
+    start = l.where("is_first").select("route_id", "leg", F.lit(0).alias("step"), F.lit("start").alias("kind"), F.concat(F.lit("Start at "), "start_label").alias("text"), none, *point(F.lit(0)))
     end = F.lit(1 << 20).alias("step")
-    stairs = l.where("not is_last").select("route_id", "leg", end, F.lit("stairs").alias("kind"), stair_phrase("f_idx", "to_idx", "to_label").alias("text"), none)
-    delta = wrap_angle(F.element_at("runs", -1)["b"] - F.get("runs", n - 2)["b"])
+    stairs = l.where("not is_last").select("route_id", "leg", end, F.lit("stairs").alias("kind"), stair_phrase("f_idx", "to_idx", "to_label").alias("text"), none, *last)
+    delta = wrap_angle(F.get("runs", n - 1)["b"] - F.get("runs", n - 2)["b"])
     side = F.when(n < 2, " right there").when(F.abs(F.degrees(delta)) > 30, F.when(delta > 0, " on your right").otherwise(" on your left")).otherwise(" straight ahead")
-    arrive = l.where("is_last").select("route_id", "leg", end, F.lit("arrive").alias("kind"), F.concat("end_label", F.lit(" is"), side).alias("text"), none)
+    arrive = l.where("is_last").select("route_id", "leg", end, F.lit("arrive").alias("kind"), F.concat("end_label", F.lit(" is"), side).alias("text"), none, *last)
     return start.unionByName(walk).unionByName(stairs).unionByName(arrive)
 
 

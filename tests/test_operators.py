@@ -142,6 +142,23 @@ def test_directions(spark):
     assert tuple(sequence.route_totals(legs).first()) == ("r", 538, 1, 3)
 
 
+def test_directions_over_more_flights_and_short_legs(spark):
+    names = spark.createDataFrame([("lower", 0, "Lower Level"), ("main", 1, "Main Level"), ("upper", 2, "Upper Level")], "floor string, idx int, label string")
+    schema = "route_id string, leg int, floor string, path array<struct<x:double,y:double>>, start_label string, end_label string"
+    path = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in xy]
+    legs = [("a", 0, "lower", path((0, 0), (260, 0)), "A", "B"), ("a", 1, "upper", path((260, 0), (260, 260)), "A", "B"), ("a", 2, "main", path((7, 8)), "A", "B")]
+    legs += [("b", 0, "upper", [], "C", "D"), ("b", 1, "lower", None, "C", "D"), ("c", 0, "main", path((1, 2)), "E", "F")]
+    said = {}
+    for r in sequence.directions(spark.createDataFrame(legs, schema), names).orderBy("route_id", "leg", "step").collect():
+        said.setdefault(r.route_id, []).append((r.kind, r.text, r.floor, r.x, r.y))
+    assert said["a"] == [
+        ("start", "Start at A", "lower", 0, 0), ("walk", "Head down the hallway for ~100 ft", "lower", 260, 0), ("stairs", "Take the stairs 2 flights up to the Upper Level", "lower", 260, 0),
+        ("walk", "Continue for ~100 ft", "upper", 260, 260), ("stairs", "Take the stairs down to the Main Level", "upper", 260, 260), ("arrive", "B is right there", "main", 7, 8),
+    ]
+    assert said["b"] == [("start", "Start at C", "upper", None, None), ("stairs", "Take the stairs 2 flights down to the Lower Level", "upper", None, None), ("arrive", "D is right there", "lower", None, None)]
+    assert said["c"] == [("start", "Start at E", "main", 1, 2), ("arrive", "F is right there", "main", 1, 2)]
+
+
 def test_corners_and_string_pull(spark):
     df = spark.createDataFrame([([{"x": 0.0, "y": 0.0}, {"x": 9.0, "y": 0.0}, {"x": 9.0, "y": 9.0}],)], "p array<struct<x:double,y:double>>")
     assert [(q.x, q.y) for q in df.select(sequence.round_corners("p", 50).alias("o")).first().o] == [(0, 0), (6, 0), (9, 3), (9, 9)]
