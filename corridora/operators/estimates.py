@@ -19,16 +19,20 @@ VALUE_BINS, MOST_AT_ONCE = 4096, 100_000
 MINUTE_BINS = 64
 
 
-def exact_medians(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+def exact_medians(df: DataFrame, keys: list[str], value: Column, *, at_most: int | None = None) -> DataFrame:
     """(keys, n, median): exact medians, whatever the spread of values and the share of rows that a key has.
 
     Keys of up to ``MOST_AT_ONCE`` rows are one aggregate. For the others a histogram, which combines before
     the shuffle, tells which part of the key's values holds the middle ranks; that part's own least and greatest
     value bound the next histogram, until so few rows are left that a task can sort them. A value far off thus
-    costs a round, not a task.
+    costs a round, not a task. ``at_most``: a bound on the rows of a key where the caller has counted one; keys are
+    not counted again if it is small enough.
     """
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
     rows = df.select(key.alias("k"), value.cast("double").alias("v")).where("v is not null")
+    if at_most is not None and at_most <= MOST_AT_ONCE:
+        found = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.median("v").alias("median"))
+        return found.select(*[F.col(f"k.{c}").alias(c) for c in keys], "n", "median")
     heavy = cut(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where(F.col("n") > MOST_AT_ONCE))
     if heavy.isEmpty():
         release(heavy)
@@ -140,10 +144,13 @@ def estimate(wanted: DataFrame, reports: DataFrame) -> DataFrame:
     Tiers: two or more valid reports of the pair (median seconds, of those near in time of day if
     there are two, else slowed by how busy it is now); three or more of any (median pace, of those
     near in time if there are three); else a fixed pace.
+
+    The reports are read and checked once; what is left of them is written in a few columns for the passes over it.
     """
-    valid = valid_reports(reports)
+    valid = cut(valid_reports(reports).select("from", "to", "at", "feet", "flights", "seconds"))
+    n_valid = valid.count()  # told by the files, no pass
     asked = wanted.withColumn("minute", minute_of_day(F.timestamp_millis("now"))).select("*", *pair_key())
-    every = exact_medians(valid, [], pace()).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_all"), F.max("median").alias("pace_all"))
+    every = exact_medians(valid, [], pace(), at_most=n_valid).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_all"), F.max("median").alias("pace_all"))
     base = asked.join(pace_by_minute(valid, asked), "minute", "left").join(F.broadcast(every))  # one row
     n_now = F.coalesce("n_now", F.lit(0))
     enough_now = (n_now >= MIN_PACE_REPORTS) & (F.col("n_all") >= MIN_PACE_REPORTS)
@@ -154,8 +161,8 @@ def estimate(wanted: DataFrame, reports: DataFrame) -> DataFrame:
     pairs = asked.select("pair_a", "pair_b", "minute").distinct()
     away = F.abs(F.col("report_minute") - F.col("minute"))
     near = F.least(away, 1440 - away) <= WINDOW_MINUTES
-    whole = exact_medians(same, ["pair_a", "pair_b"], F.col("seconds")).select("pair_a", "pair_b", "n", F.col("median").alias("all_seconds"))
-    close = exact_medians(pairs.join(same, ["pair_a", "pair_b"]).where(near), ["pair_a", "pair_b", "minute"], F.col("seconds"))
+    whole = exact_medians(same, ["pair_a", "pair_b"], F.col("seconds"), at_most=n_valid).select("pair_a", "pair_b", "n", F.col("median").alias("all_seconds"))
+    close = exact_medians(pairs.join(same, ["pair_a", "pair_b"]).where(near), ["pair_a", "pair_b", "minute"], F.col("seconds"), at_most=n_valid)
     route = pairs.join(whole, ["pair_a", "pair_b"]).join(close.select("pair_a", "pair_b", "minute", F.col("n").alias("n_near"), F.col("median").alias("near_seconds")), ["pair_a", "pair_b", "minute"], "left")
     joined = base.join(route, ["pair_a", "pair_b", "minute"], "left")
     by_route = F.col("n") >= MIN_ROUTE

@@ -194,6 +194,15 @@ def test_refine_finds_a_turn(spark):
     assert abs(best.angle - 0.2) <= 0.1 and abs(best.scale - 1.0) <= 0.1
 
 
+def test_estimates_do_not_depend_on_what_a_task_sorts(spark, monkeypatch):
+    from corridora.operators import estimates
+    from corridora.plans.walks import travel_estimates
+
+    told = sorted(map(tuple, travel_estimates(spark, "/root/testdata/sf0.001").collect()), key=str)
+    monkeypatch.setattr(estimates, "MOST_AT_ONCE", 20)
+    assert sorted(map(tuple, travel_estimates(spark, "/root/testdata/sf0.001").collect()), key=str) == told and len(told) == 150
+
+
 def test_exact_medians_with_a_hot_key(spark):
     values = [((7 * i) % 1009) / 8 for i in range(4001)] + [1e9] * 3
     rows = [("hot", v) for v in values] + [("few", 3.0), ("few", 1.0), ("one", 5.0), ("none", None), ("same", 2.0), ("same", 2.0)]
