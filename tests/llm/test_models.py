@@ -64,6 +64,24 @@ def test_quality_of_awkward_documents(spark):
     assert quality.keep_best(docs, ranker, 0.5).columns == docs.columns
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """Its scale, weights and threshold are those of all rows and all pairs of a good and a bad one."""
+    n = 24_000
+    said = F.concat_ws(" ", F.lit("Word"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, "BUY!!").otherwise("is here."), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, (F.col("doc_id") % 40).cast("int")))
+    docs = spark.range(n).select(F.col("id").alias("doc_id")).withColumn("text", said)
+    labels = docs.select("doc_id", (~(F.col("doc_id") % 300).isin(0, 7)).cast("int").alias("quality"))
+    ranker = quality.learn(docs, labels)
+    rows = docs.join(labels, "doc_id").orderBy("doc_id").toArrow()
+    x, good = quality.features(rows["text"].combine_chunks()).astype(float), rows["quality"].to_numpy()
+    each = [x[good == k] for k in (0, 1)]
+    assert np.allclose(ranker.mean, (each[0].mean(0) + each[1].mean(0)) / 2, rtol=1e-6, atol=1e-9)
+    bad, fine = (ranker.scaled(e) for e in each)
+    lost = 1 / (1 + np.exp((fine @ ranker.weights)[:, None] - (bad @ ranker.weights)[None, :])) / (len(bad) * len(fine))
+    gradient = lost.sum(0) @ bad - lost.sum(1) @ fine + 1e-3 * ranker.weights
+    assert np.abs(gradient).max() < 2 * quality.CLOSE
+    assert ranker.threshold == pytest.approx(np.quantile(ranker.strength(x.astype(np.float32)), len(bad) / n), abs=1e-12)
+
+
 def brute_base(rows, held):
     counts = Counter()
     for doc_id, text in rows:
