@@ -26,6 +26,7 @@ Words are told apart by 64-bit hashes. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -59,6 +60,10 @@ RATE, START = 0.18, 1e-2
 ROUNDS = 2
 #: Weights averaged in one task of the tree.
 FAN_IN = 8
+#: Softmax scores that cannot be above it need no maximum taken off before their exponentials.
+SAFE = 60.0
+#: Positions of a symbol in a window from which their gradients are summed by a product.
+MANY = 16
 
 
 @dataclass
@@ -83,13 +88,32 @@ class Vocabulary:
         """The smoothed count of all other tokens together, one unseen token included."""
         return float(self.frequency[self.others]) + SMOOTH * (self.distinct - np.count_nonzero(self.counts) + 1)
 
+    @functools.cached_property
+    def buckets(self) -> tuple[np.uint64, np.ndarray]:
+        """(bits to shift off, first word of each bucket): the words by their highest bits, about four buckets a word."""
+        bits = max(4, (4 * len(self.hashes)).bit_length())
+        shift = np.uint64(64 - bits)
+        return shift, np.r_[0, np.cumsum(np.bincount((self.hashes >> shift).astype(np.int64), minlength=1 << bits))].astype(np.int32)
+
     def look_up(self, words: np.ndarray) -> np.ndarray:
         """The place of each word in the table, or -1."""
         out = np.full(len(words), -1, dtype=np.int32)
-        for a in range(0, len(words) if len(self.hashes) else 0, LOOK_UP_TOKENS):
-            part = words[a : a + LOOK_UP_TOKENS]
-            at = np.minimum(np.searchsorted(self.hashes, part), len(self.hashes) - 1)
-            out[a : a + LOOK_UP_TOKENS] = np.where(self.hashes[at] == part, at, -1)
+        if not len(self.hashes):
+            return out
+        shift, start = self.buckets
+        hashes = np.r_[self.hashes, self.hashes[-1]]  # one more, never met by a word of a later bucket
+        for a in range(0, len(words), LOOK_UP_TOKENS):
+            part, at = words[a : a + LOOK_UP_TOKENS], out[a : a + LOOK_UP_TOKENS]
+            bucket = (part >> shift).astype(np.int64)
+            at[:] = start[bucket]
+            left = np.flatnonzero(hashes[at] != part)
+            while len(left):  # a word on in its bucket
+                place = at[left] + 1
+                more = place < start[bucket[left] + 1]
+                at[left[~more]] = -1
+                left, place = left[more], place[more]
+                at[left] = place
+                left = left[hashes[place] != part[left]]
         return out
 
     def symbols(self, at: np.ndarray) -> np.ndarray:
@@ -150,6 +174,31 @@ def clusters(company: np.ndarray, counts: np.ndarray, *, steps: int = 15, prior:
     return group
 
 
+def _gates(x: np.ndarray) -> np.ndarray:
+    """(gates, rows, HIDDEN) of (rows, gates * HIDDEN), as a copy."""
+    return np.array(x.reshape(len(x), -1, HIDDEN).transpose(1, 0, 2), order="C")
+
+
+def _scores(out: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Softmax scores of states within -1 and 1, less their maximum where an exponential could overflow."""
+    s = out @ weights.T
+    if np.abs(weights).sum(axis=1).max() > SAFE:
+        s -= s.max(axis=1, keepdims=True)
+    return s
+
+
+def _add_up(rows: np.ndarray, first: np.ndarray, ids: np.ndarray, table: np.ndarray) -> None:
+    """Sums of runs of rows (gates, rows, HIDDEN) into the table at their ids: long runs by products, the others at once."""
+    size = np.diff(np.r_[first, rows.shape[1]])
+    ones = np.ones(size.max(), np.float32)
+    for i in np.flatnonzero(size >= MANY):
+        table[:, ids[i]] = ones[: size[i]] @ rows[:, first[i] : first[i] + size[i]]
+    short = size < MANY
+    if short.any():
+        few = rows.take(np.flatnonzero(np.repeat(short, size)), axis=1)
+        table[:, ids[short]] = np.add.reduceat(few, np.r_[0, np.cumsum(size[short])[:-1]], axis=1)
+
+
 class Model:
     """Weights and the two passes of the gated recurrent network."""
 
@@ -190,63 +239,66 @@ class Model:
         states = np.empty((steps + 1, lanes, h), np.float32)
         kept = []
         keep, fresh = (~begins)[:, :, None].astype(np.float32), begins.any(axis=1)
+        # a gate after another, so that each is contiguous; a sigmoid is half a tanh of the half, which is taken here
+        into, recur = _gates(w["input"] + w["gate"]), _gates(w["recur"])
+        into[:2] *= 0.5
+        recur[:2] *= 0.5
         states[0] = state
         now = state
         for t in range(steps):  # in place where it can be: these are most of the work
             before = now * keep[t] if fresh[t] else now
-            a = w["input"][inputs[t]]
-            a += w["gate"]
-            g = before @ w["recur"]
-            zr = a[:, : 2 * h] + g[:, : 2 * h]
-            zr *= 0.5
+            a = into.take(inputs[t], axis=1)
+            g = np.matmul(before, recur)
+            zr, new = a[:2], a[2]
+            zr += g[:2]
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
-            new = zr[:, h:] * g[:, 2 * h :]
-            new += a[:, 2 * h :]
+            new += zr[1] * g[2]
             np.tanh(new, out=new)
             now = new - before
-            now *= zr[:, :h]
+            now *= zr[0]
             now += before
             states[t + 1] = now
             if learn:
-                kept.append((before, zr, new, g[:, 2 * h :]))
+                kept.append((before, zr, new, g[2]))
         used = np.flatnonzero(targets.reshape(-1) >= 0)
         place = self.place[targets.reshape(-1)[used]]
         cls = self.of_class[place]
         order = np.argsort(cls.astype(np.int16), kind="stable")  # short integers are sorted by radix
         used, place, cls = used[order], place[order], cls[order]
-        out = states[1:].reshape(-1, h)[used]
-        scores = out @ w["to_class"] + w["class"]
-        scores -= scores.max(axis=1, keepdims=True)
+        out = np.ones((len(used), h + 1), np.float32)  # the last one for the bias
+        out[:, :h] = states[1:].reshape(-1, h).take(used, axis=0)
+        scores = _scores(out, np.r_[w["to_class"], w["class"][None]].T)
         p = np.exp(scores)
-        total = p.sum(axis=1)
+        total = p @ np.ones(p.shape[1], p.dtype)
         rows = np.arange(len(cls))
         log_p = scores[rows, cls] - np.log(total)
         grads: dict[str, np.ndarray] = {}
         if learn:
             p /= total[:, None]
             p[rows, cls] -= 1
-            grads["to_class"], grads["class"] = out.T @ p, p.sum(axis=0)
+            both = out.T @ p
+            grads["to_class"], grads["class"] = both[:h], both[h]
             d_out = p @ w["to_class"].T
             grads["to_symbol"], grads["symbol"] = np.zeros_like(w["to_symbol"]), np.zeros_like(w["symbol"])
         edges = np.searchsorted(cls, np.arange(len(self.bounds)))
+        to_symbol = np.c_[w["to_symbol"], w["symbol"]]
         picked, mass = np.zeros(len(cls), np.float32), np.ones(len(cls), np.float32)
         for k in np.flatnonzero(np.diff(edges)):
             a, z, lo, hi = edges[k], edges[k + 1], self.bounds[k], self.bounds[k + 1]
             if hi - lo == 1:
                 continue
-            s = out[a:z] @ w["to_symbol"][lo:hi].T + w["symbol"][lo:hi]
-            s -= s.max(axis=1, keepdims=True)
+            s = _scores(out[a:z], to_symbol[lo:hi])
             inner, at = rows[: z - a], place[a:z] - lo
             picked[a:z] = s[inner, at]
             e = np.exp(s, out=s)
-            sum_e = mass[a:z] = e.sum(axis=1)
+            sum_e = mass[a:z] = e @ np.ones(hi - lo, e.dtype)
             if learn:
                 e /= sum_e[:, None]
                 e[inner, at] -= 1
-                grads["to_symbol"][lo:hi] = e.T @ out[a:z]
-                grads["symbol"][lo:hi] = e.sum(axis=0)
+                both = e.T @ out[a:z]
+                grads["to_symbol"][lo:hi], grads["symbol"][lo:hi] = both[:, :h], both[:, h]
                 d_out[a:z] += e @ w["to_symbol"][lo:hi]
         log_p += picked - np.log(mass)
         every = np.zeros(steps * lanes, np.float32)
@@ -255,39 +307,40 @@ class Model:
             d_states = np.zeros((steps * lanes, h), np.float32)
             d_states[used] = d_out
             d_states = d_states.reshape(steps, lanes, h)
-            d_input = np.empty((steps, lanes, 3 * h), np.float32)
-            d_recur = np.zeros_like(w["recur"])
+            # by the new state before the reset gate's part, the two gates, and the new state through the reset gate
+            d_all = np.empty((4, steps, lanes, h), np.float32)
+            begun = np.empty((steps, lanes, h), np.float32)
+            back = np.ascontiguousarray(_gates(w["recur"]).transpose(0, 2, 1))
             d_now = np.zeros((lanes, h), np.float32)
             for t in range(steps - 1, -1, -1):
-                before, zr, new, g_new = kept[t]
-                z, r = zr[:, :h], zr[:, h:]
+                before, (z, r), new, g_new = kept[t]
+                begun[t] = before
+                d_new, d_z, d_r, d_reset = d_all[:, t]
                 d_now += d_states[t]
                 rest = 1 - z
-                d_new = d_now * z
-                d = d_input[t]
-                np.subtract(new, before, out=d[:, :h])
-                d[:, :h] *= d_new
-                d[:, :h] *= rest
+                np.multiply(d_now, z, out=d_new)
+                np.subtract(new, before, out=d_z)
+                d_z *= d_new
+                d_z *= rest
                 new *= new
                 np.subtract(1, new, out=new)
                 d_new *= new
-                np.multiply(d_new, r, out=d[:, 2 * h :])
-                np.subtract(1, r, out=d[:, h : 2 * h])
-                d[:, h : 2 * h] *= d[:, 2 * h :]
-                d[:, h : 2 * h] *= g_new
-                d_recur += before.T @ d
+                np.multiply(d_new, r, out=d_reset)
+                np.subtract(1, r, out=d_r)
+                d_r *= d_reset
+                d_r *= g_new
                 d_now *= rest
-                d_now += d @ w["recur"].T
+                d_now += np.matmul(d_all[1:, t], back).sum(axis=0)
                 if fresh[t]:
                     d_now *= keep[t]
-                d[:, 2 * h :] = d_new
-            grads["recur"], grads["gate"] = d_recur, d_input.sum(axis=(0, 1))
-            ids, flat = inputs.reshape(-1), d_input.reshape(-1, 3 * h)
-            by = np.argsort(ids.astype(np.int16), kind="stable")
+            grads["recur"] = np.concatenate(list(np.matmul(begun.reshape(-1, h).T, d_all[1:].reshape(3, -1, h))), axis=1)
+            ids = inputs.reshape(-1).astype(np.int16)
+            by = np.argsort(ids, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(ids[by]) > 0])
-            table = np.zeros_like(w["input"])
-            table[ids[by][first]] = np.add.reduceat(flat[by], first, axis=0)
-            grads["input"] = table
+            table = np.zeros((3, *w["input"].shape[:1], h), np.float32)
+            _add_up(d_all[:3].reshape(3, -1, h).take(by, axis=1), first, ids[by][first], table)
+            grads["input"] = np.concatenate([table[1], table[2], table[0]], axis=1)
+            grads["gate"] = grads["input"].sum(axis=0)
         return now, every.reshape(steps, lanes), grads
 
     def step(self, grads: dict[str, np.ndarray], positions: int, rate: float) -> None:

@@ -2,6 +2,7 @@
 
 import math
 import re
+import timeit
 import zlib
 from collections import Counter
 
@@ -82,6 +83,27 @@ def test_quality_learns_from_every_labelled_row(spark):
     assert ranker.threshold == pytest.approx(np.quantile(ranker.strength(x.astype(np.float32)), len(bad) / n), abs=1e-12)
 
 
+def test_words_are_looked_up_by_buckets():
+    """As by plain search, also where words crowd in one bucket, and in less time than a binary search takes."""
+    random = np.random.default_rng(3)
+    for hashes in (random.integers(0, 2**64, 200_000, dtype=np.uint64), np.arange(1, 400, dtype=np.uint64) * np.uint64(3), np.array([5, 2**64 - 1], np.uint64)):
+        hashes = np.unique(hashes)
+        v = gru_lm.Vocabulary(hashes, *[np.zeros(0)] * 3, 0, 0, *[np.zeros(0)] * 3)
+        words = np.r_[random.choice(hashes, 400_000), random.integers(0, 2**64, 100_000, dtype=np.uint64), hashes[-1] - np.uint64(1), np.uint64(0), np.uint64(2**64 - 1)]
+        place = {h: i for i, h in enumerate(hashes.tolist())}
+        assert v.look_up(words).tolist() == [place.get(w, -1) for w in words.tolist()]
+        if len(hashes) > 100_000:
+            took = {f: min(timeit.repeat(f, number=1, repeat=5)) for f in (lambda: v.look_up(words), lambda: np.searchsorted(hashes, words))}
+            assert list(took.values())[0] < list(took.values())[1]
+
+
+def test_softmax_scores_do_not_overflow():
+    out = np.ones((3, 2), np.float32)
+    s = gru_lm._scores(out, np.array([[300, 200], [1, 2]], np.float32))
+    assert np.isfinite(np.exp(s)).all() and np.allclose(s, [[0, -497]] * 3)
+    assert np.allclose(gru_lm._scores(out, np.array([[3, 2], [1, 2]], np.float32)), [[5, 3]] * 3)
+
+
 def brute_base(rows, held):
     counts = Counter()
     for doc_id, text in rows:
