@@ -28,3 +28,7 @@ def million_parts(tmp_path_factory):
 
 def test_arc_lengths_of_places_that_meet(spark, million_parts):
     same_rows(spark, million_parts, "arc_lengths")
+
+
+def test_route_totals_of_places_that_meet(spark, million_parts):
+    same_rows(spark, million_parts, "route_totals")
