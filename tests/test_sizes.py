@@ -32,3 +32,7 @@ def test_arc_lengths_of_places_that_meet(spark, million_parts):
 
 def test_route_totals_of_places_that_meet(spark, million_parts):
     same_rows(spark, million_parts, "route_totals")
+
+
+def test_lifted_routes_of_places_that_meet(spark, million_parts):
+    same_rows(spark, million_parts, "lifted_routes")
