@@ -9,7 +9,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lineage import cut, release
+from .lineage import cut, grown, release
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -171,11 +171,11 @@ def components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 200) ->
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct())
     labels = cut(nodes.select("id", F.col("id").alias("f"), F.col("id").alias("gf")).distinct())
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "gf"), "b").groupBy(F.col("a").alias("id")).agg(F.min("gf").alias("m"))
-        told = near.join(labels, "id").select(F.explode(F.array("id", "f")).alias("id"), "m").groupBy("id").agg(F.min("m").alias("m"))
-        new = cut(labels.join(told, "id", "left").select("id", F.col("gf").alias("old"), F.least("f", "gf", "m").alias("f")), labels)
+        near = both.join(grown(labels.select(F.col("id").alias("b"), "gf")), "b").groupBy(F.col("a").alias("id")).agg(F.min("gf").alias("m"))
+        told = near.join(grown(labels), "id").select(F.explode(F.array("id", "f")).alias("id"), "m").groupBy("id").agg(F.min("m").alias("m"))
+        new = cut(labels.join(grown(told), "id", "left").select("id", F.col("gf").alias("old"), F.least("f", "gf", "m").alias("f")), labels)
         up = new.select(F.col("id").alias("f"), F.col("f").alias("gf"))
-        labels = cut(new.join(up, "f", "left").select("id", "f", F.coalesce("gf", "f").alias("gf"), "old"), new)
+        labels = cut(new.join(grown(up), "f", "left").select("id", "f", F.coalesce("gf", "f").alias("gf"), "old"), new)
         if labels.where("gf < old or f != gf").isEmpty():
             release(both)
             out = labels.select("id", F.col("gf").alias("component"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, raster
+from .lineage import grown
 from .raster import CELL
 
 WORD_REACH, SIZE_RATIO, WORD_GAP, WORD_GLYPHS = 70, 1.5, 0.7, 6
@@ -48,11 +49,11 @@ def words(boxes: DataFrame, *, reach: int = WORD_REACH, ratio: float = SIZE_RATI
     other = other.withColumns({"ty": F.col("ty") + F.col("i"), "tx": F.col("tx") + F.col("j")})
     apart = lambda a, b: F.greatest(F.lit(0), F.greatest(F.col(a), F.col(f"o_{a}")) - F.least(F.col(b), F.col(f"o_{b}")))
     small, large = F.least("size", "o_size"), F.greatest("size", "o_size")
-    met = filed.join(other, ["layer", "pocket", "ty", "tx"]).where(F.col("glyph") < F.col("o_glyph"))
+    met = filed.join(grown(other), ["layer", "pocket", "ty", "tx"]).where(F.col("glyph") < F.col("o_glyph"))
     met = met.where((F.hypot(F.col("cy") - F.col("o_cy"), F.col("cx") - F.col("o_cx")) <= reach) & (large <= ratio * small) & (F.hypot(apart("x0", "x1"), apart("y0", "y1")) <= gap * small))
     found = graph.components(boxes.select(F.col("glyph").alias("id")), met.select(F.col("glyph").alias("a"), F.col("o_glyph").alias("b")))
     size = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
-    return found.join(size, "component").select(F.col("id").alias("glyph"), F.col("component").alias("word"))
+    return found.join(grown(size), "component").select(F.col("id").alias("glyph"), F.col("component").alias("word"))
 
 
 def word_boxes(boxes: DataFrame, named: DataFrame) -> DataFrame:

@@ -36,3 +36,19 @@ def test_route_totals_of_places_that_meet(spark, million_parts):
 
 def test_lifted_routes_of_places_that_meet(spark, million_parts):
     same_rows(spark, million_parts, "lifted_routes")
+
+
+PARTS = "/root/testdata/sf0.1"
+
+
+def rows_of(spark, name, most="20m"):
+    """Twenty thousand parts lie in a file of 180 kB: no side that grows with them is broadcast."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", most)
+    try:
+        return QUERIES[name](spark, PARTS).count()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_glyphs_meet_without_a_broadcast(spark):
+    assert rows_of(spark, "glyph_words") == 8575
