@@ -58,7 +58,7 @@ def words(boxes: DataFrame, *, reach: int = WORD_REACH, ratio: float = SIZE_RATI
 
 def word_boxes(boxes: DataFrame, named: DataFrame) -> DataFrame:
     """(word, y0, y1, x0, x1, glyphs) around each word's glyphs."""
-    return boxes.join(named, "glyph").groupBy("word").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count(F.lit(1)).alias("glyphs"))
+    return boxes.join(grown(named), "glyph").groupBy("word").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count(F.lit(1)).alias("glyphs"))
 
 
 def word_angles(boxes: DataFrame, named: DataFrame, *, snap: float = SNAP_DEGREES, vertical: float = VERTICAL_ASPECT) -> DataFrame:

@@ -52,3 +52,7 @@ def rows_of(spark, name, most="20m"):
 
 def test_glyphs_meet_without_a_broadcast(spark):
     assert rows_of(spark, "glyph_words") == 8575
+
+
+def test_boxes_of_words_without_a_broadcast(spark):
+    assert rows_of(spark, "word_boxes") == 3507
