@@ -64,7 +64,7 @@ def word_boxes(boxes: DataFrame, named: DataFrame) -> DataFrame:
 def word_angles(boxes: DataFrame, named: DataFrame, *, snap: float = SNAP_DEGREES, vertical: float = VERTICAL_ASPECT) -> DataFrame:
     """(word, angle): degrees of the line through a word's glyph centres, in (-90, 90], made 0 or 90 where near;
     a word of one glyph is upright unless it is taller than wide by ``vertical``."""
-    j = boxes.join(named, "glyph")
+    j = boxes.join(grown(named), "glyph")
     g = j.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.covar_pop("cx", "cx").alias("xx"), F.covar_pop("cy", "cy").alias("yy"), F.covar_pop("cx", "cy").alias("xy"), (F.max("y1") - F.min("y0")).alias("h"), (F.max("x1") - F.min("x0")).alias("w"))
     axis = F.degrees(F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2)
     angle = F.when(F.col("n") > 1, axis).otherwise(F.when(F.col("h") > F.col("w") * vertical, 90.0).otherwise(0.0))

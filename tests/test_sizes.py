@@ -56,3 +56,7 @@ def test_glyphs_meet_without_a_broadcast(spark):
 
 def test_boxes_of_words_without_a_broadcast(spark):
     assert rows_of(spark, "word_boxes") == 3507
+
+
+def test_angles_of_words_without_a_broadcast(spark):
+    assert rows_of(spark, "word_angles") == 3507
