@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import natural_order, room_tokens, strip_room
-from .lineage import cut
+from .lineage import cut, grown
 
 # Words that ask for the nearest restroom.
 RESTROOM_WORDS = ["restroom", "restrooms", "bathroom", "bathrooms", "toilet", "washroom", "wc"]
@@ -100,7 +100,7 @@ def substrings(index: DataFrame, asked: DataFrame | None = None) -> Substrings:
     order = [*natural_order("label"), *_ORDER, "key"]
     # ranks up to a limit: every task keeps as many rows of a gram before the shuffle
     best = Window.partitionBy("gram").orderBy("score", *order)
-    short = few.join(index.select("key", "label", *_ORDER), "key").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= MOST_RANKS)
+    short = few.join(grown(index.select("key", "label", *_ORDER)), "key").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= MOST_RANKS)
     first = index.select("key", "label", *_ORDER).orderBy(*order).limit(MOST_RANKS)
     return Substrings(long, counts, keep(short.select("gram", "key", "score", "rank")), keep(first.select("key")))
 
@@ -124,16 +124,16 @@ def search_many(index: DataFrame, queries: DataFrame, *, limit: int = 8, built:
     # a gram that no name has is the rarest: no name has the search then
     rarest = grams.join(t.counts, "gram", "left").groupBy("query_id", "q", "sought").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
     score = match_score(F.col("name"), F.col("q")) + F.col("cost")
-    long = rarest.join(t.names, "gram").where("contains(name, sought)").select("query_id", "key", score.alias("score"))
+    long = rarest.join(grown(t.names), "gram").where("contains(name, sought)").select("query_id", "key", score.alias("score"))
     exact = short.where("q = sought").join(t.short, F.col("sought") == F.col("gram")).select("query_id", "key", "score")
-    begun = short.where("q != sought").join(_names(index).select("key", "name", "cost", F.explode(F.array(F.substring("name", 1, 1), F.substring("name", 1, 2))).alias("gram")), F.col("sought") == F.col("gram")).select("query_id", "key", score.alias("score"))
+    begun = short.where("q != sought").join(grown(_names(index).select("key", "name", "cost", F.explode(F.array(F.substring("name", 1, 1), F.substring("name", 1, 2))).alias("gram"))), F.col("sought") == F.col("gram")).select("query_id", "key", score.alias("score"))
     # the beginnings of "room " find every row
     listed = t.first.agg(F.collect_list("key").alias("keys"))
     begins = F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring(F.lit("room"), F.lit(1), n)))
     every = q.join(listed.select(begins.alias("q"), "keys"), "q").select("query_id", F.explode("keys").alias("key"), F.lit(2.0).alias("score"))
     found = long.union(exact).union(begun).union(every).where("score is not null").groupBy("query_id", "key").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", *natural_order("label"), *_ORDER, "key")
-    ranked = found.join(index, "key").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    ranked = found.join(grown(index), "key").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
     return ranked.join(queries.select("query_id", "query"), "query_id")
 
 

@@ -36,3 +36,12 @@ def test_an_empty_index(spark):
     index = spark.createDataFrame([], SCHEMA)
     queries = spark.createDataFrame([(1, "a"), (2, "room")], "query_id int, query string")
     assert search.search_many(index, queries).count() == 0 and search.substrings(index).first.select(F.count("*")).first()[0] == 0
+
+
+def test_an_index_is_met_by_sorted_parts(spark):
+    """An index of many rows can lie in a small file, so it is not Spark's choice to broadcast it."""
+    import __spark_entry__
+
+    found = __spark_entry__.queries()["ranked_searches"](spark, "/root/testdata/sf0.1")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [key" not in plan and found.count() == 32
