@@ -3,9 +3,11 @@
 import math
 import random
 
+import __spark_entry__
 from corridora.operators import voting
 from pyspark.sql import functions as F
 
+SF = "/root/testdata/sf0.001"
 
 
 def test_equal_vectors_of_two_classes_tie_in_blocks(spark, monkeypatch):
@@ -30,3 +32,8 @@ def test_vectors_of_other_lengths_have_no_score(spark):
     t = spark.createDataFrame([(1, [1.0, 2.0], "a"), (2, [2.0, 2.0], "b"), (3, [9.0, 9.0, 9.0], "b"), (4, [None, 5.0], "c"), (5, None, "c")], "t_id int, t array<double>, label string")
     q = spark.createDataFrame([(7, [1.0, 1.0]), (8, [1.0])], "q_id int, q array<double>")
     assert sorted(map(tuple, voting.class_scores(q, t).collect())) == [(7, "a", 3.0), (7, "b", 4.0)]
+
+
+def test_nearest_neighbours_meet_in_blocks(spark):
+    found = __spark_entry__.queries()["nearest_neighbour"](spark, SF)
+    assert "NestedLoop" not in found._jdf.queryExecution().sparkPlan().toString() and found.count() == 10
