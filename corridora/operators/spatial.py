@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import similarity
-from .lineage import cut
+from . import tree
+from .lineage import cut, grown
 
 
 def nearest(points: DataFrame, x: float, y: float, limit: int = 6) -> DataFrame:
@@ -20,28 +22,35 @@ def nearest(points: DataFrame, x: float, y: float, limit: int = 6) -> DataFrame:
 def knn(queries: DataFrame, points: DataFrame, k: int, cell: float) -> DataFrame:
     """(q_id, qx, qy) to each one's k nearest of (p_id, x, y): exact, by rings of grid cells.
 
-    Rings of cells are searched outwards; a query is done when it has k points no farther than the
-    ring's inner border. Each round joins by cell, never all pairs. For points of about even density;
-    :func:`tree.nearest_in_tree` takes any.
+    Of points at one place only the k smallest ids can be neighbours, and queries at one place are one. Cells are ``cell``
+    wide, or less where points are dense: about even ones then lie a few in a cell. Rings of cells are searched
+    outwards; a query is done when it has k points no farther than the ring's inner border. What three rounds leave
+    open, beside or far from the points, is told by a tree (:func:`tree.nearest_in_tree`). All joins are by cell.
     """
-    placed = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    bounds = placed.agg(F.min("cx").alias("a"), F.max("cx").alias("b"), F.min("cy").alias("c"), F.max("cy").alias("d"), F.count(F.lit(1)).alias("n")).first()
-    open_ = queries.withColumns({"gx": F.floor(F.col("qx") / cell), "gy": F.floor(F.col("qy") / cell)})
-    done, reach = None, 1
-    rank = Window.partitionBy("q_id").orderBy("dist", "p_id")
-    while True:
+    same = Window.partitionBy("x", "y").orderBy("p_id")
+    kept = cut(points.select("p_id", "x", "y").withColumn("__at", F.row_number().over(same)).where(F.col("__at") <= k).drop("__at"))
+    b = kept.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
+    area = (b[0] or 0.0) * (b[1] or 0.0)
+    if 0 < area < float("inf"):
+        cell = min(cell, math.sqrt(area * max(k, 4) / b[2]))
+    placed = kept.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    place, done = ["qx", "qy"], []
+    open_ = cut(queries.select(*place).distinct())
+    rank = Window.partitionBy(*place).orderBy("dist", "p_id")
+    for reach in (1, 2, 4):
         side = F.sequence(F.lit(-reach), F.lit(reach))
-        probes = open_.withColumn("i", F.explode(side)).withColumn("j", F.explode(side)).select("q_id", "qx", "qy", (F.col("gx") + F.col("i")).alias("cx"), (F.col("gy") + F.col("j")).alias("cy"))
-        found = probes.join(placed, ["cx", "cy"]).withColumn("dist", F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy")))
-        best = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("q_id", "p_id", "dist", "rank")
-        last = bounds.n == 0 or reach > 2 * max(bounds.b - bounds.a, bounds.d - bounds.c, 1) + 1
-        sure = best.groupBy("q_id").agg(F.count(F.lit(1)).alias("m"), F.max("dist").alias("far")).where((F.col("m") >= min(k, bounds.n)) & (F.col("far") <= reach * cell) | F.lit(last)).select("q_id")
-        part = best.join(sure, "q_id", "left_semi")
-        done = part if done is None else done.union(part)
-        open_ = open_.join(sure, "q_id", "left_anti")
-        if last or open_.isEmpty():
-            return done
-        reach *= 2
+        probes = open_.withColumn("i", F.explode(side)).withColumn("j", F.explode(side)).select(*place, (F.floor(F.col("qx") / cell) + F.col("i")).alias("cx"), (F.floor(F.col("qy") / cell) + F.col("j")).alias("cy"))
+        found = probes.join(grown(placed), ["cx", "cy"]).withColumn("dist", F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy")))
+        best = cut(found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(*place, "p_id", "dist", "rank"))
+        sure = best.groupBy(*place).agg(F.count(F.lit(1)).alias("m"), F.max("dist").alias("far")).where((F.col("m") >= min(k, b[2])) & (F.col("far") <= reach * cell)).select(*place)
+        done.append(best.join(grown(sure), place, "left_semi"))
+        open_ = cut(open_.join(grown(sure), place, "left_anti"), open_)
+        if open_.isEmpty():
+            break
+    else:
+        rest = tree.nearest_in_tree(open_.withColumn("q_id", F.struct(*place)), tree.point_tree(kept, k))
+        done.append(rest.select("q_id.*", "p_id", "dist", "rank"))
+    return queries.select("q_id", *place).join(grown(functools.reduce(DataFrame.union, done)), place).select("q_id", "p_id", "dist", "rank")
 
 
 def snap_key(dx: Column, dy: Column) -> Column:

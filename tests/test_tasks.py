@@ -4,7 +4,7 @@ import math
 import random
 
 import __spark_entry__
-from corridora.operators import voting
+from corridora.operators import spatial, voting
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +37,16 @@ def test_vectors_of_other_lengths_have_no_score(spark):
 def test_nearest_neighbours_meet_in_blocks(spark):
     found = __spark_entry__.queries()["nearest_neighbour"](spark, SF)
     assert "NestedLoop" not in found._jdf.queryExecution().sparkPlan().toString() and found.count() == 10
+
+
+def test_nearest_points_in_crowds_and_far_off(spark):
+    """Hundreds of points at few places, queries at one place and queries far from all points."""
+    points = [(i, float(i * 37 % 8), float(i * 91 % 6)) for i in range(400)] + [(1000, 500.0, 500.0)]
+    queries = [(i, float(i % 5), 2.0) for i in range(20)] + [(100, 90_000.0, -70_000.0), (101, 250.5, 260.25), (102, -0.0, 0.0)]
+    p, q = spark.createDataFrame(points, "p_id int, x double, y double"), spark.createDataFrame(queries, "q_id int, qx double, qy double")
+    got = {}
+    for r in spatial.knn(q, p, 3, 100.0).collect():
+        got.setdefault(r.q_id, {})[r.rank] = r.p_id
+    for i, x, y in queries:
+        want = sorted(points, key=lambda w: (math.hypot(w[1] - x, w[2] - y), w[0]))[:3]
+        assert [got[i][k] for k in (1, 2, 3)] == [w[0] for w in want]
