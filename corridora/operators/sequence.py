@@ -112,19 +112,31 @@ def route_totals(legs: DataFrame) -> DataFrame:
     return g.select("route_id", round_half_up("ft").cast("long").alias("feet"), "flights", F.greatest(F.lit(1), round_half_up((F.col("ft") / 4.0 + F.col("flights") * 25) / 60)).cast("int").alias("minutes"))
 
 
+def _corner(a: Column, b: Column, c: Column, most: float) -> Column:
+    """The point b between a and c, or the two points that replace it."""
+    d1, d2 = F.hypot(b["x"] - a["x"], b["y"] - a["y"]), F.hypot(c["x"] - b["x"], c["y"] - b["y"])
+    cut = F.least(d1 / 3, d2 / 3, F.lit(float(most)))
+    to = lambda q, d: F.struct((b["x"] + (q["x"] - b["x"]) * cut / d).alias("x"), (b["y"] + (q["y"] - b["y"]) * cut / d).alias("y"))
+    return F.when(cut < 2, F.array(b)).otherwise(F.array(to(a, d1), to(c, d2)))
+
+
+def rounded_points(points: DataFrame, most: float, *, group: str = "route_id", seq: str = "seq") -> DataFrame:
+    """Ordered (group, seq, x, y) to (group, i, part, x, y): as :func:`round_corners`, row by row, each point under its
+    number from 1 on and a corner that is cut in two parts, 0 and 1."""
+    order = Window.partitionBy(group).orderBy(seq)
+    here = F.struct("x", "y")
+    near = points.select(group, F.row_number().over(order).alias("i"), here.alias("b"), F.lag(here).over(order).alias("a"), F.lead(here).over(order).alias("c"))
+    inner = F.col("a").isNotNull() & F.col("c").isNotNull()
+    parts = F.when(inner, _corner(F.col("a"), F.col("b"), F.col("c"), most)).otherwise(F.array("b"))
+    return near.select(group, "i", F.posexplode(parts).alias("part", "p")).select(group, "i", "part", "p.x", "p.y")
+
+
 def round_corners(path: Column | str, most: float) -> Column:
     """Replaces each inner corner by two points, a third of the shorter way to its neighbours at most."""
     p = F.col(path) if isinstance(path, str) else path
     n = F.size(p)
 
-    def corner(i: Column) -> Column:
-        a, b, c = F.get(p, i - 1), F.get(p, i), F.get(p, i + 1)
-        d1, d2 = F.hypot(b["x"] - a["x"], b["y"] - a["y"]), F.hypot(c["x"] - b["x"], c["y"] - b["y"])
-        cut = F.least(d1 / 3, d2 / 3, F.lit(float(most)))
-        to = lambda q, d: F.struct((b["x"] + (q["x"] - b["x"]) * cut / d).alias("x"), (b["y"] + (q["y"] - b["y"]) * cut / d).alias("y"))
-        return F.when(cut < 2, F.array(b)).otherwise(F.array(to(a, d1), to(c, d2)))
-
-    inner = F.flatten(F.transform(F.sequence(F.lit(1), n - 2), corner))
+    inner = F.flatten(F.transform(F.sequence(F.lit(1), n - 2), lambda i: _corner(F.get(p, i - 1), F.get(p, i), F.get(p, i + 1), most)))
     return F.when(n < 3, p).otherwise(F.concat(F.slice(p, 1, 1), inner, F.slice(p, -1, 1)))
 
 

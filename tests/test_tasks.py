@@ -4,7 +4,7 @@ import math
 import random
 
 import __spark_entry__
-from corridora.operators import spatial, voting
+from corridora.operators import sequence, spatial, voting
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +50,14 @@ def test_nearest_points_in_crowds_and_far_off(spark):
     for i, x, y in queries:
         want = sorted(points, key=lambda w: (math.hypot(w[1] - x, w[2] - y), w[0]))[:3]
         assert [got[i][k] for k in (1, 2, 3)] == [w[0] for w in want]
+
+
+def test_points_rounded_row_by_row_are_the_path_rounded_whole(spark):
+    rng = random.Random(2)
+    paths = {k: [(float(rng.randrange(60)), float(rng.randrange(60))) for _ in range(n)] for k, n in enumerate((1, 2, 3, 9, 30))}
+    p = spark.createDataFrame([(k, s, *xy) for k, path in paths.items() for s, xy in enumerate(path)], "route_id int, seq int, x double, y double")
+    got = {}
+    for r in sorted(sequence.rounded_points(p, 18.0).collect(), key=lambda r: (r.route_id, r.i, r.part)):
+        got.setdefault(r.route_id, []).append((r.x, r.y))
+    whole = spark.createDataFrame([(k, path) for k, path in paths.items()], "k int, p array<struct<x:double,y:double>>").select("k", sequence.round_corners("p", 18.0).alias("o"))
+    assert {r.k: [(q.x, q.y) for q in r.o] for r in whole.collect()} == got
