@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import graph
-from .lineage import cut, release
+from .lineage import cut, grown, release
 
 CELL = ["layer", "r", "c"]
 
@@ -178,7 +178,7 @@ def near_wall(cells: DataFrame) -> DataFrame:
     free = cells.where("walk")
     ring = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     open_ = erode(free, ring).withColumn("open", F.lit(True))
-    return cells.join(open_, CELL, "left").withColumn("near_wall", F.col("open").isNull()).drop("open")
+    return cells.join(grown(open_), CELL, "left").withColumn("near_wall", F.col("open").isNull()).drop("open")
 
 
 def derived_planes(cells: DataFrame) -> DataFrame:
@@ -188,16 +188,24 @@ def derived_planes(cells: DataFrame) -> DataFrame:
     found = networks(cells)
     size = found.groupBy("layer", "component").agg(F.count(F.lit(1)).alias("n"))
     best = size.groupBy("layer").agg(F.min_by("component", F.struct((-F.col("n")).alias("m"), "component")).alias("component"))
-    net = found.join(best, ["layer", "component"], "left_semi").select(*CELL, F.lit(True).alias("net"))
-    return walled.join(net, CELL, "left").withColumn("net", F.coalesce("net", F.lit(False)))
+    net = found.join(grown(best), ["layer", "component"], "left_semi").select(*CELL, F.lit(True).alias("net"))
+    return walled.join(grown(net), CELL, "left").withColumn("net", F.coalesce("net", F.lit(False)))
 
 
 def networks(cells: DataFrame) -> DataFrame:
-    """cells (layer, r, c, walk, east, south) to (layer, r, c, component): walkable cells joined by open steps."""
-    walk = cells.where("walk")
-    ident = F.struct(*CELL)
-    step = lambda flag, dr, dc: walk.where(flag).select(ident.alias("a"), F.struct("layer", (F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")).alias("b"))
-    found = graph.components(walk.select(ident.alias("id")), step("east", 0, 1).unionByName(step("south", 1, 0)))
+    """cells (layer, r, c, walk, east, south) to (layer, r, c, component): walkable cells joined by open steps.
+
+    Cells of a row that open steps join are one run first, so components are found between runs, named by their first cells.
+    """
+    order = Window.partitionBy("layer", "r").orderBy("c")
+    begins = F.coalesce((F.lag("c").over(order) != F.col("c") - 1) | ~F.lag("east").over(order), F.lit(True))
+    walk = cells.where("walk").select(*CELL, F.coalesce("east", F.lit(False)).alias("east"), "south").withColumn("begins", begins)
+    walk = cut(walk.withColumn("c0", F.max(F.when(F.col("begins"), F.col("c"))).over(order)).select(*CELL, "south", F.struct("layer", "r", "c0").alias("id")))
+    below = walk.select("layer", (F.col("r") - 1).alias("r"), "c", F.col("id").alias("b"))
+    joined = walk.where("south").select(*CELL, F.col("id").alias("a")).join(grown(below), CELL).select("a", "b")
+    found = graph.components(walk.select("id"), joined)
+    found = walk.join(grown(found), "id").select(F.struct(*CELL).alias("id"), F.col("component").alias("run"))
+    found = found.select("id", F.struct(F.col("run.layer").alias("layer"), F.col("run.r").alias("r"), F.col("run.c0").alias("c")).alias("component"))
     return found.select("id.*", F.format_string("%s:%d:%d", F.col("component.layer").cast("string"), F.col("component.r").cast("long"), F.col("component.c").cast("long")).alias("component"))
 
 

@@ -60,3 +60,7 @@ def test_boxes_of_words_without_a_broadcast(spark):
 
 def test_angles_of_words_without_a_broadcast(spark):
     assert rows_of(spark, "word_angles") == 3507
+
+
+def test_planes_without_a_broadcast(spark):
+    assert rows_of(spark, "derived_planes") == 20000
